@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
-from depweave.llm import quality, sharding
+from depweave.llm import bpe, langid, packing, quality, sharding
 from depweave.session import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file (the operators take any path)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_string_kernel_languages(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_bounded_ring_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_sum_of_squares_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op9_tree_bpe(spark, sf_dir):
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op10_risk_controlled_rules(spark, sf_dir):
     return quality.apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries():
-    return {f.__name__: f for f in (op6_bounded_ring_shards, op10_risk_controlled_rules)}
+    return {f.__name__: f for f in (
+        op1_string_kernel_languages, op6_bounded_ring_shards, op7_sum_of_squares_packing, op9_tree_bpe, op10_risk_controlled_rules,
+    )}
 
 
 def oracle_sql():
