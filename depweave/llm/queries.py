@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depweave.llm import bpe, langid, packing, quality, sharding
+from depweave.llm import bpe, langid, packing, quality, sharding, suffix_dedup
 from depweave.session import table
 
 
@@ -25,6 +25,10 @@ def op7_sum_of_squares_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_merged_transform_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_tree_bpe(spark, sf_dir):
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -35,7 +39,8 @@ def op10_risk_controlled_rules(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        op1_string_kernel_languages, op6_bounded_ring_shards, op7_sum_of_squares_packing, op9_tree_bpe, op10_risk_controlled_rules,
+        op1_string_kernel_languages, op6_bounded_ring_shards, op7_sum_of_squares_packing,
+        op8_merged_transform_dedup, op9_tree_bpe, op10_risk_controlled_rules,
     )}
 
 
