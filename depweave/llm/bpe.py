@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 LEAF = 16_384
 LONG = 2 * LEAF
 #: Chunks kept by a worker's memo.
-MEMO = 400_000
+MEMO = 300_000
 #: Tokens after which an unsplit run is cut into pieces for the windows.
 RUN = 16
 
@@ -52,13 +52,16 @@ def chunks(text: str) -> list[str]:
 class ChunkMemo:
     """``known``: chunk -> its ids as text, joined by commas; ``odd``: decoded forms that differ from the chunk."""
 
+    glue = ","
+
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.known: dict[str, str] = {}
+        self.known: dict = {}
+        self.core: dict = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -71,25 +74,35 @@ class ChunkMemo:
             _workers[cls, path] = cls(path)
         return _workers[cls, path]
 
-    def unknown(self, lists: list[list[str]]) -> list[str]:
-        """Distinct chunks that are not known; a full memo is emptied first."""
+    def form(self, chunk: str) -> tuple[str, str]:
+        """(core, tail) of a chunk whose encoding is theirs, joined: a comma or stop after a letter is always cut off."""
+        return (chunk[:-1], chunk[-1]) if chunk[-1] in ",." and chunk[-2:-1].isalpha() else (chunk, "")
+
+    def keep(self, cores: list[str]) -> None:
+        """Encode and decode ``cores`` in one call each."""
+        found = [e.ids for e in self.tokenizer.encode_batch(cores, add_special_tokens=False)]
+        back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+        for core, ids, text in zip(cores, found, back):
+            self.core[core] = ",".join(map(str, ids))
+            if text != core:
+                self.odd[core] = text
+
+    def learn(self, lists: list[list[str]]) -> None:
+        """Make every chunk of ``lists`` known; full memos are emptied first."""
         distinct = set().union(*lists)
         new = [c for c in distinct if c not in self.known]
-        if len(self.known) + len(new) > MEMO:
+        if max(len(self.known) + len(new), len(self.core)) > MEMO:
             self.known.clear()
+            self.core.clear()
             self.odd.clear()
-            return list(distinct)
-        return new
-
-    def learn(self, lists: list[list[str]]) -> None:
-        """Encode and decode what is not known yet."""
-        new = self.unknown(lists)
-        found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
-        for chunk, ids, text in zip(new, found, back):
-            self.known[chunk] = ",".join(map(str, ids))
-            if text != chunk:
-                self.odd[chunk] = text
+            new = list(distinct)
+        forms = [self.form(c) for c in new]
+        self.keep([c for c in {x for f in forms for x in f if x} if c not in self.core])
+        core, known, glue = self.core, self.known, self.glue
+        for chunk, (a, b) in zip(new, forms):
+            known[chunk] = core[a] + glue + core[b] if b else core[a]
+            if a in self.odd:
+                self.odd[chunk] = self.odd[a] + b
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids

@@ -34,10 +34,16 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 class WordMemo(ChunkMemo):
     """``known``: word -> its ids as little-endian unsigned 32-bit integers."""
 
-    def learn(self, lists: list[list[str]]) -> None:
-        new = self.unknown(lists)
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+    glue = b""
+
+    def form(self, chunk: str) -> tuple[str, str]:
+        """As above, in lower case where no character beyond Latin-1 is present (there both libraries agree on it)."""
+        core, tail = super().form(chunk)
+        return (core.lower(), tail) if max(core) <= "\xff" else (core, tail)
+
+    def keep(self, cores: list[str]) -> None:
+        for core, found in zip(cores, self.tokenizer.encode_batch(cores, add_special_tokens=False)):
+            self.core[core] = np.array(found.ids, "<u4").tobytes()
 
 
 def words_of(text: str | None) -> list[str]:
