@@ -5,7 +5,7 @@ smaller id.  Strings are dealt to tasks by content: each takes the smallest hash
 16-byte grams in it (its minimizer), so equal strings meet; neighbours with the same
 minimizer form one segment.
 
-1. Minimizers are gathered, once per 32 MB of text, into hash ranges; those seen in two
+1. Minimizers are gathered, equal ones of a batch once, into hash ranges; those seen in two
    documents set a bit of a bitmap of fixed size, which only spares work: a wrong bit
    costs a segment, never a result.
 2. Segments whose minimizer has its bit are written with their places; equal ones of a
@@ -35,15 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depweave.llm import shared
 from depweave.session import written
 
 LENGTH = 50
 GRAM = 16
-#: Bytes hashed at once, and text gathered before a row of hashes is sent.
+#: Bytes hashed at once, and minimizers gathered before rows of them are sent.
 BLOCK = 1 << 20
-GATHER = 32 << 20
-#: Bits of the bitmap (16 MB): the bound of what is broadcast.
-BITMAP = 1 << 27
+GATHER = 2_000_000
 #: Windows of a segment at most, and segment bytes of a task.
 LONGEST = 1024
 BUCKET = 2 << 20
@@ -117,70 +116,19 @@ def _blocks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[list[int], list[
 
 
 def _gather(bits: int) -> Callable:
-    """mapInArrow over (doc_id, tkey, text): per hash range, the distinct minimizers and whether two documents had them."""
-
-    def send(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h = np.concatenate([x[0] for x in found])
-        many = np.concatenate([x[1] for x in found])
-        order = np.argsort(h)
-        h, many = h[order], many[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        # in two blocks (of different documents) or in two documents of one block
-        many = np.logical_or.reduceat(many, first) | (np.diff(np.append(first, len(h))) > 1)
-        h = h[first]
-        part = (h >> np.uint64(64 - bits)).astype(np.int64)
-        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        end = np.append(cut[1:], len(h))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(part[cut], pa.int64()),
-                pa.array([(h[a:b] >> np.uint64(16)).astype("<u4").tobytes() + h[a:b].astype("<u2").tobytes() for a, b in zip(cut, end)], pa.binary()),
-                pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(cut, end)], pa.binary()),
-            ],
-            names=["part", "ids", "many"],
-        )
+    """mapInArrow over (doc_id, tkey, text): the minimizers, by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
+        sent = shared.Gathered(bits)
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, raws in _blocks(batch, 2):
                 _, owner, _, _, low = segments(raws)
-                if len(low):
-                    doc = docs[rows][owner]
-                    order = np.lexsort((doc, low))
-                    low, doc = low[order], doc[order]
-                    first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                    last = np.append(first[1:], len(low)) - 1
-                    found.append((low[first], doc[first] != doc[last]))
-                size += sum(map(len, raws))
-                if size >= GATHER and found:
-                    yield send(found)
-                    found, size = [], 0
-        if found:
-            yield send(found)
-
-    return run
-
-
-def _bitmap_slice(bits: int) -> Callable:
-    """applyInPandas over one hash range: its slice of the bitmap."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, many = [], []
-        for blob, flags in zip(pdf["ids"], pdf["many"]):
-            n = len(blob) // 6
-            ids.append((np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64))
-            many.append(np.unpackbits(np.frombuffer(flags, np.uint8))[:n].astype(bool))
-        h, flag = np.concatenate(ids), np.concatenate(many)
-        order = np.argsort(h)
-        h, flag = h[order], flag[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        shared = h[first[np.logical_or.reduceat(flag, first) | (np.diff(np.append(first, len(h))) > 1)]]
-        places = BITMAP >> bits
-        where = np.zeros(places, bool)
-        where[shared.astype(np.int64) & (places - 1)] = True
-        return pd.DataFrame({"part": pdf["part"][:1], "slice": [np.packbits(where).tobytes()]})
+                sent.add(low, docs[rows][owner])
+                if sent.size >= GATHER:
+                    yield sent.batch()
+        if sent.size:
+            yield sent.batch()
 
     return run
 
@@ -192,15 +140,13 @@ def _places(bitmap, bits: int) -> Callable:
         import xxhash
 
         marks = np.frombuffer(bitmap.value, np.uint8)
-        places = BITMAP >> bits
         for batch in batches:
             docs, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             least: dict[int, list] = {}
             out: list[tuple] = []
             for rows, raws in _blocks(batch, 2):
                 joined, owner, start, count, low = segments(raws)
-                at = (low >> np.uint64(64 - bits)).astype(np.int64) * places + (low.view(np.int64) & (places - 1))
-                chosen = np.flatnonzero((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                chosen = np.flatnonzero(shared.marked(low, marks, bits))
                 if not len(chosen):
                     continue
                 begins = np.cumsum([0, *map(len, raws)])
@@ -356,18 +302,10 @@ def _ranges(spans) -> list[tuple[int, int]]:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc, tkey, spans (array of (start, end) in bytes): what repeats an elder document, per document that has any."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text").filter("doc_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(6, (total // (4 << 20)).bit_length()))
-    gathered = rows.mapInArrow(_gather(bits), "part bigint, ids binary, many binary")
-    slices = gathered.groupBy("part").applyInPandas(_bitmap_slice(bits), "part bigint, slice binary").collect()
-    size = (BITMAP >> bits) // 8
-    bitmap = bytearray(BITMAP // 8)
-    for r in slices:
-        bitmap[r["part"] * size : (r["part"] + 1) * size] = r["slice"]
-    del slices
-    marks = spark.sparkContext.broadcast(bytes(bitmap))
+    bits = shared.range_bits(total // 18)
+    marks = shared.shared_bitmap(rows.mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
     found = written(rows.mapInArrow(_places(marks, bits), "doc bigint, tkey bigint, start bigint, windows bigint, segment bigint, low bigint, raw binary"))
     several = found.filter("raw is not null")
     buckets = max(1, -(-(several.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // BUCKET))
