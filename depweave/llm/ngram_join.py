@@ -158,16 +158,16 @@ def _sets(n: int) -> Callable:
     return run
 
 
-def _count(n: int, counters: int) -> Callable:
-    """mapInArrow over (doc_id, text): counts of hashed shingles, by piece of the table."""
+def _count(hashes: Callable[[list[bytes]], np.ndarray], counters: int) -> Callable:
+    """mapInArrow over (key, text): counts of hashes, by piece of the table."""
     piece = min(counters, 1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(counters, np.uint32)
         for batch in batches:
             for _, raws in _blocks(batch, 1):
-                s, _ = shingle_sets(raws, n)
-                count += np.bincount((s & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
+                h = hashes(raws)
+                count += np.bincount((h & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
         pieces = [k for k in range(counters // piece) if count[k * piece : (k + 1) * piece].any()]
         if pieces:
             yield pa.RecordBatch.from_arrays(
@@ -184,15 +184,14 @@ def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": pdf["piece"][:1], "levels": [level.tobytes()]})
 
 
-def commonness(docs: DataFrame, n: int, expected: int):
-    """Broadcast table of hashed commonness (at most ``COUNTERS`` bytes), from all shingles of all documents."""
-    counters = min(COUNTERS, 1 << max(10, (expected // 128).bit_length()))
-    rows = docs.mapInArrow(_count(n, counters), "piece bigint, counts binary").groupBy("piece").applyInPandas(_sum_counts, "piece bigint, levels binary")
+def counted_levels(rows: DataFrame, hashes: Callable[[list[bytes]], np.ndarray], counters: int):
+    """Broadcast table of commonness by hash (``counters`` bytes, ``COUNTERS`` at most), from all of (key, text)."""
+    found = rows.mapInArrow(_count(hashes, counters), "piece bigint, counts binary").groupBy("piece").applyInPandas(_sum_counts, "piece bigint, levels binary")
     piece = min(counters, 1 << 16)
     table = bytearray(counters)
-    for r in rows.collect():
+    for r in found.collect():
         table[r["piece"] * piece : (r["piece"] + 1) * piece] = r["levels"]
-    return docs.sparkSession.sparkContext.broadcast(bytes(table))
+    return rows.sparkSession.sparkContext.broadcast(bytes(table))
 
 
 def _leading(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
@@ -288,7 +287,8 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    levels = commonness(rows, words, total // 6)
+    counters = min(COUNTERS, 1 << max(10, (total // 768).bit_length()))
+    levels = counted_levels(rows, lambda raws: shingle_sets(raws, words)[0], counters)
     bits = shared.range_bits(total // 36)
     marks = shared.shared_bitmap(rows.mapInArrow(_gather(words, percent, levels, bits), shared.Gathered.SCHEMA), bits)
     sets = written(rows.mapInArrow(_sets(words), "doc_id bigint, n_shingles bigint, name bigint"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bits of the bitmap (16 MB).
 BITMAP = 1 << 27
@@ -90,12 +91,15 @@ def _slice(bits: int) -> Callable:
 
 def shared_bitmap(gathered: DataFrame, bits: int):
     """Broadcast of the bitmap; what reaches the driver is its ``BITMAP`` bits, never the hashes."""
-    slices = gathered.groupBy("part").applyInPandas(_slice(bits), "part bigint, slice binary").collect()
+    return _broadcast(gathered.groupBy("part").applyInPandas(_slice(bits), "part bigint, slice binary"), bits)
+
+
+def _broadcast(slices: DataFrame, bits: int):
     size = (BITMAP >> bits) // 8
     bitmap = bytearray(BITMAP // 8)
-    for r in slices:
+    for r in slices.collect():
         bitmap[r["part"] * size : (r["part"] + 1) * size] = r["slice"]
-    return gathered.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    return slices.sparkSession.sparkContext.broadcast(bytes(bitmap))
 
 
 def marked(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
@@ -103,3 +107,25 @@ def marked(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     places = BITMAP >> bits
     at = (hashes >> np.uint64(64 - bits)).astype(np.int64) * places + (hashes.view(np.int64) & (places - 1))
     return ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def spread(names: np.ndarray) -> np.ndarray:
+    """Signed 64-bit names as hashes for the bitmap."""
+    return names.view(np.uint64)
+
+
+def _marks(bits: int) -> Callable:
+    """applyInPandas over the names of one range: its slice of the bitmap."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        where = np.zeros(BITMAP >> bits, bool)
+        where[pdf["name"].to_numpy() & ((BITMAP >> bits) - 1)] = True
+        return pd.DataFrame({"part": pdf["part"][:1], "slice": [np.packbits(where).tobytes()]})
+
+    return run
+
+
+def bitmap_of(names: DataFrame, column: str, bits: int):
+    """Broadcast bitmap of a column of 64-bit names, by the same places as above."""
+    ranged = names.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("part"), F.col(column).alias("name"))
+    return _broadcast(ranged.groupBy("part").applyInPandas(_marks(bits), "part bigint, slice binary"), bits)
