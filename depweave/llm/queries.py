@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from depweave.llm import bpe, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
+from pyspark.sql import functions as F
+
+from depweave.llm import ann, bpe, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
 from depweave.session import table
 
 
@@ -17,6 +19,10 @@ def op1_string_kernel_languages(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_small_world_search(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_similar_line_removal(spark, sf_dir):
     return line_dedup.dedup_documents(table(spark, sf_dir, "documents"))
 
@@ -47,7 +53,7 @@ def op10_risk_controlled_rules(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        op1_string_kernel_languages, op4_similar_line_removal, op5_sparse_product_jaccard, op6_bounded_ring_shards, op7_sum_of_squares_packing,
+        op1_string_kernel_languages, op2_small_world_search, op4_similar_line_removal, op5_sparse_product_jaccard, op6_bounded_ring_shards, op7_sum_of_squares_packing,
         op8_merged_transform_dedup, op9_tree_bpe, op10_risk_controlled_rules,
     )}
 
