@@ -133,8 +133,8 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, languages: i
     return fit(x.astype(np.float32), [r["lang"] for r in found])
 
 
-def _score(names: list[str], weights: np.ndarray) -> Callable:
-    """mapInArrow over (the kept columns, text): adds lang_pred and score."""
+def _score(names: list[str], weights: np.ndarray, added: tuple[str, str]) -> Callable:
+    """mapInArrow over (the kept columns, text): adds the language and its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +151,7 @@ def _score(names: list[str], weights: np.ndarray) -> Callable:
                     score.append(min(1.0, max(0.0, v)) if known else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
+                names=[*batch.schema.names[:-1], *added],
             )
 
     return run
@@ -162,13 +162,16 @@ def is_held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns, lang_pred and score of every row."""
+def predict(
+    docs: DataFrame, model: tuple[list[str], np.ndarray] | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``keep`` columns and, as ``names``, the language and score of every row."""
+    kept = [F.col(f"`{c}`") for c in keep]
     if model is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+        return docs.select(*kept, F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
+    rows = docs.select(*kept, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(*model), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_score(*model, names), f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

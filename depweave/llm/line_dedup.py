@@ -251,9 +251,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """``keep`` columns, ``_kept`` (the text of the lines that stay, joined by a line end), n_lines, n_removed."""
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
-    rows = docs.select(*keep, doc.alias("_doc"), F.xxhash64("text").alias("_tkey"), F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("_doc"), F.xxhash64("text").alias("_tkey"), F.col("text").alias("_text"))
     gone = repeated_lines(rows.select(F.col("_doc").alias("doc"), F.col("_tkey").alias("tkey"), F.col("_text").alias("text")), min_words=min_words, percent=percent)
-    joined = rows.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left").select(*keep, "_text", "lines")
+    joined = rows.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "lines")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
     return joined.mapInArrow(_apply, f"{schema}, _kept string, n_lines bigint, n_removed bigint")
 

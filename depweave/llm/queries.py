@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from depweave.llm import ann, bpe, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
+from depweave.llm import ann, bpe, html_extract, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
 from depweave.session import table
 
 
@@ -23,6 +23,10 @@ def op2_small_world_search(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op3_wrapper_extraction(spark, sf_dir):
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_similar_line_removal(spark, sf_dir):
     return line_dedup.dedup_documents(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,8 @@ def op10_risk_controlled_rules(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        op1_string_kernel_languages, op2_small_world_search, op4_similar_line_removal, op5_sparse_product_jaccard, op6_bounded_ring_shards, op7_sum_of_squares_packing,
+        op1_string_kernel_languages, op2_small_world_search, op3_wrapper_extraction,
+        op4_similar_line_removal, op5_sparse_product_jaccard, op6_bounded_ring_shards, op7_sum_of_squares_packing,
         op8_merged_transform_dedup, op9_tree_bpe, op10_risk_controlled_rules,
     )}
 

@@ -352,9 +352,9 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, dige
 
     As text, characters of which only a part remains go whole.
     """
-    rows = docs.select(*keep, F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_tkey"), F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_tkey"), F.col("text").alias("_text"))
     spans = repeated_ranges(docs)
-    joined = rows.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left").select(*keep, "_text", "spans")
+    joined = rows.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
     return joined.mapInArrow(_apply(digest), f"{schema}, n_bytes bigint, n_removed bigint, n_spans bigint, kept string")
 
