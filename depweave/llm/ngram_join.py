@@ -10,9 +10,11 @@ needed overlap are dropped.  The second block, all other columns, is then accumu
 for the remaining pairs only, from their texts.
 
 Only reachability is asked for, so a column with many rows is not squared: each row is
-paired with the column's smallest row; links are contracted into components, and then
-the columns whose rows still lie in different components are multiplied in full across
-components.  A large group of near copies thus costs one pair a row, and no link between
+paired with the column's most central row, the one that shares most columns (an
+original, among its near copies); links are contracted into components, and then the
+columns whose rows still lie in different components are multiplied in full across
+components.  Overlap counts of the first block are accumulated per pair, and pairs whose
+count plus all columns after the last common one misses the needed overlap are dropped.  A large group of near copies thus costs one pair a row, and no link between
 different components is missed.
 
 Column commonness comes from counts of all shingles in a table of hashed counters, sized
@@ -273,14 +275,17 @@ def _verify(n: int, percent: int) -> Callable:
     return run
 
 
-def _fits(percent: int):
-    """Size and place bounds of a candidate pair with columns (size, at) and (size_b, at_b)."""
-    overlap = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
-    return (
-        (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
-        # (100 + percent) * overlap >= percent * (both sizes); what precedes the common columns can add no more than them
-        & ((100 + percent) * (overlap + F.least("at", "at_b")) >= percent * (F.col("size") + F.col("size_b")))
+def _sizes_fit(percent: int):
+    return 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
+
+
+def _accumulate(products: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the first block's products whose overlap can still reach the threshold."""
+    sums = products.groupBy(F.col("name").alias("a"), F.col("name_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("common"), F.max("at").alias("at"), F.max("at_b").alias("at_b"), F.min("size").alias("size"), F.min("size_b").alias("size_b")
     )
+    most = F.col("common") + F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b")) - 1
+    return sums.filter((100 + percent) * most >= percent * (F.col("size") + F.col("size_b"))).select("a", "b")
 
 
 def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
@@ -297,18 +302,23 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
         .groupBy("column", "name").agg(F.min("size").alias("size"), F.min("at").alias("at"))
     )
 
-    # first pairs: each row with its column's smallest
-    entry = F.struct("size", "name", "at")
-    heads = entries.groupBy("column").agg(F.min(entry).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # first pairs: each row with its column's most central one
+    several = entries.groupBy("column").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("column")
+    shared_entries = cut(entries.join(several, "column"))
+    weights = shared_entries.groupBy("name").agg(F.count(F.lit(1)).alias("weight"))
+    heads = (
+        shared_entries.join(weights, "name").groupBy("column")
+        .agg(F.max(F.struct(F.col("weight"), (-F.col("size")).alias("less"), F.col("name").alias("name_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))).alias("head"))
+        .select("column", "head.name_b", "head.size_b", "head.at_b")
+    )
+    # (not every common column has the same head, so counts would be too low to drop pairs here)
     stars = (
-        entries.join(heads.select("column", "head"), "column").filter("name <> head.name")
-        .withColumns({"name_b": F.col("head.name"), "size_b": F.col("head.size"), "at_b": F.col("head.at")})
-        .filter(_fits(percent)).select(F.col("name_b").alias("a"), F.col("name").alias("b")).distinct()
+        shared_entries.join(heads, "column").filter((F.col("name") != F.col("name_b")) & _sizes_fit(percent))
+        .select(F.col("name").alias("a"), F.col("name_b").alias("b")).distinct()
     )
     least = sets.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("least"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(least, "name")
         # one text a name: rows that repeat an id would multiply pairs
         texts = written(rows.join(needed.withColumnRenamed("least", "doc_id"), "doc_id").select("name", "text"))
@@ -318,20 +328,19 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
         )
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a bigint, b bigint").distinct()
 
+    stars = cut(stars)
     links = cut(verified(stars))
     parts = cut(connected_components(links, "a", "b").select(F.col("node").alias("name"), "component"))
 
     # then, in full, the columns that still touch several components
-    placed = entries.join(parts, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    placed = shared_entries.join(parts, "name", "left").withColumn("component", F.coalesce("component", "name"))
     open_columns = placed.groupBy("column").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("column")
     rest = placed.join(open_columns, "column")
     other = rest.select("column", F.col("name").alias("name_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
-    crossing = (
-        rest.join(other, "column").filter((F.col("component") < F.col("component_b")) & _fits(percent))
-        .select(F.least("name", "name_b").alias("a"), F.greatest("name", "name_b").alias("b")).distinct()
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    all_links = links.unionByName(verified(crossing))
+    crossing = _accumulate(rest.join(other, "column").filter((F.col("component") < F.col("component_b")) & _sizes_fit(percent)), percent)
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossing = crossing.select(*ordered).join(stars.select(*ordered), ["a", "b"], "left_anti")
+    all_links = links.unionByName(verified(cut(crossing)))
     final = connected_components(all_links, "a", "b").select(F.col("node").alias("name"), "component")
 
     labelled = sets.join(final, "name", "left").withColumn("component", F.coalesce("component", "name"))
