@@ -8,15 +8,17 @@ an order of removal.
 
 Equal sets are one class, whose later members all go.  Between classes the join runs on
 prefixes: tokens are ordered from rare to common by a table of hashed counters over all
-lines, and two sets that reach the threshold share one of each side's first
-n - ceil(t n) + 1 tokens.  A pair must pass the length bound, the bound from the places
-of the shared token and a bound from 128-bit sketches (differing bits never outnumber
-differing tokens) before the whole sets are compared.  As one earlier match is enough,
-each class is first paired with the earliest class of each of its tokens; only classes
-that this leaves undecided are paired with all earlier ones.
+lines.  Two sets that reach the threshold share two of each side's first
+n - ceil(t n) + 2 tokens, so short prefixes are joined on pairs of tokens; long ones (from
+``WIDE`` words on, where pairs would be many) on single tokens of the first
+n - ceil(t n) + 1.  A pair must pass the length bound and a bound from 128-bit sketches
+(differing bits never outnumber differing tokens) before the whole sets are compared.
+As one earlier match is enough, each class is first paired with the earliest class of
+each of its keys; only classes that this leaves undecided are paired with all earlier
+ones.
 
 Edge cases: null and empty texts stay as they are; lines without enough words stay; a
-null id counts as the last; rows that repeat an id are ordered by a hash of their text;
+null id counts as the last; rows that repeat an id are ordered line by line;
 very long lines are taken whole; an empty table gives no rows; extra columns pass
 through (working columns have names of their own).
 """
@@ -31,82 +33,125 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm import shared
-from depweave.llm.ngram_join import COUNTERS, _blocks, counted_levels, set_name, word_hashes
+from depweave.llm.ngram_join import COUNTERS, _blocks, counted_levels, mix, word_hashes
 from depweave.session import cut, written
 
 MIN_WORDS = 6
 PERCENT = 80
+#: Words from which prefixes are joined on single tokens.
+WIDE = 80
 GATHER = 2_000_000
 
 
-def line_sets(raws: list[bytes], min_words: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(text number, line number, sorted distinct token hashes) of each line with enough words."""
-    lines, where = [], []
-    for k, raw in enumerate(raws):
-        for i, line in enumerate(raw.split(b"\n")):
-            lines.append(line)
-            where.append((k, i))
-    word, owner = word_hashes(lines)
-    if not len(word):
-        return
-    order = np.lexsort((word, owner))
-    word, owner = word[order], owner[order]
-    new = np.append(True, (word[1:] != word[:-1]) | (owner[1:] != owner[:-1]))
-    word, owner = word[new], owner[new]
-    bounds = np.searchsorted(owner, np.arange(len(lines) + 1))
-    for j in np.flatnonzero(np.diff(bounds) >= min_words).tolist():
-        yield (*where[j], word[bounds[j] : bounds[j + 1]])
-
-
-def _lead(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix: rarest tokens first, as many as the length bound asks for."""
-    common = level[(s & np.uint64(len(level) - 1)).astype(np.int64)]
-    order = np.lexsort((s, common))
-    return s[order[: len(s) - (len(s) * percent + 99) // 100 + 1]]
-
-
-def _sketch(s: np.ndarray) -> tuple[int, int]:
-    """A bit per token in 128 bits, as two signed integers."""
-    bits = np.zeros(128, bool)
-    bits[(s >> np.uint64(40)).astype(np.int64) & 127] = True
-    a, b = np.packbits(bits).view(np.int64).tolist()
-    return a, b
-
-
-_LINE = "doc bigint, tkey bigint, line bigint, name bigint, size int, sa bigint, sb bigint, lead binary"
+class Lines:
+    """The token sets of the lines of some texts that have enough words, as flat arrays."""
+
+    def __init__(self, raws: list[bytes], min_words: int):
+        split = [raw.split(b"\n") for raw in raws]
+        many = np.array([len(x) for x in split], np.int64)
+        word, owner = word_hashes([line for x in split for line in x])
+        order = np.lexsort((word, owner))
+        word, owner = word[order], owner[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+        word, owner = word[new], owner[new]
+        size = np.bincount(owner, minlength=int(many.sum()))
+        keep = size >= min_words
+        self.token, owner = word[keep[owner]], owner[keep[owner]]
+        at = np.flatnonzero(keep)
+        self.size = size[at]
+        self.text = np.repeat(np.arange(len(raws)), many)[at]
+        self.line = at - (np.cumsum(many) - many)[self.text]
+        self.first = np.cumsum(self.size) - self.size
+        self.owner = np.repeat(np.arange(len(at)), self.size)
+        # a set's name: a sum over its tokens, so that their order does not matter
+        self.name = mix(np.add.reduceat(mix(self.token ^ np.uint64(0x5851F42D4C957F2D)), self.first) + self.size.astype(np.uint64)).view(np.int64) if len(at) else at
+
+    def prefixes(self, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, number of them per line): rarest first, one more than the length bound asks for."""
+        common = level[(self.token & np.uint64(len(level) - 1)).astype(np.int64)]
+        order = np.lexsort((self.token, common, self.owner))
+        want = np.minimum(self.size, self.size - (self.size * percent + 99) // 100 + 2)
+        place = np.arange(len(order)) - np.repeat(self.first, self.size)
+        return self.token[order[place < want[self.owner]]], want
+
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """A bit per token in 128 bits, as two signed integers."""
+        bit = (self.token >> np.uint64(40)) & np.uint64(127)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        high = bit >= np.uint64(64)
+        none = np.uint64(0)
+        return tuple(np.bitwise_or.reduceat(np.where(high == h, one, none), self.first).view(np.int64) for h in (True, False))
+
+
+_LINE = "doc bigint, pos bigint, name bigint, size int, sa bigint, sb bigint, lead binary"
 
 
 def _lines(min_words: int, percent: int, levels) -> Callable:
-    """mapInArrow over (doc, tkey, text): one row per line that takes part."""
+    """mapInArrow over (doc, tkey, text): one row per line that takes part; ``pos`` is its number and 32 bits of the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
-            out = []
+            doc, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for rows, raws in _blocks(batch, 2):
-                out += [(rows[k], i, set_name(s), len(s), *_sketch(s), _lead(s, level, percent).tobytes()) for k, i, s in line_sets(raws, min_words)]
-            if out:
-                row, line, name, size, sa, sb, lead = zip(*out)
-                row = pa.array(row, pa.int64())
+                x = Lines(raws, min_words)
+                if not len(x.size):
+                    continue
+                row = np.asarray(rows)[x.text]
+                lead, want = x.prefixes(level, percent)
+                sa, sb = x.sketches()
+                ends = np.append(0, np.cumsum(want * 8)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(row), batch.column(1).take(row), pa.array(line, pa.int64()), pa.array(name, pa.int64()),
-                        pa.array(size, pa.int32()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(lead, pa.binary()),
+                        pa.array(doc[row]), pa.array((x.line << 32) | (tkey[row] & 0xFFFFFFFF)), pa.array(x.name), pa.array(x.size.astype(np.int32)), pa.array(sa), pa.array(sb),
+                        pa.Array.from_buffers(pa.binary(), len(want), [None, pa.py_buffer(ends), pa.py_buffer(lead.tobytes())]),
                     ],
-                    names=["doc", "tkey", "line", "name", "size", "sa", "sb", "lead"],
+                    names=["doc", "pos", "name", "size", "sa", "sb", "lead"],
                 )
 
     return run
 
 
-def _gather(bits: int) -> Callable:
-    """mapInArrow over (name, lead): the prefix tokens, to find those of two classes."""
+def _leads(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, number of them per row) of a column of prefixes."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint64), np.array([len(v) // 8 for v in values], np.int64)
+
+
+def _keys(token: np.ndarray, many: np.ndarray, size: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): pairs of the kept prefix tokens of rows up to 1.25 ``WIDE`` words, single ones from ``WIDE`` on."""
+    row = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)
+    # the last place serves pairs only
+    single = keep & (size[row] >= WIDE) & (place < many[row] - 1)
+    keys, rows = [token[single]], [row[single]]
+    use = keep & (4 * size[row] <= 5 * WIDE)
+    token, row = token[use], row[use]
+    for step in range(1, int(np.bincount(row).max(initial=0)) if len(row) else 0):
+        same = row[step:] == row[:-step]
+        a, b = token[:-step][same], token[step:][same]
+        with np.errstate(over="ignore"):
+            keys.append(mix(np.minimum(a, b) + np.maximum(a, b) * np.uint64(0x9E3779B97F4A7C15)))
+        rows.append(row[step:][same])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _gather(bits: int, marks=None, token_bits: int = 0) -> Callable:
+    """mapInArrow over (name, size, lead): the prefix tokens, or with their bitmap the keys, to find those of two classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = shared.Gathered(bits)
+        bitmap = np.frombuffer(marks.value, np.uint8) if marks else None
         for batch in batches:
-            leads = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            sent.add(np.frombuffer(b"".join(leads.values()), np.uint64), np.repeat(np.array(list(leads), np.int64), [len(x) // 8 for x in leads.values()]))
+            name, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            token, many = _leads(batch.column(2).take(pa.array(first)))
+            if bitmap is None:
+                sent.add(token, np.repeat(name, many))
+            else:
+                size = batch.column(1).to_numpy()[first]
+                key, row = _keys(token, many, size, shared.marked(token, bitmap, token_bits))
+                sent.add(key, name[row])
             if sent.size >= GATHER:
                 yield sent.batch()
         if sent.size:
@@ -115,47 +160,52 @@ def _gather(bits: int) -> Callable:
     return run
 
 
-def _entries(marks, bits: int) -> Callable:
-    """mapInArrow over (name, size, sa, sb, lead): one row per prefix token that may be shared."""
+def _entries(tokens, keys, bits: int, key_bits: int) -> Callable:
+    """mapInArrow over (doc, pos, name, size, sa, sb, lead): one row per key that may be shared, of a class's first line in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(marks.value, np.uint8)
+        token_map, key_map = (np.frombuffer(x.value, np.uint8) for x in (tokens, keys))
         for batch in batches:
-            _, keep = np.unique(batch.column(0).to_numpy(), return_index=True)
-            leads = batch.column(4).take(pa.array(keep)).to_pylist()
-            size = np.array([len(x) // 8 for x in leads], np.int64)
-            token = np.frombuffer(b"".join(leads), np.uint64)
-            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            row = np.repeat(keep, size)
-            at = np.flatnonzero(shared.marked(token, bitmap, bits))
-            row = pa.array(row[at])
+            doc, pos, name, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            order = np.lexsort((pos, doc, name))
+            first = order[np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))]
+            token, many = _leads(batch.column(6).take(pa.array(first)))
+            key, row = _keys(token, many, size[first], shared.marked(token, token_map, bits))
+            use = shared.marked(key, key_map, key_bits)
+            row = pa.array(first[row[use]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[at].view(np.int64)), pa.array(place[at].astype(np.int32)), *[batch.column(i).take(row) for i in range(4)]],
-                names=["token", "at", "name", "size", "sa", "sb"],
+                [pa.array(key[use].view(np.int64)), *[batch.column(i).take(row) for i in range(6)]], names=["key", "doc", "pos", "name", "size", "sa", "sb"]
             )
 
     return run
 
 
-def _whole_sets(min_words: int, marks, bits: int) -> Callable:
-    """mapInArrow over (text): the whole sets of the marked classes."""
+def _whole_sets(min_words: int, docs, names, bits: int) -> Callable:
+    """mapInArrow over (doc, text): the whole sets of the marked classes, from the marked documents only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(marks.value, np.uint8)
+        doc_map, name_map = (np.frombuffer(x.value, np.uint8) for x in (docs, names))
         for batch in batches:
+            # ids are spread before they are placed, as neighbours would share a range
+            marked_docs = shared.marked(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), doc_map, bits)
+            batch = batch.filter(pa.array(marked_docs))
             found: dict[int, bytes] = {}
-            for _, raws in _blocks(batch, 0):
-                sets = {set_name(s): s for _, _, s in line_sets(raws, min_words)}
-                if sets:
-                    names = np.array(list(sets), np.int64)
-                    for k in names[shared.marked(shared.spread(names), bitmap, bits)].tolist():
-                        found[k] = sets[k].tobytes()
+            for _, raws in _blocks(batch, 1):
+                x = Lines(raws, min_words)
+                if len(x.size):
+                    for j in np.flatnonzero(shared.marked(x.name.view(np.uint64), name_map, bits)).tolist():
+                        found[int(x.name[j])] = x.token[x.first[j] : x.first[j] + x.size[j]].tobytes()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["name", "tokens"])
 
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64))], names=["place"])
+
+
 def _verify(percent: int) -> Callable:
     """mapInArrow over (name, x, y): the names whose set x reaches the threshold with y."""
 
@@ -173,14 +223,11 @@ def _verify(percent: int) -> Callable:
 
 
 def _may_match(percent: int):
-    """Length, place and sketch bounds of (size, at, sa, sb) and (size_b, at_b, sa_b, sb_b)."""
+    """Length and sketch bounds of (size, sa, sb) and (size_b, sa_b, sb_b), the second of which is earlier."""
     need = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent) - 1e-9)
-    places = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b")) + F.least("at", "at_b")
     apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sa_b"))) + F.bit_count(F.col("sb").bitwiseXOR(F.col("sb_b")))
-    return (
-        (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
-        & (places >= need) & (apart <= F.col("size") + F.col("size_b") - 2 * need)
-    )
+    earlier = (F.col("doc_b") < F.col("doc")) | ((F.col("doc_b") == F.col("doc")) & (F.col("pos_b") < F.col("pos")))
+    return earlier & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")) & (apart <= F.col("size") + F.col("size_b") - 2 * need)
 
 
 def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -189,27 +236,29 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     counters = min(COUNTERS, 1 << max(16, (total // 48).bit_length()))
     levels = counted_levels(docs.select("doc", "text"), lambda raws: word_hashes(raws)[0], counters)
     lines = written(docs.select("doc", "tkey", "text").mapInArrow(_lines(min_words, percent, levels), _LINE))
-    bits = shared.range_bits(total // 24)
-    marks = shared.shared_bitmap(lines.select("name", "lead").mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
-    order = F.struct("doc", "tkey", "line")
-    classes = lines.groupBy("name").agg(F.min(order).alias("first"))
-    entries = cut(
-        lines.select("name", "size", "sa", "sb", "lead").mapInArrow(_entries(marks, bits), "token bigint, at int, name bigint, size int, sa bigint, sb bigint")
-        .groupBy("token", "name").agg(*[F.min(c).alias(c) for c in ("at", "size", "sa", "sb")])
-        .join(classes, "name")
+    bits, key_bits = shared.range_bits(total // 24), shared.range_bits(total // 12)
+    leads = lines.select("name", "size", "lead")
+    tokens = shared.shared_bitmap(leads.mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
+    keys = shared.shared_bitmap(leads.mapInArrow(_gather(key_bits, tokens, bits), shared.Gathered.SCHEMA), key_bits)
+    fields = ("doc", "pos", "name", "size", "sa", "sb")
+    first = F.min(F.struct(*fields)).alias("x")
+    entries = written(
+        lines.mapInArrow(_entries(tokens, keys, bits, key_bits), "key bigint, doc bigint, pos bigint, name bigint, size int, sa bigint, sb bigint")
+        .groupBy("key", F.col("name").alias("class")).agg(first).select("key", "x.*")
     )
-    renamed = {c: f"{c}_b" for c in ("at", "name", "size", "sa", "sb", "first")}
+    renamed = {c: f"{c}_b" for c in fields}
 
-    heads = entries.groupBy("token").agg(F.min(F.struct("first", "at", "name", "size", "sa", "sb")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = entries.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = cut(
-        entries.join(heads.select("token", *[F.col(f"h.{c}").alias(b) for c, b in renamed.items()]), "token")
-        .filter((F.col("first_b") < F.col("first")) & _may_match(percent)).select("name", "name_b").distinct()
+        entries.join(heads.select("key", *[F.col(f"x.{c}").alias(b) for c, b in renamed.items()]), "key")
+        .filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b").distinct()
     )
 
     def matched(pairs: DataFrame) -> DataFrame:
-        names = pairs.select(F.explode(F.array("name", "name_b")).alias("name")).distinct()
-        chosen = shared.bitmap_of(names, "name", bits)
-        sets = cut(docs.select("text").mapInArrow(_whole_sets(min_words, chosen, bits), "name bigint, tokens binary").dropDuplicates(["name"]))
+        chosen = shared.bitmap_of(pairs.select(F.explode(F.array("name", "name_b")).alias("name")), "name", bits)
+        places = pairs.select(F.explode(F.array("doc", "doc_b")).alias("doc")).distinct().mapInArrow(_spread, "place bigint")
+        holders = shared.bitmap_of(places, "place", bits)
+        sets = cut(docs.select("doc", "text").mapInArrow(_whole_sets(min_words, holders, chosen, bits), "name bigint, tokens binary").dropDuplicates(["name"]))
         return (
             pairs.join(sets.withColumnRenamed("tokens", "x"), "name")
             .join(sets.select(F.col("name").alias("name_b"), F.col("tokens").alias("y")), "name_b")
@@ -217,18 +266,19 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         )
 
     late = cut(matched(stars))
-    undecided = entries.join(late, "name", "left_anti").join(heads.select("token"), "token", "left_semi")
+    undecided = entries.join(late, "name", "left_anti").join(heads.select("key"), "key", "left_semi")
     earlier = entries.withColumnsRenamed(renamed)
     rest = cut(
-        undecided.join(earlier, (undecided["token"] == earlier["token"]) & (F.col("first_b") < F.col("first")) & _may_match(percent))
-        .select("name", "name_b").distinct().join(stars, ["name", "name_b"], "left_anti")
+        undecided.join(earlier, (undecided["key"] == earlier["key"]) & _may_match(percent))
+        .select("name", "name_b", "doc", "doc_b").distinct().join(stars.select("name", "name_b"), ["name", "name_b"], "left_anti")
     )
     late = late.unionByName(matched(rest)).distinct()
+    firsts = lines.groupBy("name").agg(F.min(F.struct("doc", "pos")).alias("first"))
     gone = (
-        lines.select("doc", "tkey", "line", "name").join(classes, "name").join(late.withColumn("late", F.lit(True)), "name", "left")
-        .filter(F.col("late") | (order != F.col("first")))
+        lines.select("doc", "pos", "name").join(firsts, "name").join(late.withColumn("late", F.lit(True)), "name", "left")
+        .filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
     )
-    return gone.groupBy("doc", "tkey").agg(F.collect_list("line").alias("lines"))
+    return gone.groupBy("doc", F.col("pos").bitwiseAND(0xFFFFFFFF).alias("tkey")).agg(F.collect_list(F.shiftright("pos", 32)).alias("lines"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +303,7 @@ def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("_doc"), F.xxhash64("text").alias("_tkey"), F.col("text").alias("_text"))
     gone = repeated_lines(rows.select(F.col("_doc").alias("doc"), F.col("_tkey").alias("tkey"), F.col("_text").alias("text")), min_words=min_words, percent=percent)
-    joined = rows.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "lines")
+    joined = rows.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_tkey").bitwiseAND(0xFFFFFFFF) == F.col("tkey")), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "lines")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
     return joined.mapInArrow(_apply, f"{schema}, _kept string, n_lines bigint, n_removed bigint")
 
