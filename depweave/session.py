@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,6 +26,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` so that later plans neither recompute it nor depend on one executor's disk."""
     checkpoint_root(df.sparkSession)
@@ -36,4 +43,5 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _release(spark)
     return spark.read.parquet(path)
