@@ -12,9 +12,10 @@ minimizer form one segment.
    batch carry their bytes once.
 3. The distinct segments of a hash range are split into two shards, each sorted into its
    Burrows-Wheeler transform.  The two are merged by refining their interleave: a stable
-   sort of the interleaved symbols per step orders all suffixes by one symbol more, and
-   the bounds that appear at a step mark prefixes that part there.  What no bound parts
-   after ``LENGTH`` steps is one repeated string; its smallest document is kept.
+   sort of the interleaved symbols per step orders all suffixes by one symbol more.
+   Neighbours of the merged order whose common prefix reaches ``LENGTH`` are one
+   repeated interval; its smallest document is kept.  (Strings whose hash is single in
+   the task are left out beforehand.)
 4. Places join those answers by segment (a skewed segment is split by the engine) and
    the removed ranges go back to their documents.
 
@@ -36,16 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm import shared
-from depweave.session import written
+from depweave.session import cut, written
 
 LENGTH = 50
 GRAM = 16
 #: Bytes hashed at once, and minimizers gathered before rows of them are sent.
 BLOCK = 1 << 20
-GATHER = 2_000_000
+GATHER = 1_000_000
 #: Windows of a segment at most, and segment bytes of a task.
 LONGEST = 1024
 BUCKET = 2 << 20
+#: Rows of the list of whole copies up to which it is broadcast (16 bytes each).
+COPIES = 2_000_000
 
 
 def minimizers(raw: bytes, length: int = LENGTH) -> np.ndarray:
@@ -134,16 +137,33 @@ def _gather(bits: int) -> Callable:
 
 
 def _places(bitmap, bits: int) -> Callable:
-    """mapInArrow over (doc_id, tkey, text): rows of places, and one row per distinct segment of a batch with its bytes."""
+    """mapInArrow over (doc_id, tkey, text): rows of places, and one row per distinct segment of some blocks with its bytes.
+
+    ``place`` is the start in the text and 24 bits of the text's hash.
+    """
+
+    def send(out: list[tuple], least: dict[int, list]) -> pa.RecordBatch:
+        doc, place, names = (np.concatenate(x) for x in zip(*out))
+        n, k = len(doc), len(least)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([doc, np.array([x[0] for x in least.values()], np.int64)])),
+                pa.concat_arrays([pa.array(place, pa.int64()), pa.nulls(k, pa.int64())]),
+                pa.array(np.concatenate([names, np.array(list(least), np.int64)])),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([x[1] for x in least.values()], pa.int64())]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([x[2] for x in least.values()], pa.binary())]),
+            ],
+            names=["doc", "place", "segment", "low", "raw"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         marks = np.frombuffer(bitmap.value, np.uint8)
+        least: dict[int, list] = {}
+        out: list[tuple] = []
         for batch in batches:
             docs, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            least: dict[int, list] = {}
-            out: list[tuple] = []
             for rows, raws in _blocks(batch, 2):
                 joined, owner, start, count, low = segments(raws)
                 chosen = np.flatnonzero(shared.marked(low, marks, bits))
@@ -151,7 +171,7 @@ def _places(bitmap, bits: int) -> Callable:
                     continue
                 begins = np.cumsum([0, *map(len, raws)])
                 row = np.asarray(rows)[owner[chosen]]
-                doc, key, s, c, h = docs[row], keys[row], start[chosen], count[chosen], low[chosen].view(np.int64)
+                doc, s, c, h = docs[row], start[chosen], count[chosen], low[chosen].view(np.int64)
                 names = np.empty(len(chosen), np.int64)
                 for i, (a, n, d, m) in enumerate(zip(s.tolist(), c.tolist(), doc.tolist(), h.tolist())):
                     raw = joined[a : a + n + LENGTH - 1]
@@ -162,20 +182,12 @@ def _places(bitmap, bits: int) -> Callable:
                         least[name] = [d, m, raw]
                     elif d < known[0]:
                         known[0] = d
-                out.append((doc, key, s - begins[owner[chosen]], c, names))
-            if out:
-                cols = [np.concatenate(x) for x in zip(*out)]
-                n, k = len(cols[0]), len(least)
-                nulls = lambda a, before, after, kind: pa.concat_arrays([pa.nulls(before, kind), pa.array(a, kind), pa.nulls(after, kind)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([cols[0], np.array([x[0] for x in least.values()], np.int64)]), pa.int64()),
-                        nulls(cols[1], 0, k, pa.int64()), nulls(cols[2], 0, k, pa.int64()), nulls(cols[3], 0, k, pa.int64()),
-                        pa.array(np.concatenate([cols[4], np.array(list(least), np.int64)]), pa.int64()),
-                        nulls([x[1] for x in least.values()], n, 0, pa.int64()), nulls([x[2] for x in least.values()], n, 0, pa.binary()),
-                    ],
-                    names=["doc", "tkey", "start", "windows", "segment", "low", "raw"],
-                )
+                out.append((doc, ((s - begins[owner[chosen]]) << 24) | (keys[row] & 0xFFFFFF), names))
+                if len(least) > 200_000:
+                    yield send(out, least)
+                    out, least = [], {}
+        if out:
+            yield send(out, least)
 
     return run
 
@@ -226,60 +238,111 @@ class Transform:
             depth *= 2
 
 
-def interleave(a: np.ndarray, b: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(source, block) of each row of the merged transform: which of the two it comes from, and the number of
-    its class of suffixes that agree in their first ``depth`` symbols."""
+def interleave(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Which of the two transforms each row of the merged one comes from, refined until rows are in the
+    order of their first ``depth`` symbols (or no step changes anything)."""
     source = np.repeat(np.array([False, True]), [len(a), len(b)])
-    block = np.zeros(len(source), np.int32)
     symbol = np.empty(len(source), np.uint8)
-    new = np.empty(len(source), bool)
     for _ in range(depth):
         symbol[~source] = a
         symbol[source] = b
-        by = np.argsort(symbol, kind="stable")
-        source, block, symbol_by = source[by], block[by], symbol[by]
-        new[0] = False
-        new[1:] = (block[1:] != block[:-1]) | (symbol_by[1:] != symbol_by[:-1])
-        block = np.cumsum(new, dtype=np.int32)
-    return source, block
+        after = source[np.argsort(symbol, kind="stable")]
+        if np.array_equal(after, source):
+            break
+        source = after
+    return source
+
+
+def _words(raw: bytes, at: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """The ``length`` bytes from each place of ``raw`` as 64-bit words (the last overlaps)."""
+    for k in [*range(0, length - 7, 8), length - 8]:
+        yield np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))[at + k]
+
+
+def repeated_windows(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, maybe repeated) of every window; by hashes, so that only repeats need be sorted."""
+    raw = b"".join(strings)
+    sizes = np.array([len(x) for x in strings], np.int64)
+    windows = np.maximum(sizes - length + 1, 0)
+    number = np.repeat(np.arange(len(strings)), windows)
+    offset = np.arange(len(number)) - np.repeat(np.cumsum(windows) - windows, windows)
+    h = np.zeros(len(number), np.uint64)
+    with np.errstate(over="ignore"):
+        for w in _words(raw, (np.cumsum(sizes) - sizes)[number] + offset, length):
+            h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    order = np.argsort(h)
+    equal = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+    return number, offset, twice
 
 
 def first_documents(strings: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of distinct strings with one smallest document: (string, low, high, document)."""
-    by = sorted(range(len(strings)), key=strings.__getitem__)
-    halves = [by[0::2], by[1::2]] if len(by) > 1 else [by, []]
-    used = np.unique(np.frombuffer(b"".join(strings), np.uint8))
+    number, offset, twice = repeated_windows(strings, length)
+    first = docs[number]
+    # the runs of repeated windows, as strings of their own
+    new = np.flatnonzero(twice & np.append(True, ~twice[:-1] | (number[1:] != number[:-1]))) if len(twice) else np.zeros(0, np.int64)
+    if len(new):
+        last = np.flatnonzero(twice & np.append(~twice[1:] | (number[1:] != number[:-1]), True))
+        runs = [strings[n][a : b + length] for n, a, b in zip(number[new].tolist(), offset[new].tolist(), offset[last].tolist())]
+        run, at, least = _merged_first(runs, docs[number[new]], length)
+        first[new[run] + at] = least
+    new = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (first[1:] != first[:-1])))[: len(number)]
+    size = np.diff(np.append(new, len(number)))
+    return number[new], offset[new], offset[new] + size, first[new]
+
+
+def _merged_first(strings: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, smallest document) of every window, by merging the transforms of two shards."""
+    # equal strings become one
+    names, of = np.unique(np.array(strings, object), return_inverse=True)
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, docs)
+    distinct = names.tolist()  # sorted
+    shards = [list(range(0, len(distinct), 2)), list(range(1, len(distinct), 2))]
     code = np.zeros(256, np.uint8)
+    used = np.unique(np.frombuffer(b"".join(distinct), np.uint8))
     if len(used) > 255:
         raise ValueError("a text uses more than 255 byte values")  # UTF-8 uses 243 at most
     code[used] = np.arange(1, len(used) + 1)
     number, offset, left, tables = [], [], [], []
-    for half in halves:
-        if not half:
+    for shard in shards:
+        if not shard:
             tables.append(np.zeros(0, np.uint8))
             continue
-        t = Transform(code, [strings[i] for i in half])
-        sizes = np.array([len(strings[i]) + 1 for i in half])
+        t = Transform(code, [distinct[i] for i in shard])
+        sizes = np.array([len(distinct[i]) + 1 for i in shard])
         begins = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(half)), sizes)[t.order]
-        number.append(np.asarray(half)[owner])
+        owner = np.repeat(np.arange(len(shard)), sizes)[t.order]
+        number.append(np.asarray(shard)[owner])
         offset.append(t.order - begins[owner])
         left.append(sizes[owner] - 1 - offset[-1])
         tables.append(t.last)
-    source, block = interleave(tables[0], tables[1], length)
+    source = interleave(tables[0], tables[1], length)
     row = np.where(source, len(tables[0]) + np.cumsum(source) - 1, np.cumsum(~source) - 1)
     number, offset, left = (np.concatenate(x)[row] for x in (number, offset, left))
     full = left >= length
-    number, offset, block = number[full], offset[full], block[full]
-    if not len(block):
-        return (np.zeros(0, np.int64),) * 4
-    start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    first = np.repeat(np.minimum.reduceat(docs[number], start), np.diff(np.append(start, len(block))))
-    by = np.lexsort((offset, number))
-    number, offset, first = number[by], offset[by], first[by]
-    new = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (first[1:] != first[:-1])))
-    size = np.diff(np.append(new, len(number)))
-    return number[new], offset[new], offset[new] + size, first[new]
+    number, offset = number[full], offset[full]
+    # neighbours in the merged order whose common prefix reaches the length are one interval
+    sizes = np.array([len(x) for x in distinct], np.int64)
+    at = (np.cumsum(sizes) - sizes)[number] + offset
+    new = np.zeros(len(at), bool)
+    new[0] = True
+    for w in _words(b"".join(distinct), at, length):
+        new[1:] |= w[1:] != w[:-1]
+    start = np.flatnonzero(new)
+    smallest = np.repeat(np.minimum.reduceat(least[number], start), np.diff(np.append(start, len(number))))
+    # back to the strings as given, window by window
+    windows = sizes - length + 1
+    base = np.cumsum(windows) - windows
+    flat = np.empty(int(windows.sum()), np.int64)
+    flat[base[number] + offset] = smallest
+    many = windows[of]
+    run = np.repeat(np.arange(len(strings)), many)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+    return run, at, flat[base[of][run] + at]
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -300,24 +363,42 @@ def _ranges(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """(doc, tkey) of the rows whose whole text an elder document has, too."""
+    named = rows.select("doc_id", "tkey", F.md5("text").alias("name"))
+    elders = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("name", "first")
+    return named.join(elders, "name").filter("doc_id > first").select(F.col("doc_id").alias("doc"), "tkey").distinct()
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """doc, tkey, spans (array of (start, end) in bytes): what repeats an elder document, per document that has any."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text").filter("doc_id is not null and text is not null")
+    """doc, tkey (24 bits), spans (array of (a, b) in bytes): what repeats an elder document, per document that has any.
+
+    Whole copies go whole and take no part in the search.  Their list is broadcast only up to ``COPIES`` rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text").filter(
+        F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
+    )
+    same = cut(copies(rows))
+    listed = F.broadcast(same) if same.count() <= COPIES else same
+    unique = rows.join(listed, (F.col("doc_id") == F.col("doc")) & (rows["tkey"] == listed["tkey"]), "left_anti")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = shared.range_bits(total // 18)
-    marks = shared.shared_bitmap(rows.mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
-    found = written(rows.mapInArrow(_places(marks, bits), "doc bigint, tkey bigint, start bigint, windows bigint, segment bigint, low bigint, raw binary"))
+    marks = shared.shared_bitmap(unique.mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
+    found = written(unique.mapInArrow(_places(marks, bits), "doc bigint, place bigint, segment bigint, low bigint, raw binary"))
     several = found.filter("raw is not null")
     buckets = max(1, -(-(several.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // BUCKET))
     answers = (
         several.select("segment", "doc", "raw", F.pmod(F.xxhash64("low"), F.lit(buckets)).alias("bucket"))
-        .groupBy("bucket").applyInPandas(_merge, "segment bigint, low bigint, high bigint, first bigint")
+        .groupBy("bucket").applyInPandas(_merge, "segment bigint, low int, high int, first bigint")
     )
-    return (
-        found.filter("raw is null").select("doc", "tkey", "start", "segment").join(answers, "segment").filter("first < doc")
-        .select("doc", "tkey", F.struct((F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + LENGTH - 1).alias("b")).alias("span"))
+    start = F.shiftright("place", 24)
+    parts = (
+        found.filter("raw is null").select("doc", "place", "segment").join(answers, "segment").filter("first < doc")
+        .select("doc", F.col("place").bitwiseAND(0xFFFFFF).alias("tkey"), F.struct((start + F.col("low")).alias("a"), (start + F.col("high") + LENGTH - 1).alias("b")).alias("span"))
         .groupBy("doc", "tkey").agg(F.collect_list("span").alias("spans"))
     )
+    whole = same.select("doc", F.col("tkey").bitwiseAND(0xFFFFFF).alias("tkey"), F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit((1 << 62)).alias("b"))).alias("spans"))
+    return written(parts.unionByName(whole))
 
 
 def _apply(digest: bool) -> Callable:
@@ -329,7 +410,7 @@ def _apply(digest: bool) -> Callable:
             n_bytes, removed, n_spans, kept = [], [], [], []
             for text, spans in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):
                 raw = (text or "").encode()
-                found = _ranges([(s["a"], s["b"]) for s in spans or ()])
+                found = _ranges([(s["a"], min(s["b"], len(raw))) for s in spans or ()])
                 left, at = [], 0
                 for a, b in found:
                     left.append(raw[at:a])
@@ -354,7 +435,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, dige
     """
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_tkey"), F.col("text").alias("_text"))
     spans = repeated_ranges(docs)
-    joined = rows.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "spans")
+    joined = rows.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_tkey").bitwiseAND(0xFFFFFF) == F.col("tkey")), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
     return joined.mapInArrow(_apply(digest), f"{schema}, n_bytes bigint, n_removed bigint, n_spans bigint, kept string")
 
