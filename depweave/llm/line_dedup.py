@@ -180,15 +180,12 @@ def _entries(tokens, keys, bits: int, key_bits: int) -> Callable:
     return run
 
 
-def _whole_sets(min_words: int, docs, names, bits: int) -> Callable:
-    """mapInArrow over (doc, text): the whole sets of the marked classes, from the marked documents only."""
+def _whole_sets(min_words: int, names, bits: int) -> Callable:
+    """mapInArrow over (doc, text): the whole sets of the marked classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_map, name_map = (np.frombuffer(x.value, np.uint8) for x in (docs, names))
+        name_map = np.frombuffer(names.value, np.uint8)
         for batch in batches:
-            # ids are spread before they are placed, as neighbours would share a range
-            marked_docs = shared.marked(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), doc_map, bits)
-            batch = batch.filter(pa.array(marked_docs))
             found: dict[int, bytes] = {}
             for _, raws in _blocks(batch, 1):
                 x = Lines(raws, min_words)
@@ -201,11 +198,6 @@ def _whole_sets(min_words: int, docs, names, bits: int) -> Callable:
     return run
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64))], names=["place"])
-
-
 def _verify(percent: int) -> Callable:
     """mapInArrow over (name, x, y): the names whose set x reaches the threshold with y."""
 
@@ -256,9 +248,8 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
 
     def matched(pairs: DataFrame) -> DataFrame:
         chosen = shared.bitmap_of(pairs.select(F.explode(F.array("name", "name_b")).alias("name")), "name", bits)
-        places = pairs.select(F.explode(F.array("doc", "doc_b")).alias("doc")).distinct().mapInArrow(_spread, "place bigint")
-        holders = shared.bitmap_of(places, "place", bits)
-        sets = cut(docs.select("doc", "text").mapInArrow(_whole_sets(min_words, holders, chosen, bits), "name bigint, tokens binary").dropDuplicates(["name"]))
+        holders = shared.rows_of(docs.select("doc", "text"), pairs.select(F.explode(F.array("doc", "doc_b")).alias("doc")).distinct())
+        sets = cut(holders.mapInArrow(_whole_sets(min_words, chosen, bits), "name bigint, tokens binary").dropDuplicates(["name"]))
         return (
             pairs.join(sets.withColumnRenamed("tokens", "x"), "name")
             .join(sets.select(F.col("name").alias("name_b"), F.col("tokens").alias("y")), "name_b")

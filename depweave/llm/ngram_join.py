@@ -44,6 +44,9 @@ BLOCK = 1 << 20
 GATHER = 2_000_000
 #: Counters of the commonness table at most (one byte each once it is sent).
 COUNTERS = 1 << 24
+#: 64-bit words of a set's sketch (a bit per shingle): differing bits never outnumber differing shingles.
+SKETCH = 8
+_SKETCH = [f"k{i}" for i in range(SKETCH)]
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -146,16 +149,22 @@ def _per_text(raws: list[bytes], n: int) -> Iterator[np.ndarray]:
 
 
 def _sets(n: int) -> Callable:
-    """mapInArrow over (doc_id, text): doc_id, size of the set, its name (null if empty)."""
+    """mapInArrow over (doc_id, text): doc_id, size of the set, its name (null if empty) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, name = [], []
+            size, name, sketch = [], [], []
             for _, raws in _blocks(batch, 1):
                 for s in _per_text(raws, n):
                     size.append(len(s))
                     name.append(set_name(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64())], names=["doc_id", "n_shingles", "name"])
+                    bits = np.zeros(64 * SKETCH, bool)
+                    bits[(s >> np.uint64(20)).astype(np.int64) & (64 * SKETCH - 1)] = True
+                    sketch.append(np.packbits(bits).view(np.int64))
+            words = np.array(sketch, np.int64).reshape(-1, SKETCH).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64()), *[pa.array(w) for w in words]], names=["doc_id", "n_shingles", "name", *_SKETCH]
+            )
 
     return run
 
@@ -279,6 +288,12 @@ def _sizes_fit(percent: int):
     return 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
 
 
+def _sketches_fit(percent: int):
+    need = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent) - 1e-9)
+    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"{k}_b"))) for k in _SKETCH), F.lit(0))
+    return apart <= F.col("size") + F.col("size_b") - 2 * need
+
+
 def _accumulate(products: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the first block's products whose overlap can still reach the threshold."""
     sums = products.groupBy(F.col("name").alias("a"), F.col("name_b").alias("b")).agg(
@@ -296,7 +311,7 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     levels = counted_levels(rows, lambda raws: shingle_sets(raws, words)[0], counters)
     bits = shared.range_bits(total // 36)
     marks = shared.shared_bitmap(rows.mapInArrow(_gather(words, percent, levels, bits), shared.Gathered.SCHEMA), bits)
-    sets = written(rows.mapInArrow(_sets(words), "doc_id bigint, n_shingles bigint, name bigint"))
+    sets = written(rows.mapInArrow(_sets(words), "doc_id bigint, n_shingles bigint, name bigint, " + ", ".join(f"{k} bigint" for k in _SKETCH)))
     entries = written(
         rows.mapInArrow(_columns(words, percent, levels, marks, bits), "column bigint, name bigint, size int, at int")
         .groupBy("column", "name").agg(F.min("size").alias("size"), F.min("at").alias("at"))
@@ -316,12 +331,14 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
         shared_entries.join(heads, "column").filter((F.col("name") != F.col("name_b")) & _sizes_fit(percent))
         .select(F.col("name").alias("a"), F.col("name_b").alias("b")).distinct()
     )
-    least = sets.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("least"))
+    least = sets.filter("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("least"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(least, "name")
         # one text a name: rows that repeat an id would multiply pairs
-        texts = written(rows.join(needed.withColumnRenamed("least", "doc_id"), "doc_id").select("name", "text"))
+        needed = cut(needed.withColumnRenamed("least", "doc_id"))
+        holders = shared.rows_of(rows.filter("doc_id is not null"), needed.select("doc_id"))
+        texts = written(holders.join(needed, "doc_id").select("name", "text"))
         both = (
             pairs.join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a")
@@ -335,14 +352,15 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     # then, in full, the columns that still touch several components
     placed = shared_entries.join(parts, "name", "left").withColumn("component", F.coalesce("component", "name"))
     open_columns = placed.groupBy("column").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("column")
-    rest = placed.join(open_columns, "column")
-    other = rest.select("column", F.col("name").alias("name_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
-    crossing = _accumulate(rest.join(other, "column").filter((F.col("component") < F.col("component_b")) & _sizes_fit(percent)), percent)
+    sketches = sets.filter("name is not null").groupBy("name").agg(*[F.min(k).alias(k) for k in _SKETCH])
+    rest = cut(placed.join(open_columns, "column").join(sketches, "name"))
+    other = rest.select("column", *[F.col(c).alias(f"{c}_b") for c in ("name", "size", "at", "component", *_SKETCH)])
+    crossing = _accumulate(rest.join(other, "column").filter((F.col("component") < F.col("component_b")) & _sizes_fit(percent) & _sketches_fit(percent)), percent)
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = crossing.select(*ordered).join(stars.select(*ordered), ["a", "b"], "left_anti")
     all_links = links.unionByName(verified(cut(crossing)))
     final = connected_components(all_links, "a", "b").select(F.col("node").alias("name"), "component")
 
-    labelled = sets.join(final, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    labelled = sets.select("doc_id", "n_shingles", "name").join(final, "name", "left").withColumn("component", F.coalesce("component", "name"))
     firsts = labelled.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("first"))
     return labelled.join(firsts, "component", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))

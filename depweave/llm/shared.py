@@ -109,9 +109,35 @@ def marked(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     return ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def spread(names: np.ndarray) -> np.ndarray:
-    """Signed 64-bit names as hashes for the bitmap."""
-    return names.view(np.uint64)
+def scatter(ids: np.ndarray) -> np.ndarray:
+    """Integers as hashes (one to one), since neighbouring ids would share a range."""
+    h = ids.astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _scattered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(scatter(batch.column(0).to_numpy(zero_copy_only=False)).view(np.int64))], names=["name"])
+
+
+def _marked_rows(marks, bits: int) -> Callable:
+    """mapInArrow over (id, ...): the rows whose id is marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(marked(scatter(batch.column(0).to_numpy(zero_copy_only=False)), bitmap, bits)))
+
+    return run
+
+
+def rows_of(rows: DataFrame, ids: DataFrame, bits: int = 8) -> DataFrame:
+    """The rows whose first column (an id, not null) is among ``ids`` (one column), and few others: a filter without a shuffle of ``rows``."""
+    bitmap = bitmap_of(ids.mapInArrow(_scattered, "name bigint"), "name", bits)
+    return rows.mapInArrow(_marked_rows(bitmap, bits), rows.schema)
 
 
 def _marks(bits: int) -> Callable:
