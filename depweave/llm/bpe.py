@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 LEAF = 16_384
 LONG = 2 * LEAF
 #: Chunks kept by a worker's memo.
-MEMO = 300_000
+MEMO = 450_000
 #: Tokens after which an unsplit run is cut into pieces for the windows.
 RUN = 16
 
@@ -80,12 +80,12 @@ class ChunkMemo:
 
     def keep(self, cores: list[str]) -> None:
         """Encode and decode ``cores`` in one call each."""
-        found = [e.ids for e in self.tokenizer.encode_batch(cores, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
-        for core, ids, text in zip(cores, found, back):
-            self.core[core] = ",".join(map(str, ids))
-            if text != core:
-                self.odd[core] = text
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)]
+        self.core.update(zip(cores, [",".join(map(str, ids)) for ids in found]))
+        # tokens stand for bytes, so if all decode to all cores joined, each is its own decoding
+        if self.tokenizer.decode([i for ids in found for i in ids], skip_special_tokens=False) != "".join(cores):
+            back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+            self.odd.update((core, text) for core, text in zip(cores, back) if core != text)
 
     def learn(self, lists: list[list[str]]) -> None:
         """Make every chunk of ``lists`` known; full memos are emptied first."""
