@@ -42,6 +42,14 @@ def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (column pruning still applies)."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _release(spark)
     return spark.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``df``, once nothing will read it again."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
