@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm import shared
-from depweave.session import cut, written
+from depweave.session import cut, discard, written
 
 LENGTH = 50
 GRAM = 16
@@ -387,7 +387,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     found = written(unique.mapInArrow(_places(marks, bits), "doc bigint, place bigint, segment bigint, low bigint, raw binary"))
     several = found.filter("raw is not null")
     buckets = max(1, -(-(several.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // BUCKET))
-    answers = (
+    answers = written(
         several.select("segment", "doc", "raw", F.pmod(F.xxhash64("low"), F.lit(buckets)).alias("bucket"))
         .groupBy("bucket").applyInPandas(_merge, "segment bigint, low int, high int, first bigint")
     )
@@ -398,7 +398,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .groupBy("doc", "tkey").agg(F.collect_list("span").alias("spans"))
     )
     whole = same.select("doc", F.col("tkey").bitwiseAND(0xFFFFFF).alias("tkey"), F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit((1 << 62)).alias("b"))).alias("spans"))
-    return written(parts.unionByName(whole))
+    spans = written(parts.unionByName(whole))
+    discard(found)
+    discard(answers)
+    return spans
 
 
 def _apply(digest: bool) -> Callable:
