@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from depweave.llm import shared
 from depweave.llm.ngram_join import COUNTERS, _blocks, counted_levels, mix, word_hashes
-from depweave.session import cut, written
+from depweave.session import cut, discard, written
 
 MIN_WORDS = 6
 PERCENT = 80
@@ -161,18 +161,16 @@ def _gather(bits: int, marks=None, token_bits: int = 0) -> Callable:
 
 
 def _entries(tokens, keys, bits: int, key_bits: int) -> Callable:
-    """mapInArrow over (doc, pos, name, size, sa, sb, lead): one row per key that may be shared, of a class's first line in the batch."""
+    """mapInArrow over (doc, pos, name, size, sa, sb, lead): one row per key that two classes may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_map, key_map = (np.frombuffer(x.value, np.uint8) for x in (tokens, keys))
         for batch in batches:
-            doc, pos, name, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            order = np.lexsort((pos, doc, name))
-            first = order[np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))]
-            token, many = _leads(batch.column(6).take(pa.array(first)))
-            key, row = _keys(token, many, size[first], shared.marked(token, token_map, bits))
+            size = batch.column(3).to_numpy(zero_copy_only=False)
+            token, many = _leads(batch.column(6))
+            key, row = _keys(token, many, size, shared.marked(token, token_map, bits))
             use = shared.marked(key, key_map, key_bits)
-            row = pa.array(first[row[use]])
+            row = pa.array(row[use])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[use].view(np.int64)), *[batch.column(i).take(row) for i in range(6)]], names=["key", "doc", "pos", "name", "size", "sa", "sb"]
             )
@@ -228,19 +226,18 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     counters = min(COUNTERS, 1 << max(16, (total // 48).bit_length()))
     levels = counted_levels(docs.select("doc", "text"), lambda raws: word_hashes(raws)[0], counters)
     lines = written(docs.select("doc", "tkey", "text").mapInArrow(_lines(min_words, percent, levels), _LINE))
+    fields = ("doc", "pos", "name", "size", "sa", "sb")
+    # one row a class, that of its first line
+    first = F.min(F.struct("doc", "pos", "size", "sa", "sb", "lead")).alias("x")
+    classes = written(lines.groupBy("name").agg(first).select("x.doc", "x.pos", "name", "x.size", "x.sa", "x.sb", "x.lead"))
     bits, key_bits = shared.range_bits(total // 24), shared.range_bits(total // 12)
-    leads = lines.select("name", "size", "lead")
+    leads = classes.select("name", "size", "lead")
     tokens = shared.shared_bitmap(leads.mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
     keys = shared.shared_bitmap(leads.mapInArrow(_gather(key_bits, tokens, bits), shared.Gathered.SCHEMA), key_bits)
-    fields = ("doc", "pos", "name", "size", "sa", "sb")
-    first = F.min(F.struct(*fields)).alias("x")
-    entries = written(
-        lines.mapInArrow(_entries(tokens, keys, bits, key_bits), "key bigint, doc bigint, pos bigint, name bigint, size int, sa bigint, sb bigint")
-        .groupBy("key", F.col("name").alias("class")).agg(first).select("key", "x.*")
-    )
+    entries = written(classes.mapInArrow(_entries(tokens, keys, bits, key_bits), "key bigint, doc bigint, pos bigint, name bigint, size int, sa bigint, sb bigint"))
     renamed = {c: f"{c}_b" for c in fields}
 
-    heads = entries.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = entries.groupBy("key").agg(F.min(F.struct(*fields)).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = cut(
         entries.join(heads.select("key", *[F.col(f"x.{c}").alias(b) for c, b in renamed.items()]), "key")
         .filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b").distinct()
@@ -264,12 +261,15 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         .select("name", "name_b", "doc", "doc_b").distinct().join(stars.select("name", "name_b"), ["name", "name_b"], "left_anti")
     )
     late = late.unionByName(matched(rest)).distinct()
-    firsts = lines.groupBy("name").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    firsts = classes.select("name", F.struct("doc", "pos").alias("first"))
     gone = (
         lines.select("doc", "pos", "name").join(firsts, "name").join(late.withColumn("late", F.lit(True)), "name", "left")
         .filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
     )
-    return gone.groupBy("doc", F.col("pos").bitwiseAND(0xFFFFFFFF).alias("tkey")).agg(F.collect_list(F.shiftright("pos", 32)).alias("lines"))
+    spans = written(gone.groupBy("doc", F.col("pos").bitwiseAND(0xFFFFFFFF).alias("tkey")).agg(F.collect_list(F.shiftright("pos", 32)).alias("lines")))
+    for done in (lines, classes, entries):
+        discard(done)
+    return spans
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
