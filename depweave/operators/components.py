@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.session import cut
@@ -44,3 +44,15 @@ def _state(edges: DataFrame) -> tuple:
             F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))
         ).first()
     )
+
+
+def numbered(values: DataFrame, column: str) -> DataFrame:
+    """(column, number): distinct values numbered from 0 in their order, without one task that sorts them all.
+
+    Values are dealt by range and kept (checkpointed) with their range; only the ranges' counts are summed in one place.
+    """
+    ranged = cut(values.select(column).distinct().repartitionByRange(F.col(column)).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.join(before, "_range").select(column, (F.col("_before") + within - 1).alias("number"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depweave.operators.components import connected_components
+from depweave.operators.components import connected_components, numbered
 from depweave.session import cut
 
 
@@ -50,8 +50,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(component_id, node_id): undirected components, numbered in the order of their smallest members."""
     linked = connected_components(edges, "from_id", "to_id")
     least = nodes.select(F.col("id").alias("node")).join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("least"))
-    numbers = least.select("least").distinct().withColumn("number", F.row_number().over(Window.orderBy("least")) - 1)
-    return least.join(numbers, "least").select(F.concat(F.lit("component-"), F.col("number")).alias("component_id"), F.col("node").alias("node_id"))
+    return least.join(numbered(least, "least"), "least").select(F.concat(F.lit("component-"), F.col("number")).alias("component_id"), F.col("node").alias("node_id"))
 
 
 def component_members(parts: DataFrame, node_id: str) -> DataFrame:

@@ -35,7 +35,9 @@ def _release(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` so that later plans neither recompute it nor depend on one executor's disk."""
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    _release(df.sparkSession)
+    return kept
 
 
 def written(df: DataFrame) -> DataFrame:
