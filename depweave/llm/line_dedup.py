@@ -171,9 +171,7 @@ def _entries(tokens, keys, bits: int, key_bits: int) -> Callable:
             key, row = _keys(token, many, size, shared.marked(token, token_map, bits))
             use = shared.marked(key, key_map, key_bits)
             row = pa.array(row[use])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[use].view(np.int64)), *[batch.column(i).take(row) for i in range(6)]], names=["key", "doc", "pos", "name", "size", "sa", "sb"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["key", "doc", "pos"])
 
     return run
 
@@ -226,7 +224,6 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     counters = min(COUNTERS, 1 << max(16, (total // 48).bit_length()))
     levels = counted_levels(docs.select("doc", "text"), lambda raws: word_hashes(raws)[0], counters)
     lines = written(docs.select("doc", "tkey", "text").mapInArrow(_lines(min_words, percent, levels), _LINE))
-    fields = ("doc", "pos", "name", "size", "sa", "sb")
     # one row a class, that of its first line
     first = F.min(F.struct("doc", "pos", "size", "sa", "sb", "lead")).alias("x")
     classes = written(lines.groupBy("name").agg(first).select("x.doc", "x.pos", "name", "x.size", "x.sa", "x.sb", "x.lead"))
@@ -234,13 +231,16 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     leads = classes.select("name", "size", "lead")
     tokens = shared.shared_bitmap(leads.mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
     keys = shared.shared_bitmap(leads.mapInArrow(_gather(key_bits, tokens, bits), shared.Gathered.SCHEMA), key_bits)
-    entries = written(classes.mapInArrow(_entries(tokens, keys, bits, key_bits), "key bigint, doc bigint, pos bigint, name bigint, size int, sa bigint, sb bigint"))
-    renamed = {c: f"{c}_b" for c in fields}
-
-    heads = entries.groupBy("key").agg(F.min(F.struct(*fields)).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # a class is known by its first line; what the bounds need is joined to pairs, not carried by every key
+    entries = written(classes.mapInArrow(_entries(tokens, keys, bits, key_bits), "key bigint, doc bigint, pos bigint"))
+    facts = classes.select("doc", "pos", "name", "size", "sa", "sb")
+    facts_b = facts.withColumnsRenamed({c: f"{c}_b" for c in facts.columns})
+
+    head = F.min(F.struct("doc", "pos"))
+    heads = entries.groupBy("key").agg(head.alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("h.doc").alias("doc_b"), F.col("h.pos").alias("pos_b"))
+    first_pairs = entries.join(heads, "key").filter("doc <> doc_b or pos <> pos_b").select("doc", "pos", "doc_b", "pos_b").distinct()
     stars = cut(
-        entries.join(heads.select("key", *[F.col(f"x.{c}").alias(b) for c, b in renamed.items()]), "key")
-        .filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b").distinct()
+        first_pairs.join(facts, ["doc", "pos"]).join(facts_b, ["doc_b", "pos_b"]).filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b")
     )
 
     def matched(pairs: DataFrame) -> DataFrame:
@@ -254,11 +254,12 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         )
 
     late = cut(matched(stars))
-    undecided = entries.join(late, "name", "left_anti").join(heads.select("key"), "key", "left_semi")
-    earlier = entries.withColumnsRenamed(renamed)
+    shared_keys = entries.join(heads.select("key"), "key", "left_semi")
+    undecided = cut(shared_keys.join(facts.join(late, "name", "left_anti"), ["doc", "pos"]).join(heads.select("key", F.col("doc_b").alias("hd"), F.col("pos_b").alias("hp")), "key").filter("doc <> hd or pos <> hp").drop("hd", "hp"))
+    earlier = shared_keys.join(undecided.select("key").distinct(), "key", "left_semi").withColumnsRenamed({"doc": "doc_b", "pos": "pos_b"}).join(facts_b, ["doc_b", "pos_b"])
     rest = cut(
-        undecided.join(earlier, (undecided["key"] == earlier["key"]) & _may_match(percent))
-        .select("name", "name_b", "doc", "doc_b").distinct().join(stars.select("name", "name_b"), ["name", "name_b"], "left_anti")
+        undecided.join(earlier, "key").filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b").distinct()
+        .join(stars.select("name", "name_b"), ["name", "name_b"], "left_anti")
     )
     late = late.unionByName(matched(rest)).distinct()
     firsts = classes.select("name", F.struct("doc", "pos").alias("first"))
