@@ -89,9 +89,11 @@ def fit(x: np.ndarray, y: list[str], *, landmarks: int = LANDMARKS, ridge: float
     """(languages, weights): Nystroem features of the presence kernel, then kernel ridge regression.
 
     ``weights`` maps a presence row, divided by the root of its sum, to one value per language.
+    ``x`` is scaled in place, so that the sample is held once.
     """
     names = sorted(set(y))
-    unit = x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    unit = x
+    unit /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     # landmarks: the first rows of each language in turn
     rank = {n: 0 for n in names}
     turn = []
@@ -109,7 +111,7 @@ def fit(x: np.ndarray, y: list[str], *, landmarks: int = LANDMARKS, ridge: float
     share = share / share.mean()
     gram = (z * share[:, None]).T @ z + ridge * len(y) / len(names) * np.eye(z.shape[1])
     coefficients = np.linalg.solve(gram, (z * share[:, None]).T @ target)
-    return names, (marks.T.astype(np.float64) @ (white @ coefficients)).astype(np.float32)
+    return names, marks.T @ (white @ coefficients).astype(np.float32)
 
 
 def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray] | None:
@@ -129,8 +131,10 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, languages: i
     if not found:
         return None
     found.sort(key=lambda r: (r["at"], r["lang"], r["bits"]))
-    x = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), -1), axis=1)
-    return fit(x.astype(np.float32), [r["lang"] for r in found])
+    x = np.empty((len(found), DIMS), np.float32)
+    for row, r in zip(x, found):
+        row[:] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
+    return fit(x, [r["lang"] for r in found])
 
 
 def _score(names: list[str], weights: np.ndarray, added: tuple[str, str]) -> Callable:

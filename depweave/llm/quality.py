@@ -27,6 +27,8 @@ from depweave.session import cut
 SPACE = r" \t\n\x0B\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
+#: Rows of the cutoffs table up to which it is broadcast.
+STRATA = 10_000
 
 #: Rule name -> candidate cutoffs, from strict to lax.
 CUTOFFS = {
@@ -170,10 +172,11 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame, *, max_risk: float =
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
     holdout = scored.filter(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
     cutoffs = certified_cutoffs(holdout, "stratum", values, CUTOFFS, max_risk=max_risk, delta=delta)
-    used = cutoffs.groupBy("stratum").agg(
+    used = cut(cutoffs.groupBy("stratum").agg(
         *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in values]
-    )
-    joined = scored.join(used, "stratum", "left")
+    ))
+    # few strata are no shuffle of all documents by a handful of keys; more than ``STRATA`` are joined plainly
+    joined = scored.join(F.broadcast(used) if used.count() <= STRATA else used, "stratum", "left")
     over = F.lit(False)
     for r, v in values.items():
         over = over | F.coalesce(v > F.col(f"cutoff_{r}"), F.lit(False))
