@@ -227,17 +227,21 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     # one row a class, that of its first line
     first = F.min(F.struct("doc", "pos", "size", "sa", "sb", "lead")).alias("x")
     classes = written(lines.groupBy("name").agg(first).select("x.doc", "x.pos", "name", "x.size", "x.sa", "x.sb", "x.lead"))
+    wide, lines = lines, written(lines.select("doc", "pos", "name"))
+    discard(wide)
     bits, key_bits = shared.range_bits(total // 24), shared.range_bits(total // 12)
     leads = classes.select("name", "size", "lead")
     tokens = shared.shared_bitmap(leads.mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
     keys = shared.shared_bitmap(leads.mapInArrow(_gather(key_bits, tokens, bits), shared.Gathered.SCHEMA), key_bits)
     # a class is known by its first line; what the bounds need is joined to pairs, not carried by every key
     entries = written(classes.mapInArrow(_entries(tokens, keys, bits, key_bits), "key bigint, doc bigint, pos bigint"))
-    facts = classes.select("doc", "pos", "name", "size", "sa", "sb")
+    facts = written(classes.select("doc", "pos", "name", "size", "sa", "sb"))
+    discard(classes)
     facts_b = facts.withColumnsRenamed({c: f"{c}_b" for c in facts.columns})
 
     head = F.min(F.struct("doc", "pos"))
-    heads = entries.groupBy("key").agg(head.alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("h.doc").alias("doc_b"), F.col("h.pos").alias("pos_b"))
+    counted = entries.groupBy("key").agg(head.alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = written(counted.select("key", F.col("h.doc").alias("doc_b"), F.col("h.pos").alias("pos_b")))
     first_pairs = entries.join(heads, "key").filter("doc <> doc_b or pos <> pos_b").select("doc", "pos", "doc_b", "pos_b").distinct()
     stars = cut(
         first_pairs.join(facts, ["doc", "pos"]).join(facts_b, ["doc_b", "pos_b"]).filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b")
@@ -254,21 +258,20 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         )
 
     late = cut(matched(stars))
-    shared_keys = entries.join(heads.select("key"), "key", "left_semi")
-    undecided = cut(shared_keys.join(facts.join(late, "name", "left_anti"), ["doc", "pos"]).join(heads.select("key", F.col("doc_b").alias("hd"), F.col("pos_b").alias("hp")), "key").filter("doc <> hd or pos <> hp").drop("hd", "hp"))
-    earlier = shared_keys.join(undecided.select("key").distinct(), "key", "left_semi").withColumnsRenamed({"doc": "doc_b", "pos": "pos_b"}).join(facts_b, ["doc_b", "pos_b"])
+    undecided = cut(entries.join(facts.join(late, "name", "left_anti"), ["doc", "pos"]).join(heads.select("key", F.col("doc_b").alias("hd"), F.col("pos_b").alias("hp")), "key").filter("doc <> hd or pos <> hp").drop("hd", "hp"))
+    earlier = entries.join(undecided.select("key").distinct(), "key", "left_semi").withColumnsRenamed({"doc": "doc_b", "pos": "pos_b"}).join(facts_b, ["doc_b", "pos_b"])
     rest = cut(
         undecided.join(earlier, "key").filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b").distinct()
         .join(stars.select("name", "name_b"), ["name", "name_b"], "left_anti")
     )
     late = late.unionByName(matched(rest)).distinct()
-    firsts = classes.select("name", F.struct("doc", "pos").alias("first"))
+    firsts = facts.select("name", F.struct("doc", "pos").alias("first"))
     gone = (
         lines.select("doc", "pos", "name").join(firsts, "name").join(late.withColumn("late", F.lit(True)), "name", "left")
         .filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
     )
     spans = written(gone.groupBy("doc", F.col("pos").bitwiseAND(0xFFFFFFFF).alias("tkey")).agg(F.collect_list(F.shiftright("pos", 32)).alias("lines")))
-    for done in (lines, classes, entries):
+    for done in (lines, facts, entries, heads):
         discard(done)
     return spans
 
