@@ -258,7 +258,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         )
 
     late = cut(matched(stars))
-    undecided = cut(entries.join(facts.join(late, "name", "left_anti"), ["doc", "pos"]).join(heads.select("key", F.col("doc_b").alias("hd"), F.col("pos_b").alias("hp")), "key").filter("doc <> hd or pos <> hp").drop("hd", "hp"))
+    undecided = written(entries.join(facts.join(late, "name", "left_anti"), ["doc", "pos"]).join(heads.select("key", F.col("doc_b").alias("hd"), F.col("pos_b").alias("hp")), "key").filter("doc <> hd or pos <> hp").drop("hd", "hp"))
     earlier = entries.join(undecided.select("key").distinct(), "key", "left_semi").withColumnsRenamed({"doc": "doc_b", "pos": "pos_b"}).join(facts_b, ["doc_b", "pos_b"])
     rest = cut(
         undecided.join(earlier, "key").filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b").distinct()
@@ -271,7 +271,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         .filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
     )
     spans = written(gone.groupBy("doc", F.col("pos").bitwiseAND(0xFFFFFFFF).alias("tkey")).agg(F.collect_list(F.shiftright("pos", 32)).alias("lines")))
-    for done in (lines, facts, entries, heads):
+    for done in (lines, facts, entries, heads, undecided):
         discard(done)
     return spans
 
