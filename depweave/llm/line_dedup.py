@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join of token sets.
 
-A line's set is its distinct words (ASCII letters in lower case); lines with fewer than
-``min_words`` distinct words take no part.  A line goes if an earlier line, in the order
+A line's set is its distinct words (ASCII letters in lower case); every line with a word
+takes part (with ``min_words`` those with as many).  A line goes if an earlier line, in the order
 of document id and line number, has a set whose Jaccard similarity with its own reaches
 ``percent``; "earlier" counts lines that go themselves, so the result does not depend on
 an order of removal.
@@ -11,13 +11,16 @@ prefixes: tokens are ordered from rare to common by a table of hashed counters o
 lines.  Two sets that reach the threshold share two of each side's first
 n - ceil(t n) + 2 tokens, so short prefixes are joined on pairs of tokens; long ones (from
 ``WIDE`` words on, where pairs would be many) on single tokens of the first
-n - ceil(t n) + 1.  A pair must pass the length bound and a bound from 128-bit sketches
-(differing bits never outnumber differing tokens) before the whole sets are compared.
+n - ceil(t n) + 1.  Sets too short to match any but an equal one (up to 3 words at 80 %)
+have no prefix.  A pair must pass the length bound, the positional bound (after their
+first common tokens two sets share no more than the shorter rest) and a bound from
+128-bit sketches (differing bits never outnumber differing tokens) before the whole sets
+are compared.
 As one earlier match is enough, each class is first paired with the earliest class of
 each of its keys; only classes that this leaves undecided are paired with all earlier
 ones.
 
-Edge cases: null and empty texts stay as they are; lines without enough words stay; a
+Edge cases: null and empty texts stay as they are; lines without a word stay; a
 null id counts as the last; rows that repeat an id are ordered line by line;
 very long lines are taken whole; an empty table gives no rows; extra columns pass
 through (working columns have names of their own).
@@ -36,7 +39,7 @@ from depweave.llm import shared
 from depweave.llm.ngram_join import COUNTERS, _blocks, counted_levels, mix, word_hashes
 from depweave.session import cut, discard, written
 
-MIN_WORDS = 6
+MIN_WORDS = 1
 PERCENT = 80
 #: Words from which prefixes are joined on single tokens.
 WIDE = 80
@@ -56,7 +59,7 @@ class Lines:
         new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
         word, owner = word[new], owner[new]
         size = np.bincount(owner, minlength=int(many.sum()))
-        keep = size >= min_words
+        keep = size >= max(1, min_words)
         self.token, owner = word[keep[owner]], owner[keep[owner]]
         at = np.flatnonzero(keep)
         self.size = size[at]
@@ -68,10 +71,11 @@ class Lines:
         self.name = mix(np.add.reduceat(mix(self.token ^ np.uint64(0x5851F42D4C957F2D)), self.first) + self.size.astype(np.uint64)).view(np.int64) if len(at) else at
 
     def prefixes(self, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, number of them per line): rarest first, one more than the length bound asks for."""
+        """(tokens, number of them per line): rarest first, one more than the length bound asks for; none if only an equal set can match."""
         common = level[(self.token & np.uint64(len(level) - 1)).astype(np.int64)]
         order = np.lexsort((self.token, common, self.owner))
         want = np.minimum(self.size, self.size - (self.size * percent + 99) // 100 + 2)
+        want[100 * self.size < percent * (self.size + 1)] = 0
         place = np.arange(len(order)) - np.repeat(self.first, self.size)
         return self.token[order[place < want[self.owner]]], want
 
@@ -119,25 +123,30 @@ def _leads(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint64), np.array([len(v) // 8 for v in values], np.int64)
 
 
-def _keys(token: np.ndarray, many: np.ndarray, size: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row): pairs of the kept prefix tokens of rows up to 1.25 ``WIDE`` words, single ones from ``WIDE`` on."""
+def _keys(token: np.ndarray, many: np.ndarray, size: np.ndarray, keep: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, most): pairs of the kept prefix tokens of rows up to 1.25 ``WIDE`` words, single ones from ``WIDE`` on.
+
+    ``most``: tokens that the row can share with another one if the key's are the first they share.
+    """
     row = np.repeat(np.arange(len(many)), many)
     place = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)
-    # the last place serves pairs only
-    single = keep & (size[row] >= WIDE) & (place < many[row] - 1)
-    keys, rows = [token[single]], [row[single]]
+    # the last place serves pairs only, unless one common token is enough
+    one = (size[row] * percent <= 100) & (percent <= 50)
+    single = keep & (one | ((size[row] >= WIDE) & (place < many[row] - 1)))
+    keys, rows, most = [token[single]], [row[single]], [(size[row] - place)[single]]
     use = keep & (4 * size[row] <= 5 * WIDE)
-    token, row = token[use], row[use]
+    token, row, place = token[use], row[use], place[use]
     for step in range(1, int(np.bincount(row).max(initial=0)) if len(row) else 0):
         same = row[step:] == row[:-step]
         a, b = token[:-step][same], token[step:][same]
         with np.errstate(over="ignore"):
             keys.append(mix(np.minimum(a, b) + np.maximum(a, b) * np.uint64(0x9E3779B97F4A7C15)))
         rows.append(row[step:][same])
-    return np.concatenate(keys), np.concatenate(rows)
+        most.append((size[row] + 1 - place)[step:][same])
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(most)
 
 
-def _gather(bits: int, marks=None, token_bits: int = 0) -> Callable:
+def _gather(bits: int, percent: int, marks=None, token_bits: int = 0) -> Callable:
     """mapInArrow over (name, size, lead): the prefix tokens, or with their bitmap the keys, to find those of two classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +159,7 @@ def _gather(bits: int, marks=None, token_bits: int = 0) -> Callable:
                 sent.add(token, np.repeat(name, many))
             else:
                 size = batch.column(1).to_numpy()[first]
-                key, row = _keys(token, many, size, shared.marked(token, bitmap, token_bits))
+                key, row, _ = _keys(token, many, size, shared.marked(token, bitmap, token_bits), percent)
                 sent.add(key, name[row])
             if sent.size >= GATHER:
                 yield sent.batch()
@@ -160,7 +169,7 @@ def _gather(bits: int, marks=None, token_bits: int = 0) -> Callable:
     return run
 
 
-def _entries(tokens, keys, bits: int, key_bits: int) -> Callable:
+def _entries(percent: int, tokens, keys, bits: int, key_bits: int) -> Callable:
     """mapInArrow over (doc, pos, name, size, sa, sb, lead): one row per key that two classes may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +177,10 @@ def _entries(tokens, keys, bits: int, key_bits: int) -> Callable:
         for batch in batches:
             size = batch.column(3).to_numpy(zero_copy_only=False)
             token, many = _leads(batch.column(6))
-            key, row = _keys(token, many, size, shared.marked(token, token_map, bits))
+            key, row, most = _keys(token, many, size, shared.marked(token, token_map, bits), percent)
             use = shared.marked(key, key_map, key_bits)
             row = pa.array(row[use])
-            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["key", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(most[use].astype(np.int32))], names=["key", "doc", "pos", "most"])
 
     return run
 
@@ -211,11 +220,12 @@ def _verify(percent: int) -> Callable:
 
 
 def _may_match(percent: int):
-    """Length and sketch bounds of (size, sa, sb) and (size_b, sa_b, sb_b), the second of which is earlier."""
+    """Length, positional and sketch bounds of (size, most, sa, sb) and (size_b, most_b, sa_b, sb_b), the second of which is earlier."""
     need = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent) - 1e-9)
     apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sa_b"))) + F.bit_count(F.col("sb").bitwiseXOR(F.col("sb_b")))
     earlier = (F.col("doc_b") < F.col("doc")) | ((F.col("doc_b") == F.col("doc")) & (F.col("pos_b") < F.col("pos")))
-    return earlier & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")) & (apart <= F.col("size") + F.col("size_b") - 2 * need)
+    placed = F.least("most", "most_b") >= need
+    return earlier & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")) & placed & (apart <= F.col("size") + F.col("size_b") - 2 * need)
 
 
 def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -231,20 +241,20 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     discard(wide)
     bits, key_bits = shared.range_bits(total // 24), shared.range_bits(total // 12)
     leads = classes.select("name", "size", "lead")
-    tokens = shared.shared_bitmap(leads.mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
-    keys = shared.shared_bitmap(leads.mapInArrow(_gather(key_bits, tokens, bits), shared.Gathered.SCHEMA), key_bits)
+    tokens = shared.shared_bitmap(leads.mapInArrow(_gather(bits, percent), shared.Gathered.SCHEMA), bits)
+    keys = shared.shared_bitmap(leads.mapInArrow(_gather(key_bits, percent, tokens, bits), shared.Gathered.SCHEMA), key_bits)
     # a class is known by its first line; what the bounds need is joined to pairs, not carried by every key
-    entries = written(classes.mapInArrow(_entries(tokens, keys, bits, key_bits), "key bigint, doc bigint, pos bigint"))
+    entries = written(classes.mapInArrow(_entries(percent, tokens, keys, bits, key_bits), "key bigint, doc bigint, pos bigint, most int"))
     facts = written(classes.select("doc", "pos", "name", "size", "sa", "sb"))
     discard(classes)
     facts_b = facts.withColumnsRenamed({c: f"{c}_b" for c in facts.columns})
 
-    head = F.min(F.struct("doc", "pos"))
+    head = F.min(F.struct("doc", "pos", "most"))
     counted = entries.groupBy("key").agg(head.alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heads = written(counted.select("key", F.col("h.doc").alias("doc_b"), F.col("h.pos").alias("pos_b")))
-    first_pairs = entries.join(heads, "key").filter("doc <> doc_b or pos <> pos_b").select("doc", "pos", "doc_b", "pos_b").distinct()
+    heads = written(counted.select("key", F.col("h.doc").alias("doc_b"), F.col("h.pos").alias("pos_b"), F.col("h.most").alias("most_b")))
+    first_pairs = entries.join(heads, "key").filter("doc <> doc_b or pos <> pos_b").groupBy("doc", "pos", "doc_b", "pos_b").agg(F.max(F.least("most", "most_b")).alias("most"))
     stars = cut(
-        first_pairs.join(facts, ["doc", "pos"]).join(facts_b, ["doc_b", "pos_b"]).filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b")
+        first_pairs.join(facts, ["doc", "pos"]).join(facts_b, ["doc_b", "pos_b"]).withColumn("most_b", F.col("most")).filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b")
     )
 
     def matched(pairs: DataFrame) -> DataFrame:
@@ -259,7 +269,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
 
     late = cut(matched(stars))
     undecided = written(entries.join(facts.join(late, "name", "left_anti"), ["doc", "pos"]).join(heads.select("key", F.col("doc_b").alias("hd"), F.col("pos_b").alias("hp")), "key").filter("doc <> hd or pos <> hp").drop("hd", "hp"))
-    earlier = entries.join(undecided.select("key").distinct(), "key", "left_semi").withColumnsRenamed({"doc": "doc_b", "pos": "pos_b"}).join(facts_b, ["doc_b", "pos_b"])
+    earlier = entries.join(undecided.select("key").distinct(), "key", "left_semi").withColumnsRenamed({"doc": "doc_b", "pos": "pos_b", "most": "most_b"}).join(facts_b, ["doc_b", "pos_b"])
     rest = cut(
         undecided.join(earlier, "key").filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b").distinct()
         .join(stars.select("name", "name_b"), ["name", "name_b"], "left_anti")

@@ -238,6 +238,24 @@ def test_similar_lines(spark, small):
     assert line_dedup.dedup_documents(empty(spark)).count() == 0
 
 
+def test_similar_short_lines(spark):
+    lines = ["All rights reserved.", "a b c d", "the end", "x", "all RIGHTS reserved.", "reserved. rights all", "a b c d e", "d c b", "x", "", " ", "", "a b c", "the End", "e d c a q"]
+    rows = [(i, x, "en", "s", 0, 1, 2, "3", "4", "5") for i, x in enumerate(lines)] + [(99, "\n".join(lines), "en", "s", 0, 1, 2, "3", "4", "5")]
+    for percent in (80, 50):
+        sets, want = [], {}
+        for r in rows:
+            kept = []
+            for x in r[1].split("\n"):
+                s = set(WORD.findall(lower(x)))
+                if not s or not any(100 * len(s & o) >= percent * len(s | o) for o in sets):
+                    kept.append(x)
+                if s:
+                    sets.append(s)
+            want[r[0]] = "\n".join(kept)
+        got = line_dedup.remove_similar_lines(spark.createDataFrame(rows, SCHEMA), percent=percent).collect()
+        assert {r.doc_id: r._kept for r in got} == want
+
+
 def test_languages(spark, small):
     from depweave.llm.queries import op1_string_kernel_languages
 
