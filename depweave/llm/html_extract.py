@@ -7,33 +7,47 @@ Per host it starts as one page and is aligned with the next ones in turn: runs o
 siblings fold into a repeated group, siblings that only one side has become optional,
 and texts that differ become slots.
 
-The wrapper is inferred from at most ``SAMPLE`` pages of a host (those of the lowest
-hashes, one per distinct content); it is then joined to every page of the host and
-matched: texts at fixed places are the site's own and go, with the parts that are never
+The wrapper is inferred from all pages of a host: each task makes one of its pages of the
+host, and these are merged by the same alignment, in two steps.  A text place that all
+pages agree on keeps up to ``LEAST`` different contents of the pages that hold it, so a
+copy counts once wherever it is met: the content is what can be read of the article (or
+main) element that holds the place, else of the page, after scripts, comments and
+unwanted parts are gone.  A text is fixed where ``LEAST`` contents agree.  The wrapper is
+then joined to every page of the host and matched: texts at fixed places are the site's own and go, with the parts that are never
 article by their tag or their class and id names.  What is left of the article (or main)
 element, or of the body without link lists if there is none, is the page's text.
 
 Edge cases: null or empty html gives an empty text; a host with fewer than ``LEAST``
-distinct pages has no fixed texts; a null url is a host of its own; pages that do not
+different contents has no fixed texts; a null url is a host of its own; pages that do not
 match their wrapper lose only what matches; malformed pages are read as far as they go;
 repeated rows and extra columns make no difference.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+import sys
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host that its wrapper is inferred from, and the least that must agree before a text is fixed.
-SAMPLE = 12
+from depweave.session import cut
+
+#: Different contents that must agree before a text is fixed.
 LEAST = 6
+#: Hosts whose wrappers a task holds at once, groups of a host's partial wrappers, bytes of all wrappers up to which they are broadcast.
+HELD = 512
+GROUPS = 16
+SENT = 8 << 20
+#: Python frames for deeply nested pages.
+FRAMES = 50_000
 
 # Fixed values of HTML and of common site markup.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -100,23 +114,43 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper node is [key, mode, children]; mode is "1", "?" or "+".  A text place is ["#", mode, text, pages], with text None for a slot.
+# A wrapper node is [key, mode, children]; mode is "1", "?" or "+".  A text place is ["#", mode, text, contents], with text None for a slot; in a finished wrapper contents are a number.
 
 
 def squeeze(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def template(node: Node) -> list:
-    """A wrapper of one page: equal neighbours fold into one repeated node."""
+def mark(text: str) -> str:
+    """A short text, or the digest of a long one."""
+    return text if len(text) <= 32 else "#" + hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
+def content(node: Node) -> int:
+    """48 bits of the texts of an element that can be article, with their elements."""
+    found, ahead = [], [node]
+    while ahead:
+        n = ahead.pop()
+        if isinstance(n, str):
+            found.append(squeeze(n))
+        elif n is node or not (n.tag in _NEVER or n.bad):
+            found.append(f"<{n.tag}>")
+            ahead += reversed(n.children)
+    return int.from_bytes(hashlib.blake2b("\0".join(x for x in found if x).encode("utf-8", "replace"), digest_size=6).digest())
+
+
+def template(node: Node, held: int | None = None, scope: str = "") -> list:
+    """A wrapper of one page: equal neighbours fold into one repeated node.  ``held``: the content of the element ``scope`` that we are in."""
+    if held is None or (node.tag == "article" != scope) or (node.tag == "main" and not scope):
+        held, scope = content(node), node.tag if node.tag in ("article", "main") else ""
     out: list[list] = []
     for c in node.children:
         if isinstance(c, str):
             t = squeeze(c)
             if t:
-                out.append(["#", "1", t, 1])
+                out.append(["#", "1", mark(t), [held]])
             continue
-        new = template(c)
+        new = template(c, held, scope)
         if out and out[-1][0] == new[0]:
             out[-1] = [new[0], "+", align(out[-1][2], new[2])]
         else:
@@ -124,11 +158,29 @@ def template(node: Node) -> list:
     return [node.key, "1", out]
 
 
+def _within(short: list, long: list) -> list[int] | None:
+    """The first places in ``long`` of the keys of ``short`` in order, if it has them all."""
+    at, places = 0, []
+    for x in short:
+        while at < len(long) and long[at][0] != x[0]:
+            at += 1
+        if at == len(long):
+            return None
+        places.append(at)
+        at += 1
+    return places
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of two child lists: common keys in order, what only one side has is optional."""
     n, m = len(a), len(b)
     if [x[0] for x in a] == [x[0] for x in b]:
         return [_merge(x, y) for x, y in zip(a, b)]
+    for short, long in ((b, a), (a, b)):
+        places = _within(short, long) if len(short) <= len(long) else None
+        if places is not None:  # what the search below would find
+            partner = dict(zip(places, short))
+            return _folded([_optional(x) if (y := partner.get(k)) is None else _merge(x, y) if long is a else _merge(y, x) for k, x in enumerate(long)])
     # longest common sequence of keys
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -145,7 +197,10 @@ def align(a: list, b: list) -> list:
         else:
             out.append(_optional(b[j]))
             j += 1
-    out += [_optional(x) for x in a[i:] + b[j:]]
+    return _folded(out + [_optional(x) for x in a[i:] + b[j:]])
+
+
+def _folded(out: list) -> list:
     folded: list[list] = []
     for x in out:  # neighbours that became equal are a repeated group
         if folded and x[0] == folded[-1][0] != "#":
@@ -162,7 +217,9 @@ def _optional(x: list) -> list:
 def _merge(x: list, y: list) -> list:
     mode = "+" if "+" in (x[1], y[1]) else "?" if "?" in (x[1], y[1]) else "1"
     if x[0] == "#":
-        return ["#", mode, x[2] if x[2] == y[2] else None, x[3] + y[3]]
+        if x[2] is None or x[2] != y[2]:
+            return ["#", mode, None, []]
+        return ["#", mode, x[2], x[3] if len(x[3]) >= LEAST or x[3] == y[3] else [*x[3], *[h for h in y[3] if h not in x[3]]][:LEAST]]
     return [x[0], mode, align(x[2], y[2])]
 
 
@@ -172,7 +229,20 @@ def infer(pages: list[str]) -> list:
     for page in pages:
         new = template(parse(page))
         wrapper = new if wrapper is None else _merge(wrapper, new)
-    return wrapper or ["#root", "1", []]
+    return _counted(wrapper or ["#root", "1", []])
+
+
+def _counted(x: list) -> list:
+    """A finished wrapper: contents as numbers."""
+    return [*x[:3], len(x[3])] if x[0] == "#" else [x[0], x[1], [_counted(c) for c in x[2]]]
+
+
+def _pruned(x: list) -> list:
+    """A finished wrapper without the children of elements that hold no fixed text."""
+    if x[0] == "#":
+        return [*x[:3], len(x[3])] if len(x[3]) >= LEAST else ["#", x[1], None, 0]
+    children = [_pruned(c) for c in x[2]]
+    return [x[0], x[1], children if any(c[3] if c[0] == "#" else c[2] for c in children) else []]
 
 
 def _fixed(node: Node, wrapper: list | None) -> Iterator[tuple[object, bool, list | None]]:
@@ -185,7 +255,7 @@ def _fixed(node: Node, wrapper: list | None) -> Iterator[tuple[object, bool, lis
                 yield c, False, None
                 continue
             k = next((k for k in range(at, len(places)) if places[k][0] == "#"), None)
-            known = k is not None and places[k][2] == t and places[k][3] >= LEAST
+            known = k is not None and places[k][2] == mark(t) and places[k][3] >= LEAST
             if known:
                 at = k + 1
             yield c, known, None
@@ -253,25 +323,66 @@ def extract(page: str | None, wrapper: list | None) -> str:
     return "\n".join(texts)
 
 
-def _wrappers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """applyInPandas over the sample of one host."""
-    pages = pdf.sort_values("rank")["html"].tolist()
-    wrapper = json.dumps(infer(pages)) if len(pages) >= LEAST else None
-    return pd.DataFrame({"host": pdf["host"][:1], "wrapper": [wrapper]})
+def _packed(wrapper: list) -> bytes:
+    return zlib.compress(json.dumps(wrapper, separators=(",", ":")).encode(), 1)
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (host, html): wrappers of the pages of one task."""
+    sys.setrecursionlimit(max(FRAMES, sys.getrecursionlimit()))
+    held: dict[str, list] = {}
+    seen: set[tuple[str, int]] = set()
+
+    def sent() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([_packed(w) for w in held.values()], pa.binary())], names=["host", "wrapper"])
+        held.clear()
+        seen.clear()
+        return out
+
+    for batch in batches:
+        for host, page in zip(*[c.to_pylist() for c in batch.columns]):
+            if (host, hash(page)) in seen:  # the same page again
+                continue
+            seen.add((host, hash(page)))
+            new = template(parse(page))
+            held[host] = _merge(held[host], new) if host in held else new
+            if len(held) > HELD:
+                yield sent()
+    if held:
+        yield sent()
+
+
+def _joined(finish: bool) -> Callable:
+    """applyInPandas over partial wrappers of one host (or one group of them)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sys.setrecursionlimit(max(FRAMES, sys.getrecursionlimit()))
+        wrapper = None
+        for w in pdf.sort_values(["part", "wrapper"])["wrapper"]:
+            new = json.loads(zlib.decompress(w))
+            wrapper = new if wrapper is None else _merge(wrapper, new)
+        if finish:
+            wrapper = _pruned(wrapper)
+        if finish and not wrapper[2]:
+            return pdf[["host", "part", "wrapper"]][:0]
+        return pd.DataFrame({"host": pdf["host"].iloc[:1].tolist(), "part": [int(pdf["part"].iloc[0]) % GROUPS], "wrapper": [_packed(wrapper)]})
+
+    return run
 
 
 def _extract(keep: int) -> Callable:
     """mapInArrow over (kept columns, html, wrapper)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        sys.setrecursionlimit(max(FRAMES, sys.getrecursionlimit()))
+        known: dict[bytes, list] = {}
         for batch in batches:
             texts = []
             for page, w in zip(batch.column(keep).to_pylist(), batch.column(keep + 1).to_pylist()):
                 if w is not None and w not in known:
                     if len(known) > 256:
                         known.clear()
-                    known[w] = json.loads(w)
+                    known[w] = json.loads(zlib.decompress(w))
                 texts.append(extract(page, known.get(w) if w else None))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
@@ -286,15 +397,15 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def extract_pages(pages: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
+def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    # bounded by rank per host: only the first ranks leave each task, however large the host
-    names = rows.filter(F.length("html") > 0).select("host", F.xxhash64("html").alias("page"))
-    order = F.dense_rank().over(Window.partitionBy("host").orderBy("page"))
-    chosen = names.withColumn("rank", order).filter(F.col("rank") <= sample).distinct()
-    texts = rows.withColumn("page", F.xxhash64("html")).join(chosen, ["host", "page"]).dropDuplicates(["host", "rank"])
-    wrappers = texts.select("host", "rank", "html").groupBy("host").applyInPandas(_wrappers, "host string, wrapper string")
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(
+    schema = "host string, part int, wrapper binary"
+    partial = rows.filter(F.length("html") > 0).select("host", "html").mapInArrow(_partial, "host string, wrapper binary").select("host", F.spark_partition_id().alias("part"), "wrapper")
+    # a host may be in every task, so its partial wrappers are merged in groups first
+    groups = partial.groupBy("host", (F.col("part") % GROUPS).alias("group")).applyInPandas(_joined(False), schema)
+    wrappers = cut(groups.groupBy("host").applyInPandas(_joined(True), schema)).select("host", "wrapper")
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    return rows.join(F.broadcast(wrappers) if size <= SENT else wrappers, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(
         _extract(2), f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
     )

@@ -31,6 +31,35 @@ def test_wrapper_forms():
     assert "'ul', '1', [['li', '+'" in text and "['hr', '?'" in text and "['#', '1', 'Read our terms', 6]" in text and "['#', '1', None, " in text
 
 
+COPY = "<html><script>track({i});</script><body><!-- ad {i} --><nav><a>l{i}</a></nav><article><h1>One headline of a copied article</h1><p>One paragraph of a copied article.</p></article></body></html>"
+
+
+def test_copies_are_one_content(spark):
+    """Copies that differ in scripts, comments and menus agree on nothing; a late page counts as much as the first."""
+    rows = [(i, "http://copies.example/", COPY.format(i=i)) for i in range(20)]
+    # many copies beside few articles, of which a notice is shared
+    rows += [(100 + i, "http://mixed.example/", COPY.format(i=i).replace("</article>", "<h6>Notice</h6></article>")) for i in range(20)]
+    rows += [(200 + i, "http://mixed.example/", page(i).replace("Read our terms", "Notice")) for i in range(5)]
+    deep = "<div>" * 1500 + "deep"
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame([*rows, (300, "http://deep.example/", deep)], "page_id bigint, url string, html string").repartition(5)).collect()}
+    copy = "One headline of a copied article\nOne paragraph of a copied article."
+    assert all(got[i] == copy for i in range(20))
+    assert all(got[100 + i].startswith(copy) for i in range(20)) and got[300] == "deep"
+
+
+def test_common_keys_in_order():
+    """The short way of the alignment finds what the search finds."""
+    rnd = np.random.default_rng(5)
+    place = lambda k: [k, "1", []]
+    for _ in range(300):
+        long = [place("abc"[i]) for i in rnd.integers(0, 3, 8)]
+        short = [long[i] for i in np.flatnonzero(rnd.random(8) < 0.6)]
+        within, html_extract._within = html_extract._within, lambda *_: None
+        want = html_extract.align(long, short), html_extract.align(short, long)
+        html_extract._within = within
+        assert (html_extract.align(long, short), html_extract.align(short, long)) == want
+
+
 def brute(rows, k):
     out = {}
     for q, v in rows:
