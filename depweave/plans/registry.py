@@ -57,6 +57,12 @@ def _components(nodes, edges):
     return graph.components(nodes, edges.filter("edge_type <> 'depends_on'"))
 
 
+@query("graph_components_all", "nodes", "edges")
+def _all_components(nodes, edges):
+    """Components over the edges of every type; no SQL, whose walk would hold each pair of linked nodes."""
+    return graph.components(nodes, edges)
+
+
 @query("graph_relevant", "edges", sql=with_("edges", recursive=True) + f""", {_DOWN.format('supp-3')}, below AS (SELECT id FROM down WHERE id <> 'supp-3')
     SELECT 'dependency' AS facet, id AS a, NULL AS b, NULL AS edge_type FROM below
     UNION ALL SELECT 'direct', from_id, to_id, edge_type FROM edges WHERE from_id = 'supp-3'
@@ -303,9 +309,17 @@ def _rollup(items, results, attempts, bridged):
     FROM (SELECT trace_id, CASE label WHEN 'error' THEN '1 failure' WHEN 'view' THEN 'Warning: slow' WHEN 'click' THEN 'all passed' ELSE label END AS t FROM traces WHERE var = 'kind' AND state_num % 3 = 0))
     SELECT g AS "group", CASE max(rank) WHEN 3 THEN 'fail' WHEN 2 THEN 'warning' WHEN 1 THEN 'unknown' ELSE 'pass' END AS verdict, count(*) AS reviews, CASE WHEN max(rank) = 3 THEN 1 ELSE 0 END AS exit_code FROM v GROUP BY g""")
 def _verdicts(traces):
+    return _all_verdicts(traces.filter("state_num % 3 = 0"))
+
+
+@query("verdict_rollup_all", "traces", sql=with_("traces") + """, said AS (SELECT trace_id, CASE label WHEN 'error' THEN '1 failure' WHEN 'view' THEN 'Warning: slow' WHEN 'click' THEN 'all passed' ELSE label END AS t FROM traces WHERE var = 'kind'),
+    v AS (SELECT trace_id AS g, CASE WHEN contains(upper(t), 'FAIL') OR contains(upper(t), 'CRITICAL') THEN 3 WHEN contains(upper(t), 'WARNING') THEN 2 WHEN contains(upper(t), 'PASS') THEN 0 ELSE 1 END AS rank FROM said)
+    SELECT g AS "group", CASE max(rank) WHEN 3 THEN 'fail' WHEN 2 THEN 'warning' WHEN 1 THEN 'unknown' ELSE 'pass' END AS verdict, count(*) AS reviews, CASE WHEN max(rank) = 3 THEN 1 ELSE 0 END AS exit_code FROM v GROUP BY g""")
+def _all_verdicts(traces):
+    """Verdicts over the states of every number."""
     label = F.col("label")
     said = F.when(label == "error", "1 failure").when(label == "view", "Warning: slow").when(label == "click", "all passed").otherwise(label)
-    return status.verdicts(traces.filter("var = 'kind' and state_num % 3 = 0").select(F.col("trace_id").alias("group"), said.alias("text")))
+    return status.verdicts(traces.filter("var = 'kind'").select(F.col("trace_id").alias("group"), said.alias("text")))
 
 
 @query("ids_next", "items", sql=with_("items") + " SELECT 'gwt' AS prefix, 'gwt-' || lpad(CAST(max(CAST(split_part(gwt_id, '-', 2) AS bigint)) + 1 AS varchar), 4, '0') AS next_id FROM items UNION ALL SELECT 'req', 'req-0001'")

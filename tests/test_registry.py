@@ -28,3 +28,32 @@ def test_same_as_sql(spark, small, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_components_of_all_edges(spark, small):
+    from depweave.plans.relations import relation
+
+    nodes = [r.id for r in relation(spark, small, "nodes").select("id").collect()]
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    for r in relation(spark, small, "edges").select("from_id", "to_id").collect():
+        a, b = sorted((find(r.from_id), find(r.to_id)))
+        root[b] = a
+    least = sorted({find(n) for n in nodes})
+    got = {r.node_id: r.component_id for r in registry.QUERIES["graph_components_all"](spark, small).collect()}
+    assert got == {n: f"component-{least.index(find(n))}" for n in nodes}
+
+
+def test_verdicts_of_all_states(spark, small):
+    from depweave.plans.relations import relation
+
+    reviews = relation(spark, small, "traces").filter("var = 'kind'").count()
+    got = registry.QUERIES["verdict_rollup_all"](spark, small).toPandas()
+    part = registry.QUERIES["verdict_rollup"](spark, small).toPandas()
+    assert got["reviews"].sum() == reviews > part["reviews"].sum()
+    assert set(part.loc[part["verdict"] == "fail", "group"]) <= set(got.loc[got["verdict"] == "fail", "group"])
