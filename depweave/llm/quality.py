@@ -10,6 +10,12 @@ a stratum without a certified cutoff keeps its documents.  With ``alpha`` shared
 among the rules, the false rejection of a stratum is at most ``max_risk`` in all, with
 probability ``1 - delta``.
 
+With ``ordered``, a rule's cutoffs are tested in a fixed order, from lax to strict, up to
+the first that is not certified.  Only the first error counts then, so the level is
+``delta`` divided by rules x strata.  Strata with too few good documents for any cutoff,
+even if none is rejected, are tested as one pooled stratum; which ones depends on their
+sizes alone, and the risk is bounded for the pool, not for each of them.
+
 Everything is DataFrame functions.  Null text counts as empty, a null stratum is a
 stratum of its own; repeated labels of a document count once, and as good only if all
 say so; an empty table gives no rows, and without labels nothing is rejected beyond
@@ -131,34 +137,46 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def certified_cutoffs(
-    good: DataFrame, stratum: str, values: dict[str, Column], cutoffs: dict[str, list[float]], *, max_risk: float = 0.02, delta: float = 0.05,
+    good: DataFrame, stratum: str, values: dict[str, Column], cutoffs: dict[str, list[float]], *, max_risk: float = 0.02, delta: float = 0.05, ordered: bool = False,
 ) -> DataFrame:
     """stratum, rule, cutoff: the lowest certified cutoff of each rule and stratum (no row where none is).
 
     ``good`` holds the labelled good documents.  Aggregates to strata x cutoffs rows before any test.
+    With ``ordered``, pooled strata have the cutoffs of their pool, and a row with a null stratum gives those for strata without labels.
     """
     alpha = max_risk / len(values)
-    tests = sum(map(len, cutoffs.values()))
+    tests = len(values) if ordered else sum(map(len, cutoffs.values()))
+    names = [f"k_{r}_{i}" for r in values for i in range(len(cutoffs[r]))]
     counts = good.groupBy(stratum).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(values[r] > c).alias(f"k_{r}_{i}") for r in values for i, c in enumerate(cutoffs[r])],
     )
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    each = counts.crossJoin(F.broadcast(strata)).select(
+    strata = counts.agg((F.count(F.lit(1)) + (1 if ordered else 0)).alias("strata"))
+    sized = counts.crossJoin(F.broadcast(strata))
+    level = F.log(F.lit(delta) / (F.lit(float(tests)) * F.col("strata")))
+    if ordered:
+        sized = sized.withColumn("pooled", F.col("n") * F.log(F.lit(1.0 - alpha)) > level)
+        pool = sized.filter("pooled").groupBy("strata").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+        shared = pool.withColumn(stratum, F.lit(None).cast(good.schema[stratum].dataType))
+        members = sized.filter("pooled").select(stratum).join(F.broadcast(pool))
+        sized = sized.filter("not pooled").drop("pooled").unionByName(members).unionByName(shared)
+    each = sized.select(
         stratum, "n", "strata",
         F.inline(F.array(*[
             F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k_{r}_{i}").cast("bigint").alias("k"))
             for r in values for i, c in enumerate(cutoffs[r])
         ])),
     )
-    passed = each.filter(
-        (F.col("k") <= F.col("n") * alpha)
-        & (log_binomial_cdf(F.col("k"), F.col("n"), alpha) <= F.log(F.lit(delta) / (F.lit(float(tests)) * F.col("strata"))))
-    )
-    return passed.groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))
+    certified = (F.col("k") <= F.col("n") * alpha) & (log_binomial_cdf(F.col("k"), F.col("n"), alpha) <= level)
+    if not ordered:
+        return each.filter(certified).groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))
+    judged = each.select(stratum, "rule", "cutoff", certified.alias("certified"))
+    refused = F.coalesce(F.max(F.when(~F.col("certified"), F.col("cutoff"))), F.lit(float("-inf")))
+    run = judged.groupBy(stratum, "rule").agg(refused.alias("refused"), F.collect_list(F.when(F.col("certified"), F.col("cutoff"))).alias("passed"))
+    return run.select(stratum, "rule", F.array_min(F.filter("passed", lambda c: c > F.col("refused"))).alias("cutoff")).filter("cutoff is not null")
 
 
-def apply_quality_rules(docs: DataFrame, labels: DataFrame, *, max_risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+def apply_quality_rules(docs: DataFrame, labels: DataFrame, *, max_risk: float = 0.02, delta: float = 0.05, ordered: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept (and the cutoffs used).
 
     Strata are languages.  The features are checkpointed once (a few numbers a document)
@@ -171,10 +189,14 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame, *, max_risk: float =
     values = rule_values()
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
     holdout = scored.filter(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
-    cutoffs = certified_cutoffs(holdout, "stratum", values, CUTOFFS, max_risk=max_risk, delta=delta)
+    cutoffs = certified_cutoffs(holdout, "stratum", values, CUTOFFS, max_risk=max_risk, delta=delta, ordered=ordered)
     used = cut(cutoffs.groupBy("stratum").agg(
         *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in values]
     ))
+    if ordered:
+        # languages without a labelled good document have the pool's cutoffs
+        others = scored.select("stratum").distinct().join(holdout.select("stratum").distinct(), "stratum", "left_anti")
+        used = cut(used.filter("stratum is not null").unionByName(others.crossJoin(F.broadcast(used.filter("stratum is null").drop("stratum")))))
     # few strata are no shuffle of all documents by a handful of keys; more than ``STRATA`` are joined plainly
     joined = scored.join(F.broadcast(used) if used.count() <= STRATA else used, "stratum", "left")
     over = F.lit(False)

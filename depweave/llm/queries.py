@@ -55,11 +55,15 @@ def op10_risk_controlled_rules(spark, sf_dir):
     return quality.apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ordered_rules(spark, sf_dir):
+    return quality.apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ordered=True)
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_string_kernel_languages, op2_small_world_search, op3_wrapper_extraction,
         op4_similar_line_removal, op5_sparse_product_jaccard, op6_bounded_ring_shards, op7_sum_of_squares_packing,
-        op8_merged_transform_dedup, op9_tree_bpe, op10_risk_controlled_rules,
+        op8_merged_transform_dedup, op9_tree_bpe, op10_risk_controlled_rules, op10_ordered_rules,
     )}
 
 

@@ -89,6 +89,17 @@ def test_binomial_cdf_and_cutoffs(spark):
     assert [r.cutoff for r in cut] == [0.97]
 
 
+def test_ordered_cutoffs(spark):
+    """Small strata share the pool's cutoffs; a rule stops at its first cutoff that fails."""
+    big = spark.range(1200).select(F.lit("a").alias("stratum"), F.lit(0.1).alias("v"))
+    few = spark.range(2000).select(F.concat(F.lit("s"), F.col("id") % 8).alias("stratum"), F.lit(0.6).alias("v"))
+    rule = {"v": F.col("v")}, {"v": [0.05, 0.5, 0.7, 0.9]}
+    both = big.unionByName(few)
+    got = {r.stratum: r.cutoff for r in quality.certified_cutoffs(both, "stratum", *rule, max_risk=0.005, ordered=True).collect()}
+    assert got == {"a": 0.5, None: 0.7} | {f"s{i}": 0.7 for i in range(8)}
+    assert {r.stratum for r in quality.certified_cutoffs(both, "stratum", *rule, max_risk=0.005).collect()} <= {"a"}
+
+
 def test_bpe(spark):
     df = awkward(spark)
     path = queries.tokenizer_file("byte_bpe_50k.json")
