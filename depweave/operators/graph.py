@@ -112,7 +112,8 @@ def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
     """(from_id, to_id, edge_type, seq, outcome): each new edge in order of ``seq``, accepted, duplicate, cycle or missing.
 
     An edge between two strongly connected sets of the candidate graph can close no cycle, so only
-    edges inside one set depend on their order; each set is taken in order by itself.
+    edges inside one set depend on their order; each set is taken in order by itself.  Only the
+    first of equal edges is: later ones are duplicates if it was accepted, else close the same cycle.
     """
     have = edges.select("from_id", "to_id", "edge_type", F.lit(-1).cast("bigint").alias("seq"))
     ids = nodes.select("id").distinct()
@@ -134,7 +135,15 @@ def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
         "from_id", "to_id", "edge_type", "seq", F.when(F.col("from_id") == F.col("to_id"), "cycle").when(F.col("rank") > 1, "duplicate").otherwise("accepted").alias("outcome")
     )
     schema = "from_id string, to_id string, edge_type string, seq bigint, outcome string"
-    inside = same.select("from_part", "from_id", "to_id", "edge_type", "seq").groupBy("from_part").applyInPandas(_greedy, schema)
+    firsts = same.groupBy("from_part", "from_id", "to_id", "edge_type").agg(F.min("seq").alias("seq"))
+    judged = firsts.groupBy("from_part").applyInPandas(_greedy, schema).select(
+        F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("edge_type").alias("kind"), "outcome"
+    )
+    equal = (F.col("from_id") == F.col("a")) & (F.col("to_id") == F.col("b")) & F.col("edge_type").eqNullSafe(F.col("kind"))
+    turn = same.select("from_id", "to_id", "edge_type", "seq", F.row_number().over(first).alias("turn"))
+    inside = turn.join(judged, equal).select(
+        "from_id", "to_id", "edge_type", "seq", F.when((F.col("turn") > 1) & (F.col("outcome") == "accepted"), "duplicate").otherwise(F.col("outcome")).alias("outcome")
+    )
     return free.unionByName(inside).filter("seq >= 0").unionByName(lost)
 
 

@@ -107,3 +107,41 @@ def test_nodes_and_ids(spark):
     assert (n.count(), e.count(), a.count()) == (3, 0, 0)
     new = spark.createDataFrame([("db-1", "module")], "id string, kind string")
     assert graph.upsert_nodes(nodes, new).filter(F.col("id") == "db-1").collect()[0].kind == "module"
+
+
+def test_repeated_edges_are_judged_once(spark, tmp_path):
+    """Copies of an edge share the first one's outcome; the search sees distinct edges alone."""
+    import random
+
+    rnd = random.Random(4)
+    ids = [f"n{i}" for i in range(7)]
+    new = [(rnd.choice(ids), rnd.choice(ids), rnd.choice(["calls", None]), i) for i in range(300)]
+    schema = "from_id string, to_id string, edge_type string"
+    have = [("n0", "n1", "calls"), ("n1", "n2", "calls")]
+    out, seen, want = {a: {b} for a, b, _ in have}, set(have), {}
+    for a, b, kind, seq in new:
+        met, ahead = {b}, [b]
+        while ahead:
+            for n in out.get(ahead.pop(), set()) - met:
+                met.add(n)
+                ahead.append(n)
+        want[seq] = "cycle" if a in met else "duplicate" if (a, b, kind) in seen else "accepted"
+        if want[seq] == "accepted":
+            seen.add((a, b, kind))
+            out.setdefault(a, set()).add(b)
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    rows_in, greedy = tmp_path / "rows", graph._greedy
+
+    def counted(pdf):
+        with open(rows_in, "a") as f:
+            f.write(f"{len(pdf)}\n")
+        return greedy(pdf)
+
+    graph._greedy = counted
+    try:
+        got = graph.add_edges(nodes, spark.createDataFrame(have, schema), spark.createDataFrame(new, schema + ", seq bigint")).collect()
+    finally:
+        graph._greedy = greedy
+    assert {r.seq: r.outcome for r in got} == want and len(got) == len(new)
+    distinct = {(a, b, k) for a, b, k, _ in new} | set(have)
+    assert max(map(int, rows_in.read_text().split())) <= len(distinct) < len(new)
