@@ -260,14 +260,16 @@ def _verify(n: int, percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, np.ndarray | None] = {}
+            known: dict[int, np.ndarray] = {}
 
             def of(name: int, text: str) -> np.ndarray | None:
                 if name not in known:
                     if len(known) > 256:
                         known.clear()
                     s, _ = shingle_sets([text.encode()], n)
-                    known[name] = s if len(s) and set_name(s) == name else None
+                    if not len(s) or set_name(s) != name:
+                        return None  # another text of the same id; the right one comes in another row
+                    known[name] = s
                 return known[name]
 
             left, right = [], []
@@ -331,13 +333,17 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
         shared_entries.join(heads, "column").filter((F.col("name") != F.col("name_b")) & _sizes_fit(percent))
         .select(F.col("name").alias("a"), F.col("name_b").alias("b")).distinct()
     )
-    least = sets.filter("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("least"))
+    # a row without an id is found by its text's hash
+    addressed = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text").filter("text is not null")
+    unnamed = rows.filter("doc_id is null and text is not null").select(F.xxhash64("text").alias("doc_id"), "text").mapInArrow(_sets(words), sets.schema)
+    found = sets.filter("doc_id is not null").select("doc_id", "name").unionByName(unnamed.select("doc_id", "name"))
+    least = found.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("least"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(least, "name")
         # one text a name: rows that repeat an id would multiply pairs
         needed = cut(needed.withColumnRenamed("least", "doc_id"))
-        holders = shared.rows_of(rows.filter("doc_id is not null"), needed.select("doc_id"))
+        holders = shared.rows_of(addressed, needed.select("doc_id"))
         texts = written(holders.join(needed, "doc_id").select("name", "text"))
         both = (
             pairs.join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")

@@ -232,6 +232,16 @@ def test_jaccard_components(spark, small):
     assert ngram_join.link_components(empty(spark)).count() == 0
 
 
+def test_links_of_null_and_repeated_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(w[k : k + 40]) for k in (0, 3, 6))  # a and c are linked through b only
+    other = " ".join(f"v{i}" for i in range(50))
+    for texts in ([(1, a), (None, b), (2, c), (None, other)], [(3, other), (3, b), (1, a), (2, c), (4, other + " tail")]):
+        df = spark.createDataFrame([(d, t) for d, t in texts], "doc_id bigint, text string").coalesce(1)
+        got = ngram_join.link_components(df, words=4, percent=80).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got if r.doc_id) == [r for r in components_model(texts, 4, 80) if not r[0]]
+
+
 def test_similar_lines(spark, small):
     for df in (awkward(spark), spark.read.parquet(f"{small}/documents.parquet")):
         rows = sorted(texts_of(df), key=lambda r: (r[0] is None, r[0] or 0))
