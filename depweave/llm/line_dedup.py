@@ -8,22 +8,26 @@ an order of removal.
 
 Equal sets are one class, whose later members all go.  Between classes the join runs on
 prefixes: tokens are ordered from rare to common by a table of hashed counters over all
-lines.  Two sets that reach the threshold share two of each side's first
-n - ceil(t n) + 2 tokens, so short prefixes are joined on pairs of tokens; long ones (from
-``WIDE`` words on, where pairs would be many) on single tokens of the first
-n - ceil(t n) + 1.  Sets too short to match any but an equal one (up to 3 words at 80 %)
-have no prefix.  A pair must pass the length bound, the positional bound (after their
-first common tokens two sets share no more than the shorter rest) and a bound from
-128-bit sketches (differing bits never outnumber differing tokens) before the whole sets
-are compared.
-As one earlier match is enough, each class is first paired with the earliest class of
-each of its keys; only classes that this leaves undecided are paired with all earlier
-ones.
+lines.  Two sets that reach the threshold share one of each side's first
+n - ceil(t n) + 1 tokens, and two of the first n - ceil(t n) + 2.  If the first token
+they share is rare (seen in at most ``RARE`` places), they meet in that token's key;
+else all tokens they share are common and they meet in the key of the first two.  Sets
+too short to match any but an equal one (up to 3 words at 80 %) have no key.
+
+Keys are dealt to tasks by ranges of their hashes.  Inside a task a pair of one key must
+pass the length bound, the positional bound (from the first tokens they share on, two
+sets share no more than the shorter rest) and a bound from 96-bit parities of the tokens
+(differing bits never outnumber differing tokens) before it leaves the task.  As one
+earlier match is enough, each class sends its closest candidates only, whose whole sets
+are compared; a class that had more than it sent, and was not decided by them, is
+looked at again with sixteen times as many, until none is left.  A key that could hold
+more than ``HOT`` lines (its tokens' counters say so) is salted: its classes are spread
+over several tasks, and in the later rounds the undecided ones visit all of them.
 
 Edge cases: null and empty texts stay as they are; lines without a word stay; a
-null id counts as the last; rows that repeat an id are ordered line by line;
-very long lines are taken whole; an empty table gives no rows; extra columns pass
-through (working columns have names of their own).
+null id counts as the last; rows that repeat an id are ordered line by line, told apart
+by 32 bits of their text's hash; very long lines are taken whole; an empty table gives no
+rows; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +35,48 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm import shared
 from depweave.llm.ngram_join import COUNTERS, _blocks, counted_levels, mix, word_hashes
-from depweave.session import cut, discard, written
+from depweave.session import cut, discard, release, written
 
 MIN_WORDS = 1
+#: Stands for a null id, the last of all.
+NO_ID = (1 << 63) - 1
 PERCENT = 80
-#: Words from which prefixes are joined on single tokens.
-WIDE = 80
-GATHER = 2_000_000
+#: Places of a token up to which it makes a key by itself.
+RARE = 64
+#: Lines that a key may hold before it is salted, neighbours (by size) that the first round looks at, candidates it sends.
+HOT = 1 << 16
+NEAR = 256
+SENT = 4
+GATHER = 500_000
+_WORDS = 3
+_ENTRY = np.dtype([("key", "<u8"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("open", "u1"), ("bits", "<u4", (_WORDS,))])
+
+
+def _level(count: int) -> int:
+    """The commonness byte of a count."""
+    return int(8 * np.log2(count + 1))
+
+
+def _sorted(owner: np.ndarray, first: np.ndarray | None, token: np.ndarray) -> np.ndarray:
+    """An order by owner, ``first`` (a byte) and token: one sort of packed keys, unless packing made two tokens equal."""
+    bits = max(1, int(owner[-1]).bit_length()) if len(owner) else 1
+    packed = owner.astype(np.uint64) << np.uint64(64 - bits)
+    if first is not None:
+        bits += 8
+        packed |= first.astype(np.uint64) << np.uint64(64 - bits)
+    packed |= token >> np.uint64(bits)
+    order = np.argsort(packed)
+    packed, token = packed[order], token[order]
+    if ((packed[1:] == packed[:-1]) & (token[1:] != token[:-1])).any():
+        return np.lexsort((token, owner) if first is None else (token, first, owner))[: len(order)]
+    return order
 
 
 class Lines:
@@ -53,14 +86,14 @@ class Lines:
         split = [raw.split(b"\n") for raw in raws]
         many = np.array([len(x) for x in split], np.int64)
         word, owner = word_hashes([line for x in split for line in x])
-        order = np.lexsort((word, owner))
+        order = _sorted(owner, None, word)
         word, owner = word[order], owner[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
         word, owner = word[new], owner[new]
         size = np.bincount(owner, minlength=int(many.sum()))
         keep = size >= max(1, min_words)
-        self.token, owner = word[keep[owner]], owner[keep[owner]]
+        self.token = word[keep[owner]]
         at = np.flatnonzero(keep)
         self.size = size[at]
         self.text = np.repeat(np.arange(len(raws)), many)[at]
@@ -70,117 +103,192 @@ class Lines:
         # a set's name: a sum over its tokens, so that their order does not matter
         self.name = mix(np.add.reduceat(mix(self.token ^ np.uint64(0x5851F42D4C957F2D)), self.first) + self.size.astype(np.uint64)).view(np.int64) if len(at) else at
 
-    def prefixes(self, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, number of them per line): rarest first, one more than the length bound asks for; none if only an equal set can match."""
+    def keys(self, level: np.ndarray, percent: int, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, line, lost, level): ``lost`` tokens cannot be shared if the key's are the first that are; ``level`` of the key's rarest token."""
         common = level[(self.token & np.uint64(len(level) - 1)).astype(np.int64)]
-        order = np.lexsort((self.token, common, self.owner))
         want = np.minimum(self.size, self.size - (self.size * percent + 99) // 100 + 2)
         want[100 * self.size < percent * (self.size + 1)] = 0
+        order = _sorted(self.owner, common, self.token)
         place = np.arange(len(order)) - np.repeat(self.first, self.size)
-        return self.token[order[place < want[self.owner]]], want
-
-    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
-        """A bit per token in 128 bits, as two signed integers."""
-        bit = (self.token >> np.uint64(40)) & np.uint64(127)
-        one = np.uint64(1) << (bit & np.uint64(63))
-        high = bit >= np.uint64(64)
-        none = np.uint64(0)
-        return tuple(np.bitwise_or.reduceat(np.where(high == h, one, none), self.first).view(np.int64) for h in (True, False))
-
-
-_LINE = "doc bigint, pos bigint, name bigint, size int, sa bigint, sb bigint, lead binary"
-
-
-def _lines(min_words: int, percent: int, levels) -> Callable:
+        order = order[place < want[self.owner]]
+        token, row, common = self.token[order], np.repeat(np.arange(len(want)), want), common[order]
+        place = np.arange(len(token)) - np.repeat(np.cumsum(want) - want, want)
+        alone = common <= _level(rare)
+        one = (self.size * percent <= 100)[row]  # one shared token may be enough
+        # the last place serves pairs only; a token that was seen once is in no other line
+        single = (alone | one) & (common > _level(1)) & ((place < want[row] - 1) | (want[row] == self.size[row]))
+        found = [(token[single], row[single], place[single], common[single])]
+        token, row, place, common = (x[~alone] for x in (token, row, place, common))
+        longest = int(np.bincount(row).max()) if len(row) else 0
+        for step in range(1, longest):
+            same = row[step:] == row[:-step]
+            a, b = token[:-step][same], token[step:][same]
+            with np.errstate(over="ignore"):
+                key = mix(np.minimum(a, b) + np.maximum(a, b) * np.uint64(0x9E3779B97F4A7C15))
+            found.append((key, row[step:][same], place[step:][same] - 1, common[:-step][same]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def parities(self) -> np.ndarray:
+        """``_WORDS`` times 32 bits a set, each the parity of the tokens that fall on it."""
+        bit = (self.token >> np.uint64(40)) % np.uint64(32 * _WORDS)
+        one = np.uint32(1) << (bit & np.uint64(31)).astype(np.uint32)
+        out = np.zeros((len(self.size), _WORDS), np.uint32)
+        for w in range(_WORDS):
+            out[:, w] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(5) == w, one, np.uint32(0)), self.first)
+        return out
+
+
+def _lines(min_words: int) -> Callable:
     """mapInArrow over (doc, tkey, text): one row per line that takes part; ``pos`` is its number and 32 bits of the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
             doc, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for rows, raws in _blocks(batch, 2):
                 x = Lines(raws, min_words)
-                if not len(x.size):
-                    continue
-                row = np.asarray(rows)[x.text]
-                lead, want = x.prefixes(level, percent)
-                sa, sb = x.sketches()
-                ends = np.append(0, np.cumsum(want * 8)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc[row]), pa.array((x.line << 32) | (tkey[row] & 0xFFFFFFFF)), pa.array(x.name), pa.array(x.size.astype(np.int32)), pa.array(sa), pa.array(sb),
-                        pa.Array.from_buffers(pa.binary(), len(want), [None, pa.py_buffer(ends), pa.py_buffer(lead.tobytes())]),
-                    ],
-                    names=["doc", "pos", "name", "size", "sa", "sb", "lead"],
-                )
+                if len(x.size):
+                    row = np.asarray(rows)[x.text]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((x.line << 32) | (tkey[row] & 0xFFFFFFFF)), pa.array(x.name)], names=["doc", "pos", "name"])
 
     return run
 
 
-def _leads(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, number of them per row) of a column of prefixes."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.uint64), np.array([len(v) // 8 for v in values], np.int64)
+def _first_entries(x: np.ndarray) -> np.ndarray:
+    """Entries by key and size, each class of a key once, with its earliest place."""
+    x = x[np.lexsort((x["at"], x["name"], x["size"], x["key"]))]
+    return x[np.append(True, (x["key"][1:] != x["key"][:-1]) | (x["name"][1:] != x["name"][:-1]))] if len(x) else x
 
 
-def _keys(token: np.ndarray, many: np.ndarray, size: np.ndarray, keep: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row, most): pairs of the kept prefix tokens of rows up to 1.25 ``WIDE`` words, single ones from ``WIDE`` on.
+def _entries(percent: int, min_words: int, rare: int, hot: int, levels, low: int, shift: int, bits: int, again=None) -> Callable:
+    """mapInArrow over (doc, text): the entries (see ``_ENTRY``) of each range of keys, as bytes.
 
-    ``most``: tokens that the row can share with another one if the key's are the first they share.
+    ``again``: bitmaps of the keys and of the names that a later round looks at.
     """
-    row = np.repeat(np.arange(len(many)), many)
-    place = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)
-    # the last place serves pairs only, unless one common token is enough
-    one = (size[row] * percent <= 100) & (percent <= 50)
-    single = keep & (one | ((size[row] >= WIDE) & (place < many[row] - 1)))
-    keys, rows, most = [token[single]], [row[single]], [(size[row] - place)[single]]
-    use = keep & (4 * size[row] <= 5 * WIDE)
-    token, row, place = token[use], row[use], place[use]
-    for step in range(1, int(np.bincount(row).max(initial=0)) if len(row) else 0):
-        same = row[step:] == row[:-step]
-        a, b = token[:-step][same], token[step:][same]
-        with np.errstate(over="ignore"):
-            keys.append(mix(np.minimum(a, b) + np.maximum(a, b) * np.uint64(0x9E3779B97F4A7C15)))
-        rows.append(row[step:][same])
-        most.append((size[row] + 1 - place)[step:][same])
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(most)
-
-
-def _gather(bits: int, percent: int, marks=None, token_bits: int = 0) -> Callable:
-    """mapInArrow over (name, size, lead): the prefix tokens, or with their bitmap the keys, to find those of two classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = shared.Gathered(bits)
-        bitmap = np.frombuffer(marks.value, np.uint8) if marks else None
+        level = np.frombuffer(levels.value, np.uint8)
+        marks = [np.frombuffer(m.value, np.uint8) for m in again] if again else None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            part, x = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.lexsort((x["at"], x["name"], x["key"], part))
+            part, x = part[order], x[order]
+            new = np.append(True, (x["key"][1:] != x["key"][:-1]) | (x["name"][1:] != x["name"][:-1]) | (part[1:] != part[:-1]))
+            part, x = part[new], x[new]
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([x[a:b].tobytes() for a, b in zip(at, [*at[1:], len(x)])], pa.binary())], names=["part", "entries"])
+
         for batch in batches:
-            name, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            token, many = _leads(batch.column(2).take(pa.array(first)))
-            if bitmap is None:
-                sent.add(token, np.repeat(name, many))
-            else:
-                size = batch.column(1).to_numpy()[first]
-                key, row, _ = _keys(token, many, size, shared.marked(token, bitmap, token_bits), percent)
-                sent.add(key, name[row])
-            if sent.size >= GATHER:
-                yield sent.batch()
-        if sent.size:
-            yield sent.batch()
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            for rows, raws in _blocks(batch, 1):
+                x = Lines(raws, min_words)
+                if not len(x.size):
+                    continue
+                key, row, lost, common = x.keys(level, percent, rare)
+                is_open = np.zeros(len(x.size), bool)
+                if marks:
+                    use = shared.marked(key, marks[0], bits)
+                    key, row, lost, common = key[use], row[use], lost[use], common[use]
+                    is_open = shared.marked(x.name.view(np.uint64), marks[1], bits)
+                if not len(key):
+                    continue
+                out = np.zeros(len(key), _ENTRY)
+                out["key"], out["name"], out["size"], out["lost"], out["open"] = key, x.name[row], x.size[row], np.minimum(lost, 255), is_open[row]
+                out["at"] = np.minimum((doc[np.asarray(rows)[x.text[row]]].view(np.uint64) - np.uint64(low)) >> np.uint64(shift), np.uint64(0xFFFFFFFF))
+                out["bits"] = x.parities()[row]
+                # a key that may be too large for a task is dealt to several
+                salts = np.maximum(1, np.ceil(2.0 ** (common / 8.0) / hot)).astype(np.int64)
+                salt = np.where(salts > 1, out["name"] % salts, 0)
+                spread = np.flatnonzero(is_open[row] & (salts > 1))
+                if len(spread):
+                    many = salts[spread]
+                    salt = np.concatenate([salt, np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)])
+                    out = np.concatenate([out, out[np.repeat(spread, many)]])
+                with np.errstate(over="ignore"):
+                    part = np.where(salt > 0, mix(out["key"] + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), out["key"]) >> np.uint64(64 - bits)
+                # salted keys are never looked at as a whole in the first round
+                if len(salts) and not marks:
+                    out["open"] = salts > 1
+                held.append((part.astype(np.int64), out))
+                size += len(out)
+                if size >= GATHER:
+                    yield sent()
+                    size = 0
+        if held:
+            yield sent()
 
     return run
 
 
-def _entries(percent: int, tokens, keys, bits: int, key_bits: int) -> Callable:
-    """mapInArrow over (doc, pos, name, size, sa, sb, lead): one row per key that two classes may share."""
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_map, key_map = (np.frombuffer(x.value, np.uint8) for x in (tokens, keys))
-        for batch in batches:
-            size = batch.column(3).to_numpy(zero_copy_only=False)
-            token, many = _leads(batch.column(6))
-            key, row, most = _keys(token, many, size, shared.marked(token, token_map, bits), percent)
-            use = shared.marked(key, key_map, key_bits)
-            row = pa.array(row[use])
-            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(most[use].astype(np.int32))], names=["key", "doc", "pos", "most"])
+
+def _fit(x: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs pass the positional and parity bounds, their distance)."""
+    n, m = x["size"][i].astype(np.int64), x["size"][j].astype(np.int64)
+    need = -(-percent * (n + m) // (100 + percent))
+    near = np.minimum(n - x["lost"][i], m - x["lost"][j]) >= need
+    apart = np.full(len(i), 1 << 30)
+    apart[near] = _apart(x["bits"][i[near]], x["bits"][j[near]])
+    return near & (apart <= n + m - 2 * need), apart
+
+
+def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
+    """applyInPandas over the entries of one range of keys: name and name_b (an earlier class that may match), or with ``more`` name and a key that held more.
+
+    In the first round each class meets its ``near`` neighbours by size in each key; later the open ones meet all of the key.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _first_entries(np.concatenate([np.frombuffer(b, _ENTRY) for b in pdf["entries"]]))
+        size, at = x["size"].astype(np.int64), x["at"]
+        begin = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1]))
+        many = np.diff(np.append(begin, len(x)))
+        begin, end = np.repeat(begin, many), np.repeat(begin + many, many)
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        more = np.zeros(len(x), bool)
+        if again:
+            for i in np.flatnonzero(x["open"]).tolist():
+                same = size[begin[i] : end[i]]
+                j = begin[i] + np.arange(np.searchsorted(same, -(-percent * size[i] // 100)), np.searchsorted(same, 100 * size[i] // percent, "right"))
+                j = j[(j != i) & (at[j] <= at[i])]
+                ok, apart = _fit(x, np.full(len(j), i), j, percent)
+                found.append((np.full(int(ok.sum()), i), j[ok], apart[ok]))
+        else:
+            more |= x["open"] > 0
+            here = np.arange(len(x))
+            for step in range(1, near + 2):
+                here = here[here + step < end[here]]
+                here = here[100 * size[here] >= percent * size[here + step]]
+                if not len(here):
+                    break
+                there = here + step
+                if step > near:
+                    more[here] = more[there] = True
+                    continue
+                ok, apart = _fit(x, here, there, percent)
+                i, j, apart = here[ok], there[ok], apart[ok]
+                found += [(a[at[a] >= at[b]], b[at[a] >= at[b]], apart[at[a] >= at[b]]) for a, b in ((i, j), (j, i))]
+        i, j, apart = (np.concatenate(c) for c in zip(*found))
+        name, other = x["name"][i], x["name"][j]
+        order = np.lexsort((other, apart, name))
+        i, name, other = i[order], name[order], other[order]
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | (other[1:] != other[:-1])
+        i, name, other = i[new], name[new], other[new]
+        first = np.ones(len(name), bool)
+        first[1:] = name[1:] != name[:-1]
+        rank = np.arange(len(name)) - np.maximum.accumulate(np.where(first, np.arange(len(name)), 0)) if len(name) else i
+        more[i[rank >= most]] = True
+        name, other = name[rank < most], other[rank < most]
+        k = np.flatnonzero(more)
+        return pd.DataFrame({
+            "name": np.append(name, x["name"][k]), "name_b": np.append(other, x["key"][k].view(np.int64)), "more": np.append(np.zeros(len(name), bool), np.ones(len(k), bool)),
+        })
 
     return run
 
@@ -204,115 +312,104 @@ def _whole_sets(min_words: int, names, bits: int) -> Callable:
 
 
 def _verify(percent: int) -> Callable:
-    """mapInArrow over (name, x, y): the names whose set x reaches the threshold with y."""
+    """mapInArrow over (name, name_b, x, y): the pairs whose sets x and y reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            late = []
-            for name, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    late.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(late, pa.int64())], names=["name"])
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _may_match(percent: int):
-    """Length, positional and sketch bounds of (size, most, sa, sb) and (size_b, most_b, sa_b, sb_b), the second of which is earlier."""
-    need = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent) - 1e-9)
-    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sa_b"))) + F.bit_count(F.col("sb").bitwiseXOR(F.col("sb_b")))
-    earlier = (F.col("doc_b") < F.col("doc")) | ((F.col("doc_b") == F.col("doc")) & (F.col("pos_b") < F.col("pos")))
-    placed = F.least("most", "most_b") >= need
-    return earlier & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")) & placed & (apart <= F.col("size") + F.col("size_b") - 2 * need)
-
-
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, rare: int = RARE, hot: int = HOT, near: int = NEAR, sent: int = SENT) -> DataFrame:
     """doc, tkey, lines (array of line numbers that go), per row of (doc, tkey, text) that has any."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = docs.select("doc", "text")
+    known = F.when(F.col("doc") < NO_ID, F.col("doc"))
+    total, low, high = docs.agg(F.sum(F.octet_length("text")), F.min(known), F.max(known)).first()
+    total, low, high = total or 0, low or 0, high or 0
+    bits = shared.range_bits(total // 24)
     counters = min(COUNTERS, 1 << max(16, (total // 48).bit_length()))
-    levels = counted_levels(docs.select("doc", "text"), lambda raws: word_hashes(raws)[0], counters)
-    lines = written(docs.select("doc", "tkey", "text").mapInArrow(_lines(min_words, percent, levels), _LINE))
-    # one row a class, that of its first line
-    first = F.min(F.struct("doc", "pos", "size", "sa", "sb", "lead")).alias("x")
-    classes = written(lines.groupBy("name").agg(first).select("x.doc", "x.pos", "name", "x.size", "x.sa", "x.sb", "x.lead"))
-    wide, lines = lines, written(lines.select("doc", "pos", "name"))
-    discard(wide)
-    bits, key_bits = shared.range_bits(total // 24), shared.range_bits(total // 12)
-    leads = classes.select("name", "size", "lead")
-    tokens = shared.shared_bitmap(leads.mapInArrow(_gather(bits, percent), shared.Gathered.SCHEMA), bits)
-    keys = shared.shared_bitmap(leads.mapInArrow(_gather(key_bits, percent, tokens, bits), shared.Gathered.SCHEMA), key_bits)
-    # a class is known by its first line; what the bounds need is joined to pairs, not carried by every key
-    entries = written(classes.mapInArrow(_entries(percent, tokens, keys, bits, key_bits), "key bigint, doc bigint, pos bigint, most int"))
-    facts = written(classes.select("doc", "pos", "name", "size", "sa", "sb"))
-    discard(classes)
-    facts_b = facts.withColumnsRenamed({c: f"{c}_b" for c in facts.columns})
-
-    head = F.min(F.struct("doc", "pos", "most"))
-    counted = entries.groupBy("key").agg(head.alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heads = written(counted.select("key", F.col("h.doc").alias("doc_b"), F.col("h.pos").alias("pos_b"), F.col("h.most").alias("most_b")))
-    first_pairs = entries.join(heads, "key").filter("doc <> doc_b or pos <> pos_b").groupBy("doc", "pos", "doc_b", "pos_b").agg(F.max(F.least("most", "most_b")).alias("most"))
-    stars = cut(
-        first_pairs.join(facts, ["doc", "pos"]).join(facts_b, ["doc_b", "pos_b"]).withColumn("most_b", F.col("most")).filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b")
-    )
+    levels = counted_levels(texts, lambda raws: word_hashes(raws)[0], counters)
+    lines = written(docs.select("doc", "tkey", "text").mapInArrow(_lines(min_words), "doc bigint, pos bigint, name bigint"))
+    firsts = written(lines.groupBy("name").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
+
+    def candidates(again, sent: int) -> DataFrame:
+        entries = texts.mapInArrow(_entries(percent, min_words, rare, hot, levels, low % (1 << 64), max(0, (high - low).bit_length() - 32), bits, again), "part bigint, entries binary")
+        return written(entries.groupBy("part").applyInPandas(_candidates(percent, near, sent, again is not None), "name bigint, name_b bigint, more boolean"))
 
     def matched(pairs: DataFrame) -> DataFrame:
-        chosen = shared.bitmap_of(pairs.select(F.explode(F.array("name", "name_b")).alias("name")), "name", bits)
-        holders = shared.rows_of(docs.select("doc", "text"), pairs.select(F.explode(F.array("doc", "doc_b")).alias("doc")).distinct())
-        sets = cut(holders.mapInArrow(_whole_sets(min_words, chosen, bits), "name bigint, tokens binary").dropDuplicates(["name"]))
-        return (
-            pairs.join(sets.withColumnRenamed("tokens", "x"), "name")
-            .join(sets.select(F.col("name").alias("name_b"), F.col("tokens").alias("y")), "name_b")
-            .select("name", "x", "y").mapInArrow(_verify(percent), "name bigint").distinct()
-        )
-
-    late = cut(matched(stars))
-    undecided = written(entries.join(facts.join(late, "name", "left_anti"), ["doc", "pos"]).join(heads.select("key", F.col("doc_b").alias("hd"), F.col("pos_b").alias("hp")), "key").filter("doc <> hd or pos <> hp").drop("hd", "hp"))
-    earlier = entries.join(undecided.select("key").distinct(), "key", "left_semi").withColumnsRenamed({"doc": "doc_b", "pos": "pos_b", "most": "most_b"}).join(facts_b, ["doc_b", "pos_b"])
-    rest = cut(
-        undecided.join(earlier, "key").filter(_may_match(percent)).select("name", "name_b", "doc", "doc_b").distinct()
-        .join(stars.select("name", "name_b"), ["name", "name_b"], "left_anti")
-    )
-    late = late.unionByName(matched(rest)).distinct()
-    firsts = facts.select("name", F.struct("doc", "pos").alias("first"))
+        """(name): the classes with a match whose first line is earlier."""
+        needed = cut(pairs.select(F.explode(F.array("name", "name_b")).alias("name")).distinct().join(firsts.select("name", "first"), "name"))
+        chosen = shared.bitmap_of(needed, "name", bits)
+        holders = shared.rows_of(texts, needed.select(F.col("first.doc").alias("doc")))
+        sets = written(holders.mapInArrow(_whole_sets(min_words, chosen, bits), "name bigint, tokens binary").join(needed, "name").dropDuplicates(["name"]))
+        chosen.unpersist()
+        both = pairs.join(sets.select("name", F.col("tokens").alias("x")), "name").join(sets.select(F.col("name").alias("name_b"), F.col("tokens").alias("y")), "name_b")
+        true = both.select("name", "name_b", "x", "y").mapInArrow(_verify(percent), "name bigint, name_b bigint")
+        late = true.join(needed.withColumnRenamed("first", "f"), "name").join(needed.select(F.col("name").alias("name_b"), F.col("first").alias("g")), "name_b")
+        done = cut(late.select(F.when(F.col("f") > F.col("g"), F.col("name")).otherwise(F.col("name_b")).alias("name")).distinct())
+        discard(sets)
+        return done
+
+    round_ = candidates(None, sent)
+    release(docs.sparkSession)
+    late = matched(round_.filter("not more").select("name", "name_b").distinct())
+    while True:
+        left = cut(round_.filter("more").select("name", F.col("name_b").alias("key")).join(late, "name", "left_anti").distinct())
+        discard(round_)
+        if left.isEmpty():
+            break
+        sent *= 16
+        again = (shared.bitmap_of(left, "key", bits), shared.bitmap_of(left, "name", bits))
+        round_ = candidates(again, sent)
+        release(docs.sparkSession)
+        late = cut(late.unionByName(matched(round_.filter("not more").select("name", "name_b").distinct())).distinct())
     gone = (
-        lines.select("doc", "pos", "name").join(firsts, "name").join(late.withColumn("late", F.lit(True)), "name", "left")
+        lines.join(firsts.join(late.withColumn("late", F.lit(True)), "name", "left").filter("n > 1 or late"), "name")
         .filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
     )
     spans = written(gone.groupBy("doc", F.col("pos").bitwiseAND(0xFFFFFFFF).alias("tkey")).agg(F.collect_list(F.shiftright("pos", 32)).alias("lines")))
-    for done in (lines, facts, entries, heads, undecided):
-        discard(done)
+    levels.unpersist()
+    discard(lines)
+    discard(firsts)
     return spans
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow over (kept columns, text, lines)."""
     for batch in batches:
-        k = batch.num_columns - 2
         text, many, gone = [], [], []
-        for t, lines in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):
+        for t, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             parts = t.split("\n") if t is not None else []
             drop = set(lines or ())
             text.append("\n".join([x for i, x in enumerate(parts) if i not in drop]) if drop else t)
             many.append(len(parts))
             gone.append(len(drop))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:k], pa.array(text, pa.string()), pa.array(many, pa.int64()), pa.array(gone, pa.int64())],
-            names=[*batch.schema.names[:k], "_kept", "n_lines", "n_removed"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(many, pa.int64()), pa.array(gone, pa.int64())], names=["kept", "text", "n_lines", "n_removed"])
+
 
+def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("text", "n_lines", "n_removed"), **options) -> DataFrame:
+    """``keep`` columns and, as ``names``, the text of the lines that stay (joined by a line end), the lines it had and those that went.
 
-def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``keep`` columns, ``_kept`` (the text of the lines that stay, joined by a line end), n_lines, n_removed."""
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("_doc"), F.xxhash64("text").alias("_tkey"), F.col("text").alias("_text"))
-    gone = repeated_lines(rows.select(F.col("_doc").alias("doc"), F.col("_tkey").alias("tkey"), F.col("_text").alias("text")), min_words=min_words, percent=percent)
-    joined = rows.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_tkey").bitwiseAND(0xFFFFFFFF) == F.col("tkey")), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "lines")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
-    return joined.mapInArrow(_apply, f"{schema}, _kept string, n_lines bigint, n_removed bigint")
+    Only texts that lose a line are joined to what they lose; the others pass without a shuffle.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    rows = docs.select(doc.alias("doc"), F.xxhash64("text").alias("tkey"), "text", shared.packed(keep).alias("kept"))
+    gone = repeated_lines(rows.select("doc", "tkey", "text"), **options)
+    touched, others = shared.parted(rows, gone.select("doc"))
+    low = rows.schema["kept"].dataType
+    spans = gone.withColumnRenamed("tkey", "short")
+    joined = touched.join(spans, (touched["doc"] == spans["doc"]) & (F.col("tkey").bitwiseAND(0xFFFFFFFF) == F.col("short")), "left").select("kept", "text", "lines")
+    every = joined.unionByName(others.select("kept", "text", F.lit(None).cast("array<bigint>").alias("lines")))
+    done = every.mapInArrow(_apply, f"kept {low.simpleString()}, text string, n_lines bigint, n_removed bigint")
+    return done.select(*shared.unpacked("kept", keep), *[F.col(a).alias(b) for a, b in zip(("text", "n_lines", "n_removed"), names)])
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text (without the lines that go), n_lines, n_removed."""
-    return remove_similar_lines(docs).withColumnRenamed("_kept", "text")
+    return remove_similar_lines(docs)

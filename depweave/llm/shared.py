@@ -123,21 +123,9 @@ def _scattered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(scatter(batch.column(0).to_numpy(zero_copy_only=False)).view(np.int64))], names=["name"])
 
 
-def _marked_rows(marks, bits: int) -> Callable:
-    """mapInArrow over (id, ...): the rows whose id is marked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(marks.value, np.uint8)
-        for batch in batches:
-            yield batch.filter(pa.array(marked(scatter(batch.column(0).to_numpy(zero_copy_only=False)), bitmap, bits)))
-
-    return run
-
-
 def rows_of(rows: DataFrame, ids: DataFrame, bits: int = 8) -> DataFrame:
     """The rows whose first column (an id, not null) is among ``ids`` (one column), and few others: a filter without a shuffle of ``rows``."""
-    bitmap = bitmap_of(ids.mapInArrow(_scattered, "name bigint"), "name", bits)
-    return rows.mapInArrow(_marked_rows(bitmap, bits), rows.schema)
+    return parted(rows, ids, bits)[0]
 
 
 def _marks(bits: int) -> Callable:
@@ -155,3 +143,42 @@ def bitmap_of(names: DataFrame, column: str, bits: int):
     """Broadcast bitmap of a column of 64-bit names, by the same places as above."""
     ranged = names.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("part"), F.col(column).alias("name"))
     return _broadcast(ranged.groupBy("part").applyInPandas(_marks(bits), "part bigint, slice binary"), bits)
+
+
+def _parted_rows(marks, bits: int, wanted: bool) -> Callable:
+    """mapInArrow over (id, ...): the rows whose id has, or has not, its bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            has = marked(scatter(batch.column(0).to_numpy(zero_copy_only=False)), bitmap, bits)
+            yield batch.filter(pa.array(has if wanted else ~has))
+
+    return run
+
+
+def parted(rows: DataFrame, ids: DataFrame, bits: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose first column, an id that is not null, is among ``ids``, and few others; the rest), without a shuffle of ``rows``."""
+    bitmap = bitmap_of(ids.mapInArrow(_scattered, "name bigint"), "name", bits)
+    return tuple(rows.mapInArrow(_parted_rows(bitmap, bits, wanted), rows.schema) for wanted in (True, False))
+
+
+def packed(columns: tuple[str, ...]):
+    """Columns of any names as one struct, so that they meet no working column."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def unpacked(struct: str, columns: tuple[str, ...]) -> list:
+    """The columns of ``packed`` under their own names."""
+    return [F.col(struct)[f"c{i}"].alias(c) for i, c in enumerate(columns)]
+
+
+def free(taken: list[str], *wanted: str) -> tuple[str, ...]:
+    """``wanted`` names, with underscores in front until no name of ``taken`` (in any case) is met."""
+    lower, out = {c.lower() for c in taken}, []
+    for w in wanted:
+        while w.lower() in lower:
+            w = "_" + w
+        lower.add(w.lower())
+        out.append(w)
+    return tuple(out)

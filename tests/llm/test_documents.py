@@ -273,8 +273,45 @@ def test_similar_short_lines(spark):
                 if s:
                     sets.append(s)
             want[r[0]] = "\n".join(kept)
-        got = line_dedup.remove_similar_lines(spark.createDataFrame(rows, SCHEMA), percent=percent).collect()
-        assert {r.doc_id: r._kept for r in got} == want
+        for options in ({}, {"rare": 1, "hot": 1, "near": 1, "sent": 1})[percent == 50 :]:
+            got = line_dedup.remove_similar_lines(spark.createDataFrame(rows, SCHEMA), percent=percent, **options).collect()
+            assert {r.doc_id: r.text for r in got} == want
+
+
+def test_similar_lines_of_many_sizes(spark):
+    """Near copies in chains and stars, unrelated lines of the same words, short rounds and salted keys."""
+    import random
+
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)] + [f"r{i}" for i in range(3000)]
+    weights = [40] * 60 + [1] * 3000
+    lines = []
+    for size in (4, 5, 6, 9, 14, 30, 70, 90, 140, 300):
+        base = rnd.choices(vocabulary, weights, k=size)
+        for _ in range(14):
+            near = list(base)
+            for _ in range(rnd.randrange(0, max(2, size // 6))):
+                near[rnd.randrange(size)] = rnd.choice(vocabulary)
+            lines.append(" ".join(near))
+            if rnd.random() < 0.3:
+                base = near
+        lines += [" ".join(rnd.choices(vocabulary, weights, k=size)) for _ in range(4)]
+    rnd.shuffle(lines)
+    rows = [(i // 3, "\n".join(lines[i : i + 3])) for i in range(0, len(lines), 3)] + [(None, lines[0]), (None, lines[1]), (None, lines[2] + " more")]
+    for percent in (80, 60):
+        sets, want = [], collections.Counter()
+        for doc, text in rows:
+            kept = []
+            for x in text.split("\n"):
+                s = set(WORD.findall(x))
+                if not any(100 * len(s & o) >= percent * len(s | o) for o in sets):
+                    kept.append(x)
+                sets.append(s)
+            want[doc, "\n".join(kept)] += 1
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        for options in ({}, {"rare": 1, "hot": 4, "near": 3, "sent": 2}) if percent == 80 else ({"rare": 2, "near": 2, "sent": 1},):
+            got = line_dedup.remove_similar_lines(df, percent=percent, **options).collect()
+            assert collections.Counter((r.doc_id, r.text) for r in got) == want, options
 
 
 def test_languages(spark, small):
