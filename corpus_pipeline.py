@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm import langid, line_dedup, ngram_join, packing, suffix_dedup
+from depweave.llm import langid, line_dedup, ngram_join, packing, shared, suffix_dedup
 from depweave.llm.queries import tokenizer_file
 from depweave.session import table, written
 
@@ -34,15 +34,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with letters in a language that the labelled ones teach (operator 1)."""
     marked = docs.select("doc_id", "text", "lang", F.coalesce(langid.is_held_out(), F.lit(False)).alias("held"))
     model = langid.train(marked.filter("not held"))
-    found = langid.predict(docs, model, tuple(docs.columns), names=("_lang", "_score"))
-    return found.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = shared.free(docs.columns, "found", "score")
+    found = langid.predict(docs, model, tuple(docs.columns), names=(lang, score))
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that match an earlier one (operator 4)."""
-    found = line_dedup.remove_similar_lines(docs, _others(docs))
-    emptied = (F.col("n_removed") > 0) & ~F.col("_kept").rlike(r"\S")
-    return _with_text(found.filter(~emptied | F.col("_kept").isNull()), docs, "_kept")
+    text, n_lines, gone = shared.free(docs.columns, "left", "n_lines", "n_gone")
+    found = line_dedup.remove_similar_lines(docs, _others(docs), (text, n_lines, gone))
+    emptied = (F.col(gone) > 0) & ~F.col(text).rlike(r"\S")
+    return _with_text(found.filter(~emptied | F.col(text).isNull()), docs, text)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

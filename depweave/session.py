@@ -15,19 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, the context's own, or in local mode a new one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referred to."""
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referred to (a full collection: for large shuffles only)."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -35,9 +37,7 @@ def _release(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` so that later plans neither recompute it nor depend on one executor's disk."""
     checkpoint_root(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    _release(df.sparkSession)
-    return kept
+    return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -45,13 +45,15 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _release(spark)
-    return spark.read.parquet(path)
+    kept = spark.read.parquet(path)
+    kept.written_to = path
+    return kept
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what ``written`` wrote for ``df``, once nothing will read it again."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    """Delete what ``written`` wrote for ``df`` itself, once nothing will read it again; other tables are left alone."""
+    folder = getattr(df, "written_to", None)
+    if folder:
+        spark = df.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
