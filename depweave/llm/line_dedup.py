@@ -11,8 +11,9 @@ prefixes: tokens are ordered from rare to common by a table of hashed counters o
 lines.  Two sets that reach the threshold share one of each side's first
 n - ceil(t n) + 1 tokens, and two of the first n - ceil(t n) + 2.  If the first token
 they share is rare (seen in at most ``RARE`` places), they meet in that token's key;
-else all tokens they share are common and they meet in the key of the first two.  Sets
-too short to match any but an equal one (up to 3 words at 80 %) have no key.
+else all tokens they share are common and they meet in the key of the first two.  (Sets
+from ``WIDE`` words on, whose pairs would be many, meet in common tokens' own keys; those
+near that size have both kinds.)  Sets too short to match any but an equal one (up to 3 words at 80 %) have no key.
 
 Keys are dealt to tasks by ranges of their hashes.  Inside a task a pair of one key must
 pass the length bound, the positional bound (from the first tokens they share on, two
@@ -50,6 +51,8 @@ NO_ID = (1 << 63) - 1
 PERCENT = 80
 #: Places of a token up to which it makes a key by itself.
 RARE = 64
+#: Words from which common tokens make keys by themselves too.
+WIDE = 256
 #: Lines that a key may hold before it is salted, neighbours (by size) that the first round looks at, candidates it sends.
 HOT = 1 << 16
 NEAR = 256
@@ -103,7 +106,7 @@ class Lines:
         # a set's name: a sum over its tokens, so that their order does not matter
         self.name = mix(np.add.reduceat(mix(self.token ^ np.uint64(0x5851F42D4C957F2D)), self.first) + self.size.astype(np.uint64)).view(np.int64) if len(at) else at
 
-    def keys(self, level: np.ndarray, percent: int, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def keys(self, level: np.ndarray, percent: int, rare: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(key, line, lost, level): ``lost`` tokens cannot be shared if the key's are the first that are; ``level`` of the key's rarest token."""
         common = level[(self.token & np.uint64(len(level) - 1)).astype(np.int64)]
         want = np.minimum(self.size, self.size - (self.size * percent + 99) // 100 + 2)
@@ -114,11 +117,13 @@ class Lines:
         token, row, common = self.token[order], np.repeat(np.arange(len(want)), want), common[order]
         place = np.arange(len(token)) - np.repeat(np.cumsum(want) - want, want)
         alone = common <= _level(rare)
-        one = (self.size * percent <= 100)[row]  # one shared token may be enough
+        # one shared token may be enough in the shortest sets
+        one = ((self.size * percent <= 100) | (self.size >= wide))[row]
         # the last place serves pairs only; a token that was seen once is in no other line
         single = (alone | one) & (common > _level(1)) & ((place < want[row] - 1) | (want[row] == self.size[row]))
         found = [(token[single], row[single], place[single], common[single])]
-        token, row, place, common = (x[~alone] for x in (token, row, place, common))
+        use = ~alone & (self.size * percent <= 100 * wide)[row]
+        token, row, place, common = (x[use] for x in (token, row, place, common))
         longest = int(np.bincount(row).max()) if len(row) else 0
         for step in range(1, longest):
             same = row[step:] == row[:-step]
@@ -159,7 +164,7 @@ def _first_entries(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, (x["key"][1:] != x["key"][:-1]) | (x["name"][1:] != x["name"][:-1]))] if len(x) else x
 
 
-def _entries(percent: int, min_words: int, rare: int, hot: int, levels, low: int, shift: int, bits: int, again=None) -> Callable:
+def _entries(percent: int, min_words: int, rare: int, wide: int, hot: int, levels, low: int, shift: int, bits: int, again=None) -> Callable:
     """mapInArrow over (doc, text): the entries (see ``_ENTRY``) of each range of keys, as bytes.
 
     ``again``: bitmaps of the keys and of the names that a later round looks at.
@@ -187,7 +192,7 @@ def _entries(percent: int, min_words: int, rare: int, hot: int, levels, low: int
                 x = Lines(raws, min_words)
                 if not len(x.size):
                     continue
-                key, row, lost, common = x.keys(level, percent, rare)
+                key, row, lost, common = x.keys(level, percent, rare, wide)
                 is_open = np.zeros(len(x.size), bool)
                 if marks:
                     use = shared.marked(key, marks[0], bits)
@@ -326,7 +331,7 @@ def _verify(percent: int) -> Callable:
     return run
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, rare: int = RARE, hot: int = HOT, near: int = NEAR, sent: int = SENT) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, rare: int = RARE, wide: int = WIDE, hot: int = HOT, near: int = NEAR, sent: int = SENT) -> DataFrame:
     """doc, tkey, lines (array of line numbers that go), per row of (doc, tkey, text) that has any."""
     texts = docs.select("doc", "text")
     known = F.when(F.col("doc") < NO_ID, F.col("doc"))
@@ -339,7 +344,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     firsts = written(lines.groupBy("name").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
 
     def candidates(again, sent: int) -> DataFrame:
-        entries = texts.mapInArrow(_entries(percent, min_words, rare, hot, levels, low % (1 << 64), max(0, (high - low).bit_length() - 32), bits, again), "part bigint, entries binary")
+        entries = texts.mapInArrow(_entries(percent, min_words, rare, wide, hot, levels, low % (1 << 64), max(0, (high - low).bit_length() - 32), bits, again), "part bigint, entries binary")
         return written(entries.groupBy("part").applyInPandas(_candidates(percent, near, sent, again is not None), "name bigint, name_b bigint, more boolean"))
 
     def matched(pairs: DataFrame) -> DataFrame:

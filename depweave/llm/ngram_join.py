@@ -177,12 +177,12 @@ def _count(hashes: Callable[[list[bytes]], np.ndarray], counters: int) -> Callab
         count = np.zeros(counters, np.uint32)
         for batch in batches:
             for _, raws in _blocks(batch, 1):
-                h = hashes(raws)
-                count += np.bincount((h & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
+                np.add.at(count, (hashes(raws) & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
         pieces = [k for k in range(counters // piece) if count[k * piece : (k + 1) * piece].any()]
-        if pieces:
+        for i in range(0, len(pieces), 8):  # a few at a time, as the table is large
+            some = pieces[i : i + 8]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pieces, pa.int64()), pa.array([count[k * piece : (k + 1) * piece].tobytes() for k in pieces], pa.binary())], names=["piece", "counts"]
+                [pa.array(some, pa.int64()), pa.array([count[k * piece : (k + 1) * piece].tobytes() for k in some], pa.binary())], names=["piece", "counts"]
             )
 
     return run

@@ -309,7 +309,7 @@ def test_similar_lines_of_many_sizes(spark):
                 sets.append(s)
             want[doc, "\n".join(kept)] += 1
         df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-        for options in ({}, {"rare": 1, "hot": 4, "near": 3, "sent": 2}) if percent == 80 else ({"rare": 2, "near": 2, "sent": 1},):
+        for options in ({}, {"rare": 1, "hot": 4, "near": 3, "sent": 2, "wide": 16}) if percent == 80 else ({"rare": 2, "near": 2, "sent": 1, "wide": 64},):
             got = line_dedup.remove_similar_lines(df, percent=percent, **options).collect()
             assert collections.Counter((r.doc_id, r.text) for r in got) == want, options
 
