@@ -50,16 +50,18 @@ MIN_WORDS = 1
 NO_ID = (1 << 63) - 1
 PERCENT = 80
 #: Places of a token up to which it makes a key by itself.
-RARE = 64
+RARE = 512
 #: Words from which common tokens make keys by themselves too.
 WIDE = 256
 #: Lines that a key may hold before it is salted, neighbours (by size) that the first round looks at, candidates it sends.
 HOT = 1 << 16
-NEAR = 256
+NEAR = 512
 SENT = 4
 GATHER = 500_000
 _WORDS = 3
-_ENTRY = np.dtype([("key", "<u8"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("open", "u1"), ("bits", "<u4", (_WORDS,))])
+_ENTRY = np.dtype([("key", "<u4"), ("key_b", "<u2"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("bits", "<u4", (_WORDS,))])
+#: Marks a size in an entry that all of its key must be compared with.
+_OPEN = np.uint32(1 << 31)
 
 
 def _level(count: int) -> int:
@@ -158,20 +160,35 @@ def _lines(min_words: int) -> Callable:
     return run
 
 
-def _first_entries(x: np.ndarray) -> np.ndarray:
-    """Entries by key and size, each class of a key once, with its earliest place."""
-    x = x[np.lexsort((x["at"], x["name"], x["size"], x["key"]))]
-    return x[np.append(True, (x["key"][1:] != x["key"][:-1]) | (x["name"][1:] != x["name"][:-1]))] if len(x) else x
+def _short(key: np.ndarray) -> np.ndarray:
+    """The 48 bits of a key that tell it apart within its range."""
+    return key & np.uint64((1 << 48) - 1)
 
 
-def _entries(percent: int, min_words: int, rare: int, wide: int, hot: int, levels, low: int, shift: int, bits: int, again=None) -> Callable:
-    """mapInArrow over (doc, text): the entries (see ``_ENTRY``) of each range of keys, as bytes.
+def _sorted_entries(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries by key and size, each class of a key once and with its earliest place; their keys; their sizes)."""
+    key, size = (x["key_b"].astype(np.uint64) << np.uint64(32)) | x["key"], (x["size"] & ~_OPEN).astype(np.int64)
+    order = np.lexsort((x["at"], x["name"], size, key))
+    key, size, name = key[order], size[order], x["name"][order]
+    new = np.ones(len(x), bool)
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    return x[order[new]], key[new], size[new]
 
+
+def _place(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A hash of a line's place."""
+    return shared.scatter(shared.scatter(doc).view(np.int64) ^ pos)
+
+
+def _entries(percent: int, min_words: int, rare: int, wide: int, hot: int, levels, low: int, shift: int, bits: int, repeated, first_places, again=None) -> Callable:
+    """mapInArrow over (doc, tkey, text): the entries (see ``_ENTRY``) of each range of keys, as bytes.
+
+    Of the classes marked in ``repeated`` only the lines marked in ``first_places`` (the first ones, and few others) count.
     ``again``: bitmaps of the keys and of the names that a later round looks at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
+        level, names, places = (np.frombuffer(b.value, np.uint8) for b in (levels, repeated, first_places))
         marks = [np.frombuffer(m.value, np.uint8) for m in again] if again else None
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -179,44 +196,43 @@ def _entries(percent: int, min_words: int, rare: int, wide: int, hot: int, level
         def sent() -> pa.RecordBatch:
             part, x = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            order = np.lexsort((x["at"], x["name"], x["key"], part))
+            order = np.argsort(part, kind="stable")
             part, x = part[order], x[order]
-            new = np.append(True, (x["key"][1:] != x["key"][:-1]) | (x["name"][1:] != x["name"][:-1]) | (part[1:] != part[:-1]))
-            part, x = part[new], x[new]
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([x[a:b].tobytes() for a, b in zip(at, [*at[1:], len(x)])], pa.binary())], names=["part", "entries"])
 
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows, raws in _blocks(batch, 1):
+            doc, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for rows, raws in _blocks(batch, 2):
                 x = Lines(raws, min_words)
                 if not len(x.size):
                     continue
+                owner = np.asarray(rows)[x.text]
+                pos = (x.line << 32) | (tkey[owner] & 0xFFFFFFFF)
+                count = ~shared.marked(x.name.view(np.uint64), names, bits) | shared.marked(_place(doc[owner], pos), places, bits)
                 key, row, lost, common = x.keys(level, percent, rare, wide)
-                is_open = np.zeros(len(x.size), bool)
+                use = count[row]
                 if marks:
-                    use = shared.marked(key, marks[0], bits)
-                    key, row, lost, common = key[use], row[use], lost[use], common[use]
-                    is_open = shared.marked(x.name.view(np.uint64), marks[1], bits)
+                    use &= shared.marked(shared.scatter(_short(key).view(np.int64)), marks[0], bits)
+                key, row, lost, common = key[use], row[use], lost[use], common[use]
                 if not len(key):
                     continue
                 out = np.zeros(len(key), _ENTRY)
-                out["key"], out["name"], out["size"], out["lost"], out["open"] = key, x.name[row], x.size[row], np.minimum(lost, 255), is_open[row]
-                out["at"] = np.minimum((doc[np.asarray(rows)[x.text[row]]].view(np.uint64) - np.uint64(low)) >> np.uint64(shift), np.uint64(0xFFFFFFFF))
-                out["bits"] = x.parities()[row]
-                # a key that may be too large for a task is dealt to several
+                out["key"], out["key_b"], out["name"] = key & np.uint64(0xFFFFFFFF), (key >> np.uint64(32)) & np.uint64(0xFFFF), x.name[row]
+                out["size"], out["lost"], out["bits"] = x.size[row], np.minimum(lost, 255), x.parities()[row]
+                out["at"] = np.minimum((doc[owner[row]].view(np.uint64) - np.uint64(low)) >> np.uint64(shift), np.uint64(0xFFFFFFFF))
+                # a key that may be too large for a task is dealt to several, none of which sees all of it in the first round
                 salts = np.maximum(1, np.ceil(2.0 ** (common / 8.0) / hot)).astype(np.int64)
                 salt = np.where(salts > 1, out["name"] % salts, 0)
-                spread = np.flatnonzero(is_open[row] & (salts > 1))
+                is_open = shared.marked(x.name.view(np.uint64), marks[1], bits)[row] if marks else salts > 1
+                out["size"][is_open] |= _OPEN
+                spread = np.flatnonzero(is_open & (salts > 1)) if marks else ()
                 if len(spread):
                     many = salts[spread]
                     salt = np.concatenate([salt, np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)])
-                    out = np.concatenate([out, out[np.repeat(spread, many)]])
+                    out, key = (np.concatenate([c, c[np.repeat(spread, many)]]) for c in (out, key))
                 with np.errstate(over="ignore"):
-                    part = np.where(salt > 0, mix(out["key"] + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), out["key"]) >> np.uint64(64 - bits)
-                # salted keys are never looked at as a whole in the first round
-                if len(salts) and not marks:
-                    out["open"] = salts > 1
+                    part = np.where(salt > 0, mix(key + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), key) >> np.uint64(64 - bits)
                 held.append((part.astype(np.int64), out))
                 size += len(out)
                 if size >= GATHER:
@@ -232,9 +248,9 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-def _fit(x: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _fit(x: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(which pairs pass the positional and parity bounds, their distance)."""
-    n, m = x["size"][i].astype(np.int64), x["size"][j].astype(np.int64)
+    n, m = size[i], size[j]
     need = -(-percent * (n + m) // (100 + percent))
     near = np.minimum(n - x["lost"][i], m - x["lost"][j]) >= need
     apart = np.full(len(i), 1 << 30)
@@ -249,22 +265,22 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _first_entries(np.concatenate([np.frombuffer(b, _ENTRY) for b in pdf["entries"]]))
-        size, at = x["size"].astype(np.int64), x["at"]
-        begin = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1]))
+        x, key, size = _sorted_entries(np.concatenate([np.frombuffer(b, _ENTRY) for b in pdf["entries"]]))
+        at, is_open = x["at"], x["size"] >= _OPEN
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         many = np.diff(np.append(begin, len(x)))
         begin, end = np.repeat(begin, many), np.repeat(begin + many, many)
         found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
         more = np.zeros(len(x), bool)
         if again:
-            for i in np.flatnonzero(x["open"]).tolist():
+            for i in np.flatnonzero(is_open).tolist():
                 same = size[begin[i] : end[i]]
                 j = begin[i] + np.arange(np.searchsorted(same, -(-percent * size[i] // 100)), np.searchsorted(same, 100 * size[i] // percent, "right"))
                 j = j[(j != i) & (at[j] <= at[i])]
-                ok, apart = _fit(x, np.full(len(j), i), j, percent)
+                ok, apart = _fit(x, size, np.full(len(j), i), j, percent)
                 found.append((np.full(int(ok.sum()), i), j[ok], apart[ok]))
         else:
-            more |= x["open"] > 0
+            more |= is_open
             here = np.arange(len(x))
             for step in range(1, near + 2):
                 here = here[here + step < end[here]]
@@ -275,7 +291,7 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
                 if step > near:
                     more[here] = more[there] = True
                     continue
-                ok, apart = _fit(x, here, there, percent)
+                ok, apart = _fit(x, size, here, there, percent)
                 i, j, apart = here[ok], there[ok], apart[ok]
                 found += [(a[at[a] >= at[b]], b[at[a] >= at[b]], apart[at[a] >= at[b]]) for a, b in ((i, j), (j, i))]
         i, j, apart = (np.concatenate(c) for c in zip(*found))
@@ -292,12 +308,18 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
         name, other = name[rank < most], other[rank < most]
         k = np.flatnonzero(more)
         return pd.DataFrame({
-            "name": np.append(name, x["name"][k]), "name_b": np.append(other, x["key"][k].view(np.int64)), "more": np.append(np.zeros(len(name), bool), np.ones(len(k), bool)),
+            "name": np.append(name, x["name"][k]), "name_b": np.append(other, shared.scatter(key[k].view(np.int64)).view(np.int64)), "more": np.append(np.zeros(len(name), bool), np.ones(len(k), bool)),
         })
 
     return run
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (doc, pos)."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_place(*[c.to_numpy(zero_copy_only=False) for c in batch.columns]).view(np.int64))], names=["place"])
+
+
 def _whole_sets(min_words: int, names, bits: int) -> Callable:
     """mapInArrow over (doc, text): the whole sets of the marked classes."""
 
@@ -343,8 +365,13 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     lines = written(docs.select("doc", "tkey", "text").mapInArrow(_lines(min_words), "doc bigint, pos bigint, name bigint"))
     firsts = written(lines.groupBy("name").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
 
+    twice = firsts.filter("n > 1")
+    repeated = shared.bitmap_of(twice, "name", bits)
+    first_places = shared.bitmap_of(twice.select("first.doc", "first.pos").mapInArrow(_places, "place bigint"), "place", bits)
+    order = low % (1 << 64), max(0, (high - low).bit_length() - 32)
+
     def candidates(again, sent: int) -> DataFrame:
-        entries = texts.mapInArrow(_entries(percent, min_words, rare, wide, hot, levels, low % (1 << 64), max(0, (high - low).bit_length() - 32), bits, again), "part bigint, entries binary")
+        entries = docs.select("doc", "tkey", "text").mapInArrow(_entries(percent, min_words, rare, wide, hot, levels, *order, bits, repeated, first_places, again), "part bigint, entries binary")
         return written(entries.groupBy("part").applyInPandas(_candidates(percent, near, sent, again is not None), "name bigint, name_b bigint, more boolean"))
 
     def matched(pairs: DataFrame) -> DataFrame:
@@ -379,7 +406,8 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         .filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
     )
     spans = written(gone.groupBy("doc", F.col("pos").bitwiseAND(0xFFFFFFFF).alias("tkey")).agg(F.collect_list(F.shiftright("pos", 32)).alias("lines")))
-    levels.unpersist()
+    for sent_out in (levels, repeated, first_places):
+        sent_out.unpersist()
     discard(lines)
     discard(firsts)
     return spans
