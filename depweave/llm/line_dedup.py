@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from depweave.llm import shared
 from depweave.llm.ngram_join import COUNTERS, _blocks, counted_levels, mix, word_hashes
-from depweave.session import cut, discard, release, written
+from depweave.session import cut, discard, release, small_batches, written
 
 MIN_WORDS = 1
 #: Stands for a null id, the last of all.
@@ -433,7 +433,8 @@ def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), n
     """
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     rows = docs.select(doc.alias("doc"), F.xxhash64("text").alias("tkey"), "text", shared.packed(keep).alias("kept"))
-    gone = repeated_lines(rows.select("doc", "tkey", "text"), **options)
+    with small_batches(docs.sparkSession):
+        gone = repeated_lines(rows.select("doc", "tkey", "text"), **options)
     touched, others = shared.parted(rows, gone.select("doc"))
     low = rows.schema["kept"].dataType
     spans = gone.withColumnRenamed("tkey", "short")
