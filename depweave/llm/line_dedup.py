@@ -56,7 +56,7 @@ WIDE = 256
 #: Lines that a key may hold before it is salted, neighbours (by size) that the first round looks at, candidates it sends.
 HOT = 1 << 16
 NEAR = 512
-SENT = 4
+SENT = 1
 GATHER = 500_000
 _WORDS = 3
 _ENTRY = np.dtype([("key", "<u4"), ("key_b", "<u2"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("bits", "<u4", (_WORDS,))])
@@ -314,10 +314,17 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over (doc, pos)."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_place(*[c.to_numpy(zero_copy_only=False) for c in batch.columns]).view(np.int64))], names=["place"])
+def _places(names, bits: int) -> Callable:
+    """mapInArrow over (name, doc, pos): the places of the marked classes, whether marked rightly or not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(names.value, np.uint8)
+        for batch in batches:
+            name, doc, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            use = shared.marked(name.view(np.uint64), bitmap, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(_place(doc[use], pos[use]).view(np.int64))], names=["place"])
+
+    return run
 
 
 def _whole_sets(min_words: int, names, bits: int) -> Callable:
@@ -365,9 +372,8 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     lines = written(docs.select("doc", "tkey", "text").mapInArrow(_lines(min_words), "doc bigint, pos bigint, name bigint"))
     firsts = written(lines.groupBy("name").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
 
-    twice = firsts.filter("n > 1")
-    repeated = shared.bitmap_of(twice, "name", bits)
-    first_places = shared.bitmap_of(twice.select("first.doc", "first.pos").mapInArrow(_places, "place bigint"), "place", bits)
+    repeated = shared.bitmap_of(firsts.filter("n > 1"), "name", bits)
+    first_places = shared.bitmap_of(firsts.select("name", "first.doc", "first.pos").mapInArrow(_places(repeated, bits), "place bigint"), "place", bits)
     order = low % (1 << 64), max(0, (high - low).bit_length() - 32)
 
     def candidates(again, sent: int) -> DataFrame:
@@ -376,11 +382,15 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
 
     def matched(pairs: DataFrame) -> DataFrame:
         """(name): the classes with a match whose first line is earlier."""
-        needed = cut(pairs.select(F.explode(F.array("name", "name_b")).alias("name")).distinct().join(firsts.select("name", "first"), "name"))
+        names = cut(pairs.select(F.explode(F.array("name", "name_b")).alias("name")).distinct())
+        known = shared.rows_of(firsts.select("name", "first"), names)
+        needed = cut(names.join(known, "name"))
+        shared.forget(known)
         chosen = shared.bitmap_of(needed, "name", bits)
         holders = shared.rows_of(texts, needed.select(F.col("first.doc").alias("doc")))
         sets = written(holders.mapInArrow(_whole_sets(min_words, chosen, bits), "name bigint, tokens binary").join(needed, "name").dropDuplicates(["name"]))
-        chosen.unpersist()
+        shared.forget(holders)
+        chosen.destroy()
         both = pairs.join(sets.select("name", F.col("tokens").alias("x")), "name").join(sets.select(F.col("name").alias("name_b"), F.col("tokens").alias("y")), "name_b")
         true = both.select("name", "name_b", "x", "y").mapInArrow(_verify(percent), "name bigint, name_b bigint")
         late = true.join(needed.withColumnRenamed("first", "f"), "name").join(needed.select(F.col("name").alias("name_b"), F.col("first").alias("g")), "name_b")
@@ -399,15 +409,20 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         sent *= 16
         again = (shared.bitmap_of(left, "key", bits), shared.bitmap_of(left, "name", bits))
         round_ = candidates(again, sent)
-        release(docs.sparkSession)
+        for mark in again:
+            mark.destroy()
         late = cut(late.unionByName(matched(round_.filter("not more").select("name", "name_b").distinct())).distinct())
-    gone = (
-        lines.join(firsts.join(late.withColumn("late", F.lit(True)), "name", "left").filter("n > 1 or late"), "name")
-        .filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
-    )
+    # only the lines of classes with several lines or an earlier match are joined
+    single = shared.rows_of(firsts.filter("n = 1").select("name", "first"), late)
+    some = firsts.filter("n > 1").select("name", "first").unionByName(single).join(late.withColumn("late", F.lit(True)), "name", "left")
+    some = cut(some)
+    shared.forget(single)
+    members = shared.rows_of(lines.select("name", "doc", "pos"), some.select("name"))
+    gone = members.join(some, "name").filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
     spans = written(gone.groupBy("doc", F.col("pos").bitwiseAND(0xFFFFFFFF).alias("tkey")).agg(F.collect_list(F.shiftright("pos", 32)).alias("lines")))
+    shared.forget(members)
     for sent_out in (levels, repeated, first_places):
-        sent_out.unpersist()
+        sent_out.destroy()
     discard(lines)
     discard(firsts)
     return spans

@@ -94,9 +94,9 @@ def shared_bitmap(gathered: DataFrame, bits: int):
     return _broadcast(gathered.groupBy("part").applyInPandas(_slice(bits), "part bigint, slice binary"), bits)
 
 
-def _broadcast(slices: DataFrame, bits: int):
-    size = (BITMAP >> bits) // 8
-    bitmap = bytearray(BITMAP // 8)
+def _broadcast(slices: DataFrame, bits: int, whole: int = BITMAP):
+    size = (whole >> bits) // 8
+    bitmap = bytearray(whole // 8)
     for r in slices.collect():
         bitmap[r["part"] * size : (r["part"] + 1) * size] = r["slice"]
     return slices.sparkSession.sparkContext.broadcast(bytes(bitmap))
@@ -104,7 +104,7 @@ def _broadcast(slices: DataFrame, bits: int):
 
 def marked(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     """Which ``hashes`` have their bit."""
-    places = BITMAP >> bits
+    places = (8 * len(bitmap)) >> bits
     at = (hashes >> np.uint64(64 - bits)).astype(np.int64) * places + (hashes.view(np.int64) & (places - 1))
     return ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
@@ -128,21 +128,28 @@ def rows_of(rows: DataFrame, ids: DataFrame, bits: int = 8) -> DataFrame:
     return parted(rows, ids, bits)[0]
 
 
-def _marks(bits: int) -> Callable:
+def forget(*frames: DataFrame) -> None:
+    """Destroy the bitmaps of frames that ``rows_of`` or ``parted`` made, once what was made of them is stored."""
+    for f in frames:
+        f.bitmap.destroy()
+
+
+def _marks(bits: int, whole: int) -> Callable:
     """applyInPandas over the names of one range: its slice of the bitmap."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        where = np.zeros(BITMAP >> bits, bool)
-        where[pdf["name"].to_numpy() & ((BITMAP >> bits) - 1)] = True
+        where = np.zeros(whole >> bits, bool)
+        where[pdf["name"].to_numpy() & ((whole >> bits) - 1)] = True
         return pd.DataFrame({"part": pdf["part"][:1], "slice": [np.packbits(where).tobytes()]})
 
     return run
 
 
 def bitmap_of(names: DataFrame, column: str, bits: int):
-    """Broadcast bitmap of a column of 64-bit names, by the same places as above."""
+    """Broadcast bitmap of a column of 64-bit names, by the same places as above: some 64 bits a name, up to ``BITMAP``."""
+    whole = min(BITMAP, 1 << max(bits + 10, (64 * names.count()).bit_length()))
     ranged = names.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("part"), F.col(column).alias("name"))
-    return _broadcast(ranged.groupBy("part").applyInPandas(_marks(bits), "part bigint, slice binary"), bits)
+    return _broadcast(ranged.groupBy("part").applyInPandas(_marks(bits, whole), "part bigint, slice binary"), bits, whole)
 
 
 def _parted_rows(marks, bits: int, wanted: bool) -> Callable:
@@ -160,7 +167,10 @@ def _parted_rows(marks, bits: int, wanted: bool) -> Callable:
 def parted(rows: DataFrame, ids: DataFrame, bits: int = 8) -> tuple[DataFrame, DataFrame]:
     """(the rows whose first column, an id that is not null, is among ``ids``, and few others; the rest), without a shuffle of ``rows``."""
     bitmap = bitmap_of(ids.mapInArrow(_scattered, "name bigint"), "name", bits)
-    return tuple(rows.mapInArrow(_parted_rows(bitmap, bits, wanted), rows.schema) for wanted in (True, False))
+    found = tuple(rows.mapInArrow(_parted_rows(bitmap, bits, wanted), rows.schema) for wanted in (True, False))
+    for f in found:
+        f.bitmap = bitmap
+    return found
 
 
 def packed(columns: tuple[str, ...]):
