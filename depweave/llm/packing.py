@@ -23,27 +23,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.bpe import ChunkMemo, _blocks
+from depweave.llm.bpe import MEMO, ChunkMemo, Known, _blocks, byte_alphabet
 
 #: Pieces packed together in one task.
 SHARD = 100_000
+#: Marks that are a piece of their own after a letter.
+_MARKS = ",.!?;:"
 #: Python splits words at these too; the vocabulary's pre-tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class WordMemo(ChunkMemo):
-    """``known``: word -> its ids as little-endian unsigned 32-bit integers."""
+    """``known``: word -> its ids as little-endian unsigned 32-bit integers.
 
-    glue = b""
-
-    def form(self, chunk: str) -> tuple[str, str]:
-        """As above, in lower case where no character beyond Latin-1 is present (there both libraries agree on it)."""
-        core, tail = super().form(chunk)
-        return (core.lower(), tail) if max(core) <= "\xff" else (core, tail)
+    Words of Latin-1 letters, but for marks after them, are one piece each, which is encoded in
+    lower case by the tiktoken library with ranks made from the file: a word's end is a zero byte,
+    which joins the last letter before anything else does.
+    """
 
-    def keep(self, cores: list[str]) -> None:
-        for core, found in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)):
-            self.core[core] = np.array(found.ids, "<u4").tobytes()
+    def prepare(self, spec: dict) -> None:
+        import tiktoken
+
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", ())]
+        splits = [x.get("behavior") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", ())]
+        end = spec["model"]["end_of_word_suffix"]
+        if steps != ["NFC", "Replace", "Lowercase"] or splits[:1] != ["Removed"] or not end:
+            raise ValueError("not a vocabulary of lower-case words without white space")
+        vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
+        raw = lambda t: bytes(map(alphabet.__getitem__, t.removesuffix(end))) + (b"\0" if t.endswith(end) else b"")
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+        ranks = {bytes([b, 0]): b for b in range(1, 256)}
+        for k, t in enumerate(merged):
+            ranks.setdefault(raw(t), 256 + k)
+        ranks |= {bytes([b]): 256 + len(merged) + b for b in range(256)}
+        ids = {raw(t): i for t, i in vocab.items()}
+        self.id = {r: ids.get(b, 0).to_bytes(4, "little") for b, r in ranks.items()}
+        self.fast = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+        self.core = Known(self.single)
+
+    def single(self, core: str) -> bytes:
+        """Ids of a core; letters of Latin-1 in lower case go the fast way."""
+        if core.isalpha() and core == core.lower() and (core.isascii() or max(core) <= "\xff"):
+            return b"".join(map(self.id.__getitem__, self.fast.encode_ordinary(core + "\0")))
+        return np.array(self.encode(core), "<u4").tobytes()
+
+    def made(self, word: str) -> bytes:
+        bare = word.rstrip(_MARKS)
+        if not bare.isalpha():
+            return self.single(word)
+        if bare.isascii() or max(bare) <= "\xff":
+            bare = bare.lower()
+        return self.core[bare] + self.core[word[len(bare) :]] if len(bare) < len(word) else self.core[bare]
+
+    def trim(self) -> None:
+        super().trim()
+        if len(self.core) > MEMO:
+            self.core.clear()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,9 +97,8 @@ def _tokenize(path: str, most: int) -> Callable:
             out = []
             docs = iter(batch.column(0).to_pylist())
             for block in _blocks(batch.column(1).to_pylist()):
-                lists = [words_of(t) for t in block]
-                memo.learn(lists)
-                for words in lists:
+                memo.trim()
+                for words in map(words_of, block):
                     doc = next(docs)
                     ids = b"".join(map(memo.known.__getitem__, words)) + bytes(4)
                     for piece, at in enumerate(range(0, len(ids), 4 * most)):
