@@ -114,6 +114,61 @@ def test_bpe(spark):
     assert bpe.encode_and_decode(empty(spark), path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_memo_equals_library(name):
+    """Ids of the memo's chunks against the library's of whole texts, on Latin and other letters, marks, digits and special tokens."""
+    import random
+
+    rnd = random.Random(5)
+    path = queries.tokenizer_file(name)
+    memo, cut = (bpe.ChunkMemo(path), bpe.chunks) if name[0] == "b" else (packing.WordMemo(path), packing.words_of)
+    words = ["the", "Straße", "ÑANDÚ", "it's", "don't.", "e\u0301", "ſtill", "ΑΣ", "漢字", "ǅ", "İx", "ª", "x²", "12", "3.5", "a,b", "end.", "!!", "(so", "<|endoftext|>", "<|endoftext|>a", "\u00ad", "naïve,", "\x00", "a\x00b", "\x1c", "𝔘", "|", "w" * 300, "\ufeff", "'s", "_x_"]
+    gaps = [" "] * 8 + ["\n", "  ", "\t", "\n\n", " \n ", "", "\u00a0", "\r\n", "\u2028"]
+    for _ in range(300):
+        text = "".join(rnd.choice(words) + rnd.choice(gaps) for _ in range(rnd.randrange(1, 12)))
+        want = memo.encode(text)
+        got = [memo.known[c] for c in cut(text)]
+        assert (",".join(got) == ",".join(map(str, want))) if name[0] == "b" else (b"".join(got) == np.array(want, "<u4").tobytes()), repr(text)
+        if name[0] == "b":
+            assert "".join([memo.text[c] for c in cut(text)]) == memo.tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_sum_of_squares_rule():
+    """The vector form against the rule as it is stated, on small sequences."""
+    import random
+
+    rnd = random.Random(6)
+    for most in (5, 12, 40):
+        lengths = [rnd.randrange(1, most + 1) for _ in range(200)]
+        gaps: list[list[int]] = [[] for _ in range(most + 1)]  # gap -> open sequences, the last filled last
+        opened, want = 0, []
+        for s in lengths:
+            counts = [len(x) for x in gaps]
+            best = None
+            for g in [most, *range(s, most)]:
+                if g < most and not gaps[g]:
+                    continue
+                after = list(counts)
+                if g < most:
+                    after[g] -= 1
+                if g - s > 0:
+                    after[g - s] += 1
+                value = sum(n * n for n in after[1:])
+                # of equal values an open sequence counts, that of the smallest gap
+                if best is None or (value, g == most, g) < best[0]:
+                    best = (value, g == most, g), g
+            g = best[1]
+            if g == most:
+                at, opened = opened, opened + 1
+            else:
+                at = gaps[g].pop()
+            want.append((at, most - g))
+            if g > s:
+                gaps[g - s].append(at)
+        got = packing.sum_of_squares(np.array(lengths), most)
+        assert list(zip(got[0].tolist(), got[1].tolist())) == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_tree_join_of_unsplit_runs(seed):
     import random
@@ -328,3 +383,17 @@ def test_languages(spark, small):
     assert langid.identify(empty(spark)).count() == 0
     unlabelled = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_similar_lines_of_many_single_classes(spark):
+    """Each of many different lines has one near copy elsewhere; none may be lost among lines that occur several times."""
+    import random
+
+    rnd = random.Random(8)
+    lines = [" ".join(f"{rnd.randrange(900)}w" for _ in range(12)) for _ in range(2500)]
+    lines = [x for x in lines if len(set(x.split())) == 12]
+    near = [" ".join([f"changed{i}", *x.split()[1:]]) for i, x in enumerate(lines)]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(10_000 + i, x) for i, x in enumerate(near)] + [(20_000 + i, f"often seen line {i % 400}") for i in range(1200)]
+    got = {r.doc_id: r.text for r in line_dedup.remove_similar_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i] == x for i, x in enumerate(lines)) and all(got[10_000 + i] == "" for i in range(len(near)))
+    assert sum(got[20_000 + i] != "" for i in range(1200)) == 400
