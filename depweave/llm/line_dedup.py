@@ -21,7 +21,8 @@ sets share no more than the shorter rest) and a bound from 96-bit parities of th
 (differing bits never outnumber differing tokens) before it leaves the task.  As one
 earlier match is enough, each class sends its closest candidates only, whose whole sets
 are compared; a class that had more than it sent, and was not decided by them, is
-looked at again with sixteen times as many, until none is left.  A key that could hold
+looked at again with sixteen times as many, until none is left.  Of those sent the
+closest is compared first, and the others only where it does not match.  A key that could hold
 more than ``HOT`` lines (its tokens' counters say so) is salted: its classes are spread
 over several tasks, and in the later rounds the undecided ones visit all of them.
 
@@ -56,7 +57,7 @@ WIDE = 256
 #: Lines that a key may hold before it is salted, neighbours (by size) that the first round looks at, candidates it sends.
 HOT = 1 << 16
 NEAR = 512
-SENT = 1
+SENT = 8
 GATHER = 500_000
 _WORDS = 3
 _ENTRY = np.dtype([("key", "<u4"), ("key_b", "<u2"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("bits", "<u4", (_WORDS,))])
@@ -297,18 +298,18 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
         i, j, apart = (np.concatenate(c) for c in zip(*found))
         name, other = x["name"][i], x["name"][j]
         order = np.lexsort((other, apart, name))
-        i, name, other = i[order], name[order], other[order]
+        i, name, other, apart = i[order], name[order], other[order], apart[order]
         new = np.ones(len(name), bool)
         new[1:] = (name[1:] != name[:-1]) | (other[1:] != other[:-1])
-        i, name, other = i[new], name[new], other[new]
+        i, name, other, apart = i[new], name[new], other[new], apart[new]
         first = np.ones(len(name), bool)
         first[1:] = name[1:] != name[:-1]
         rank = np.arange(len(name)) - np.maximum.accumulate(np.where(first, np.arange(len(name)), 0)) if len(name) else i
         more[i[rank >= most]] = True
-        name, other = name[rank < most], other[rank < most]
+        name, other, apart = name[rank < most], other[rank < most], apart[rank < most]
         k = np.flatnonzero(more)
         return pd.DataFrame({
-            "name": np.append(name, x["name"][k]), "name_b": np.append(other, shared.scatter(key[k].view(np.int64)).view(np.int64)), "more": np.append(np.zeros(len(name), bool), np.ones(len(k), bool)),
+            "name": np.append(name, x["name"][k]), "apart": np.append(apart, np.zeros(len(k), np.int64)).astype(np.int32), "name_b": np.append(other, shared.scatter(key[k].view(np.int64)).view(np.int64)), "more": np.append(np.zeros(len(name), bool), np.ones(len(k), bool)),
         })
 
     return run
@@ -378,7 +379,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
 
     def candidates(again, sent: int) -> DataFrame:
         entries = docs.select("doc", "tkey", "text").mapInArrow(_entries(percent, min_words, rare, wide, hot, levels, *order, bits, repeated, first_places, again), "part bigint, entries binary")
-        return written(entries.groupBy("part").applyInPandas(_candidates(percent, near, sent, again is not None), "name bigint, name_b bigint, more boolean"))
+        return written(entries.groupBy("part").applyInPandas(_candidates(percent, near, sent, again is not None), "name bigint, apart int, name_b bigint, more boolean"))
 
     def matched(pairs: DataFrame) -> DataFrame:
         """(name): the classes with a match whose first line is earlier."""
@@ -398,9 +399,17 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         discard(sets)
         return done
 
+    def decided(sent_: DataFrame) -> DataFrame:
+        """(name): the classes that a candidate of the round matches, by the closest one, or else by any other."""
+        pairs = sent_.filter("not more")
+        best = pairs.groupBy("name").agg(F.min(F.struct("apart", "name_b")).alias("x")).select("name", "x.name_b")
+        done = matched(best)
+        others = cut(pairs.select("name", "name_b").join(done, "name", "left_anti").distinct().join(best, ["name", "name_b"], "left_anti"))
+        return done if others.isEmpty() else done.unionByName(matched(others)).distinct()
+
     round_ = candidates(None, sent)
     release(docs.sparkSession)
-    late = matched(round_.filter("not more").select("name", "name_b").distinct())
+    late = decided(round_)
     while True:
         left = cut(round_.filter("more").select("name", F.col("name_b").alias("key")).join(late, "name", "left_anti").distinct())
         discard(round_)
@@ -411,7 +420,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         round_ = candidates(again, sent)
         for mark in again:
             mark.destroy()
-        late = cut(late.unionByName(matched(round_.filter("not more").select("name", "name_b").distinct())).distinct())
+        late = cut(late.unionByName(decided(round_)).distinct())
     # only the lines of classes with several lines or an earlier match are joined
     single = shared.rows_of(firsts.filter("n = 1").select("name", "first"), late)
     some = firsts.filter("n > 1").select("name", "first").unionByName(single).join(late.withColumn("late", F.lit(True)), "name", "left")
