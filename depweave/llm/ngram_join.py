@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 
 from depweave.llm import shared
 from depweave.operators.components import connected_components
-from depweave.session import cut, written
+from depweave.session import cut, discard, release, small_batches, written
 
 BLOCK = 1 << 20
 GATHER = 2_000_000
 #: Counters of the commonness table at most (one byte each once it is sent).
 COUNTERS = 1 << 24
-#: 64-bit words of a set's sketch (a bit per shingle): differing bits never outnumber differing shingles.
+#: 64-bit words of a set's sketch (parities of the shingles that fall on a bit): differing bits never outnumber differing shingles.
 SKETCH = 8
 _SKETCH = [f"k{i}" for i in range(SKETCH)]
 
@@ -158,9 +158,8 @@ def _sets(n: int) -> Callable:
                 for s in _per_text(raws, n):
                     size.append(len(s))
                     name.append(set_name(s) if len(s) else None)
-                    bits = np.zeros(64 * SKETCH, bool)
-                    bits[(s >> np.uint64(20)).astype(np.int64) & (64 * SKETCH - 1)] = True
-                    sketch.append(np.packbits(bits).view(np.int64))
+                    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+                    sketch.append(np.packbits(bits.astype(bool)).view(np.int64))
             words = np.array(sketch, np.int64).reshape(-1, SKETCH).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64()), *[pa.array(w) for w in words]], names=["doc_id", "n_shingles", "name", *_SKETCH]
@@ -290,6 +289,12 @@ def _sizes_fit(percent: int):
     return 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
 
 
+def _places_fit(percent: int):
+    """The positional bound of a product.  What it drops lies behind what it keeps, in both rows, so the sums' bound below still holds."""
+    need = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent) - 1e-9)
+    return F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b")) >= need
+
+
 def _sketches_fit(percent: int):
     need = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent) - 1e-9)
     apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"{k}_b"))) for k in _SKETCH), F.lit(0))
@@ -307,6 +312,11 @@ def _accumulate(products: DataFrame, percent: int) -> DataFrame:
 
 def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
+    with small_batches(docs.sparkSession):
+        return _link_components(docs, words, percent)
+
+
+def _link_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counters = min(COUNTERS, 1 << max(10, (total // 768).bit_length()))
@@ -319,6 +329,9 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
         .groupBy("column", "name").agg(F.min("size").alias("size"), F.min("at").alias("at"))
     )
 
+    for sent in (levels, marks):
+        sent.destroy()
+    release(docs.sparkSession)
     # first pairs: each row with its column's most central one
     several = entries.groupBy("column").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("column")
     shared_entries = cut(entries.join(several, "column"))
@@ -349,10 +362,14 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
             pairs.join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a")
         )
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a bigint, b bigint").distinct()
+        done = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a bigint, b bigint").distinct())
+        shared.forget(holders)
+        discard(texts)
+        release(docs.sparkSession)
+        return done
 
     stars = cut(stars)
-    links = cut(verified(stars))
+    links = verified(stars)
     parts = cut(connected_components(links, "a", "b").select(F.col("node").alias("name"), "component"))
 
     # then, in full, the columns that still touch several components
@@ -361,11 +378,12 @@ def link_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     sketches = sets.filter("name is not null").groupBy("name").agg(*[F.min(k).alias(k) for k in _SKETCH])
     rest = cut(placed.join(open_columns, "column").join(sketches, "name"))
     other = rest.select("column", *[F.col(c).alias(f"{c}_b") for c in ("name", "size", "at", "component", *_SKETCH)])
-    crossing = _accumulate(rest.join(other, "column").filter((F.col("component") < F.col("component_b")) & _sizes_fit(percent) & _sketches_fit(percent)), percent)
+    crossing = _accumulate(rest.join(other, "column").filter((F.col("component") < F.col("component_b")) & _sizes_fit(percent) & _places_fit(percent) & _sketches_fit(percent)), percent)
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = crossing.select(*ordered).join(stars.select(*ordered), ["a", "b"], "left_anti")
     all_links = links.unionByName(verified(cut(crossing)))
     final = connected_components(all_links, "a", "b").select(F.col("node").alias("name"), "component")
+    discard(entries)
 
     labelled = sets.select("doc_id", "n_shingles", "name").join(final, "name", "left").withColumn("component", F.coalesce("component", "name"))
     firsts = labelled.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("first"))
