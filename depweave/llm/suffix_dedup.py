@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm import shared
-from depweave.session import cut, discard, written
+from depweave.session import cut, discard, release, small_batches, written
 
 LENGTH = 50
 GRAM = 16
@@ -375,6 +375,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
     Whole copies go whole and take no part in the search.  Their list is broadcast only up to ``COPIES`` rows.
     """
+    with small_batches(docs.sparkSession):
+        return _repeated_ranges(docs)
+
+
+def _repeated_ranges(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text").filter(
         F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
     )
@@ -385,12 +391,15 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     bits = shared.range_bits(total // 18)
     marks = shared.shared_bitmap(unique.mapInArrow(_gather(bits), shared.Gathered.SCHEMA), bits)
     found = written(unique.mapInArrow(_places(marks, bits), "doc bigint, place bigint, segment bigint, low bigint, raw binary"))
+    marks.destroy()
+    release(spark)
     several = found.filter("raw is not null")
     buckets = max(1, -(-(several.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // BUCKET))
     answers = written(
         several.select("segment", "doc", "raw", F.pmod(F.xxhash64("low"), F.lit(buckets)).alias("bucket"))
         .groupBy("bucket").applyInPandas(_merge, "segment bigint, low int, high int, first bigint")
     )
+    release(spark)
     start = F.shiftright("place", 24)
     parts = (
         found.filter("raw is null").select("doc", "place", "segment").join(answers, "segment").filter("first < doc")
@@ -401,6 +410,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     spans = written(parts.unionByName(whole))
     discard(found)
     discard(answers)
+    release(spark)
     return spans
 
 
@@ -431,16 +441,16 @@ def _apply(digest: bool) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, digest: bool = False) -> DataFrame:
-    """``keep`` columns, n_bytes, n_removed, n_spans and ``kept``: the remaining text, or its SHA-256.
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str, str] = ("n_bytes", "n_removed", "n_spans", "kept"), *, digest: bool = False) -> DataFrame:
+    """``keep`` columns and, as ``names``, the bytes of the text, those removed, the removed runs, and the remaining text or its SHA-256.
 
     As text, characters of which only a part remains go whole.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_tkey"), F.col("text").alias("_text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"), shared.packed(keep).alias("whole"), "text")
     spans = repeated_ranges(docs)
-    joined = rows.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_tkey").bitwiseAND(0xFFFFFF) == F.col("tkey")), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
-    return joined.mapInArrow(_apply(digest), f"{schema}, n_bytes bigint, n_removed bigint, n_spans bigint, kept string")
+    joined = rows.join(spans, (F.col("id") == F.col("doc")) & (F.col("hash").bitwiseAND(0xFFFFFF) == F.col("tkey")), "left").select("whole", "text", "spans")
+    found = joined.mapInArrow(_apply(digest), f"whole {joined.schema['whole'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept string")
+    return found.select(*shared.unpacked("whole", keep), *[F.col(a).alias(b) for a, b in zip(("n_bytes", "n_removed", "n_spans", "kept"), names)])
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
