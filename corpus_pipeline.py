@@ -55,9 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that an elder one holds (operator 8)."""
-    found = suffix_dedup.remove_repeats(docs, _others(docs))
-    emptied = (F.col("n_removed") > 0) & ~F.col("kept").rlike(r"\S")
-    return _with_text(found.filter(~emptied | F.col("kept").isNull()), docs, "kept")
+    names = shared.free(docs.columns, "n_bytes", "n_cut", "n_spans", "left")
+    found = suffix_dedup.remove_repeats(docs, _others(docs), names)
+    emptied = (F.col(names[1]) > 0) & ~F.col(names[3]).rlike(r"\S")
+    return _with_text(found.filter(~emptied | F.col(names[3]).isNull()), docs, names[3])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
