@@ -39,7 +39,7 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, *, reverse: bool = False, with_seeds: bool = True) -> DataFrame:
     """(id): what the ``seeds`` (id) reach along the edges, or against them."""
-    step = _steps(edges, reverse)
+    step = cut(_steps(edges, reverse))  # read by every round
     start = seeds.select(F.lit(0).alias("root"), F.col("id").alias("node"))
     if not with_seeds:
         start = start.join(step, "node").select("root", F.col("next").alias("node"))
@@ -87,12 +87,19 @@ def affected_tests(edges: DataFrame, root: DataFrame, artifacts: DataFrame) -> D
     return artifacts.join(reachable(edges, root, reverse=True).select(F.col("id").alias("node_id")), "node_id", "left_semi").select("path").distinct()
 
 
-def validate_edges(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, reach: DataFrame) -> DataFrame:
+def validate_edges(nodes: DataFrame, edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """``candidates`` (from_id, to_id, edge_type) with ``reason``: missing, cycle, duplicate, kind or valid.
 
     The first failing reason counts; kinds are looked at for ``depends_on`` alone; nothing is added.
-    ``reach`` is a closure (src, dst) that covers the candidates' targets.
+    Only what can reach a candidate's source is walked, from the candidates' targets.
     """
+    step = cut(_steps(edges))
+    known = candidates.join(nodes.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(nodes.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    asked = cut(known.filter("from_id <> to_id").select("from_id", "to_id").distinct())
+    above = cut(_walk(asked.select(F.lit(0).alias("root"), F.col("from_id").alias("node")), step.select(F.col("next").alias("node"), F.col("node").alias("next"))).select("node").distinct())
+    towards = cut(step.join(above.withColumnRenamed("node", "next"), "next", "left_semi"))
+    roots = asked.select(F.col("to_id").alias("root"), F.col("to_id").alias("node")).join(above, "node", "left_semi").select("root", "node")
+    reach = _walk(roots, towards).select(F.col("root").alias("src"), F.col("node").alias("dst"))
     kinds = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("kind").alias(f"{side}_kind"))
     back = reach.select(F.col("src").alias("to_id"), F.col("dst").alias("from_id")).distinct().withColumn("back", F.lit(True))
     there = edges.select("from_id", "to_id", "edge_type").distinct().withColumn("there", F.lit(True))

@@ -122,7 +122,7 @@ def _validate(nodes, edges):
     shifted = next_part.join(edges, "from_id").select(F.col("id").alias("from_id"), "to_id", F.lit("depends_on").alias("edge_type"))
     lost = nodes.select(F.col("id").alias("from_id"), F.concat("id", F.lit("-x")).alias("to_id"), F.lit("calls").alias("edge_type"))
     candidates = back.unionByName(edges.filter("edge_type = 'depends_on'")).unionByName(shifted).unionByName(lost).distinct()
-    return graph.validate_edges(nodes, edges, candidates, graph.closure(edges))
+    return graph.validate_edges(nodes, edges, candidates)
 
 
 @query("graph_add_edges", "nodes", "edges")
