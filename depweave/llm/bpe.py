@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 LEAF = 16_384
 LONG = 2 * LEAF
 #: Chunks kept by a worker's memo.
-MEMO = 400_000
+MEMO = 250_000
 #: Tokens after which an unsplit run is cut into pieces for the windows.
 RUN = 16
 

@@ -328,12 +328,13 @@ def _places(names, bits: int) -> Callable:
     return run
 
 
-def _whole_sets(min_words: int, names, bits: int) -> Callable:
-    """mapInArrow over (doc, text): the whole sets of the marked classes."""
+def _whole_sets(min_words: int, names, bits: int, holders, holder_bits: int) -> Callable:
+    """mapInArrow over (doc, text): the whole sets of the marked classes, from the marked documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name_map = np.frombuffer(names.value, np.uint8)
+        name_map, doc_map = (np.frombuffer(b.value, np.uint8) for b in (names, holders))
         for batch in batches:
+            batch = batch.filter(pa.array(shared.marked(shared.scatter(batch.column(0).to_numpy(zero_copy_only=False)), doc_map, holder_bits)))
             found: dict[int, bytes] = {}
             for _, raws in _blocks(batch, 1):
                 x = Lines(raws, min_words)
@@ -388,9 +389,10 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         needed = cut(names.join(known, "name"))
         shared.forget(known)
         chosen = shared.bitmap_of(needed, "name", bits)
-        holders = shared.rows_of(texts, needed.select(F.col("first.doc").alias("doc")))
-        sets = written(holders.mapInArrow(_whole_sets(min_words, chosen, bits), "name bigint, tokens binary").join(needed, "name").dropDuplicates(["name"]))
-        shared.forget(holders)
+        holders = shared.ids_bitmap(needed.select(F.col("first.doc").alias("doc")), 8)
+        # (one Python function reads the texts: a chain of two would hold twice the workers)
+        sets = written(texts.mapInArrow(_whole_sets(min_words, chosen, bits, holders, 8), "name bigint, tokens binary").dropDuplicates(["name"]).join(needed, "name"))
+        holders.destroy()
         chosen.destroy()
         both = pairs.join(sets.select("name", F.col("tokens").alias("x")), "name").join(sets.select(F.col("name").alias("name_b"), F.col("tokens").alias("y")), "name_b")
         true = both.select("name", "name_b", "x", "y").mapInArrow(_verify(percent), "name bigint, name_b bigint")
@@ -463,8 +465,9 @@ def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), n
     low = rows.schema["kept"].dataType
     spans = gone.withColumnRenamed("tkey", "short")
     joined = touched.join(spans, (touched["doc"] == spans["doc"]) & (F.col("tkey").bitwiseAND(0xFFFFFFFF) == F.col("short")), "left").select("kept", "text", "lines")
-    every = joined.unionByName(others.select("kept", "text", F.lit(None).cast("array<bigint>").alias("lines")))
-    done = every.mapInArrow(_apply, f"kept {low.simpleString()}, text string, n_lines bigint, n_removed bigint")
+    changed = joined.mapInArrow(_apply, f"kept {low.simpleString()}, text string, n_lines bigint, n_removed bigint")
+    many = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
+    done = changed.unionByName(others.select("kept", "text", many.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
     return done.select(*shared.unpacked("kept", keep), *[F.col(a).alias(b) for a, b in zip(("text", "n_lines", "n_removed"), names)])
 
 

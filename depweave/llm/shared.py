@@ -164,9 +164,14 @@ def _parted_rows(marks, bits: int, wanted: bool) -> Callable:
     return run
 
 
+def ids_bitmap(ids: DataFrame, bits: int):
+    """Broadcast bitmap of the hashes of ids (one column)."""
+    return bitmap_of(ids.mapInArrow(_scattered, "name bigint"), "name", bits)
+
+
 def parted(rows: DataFrame, ids: DataFrame, bits: int = 8) -> tuple[DataFrame, DataFrame]:
     """(the rows whose first column, an id that is not null, is among ``ids``, and few others; the rest), without a shuffle of ``rows``."""
-    bitmap = bitmap_of(ids.mapInArrow(_scattered, "name bigint"), "name", bits)
+    bitmap = ids_bitmap(ids, bits)
     found = tuple(rows.mapInArrow(_parted_rows(bitmap, bits, wanted), rows.schema) for wanted in (True, False))
     for f in found:
         f.bitmap = bitmap
