@@ -41,7 +41,7 @@ def test_mentions(spark):
     t = "We need to modify get_user() and validate_input() in src/handlers/user.py, see get_user() and backend/services/ too"
     m = spark.range(1).select(text.mentions(F.lit(t)).alias("m")).first()["m"]
     assert m["functions"] == ["get_user", "validate_input"] and m["files"] == ["src/handlers/user.py"] and m["directories"] == ["backend/services/"]
-    t = "Look at `src/handlers`, './models/user.rb', lib/a.java. but not notes/b.json; at pkg/x.tla too"
+    t = "Look at `src/handlers`, './models/user.rb', lib/a.java, but not notes/b.json; at pkg/x.tla too"
     m = spark.range(1).select(text.mentions(F.lit(t)).alias("m")).first()["m"]
     assert m["files"] == ["./models/user.rb", "lib/a.java"] and m["directories"] == ["src/handlers", "notes/b.json", "pkg/x.tla"]
 
