@@ -86,6 +86,44 @@ def transitively_stale(records: DataFrame, ins: DataFrame, seeds: DataFrame) ->
     return reachable(_as_edges(ins), start, reverse=True).select(F.col("id").alias("uuid"))
 
 
+def stale_report(records: DataFrame, ins: DataFrame, current: DataFrame) -> DataFrame:
+    """(uuid, function_name, file_path, marker): every stale record, whether its file changed (direct) or something it needs did (transitive)."""
+    direct = stale(records, current).select("uuid", F.lit("direct").alias("how")).distinct()
+    every = transitively_stale(records, ins, direct.select("uuid")).distinct().join(direct, "uuid", "left")
+    return records.select("uuid", "function_name", "file_path").join(every, "uuid").select("uuid", "function_name", "file_path", F.coalesce("how", F.lit("transitive")).alias("marker"))
+
+
+def resolve_names(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (function_name, file_path and more) with ``found_uuid``: the record of that name in that file, else in any; the smallest uuid of several, null for none."""
+    here = records.groupBy("function_name", "file_path").agg(F.min("uuid").alias("_here"))
+    any_file = records.groupBy("function_name").agg(F.min("uuid").alias("_any"))
+    return asked.join(here, ["function_name", "file_path"], "left").join(any_file, "function_name", "left").withColumn("found_uuid", F.coalesce("_here", "_any")).drop("_here", "_any")
+
+
+def next_calls(records: DataFrame, ins: DataFrame) -> DataFrame:
+    """(record_uuid, next_uuid): the records that each one's internal calls lead to by name, itself left out."""
+    calls = ins.filter("source = 'internal_call' and source_function is not null").select("record_uuid", F.col("source_function").alias("function_name"))
+    files = records.select(F.col("uuid").alias("record_uuid"), "file_path")
+    found = resolve_names(records, calls.distinct().join(files, "record_uuid"))
+    return found.filter("found_uuid is not null and found_uuid <> record_uuid").select("record_uuid", F.col("found_uuid").alias("next_uuid")).distinct()
+
+
+def all_uuids(records: DataFrame) -> DataFrame:
+    return records.select("uuid").distinct()
+
+
+def by_file(records: DataFrame, paths: DataFrame) -> DataFrame:
+    """Records of the given files (file_path)."""
+    return records.join(paths, "file_path", "left_semi")
+
+
+def validate_depends_on(records: DataFrame, depends: DataFrame) -> DataFrame:
+    """``depends`` (gwt_id, uid) with ``warning``: null where the uid is a record's, else why it is removed."""
+    known = all_uuids(records).select(F.col("uuid").alias("uid"), F.lit(True).alias("known"))
+    lost = F.concat(F.lit("UUID "), F.col("uid"), F.lit(" not found in the store \u2014 removed from depends_on"))
+    return depends.join(known, "uid", "left").select("gwt_id", "uid", F.when(F.col("known"), F.lit(None).cast("string")).otherwise(lost).alias("warning"))
+
+
 def neighbourhood(records: DataFrame, ins: DataFrame, function_name: str, direction: str) -> DataFrame:
     """Records that those named ``function_name`` need (forward), that need them (reverse), or both (full)."""
     start = records.filter(F.col("function_name") == function_name).select(F.col("uuid").alias("id"))

@@ -185,6 +185,55 @@ def _stale_all(records, ins, current):
     return store.transitively_stale(records, ins, store.stale(records, current))
 
 
+@query("store_stale_report", "records", "ins", "current_hashes", sql=with_("records", "ins", "current_hashes", recursive=True) + f""", {_STALE},
+    walk(uuid) AS (SELECT uuid FROM stale UNION SELECT i.record_uuid FROM walk w JOIN ins i ON i.source_uuid = w.uuid)
+    SELECT r.uuid, r.function_name, r.file_path, CASE WHEN r.uuid IN (SELECT uuid FROM stale) THEN 'direct' ELSE 'transitive' END AS marker FROM records r WHERE r.uuid IN (SELECT uuid FROM walk)""")
+def _stale_report(records, ins, current):
+    return store.stale_report(records, ins, current)
+
+
+_RESOLVED = """calls AS (SELECT i.record_uuid, i.ordinal, i.source_function, r.file_path FROM ins i JOIN records r ON r.uuid = i.record_uuid WHERE i.source = 'internal_call' AND i.source_function IS NOT NULL),
+    resolved AS (SELECT record_uuid, ordinal, coalesce((SELECT min(uuid) FROM records r WHERE r.function_name = c.source_function AND r.file_path = c.file_path), (SELECT min(uuid) FROM records r WHERE r.function_name = c.source_function)) AS found_uuid FROM calls c)"""
+
+
+@query("store_resolve_names", "records", "ins", sql=with_("records", "ins") + f", {_RESOLVED} SELECT record_uuid, ordinal, found_uuid FROM resolved")
+def _resolve(records, ins):
+    files = records.select(F.col("uuid").alias("record_uuid"), "file_path")
+    calls = ins.filter("source = 'internal_call' and source_function is not null").select("record_uuid", "ordinal", F.col("source_function").alias("function_name"))
+    return store.resolve_names(records, calls.join(files, "record_uuid")).select("record_uuid", "ordinal", "found_uuid")
+
+
+@query("store_next_calls", "records", "ins", sql=with_("records", "ins") + f", {_RESOLVED} SELECT DISTINCT record_uuid, found_uuid AS next_uuid FROM resolved WHERE found_uuid <> record_uuid")
+def _next_calls(records, ins):
+    return store.next_calls(records, ins)
+
+
+@query("store_all_uuids", "records", sql=with_("records") + " SELECT DISTINCT uuid FROM records")
+def _uuids(records):
+    return store.all_uuids(records)
+
+
+@query("store_by_file", "records", sql=with_("records") + " SELECT uuid, function_name, file_path FROM records WHERE file_path IN (SELECT min(file_path) FROM records GROUP BY function_name)")
+def _by_file(records):
+    firsts = records.groupBy("function_name").agg(F.min("file_path").alias("file_path")).select("file_path")
+    return store.by_file(records, firsts).select("uuid", "function_name", "file_path")
+
+
+@query("store_validate_depends_on", "records", "ins", sql=with_("records", "ins") + """, depends AS (SELECT record_uuid AS gwt_id, coalesce(source_uuid, 'fn-' || source_function) AS uid FROM ins WHERE source_uuid IS NOT NULL OR source_function IS NOT NULL)
+    SELECT gwt_id, uid, CASE WHEN uid NOT IN (SELECT uuid FROM records) THEN 'UUID ' || uid || ' not found in the store \u2014 removed from depends_on' END AS warning FROM depends""")
+def _depends_on(records, ins):
+    uid = F.coalesce("source_uuid", F.concat(F.lit("fn-"), F.col("source_function")))
+    return store.validate_depends_on(records, ins.select(F.col("record_uuid").alias("gwt_id"), uid.alias("uid")).filter("uid is not null"))
+
+
+@query("graph_component_members", "nodes", "edges", sql=with_("nodes", "edges", recursive=True) + """,
+    links AS (SELECT from_id AS a, to_id AS b FROM edges WHERE edge_type = 'contains' UNION SELECT to_id, from_id FROM edges WHERE edge_type = 'contains'),
+    walk(id) AS (SELECT 'nat-3' UNION SELECT l.b FROM walk w JOIN links l ON w.id = l.a) SELECT id AS node_id FROM walk""")
+def _members(nodes, edges):
+    """The members of a nation's component along the containing edges."""
+    return graph.component_members(graph.components(nodes, edges.filter("edge_type = 'contains'")), "nat-3")
+
+
 for _direction, _parts in {"forward": ("f",), "reverse": ("b",), "full": ("f", "b")}.items():
     query(
         f"store_{_direction}", "records", "ins",
