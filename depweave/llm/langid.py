@@ -120,14 +120,16 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, languages: i
     The sample is the same for the same rows: those of the lowest hashes, by a cutoff from the counts.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
-        "lang", F.xxhash64("doc_id").alias("at"), "text"
+        "lang", F.xxhash64("doc_id", "text").alias("at"), "text"
     )
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
     chosen = rows.filter(F.pmod(F.col("at"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * F.lit(float(1 << 30)))
-    found = chosen.mapInArrow(_bits, "lang string, at bigint, bits binary").limit(2 * per_language * len(counts)).collect()
+    # equal rows count once, so that many of them cannot fill the sample; of too many the lowest hashes stay
+    distinct = chosen.dropDuplicates(["lang", "at"]).mapInArrow(_bits, "lang string, at bigint, bits binary")
+    found = distinct.orderBy("at", "lang", "bits").limit(2 * per_language * len(counts)).collect()
     if not found:
         return None
     found.sort(key=lambda r: (r["at"], r["lang"], r["bits"]))
