@@ -39,7 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm import shared
@@ -439,17 +439,13 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     return spans
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over (kept columns, text, lines)."""
-    for batch in batches:
-        text, many, gone = [], [], []
-        for t, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            parts = t.split("\n") if t is not None else []
-            drop = set(lines or ())
-            text.append("\n".join([x for i, x in enumerate(parts) if i not in drop]) if drop else t)
-            many.append(len(parts))
-            gone.append(len(drop))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(many, pa.int64()), pa.array(gone, pa.int64())], names=["kept", "text", "n_lines", "n_removed"])
+def _without(text: Column, lines: Column) -> Column:
+    """The text without the lines of these numbers; DataFrame functions, as a second Python step in the stage that picks the texts would hold twice the workers."""
+    # one split a text: the inner function sees its parts as a variable
+    return F.transform(
+        F.array(F.split(text, "\n")),
+        lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size(parts).cast("bigint") - 1), lines), lambda i: parts[i]), "\n"),
+    )[0]
 
 
 def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("text", "n_lines", "n_removed"), **options) -> DataFrame:
@@ -462,12 +458,13 @@ def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), n
     with small_batches(docs.sparkSession):
         gone = repeated_lines(rows.select("doc", "tkey", "text"), **options)
     touched, others = shared.parted(rows, gone.select("doc"))
-    low = rows.schema["kept"].dataType
     spans = gone.withColumnRenamed("tkey", "short")
     joined = touched.join(spans, (touched["doc"] == spans["doc"]) & (F.col("tkey").bitwiseAND(0xFFFFFFFF) == F.col("short")), "left").select("kept", "text", "lines")
-    changed = joined.mapInArrow(_apply, f"kept {low.simpleString()}, text string, n_lines bigint, n_removed bigint")
     many = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
-    done = changed.unionByName(others.select("kept", "text", many.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
+    left = F.when(F.col("lines").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("lines")))
+    n_gone = F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.array_distinct("lines"))).cast("bigint")
+    done = joined.select("kept", left.alias("text"), many.alias("n_lines"), n_gone.alias("n_removed"))
+    done = done.unionByName(others.select("kept", "text", many.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
     return done.select(*shared.unpacked("kept", keep), *[F.col(a).alias(b) for a, b in zip(("text", "n_lines", "n_removed"), names)])
 
 
