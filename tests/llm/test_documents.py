@@ -314,6 +314,16 @@ def test_similar_lines(spark, small):
     assert line_dedup.dedup_documents(empty(spark)).count() == 0
 
 
+def test_lines_cut_out(spark):
+    texts = ["", "a", "a\n", "\n\n", "a\nb\n\nc\n", "é\r\nb\u2028c\nd.*"]
+    rows = [(t, gone) for t in texts for gone in ([], [0], [0, 0], [1], list(range(len(t.split("\n")))), [99])]
+    df = spark.createDataFrame(rows, "text string, lines array<bigint>")
+    got = df.select("text", "lines", line_dedup._without(df["text"], df["lines"]).alias("left")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.left == "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in r.lines)
+
+
 def test_similar_short_lines(spark):
     lines = ["All rights reserved.", "a b c d", "the end", "x", "all RIGHTS reserved.", "reserved. rights all", "a b c d e", "d c b", "x", "", " ", "", "a b c", "the End", "e d c a q"]
     rows = [(i, x, "en", "s", 0, 1, 2, "3", "4", "5") for i, x in enumerate(lines)] + [(99, "\n".join(lines), "en", "s", 0, 1, 2, "3", "4", "5")]
