@@ -152,16 +152,14 @@ def bitmap_of(names: DataFrame, column: str, bits: int):
     return _broadcast(ranged.groupBy("part").applyInPandas(_marks(bits, whole), "part bigint, slice binary"), bits, whole)
 
 
-def _parted_rows(marks, bits: int, wanted: bool) -> Callable:
-    """mapInArrow over (id, ...): the rows whose id has, or has not, its bit."""
+def _has(marks, bits: int) -> Callable:
+    """Whether an id has its bit; a column function, so that only ids pass through Python and the rest of a row does not."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(marks.value, np.uint8)
-        for batch in batches:
-            has = marked(scatter(batch.column(0).to_numpy(zero_copy_only=False)), bitmap, bits)
-            yield batch.filter(pa.array(has if wanted else ~has))
+    @F.arrow_udf("boolean")
+    def has(ids: pa.Array) -> pa.Array:
+        return pa.array(marked(scatter(ids.to_numpy(zero_copy_only=False)), np.frombuffer(marks.value, np.uint8), bits))
 
-    return run
+    return has
 
 
 def ids_bitmap(ids: DataFrame, bits: int):
@@ -172,7 +170,8 @@ def ids_bitmap(ids: DataFrame, bits: int):
 def parted(rows: DataFrame, ids: DataFrame, bits: int = 8) -> tuple[DataFrame, DataFrame]:
     """(the rows whose first column, an id that is not null, is among ``ids``, and few others; the rest), without a shuffle of ``rows``."""
     bitmap = ids_bitmap(ids, bits)
-    found = tuple(rows.mapInArrow(_parted_rows(bitmap, bits, wanted), rows.schema) for wanted in (True, False))
+    has = _has(bitmap, bits)(F.col(f"`{rows.columns[0]}`"))
+    found = tuple(rows.filter(x) for x in (has, ~has))
     for f in found:
         f.bitmap = bitmap
     return found
