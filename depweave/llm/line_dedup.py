@@ -59,6 +59,8 @@ HOT = 1 << 16
 NEAR = 512
 SENT = 8
 GATHER = 500_000
+#: Pairs a task may hold before it keeps each class's closest only.
+PAIRS = 1 << 20
 _WORDS = 3
 _ENTRY = np.dtype([("key", "<u4"), ("key_b", "<u2"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("bits", "<u4", (_WORDS,))])
 #: Marks a size in an entry that all of its key must be compared with.
@@ -273,13 +275,38 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
         begin, end = np.repeat(begin, many), np.repeat(begin + many, many)
         found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
         more = np.zeros(len(x), bool)
+
+        def closest() -> tuple[np.ndarray, ...]:
+            """Of the pairs found so far the ``most`` closest of each class; ``more`` marks the keys of those left out."""
+            i, j, apart = (np.concatenate(c) for c in zip(*found))
+            name, other = x["name"][i], x["name"][j]
+            order = np.lexsort((other, apart, name))
+            i, j, apart, name, other = (c[order] for c in (i, j, apart, name, other))
+            new = np.ones(len(name), bool)
+            new[1:] = (name[1:] != name[:-1]) | (other[1:] != other[:-1])
+            i, j, apart, name = (c[new] for c in (i, j, apart, name))
+            first = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+            rank = np.arange(len(name)) - np.repeat(first, np.diff(np.append(first, len(name))))
+            more[i[rank >= most]] = True
+            return tuple(c[rank < most] for c in (i, j, apart))
+
+        added = 0
+
+        def add(*pairs: tuple[np.ndarray, ...]) -> None:
+            nonlocal added
+            found.extend(pairs)
+            added += sum(len(p[0]) for p in pairs)
+            if added > PAIRS:
+                found[:] = [closest()]
+                added = 0  # what is kept does not count, or a task of many classes would sort at every step
+
         if again:
             for i in np.flatnonzero(is_open).tolist():
                 same = size[begin[i] : end[i]]
                 j = begin[i] + np.arange(np.searchsorted(same, -(-percent * size[i] // 100)), np.searchsorted(same, 100 * size[i] // percent, "right"))
                 j = j[(j != i) & (at[j] <= at[i])]
                 ok, apart = _fit(x, size, np.full(len(j), i), j, percent)
-                found.append((np.full(int(ok.sum()), i), j[ok], apart[ok]))
+                add((np.full(int(ok.sum()), i), j[ok], apart[ok]))
         else:
             more |= is_open
             here = np.arange(len(x))
@@ -294,19 +321,9 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
                     continue
                 ok, apart = _fit(x, size, here, there, percent)
                 i, j, apart = here[ok], there[ok], apart[ok]
-                found += [(a[at[a] >= at[b]], b[at[a] >= at[b]], apart[at[a] >= at[b]]) for a, b in ((i, j), (j, i))]
-        i, j, apart = (np.concatenate(c) for c in zip(*found))
+                add(*[(a[at[a] >= at[b]], b[at[a] >= at[b]], apart[at[a] >= at[b]]) for a, b in ((i, j), (j, i))])
+        i, j, apart = closest()
         name, other = x["name"][i], x["name"][j]
-        order = np.lexsort((other, apart, name))
-        i, name, other, apart = i[order], name[order], other[order], apart[order]
-        new = np.ones(len(name), bool)
-        new[1:] = (name[1:] != name[:-1]) | (other[1:] != other[:-1])
-        i, name, other, apart = i[new], name[new], other[new], apart[new]
-        first = np.ones(len(name), bool)
-        first[1:] = name[1:] != name[:-1]
-        rank = np.arange(len(name)) - np.maximum.accumulate(np.where(first, np.arange(len(name)), 0)) if len(name) else i
-        more[i[rank >= most]] = True
-        name, other, apart = name[rank < most], other[rank < most], apart[rank < most]
         k = np.flatnonzero(more)
         return pd.DataFrame({
             "name": np.append(name, x["name"][k]), "apart": np.append(apart, np.zeros(len(k), np.int64)).astype(np.int32), "name_b": np.append(other, shared.scatter(key[k].view(np.int64)).view(np.int64)), "more": np.append(np.zeros(len(name), bool), np.ones(len(k), bool)),
