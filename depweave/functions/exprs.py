@@ -76,3 +76,23 @@ def elapsed(seconds: Column) -> Column:
 def cell_number(id_: Column, prefix: str) -> Column:
     """The number after ``prefix-`` (null for ids of another shape)."""
     return F.when(id_.rlike(f"^{prefix}-[0-9]+(-|$)"), F.split_part(id_, F.lit("-"), F.lit(2)).cast("bigint"))
+
+
+def byte_size(n: Column) -> Column:
+    """512.0B, 1.5KB, up to TB, in steps of 1024."""
+    text = F.format_string("%.1fTB", n / F.lit(1024.0**4))
+    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
+        text = F.when(n < 1024 ** (k + 1), F.format_string(f"%.1f{unit}", n / F.lit(1024.0**k))).otherwise(text)
+    return text
+
+
+def module_name(name: Column, id_: Column) -> Column:
+    """Lower case, other characters than letters, digits and _ to _, its words capitalized and joined; without any, the id with _ for -."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9_]", "_"), F.lit("_")), "_")
+    joined = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))), "")
+    return F.when(joined != "", joined).otherwise(F.translate(id_, "-", "_"))
+
+
+def flat_trace(states: Column, invariant: Column) -> Column:
+    """The variables of each state (structs with ``vars``); null without states or a violated invariant."""
+    return F.when((F.size(states) > 0) & (invariant != ""), F.transform(states, lambda s: s["vars"]))

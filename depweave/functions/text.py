@@ -1,7 +1,11 @@
-"""Text operators: mentions, directory prefixes, traces (built-in functions only)."""
+"""Text operators: mentions, directory prefixes, traces (built-in functions only) and JSON objects in prose (Arrow batches)."""
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +57,39 @@ def trace_summary(states: DataFrame) -> DataFrame:
         "trace_id", F.size("s").cast("bigint").alias("step_count"), F.element_at("s", 1)["label"].alias("first_label"), F.element_at("s", -1)["label"].alias("last_label"),
         F.array_join(F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda x: x["label"]), ",").alias("actions"),
     )
+
+
+_MARKS = re.compile(r'["{}\\]')
+
+
+def _object_in(text: str | None) -> str | None:
+    begin = at = (text or "").find("{")
+    depth, quoted = 0, False
+    while at >= 0 and (mark := _MARKS.search(text, at)):
+        at = mark.end()
+        if mark[0] == "\\":
+            at += quoted  # in a string the next character is no mark
+        elif mark[0] == '"':
+            quoted = not quoted
+        elif quoted:
+            continue
+        elif mark[0] == "{":
+            begin, depth = (mark.start() if depth == 0 else begin), depth + 1
+        else:
+            depth -= 1
+            if depth == 0:
+                try:
+                    json.loads(text[begin:at])
+                    return text[begin:at]
+                except ValueError:
+                    pass  # the next outer brace may begin a whole object
+    return None
+
+
+def _objects(texts: pa.Array) -> pa.Array:
+    return pa.array([_object_in(t) for t in texts.to_pylist()], pa.string())
+
+
+def first_object(text: Column) -> Column:
+    """The first outermost pair of braces in a text whose content is valid JSON, as it stands there; null if there is none."""
+    return F.arrow_udf(_objects, "string")(text)

@@ -102,3 +102,19 @@ def contract_summary(records: DataFrame, ins: DataFrame, outs: DataFrame, rules:
     per_edge = _rule_edges(records, ins, outs, rules).groupBy("dependent_uuid", "dependency_uuid", "dispatch").agg(F.count_if(F.col("has").isNull()).alias("bad"))
     sums = per_edge.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("violations"), F.count_if(F.col("bad") == 0).alias("satisfied"))
     return sums.select("violations", "satisfied", (F.col("violations") + F.col("satisfied")).alias("total_checked"))
+
+
+def seam_lines(mismatches: DataFrame, open_calls: DataFrame) -> DataFrame:
+    """(section, text, json): a report's entries as one row each, since their number grows with the records; the counts are ``seam_report``'s."""
+    c = F.col
+    bad = F.concat(F.lit("  "), "caller_function", F.lit("() -> "), "callee_function", F.lit("()."), "input_name", F.lit("\n    provides: "), "provided_type", F.lit(", expects: "), "expected_type")
+    lost = F.concat(F.lit("  "), "function_name", F.lit("()."), "input_name", F.lit(": "), "type_str")
+    return mismatches.select(F.lit("mismatch").alias("section"), bad.alias("text"), F.to_json(F.struct(*[c(x) for x in mismatches.columns]), {"ignoreNullFields": "false"}).alias("json")).unionByName(
+        open_calls.select(F.lit("unresolved").alias("section"), lost.alias("text"), F.to_json(F.struct(*[c(x) for x in open_calls.columns]), {"ignoreNullFields": "false"}).alias("json"))
+    )
+
+
+def violation_lines(violations: DataFrame) -> DataFrame:
+    """(text, json) of each contract violation."""
+    text = F.concat(F.lit("  "), "caller_function", F.lit("() -> "), "callee_function", F.lit("(): missing "), "missing_contract", F.lit(" (rule: "), "rule_resource_type", F.lit(")"))
+    return violations.select(text.alias("text"), F.to_json(F.struct(*violations.columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -210,3 +210,67 @@ def next_ids(nodes: DataFrame, prefixes: tuple[str, ...] = ("gwt", "req")) -> Da
     numbers = nodes.agg(*[F.coalesce(F.max(cell_number(F.col("id"), p)), F.lit(0)).alias(p) for p in prefixes])
     rows = F.inline(F.array(*[F.struct(F.lit(p).alias("prefix"), F.col(p).alias("last")) for p in prefixes]))
     return numbers.select(rows).select("prefix", F.concat(F.col("prefix"), F.lit("-"), F.format_string("%04d", F.col("last") + 1)).alias("next_id"))
+
+
+def require(nodes: DataFrame, ids: DataFrame) -> None:
+    """Raise an error that names an id of ``ids`` (id) that is no node, if there is one."""
+    lost = ids.join(nodes.select("id"), "id", "left_anti").head(1)
+    if lost:
+        raise ValueError(f"no node {lost[0]['id']!r}")
+
+
+def component_of(parts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(component_id, node_id) of the given ids (id) among the ``components``."""
+    return parts.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("component_id", "node_id")
+
+
+def context(nodes: DataFrame, edges: DataFrame, records: DataFrame, root: DataFrame) -> DataFrame:
+    """(facet, id, value) of what the ``root`` (id) depends on; nodes have a ``path`` and a ``schema`` column.
+
+    Facets: dependency (every one, its name), template (a spec's path), schema (a resource's), existing_spec
+    (a resource's path that ends in .tla) and card (the record of that id, its function).
+    """
+    require(nodes, root)
+    below = cut(nodes.join(reachable(edges, root, with_seeds=False), "id", "left_semi").select("id", "kind", "name", "path", "schema"))
+    facet = lambda name, value, test=F.lit(True): below.filter(test & (value != "")).select(F.lit(name).alias("facet"), "id", value.alias("value"))
+    kind, path = F.col("kind"), F.col("path")
+    known = records.join(below.select(F.col("id").alias("uuid")), "uuid", "left_semi").select(F.lit("card").alias("facet"), F.col("uuid").alias("id"), F.col("function_name").alias("value"))
+    return (
+        below.select(F.lit("dependency").alias("facet"), "id", F.col("name").alias("value")).unionByName(facet("template", path, kind == "spec"))
+        .unionByName(facet("schema", F.col("schema"), kind == "resource")).unionByName(facet("existing_spec", path, (kind == "resource") & path.endswith(".tla"))).unionByName(known)
+    )
+
+
+def bridge_nodes(nodes: DataFrame, records: DataFrame) -> DataFrame:
+    """``nodes`` with a resource node for each internal record, without the resource nodes of UUID shape that no record (external ones count) has any more."""
+    made = records.filter(~F.col("is_external")).select(
+        F.col("uuid").alias("id"), F.lit("resource").alias("kind"),
+        F.concat(F.when(F.coalesce("class_name", F.lit("")) != "", F.concat("class_name", F.lit("."))).otherwise(""), "function_name", F.lit(" @ "), "file_path").alias("name"),
+    )
+    every = upsert_nodes(nodes, made)
+    return every.join(orphans(every, records), "id", "left_anti").select(every.columns)
+
+
+def bridge_calls(nodes: DataFrame, edges: DataFrame, deps: DataFrame) -> DataFrame:
+    """(from_id, to_id, edge_type, seq, outcome) of the records' dependencies as ``calls`` edges, tried in the order of their ids; ends that are no nodes make none."""
+    wanted = deps.select(F.col("dependent_uuid").alias("from_id"), F.col("dependency_uuid").alias("to_id")).distinct()
+    order = F.concat("from_id", F.lit("\n"), "to_id")
+    placed = numbered(wanted.select(order.alias("pair")), "pair")
+    new = placed.select(F.split_part("pair", F.lit("\n"), F.lit(1)).alias("from_id"), F.split_part("pair", F.lit("\n"), F.lit(2)).alias("to_id"), F.lit("calls").alias("edge_type"), F.col("number").cast("bigint").alias("seq"))
+    return add_edges(nodes, edges, new).filter("outcome <> 'missing'")
+
+
+def module_nodes(nodes: DataFrame, name: str, source_path: str | None = None) -> DataFrame:
+    """The nodes (id, name, path) whose name holds a module's (in any case) or whose path holds its source's."""
+    here = F.lower("name").contains(name.lower())
+    return nodes.filter(here | F.coalesce(F.col("path").contains(source_path), F.lit(False)) if source_path else here)
+
+
+def change(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(what, n, change): nodes and edges after an update, and the difference with its sign."""
+    rows = None
+    for what, old, new in zip(("nodes", "edges"), before, after):
+        both = old.select(F.lit(0).alias("new")).unionByName(new.select(F.lit(1).alias("new")))
+        one = both.agg(F.coalesce(F.sum("new"), F.lit(0)).alias("n"), F.count_if(F.col("new") == 0).alias("was")).select(F.lit(what).alias("what"), "n", (F.col("n") - F.col("was")).alias("d"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.select("what", "n", F.concat(F.when(F.col("d") > 0, "+").otherwise(""), F.col("d").cast("string")).alias("change"))

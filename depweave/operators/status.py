@@ -63,3 +63,15 @@ def ingest_disposition(skeletons: DataFrame, records: DataFrame, *, incremental:
     return seen.withColumn("turn", turn).select(
         "uuid", F.when(same, "skipped").when(adopts, "adopted").when(F.col("old_hash").isNotNull(), "updated").otherwise("created").alias("disposition")
     )
+
+
+def ingest_counts(disposition: DataFrame) -> DataFrame:
+    """One row: created, updated, skipped, failed and adopted of ``disposition``."""
+    return disposition.agg(*[F.count_if(F.col("disposition") == d).alias(d) for d in ("created", "updated", "skipped", "failed", "adopted")])
+
+
+def crawl_summary(done: DataFrame) -> DataFrame:
+    """One row over (outcome, seconds): extracted, failed, skipped, ax, retries, elapsed text and seconds for each extracted function (null if none)."""
+    is_ = lambda o: F.count_if(F.col("outcome") == o)
+    sums = done.agg(*[is_(o).alias(o) for o in ("extracted", "failed", "skipped", "ax", "retries")], F.coalesce(F.sum("seconds"), F.lit(0)).alias("seconds"))
+    return sums.select("extracted", "failed", "skipped", "ax", "retries", elapsed(F.col("seconds")).alias("elapsed"), F.when(F.col("extracted") > 0, F.col("seconds") / F.col("extracted")).alias("average"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.functions.exprs import record_uuid
 from depweave.operators.graph import reachable
 
 PENDING = ("SKELETON_ONLY", "EXTRACTION_FAILED")
@@ -185,6 +186,64 @@ def upsert_records(records: DataFrame, ins: DataFrame, outs: DataFrame, new: Dat
     )
 
 
+def exploded(records: DataFrame, column: str) -> DataFrame:
+    """(record_uuid, ordinal, the fields of the array's structs): children of new records, numbered by their place in the array."""
+    rows = records.select(F.col("uuid").alias("record_uuid"), F.posexplode(column).alias("ordinal", "child"))
+    return rows.select("record_uuid", "ordinal", "child.*")
+
+
+def adopt_donors(donors: DataFrame, records: DataFrame, ins: DataFrame, outs: DataFrame, test_refs: DataFrame, maps: DataFrame, entry_points: DataFrame) -> tuple[DataFrame, ...]:
+    """The six tables without the ``donors`` (uuid): their rows go, references to them from inputs and entry points become null."""
+    named = lambda c: donors.select(F.col("uuid").alias(c)).distinct()
+
+    def unlinked(rows: DataFrame, column: str) -> DataFrame:
+        gone = named(column).withColumn("_gone", F.lit(True))
+        return rows.join(gone, column, "left").withColumn(column, F.when(F.col("_gone"), None).otherwise(F.col(column))).select(rows.columns)
+
+    return (
+        records.join(named("uuid"), "uuid", "left_anti"), unlinked(ins.join(named("record_uuid"), "record_uuid", "left_anti").select(ins.columns), "source_uuid"),
+        outs.join(named("record_uuid"), "record_uuid", "left_anti"), test_refs.join(named("target_uuid"), "target_uuid", "left_anti"),
+        maps.join(named("entry_uuid"), "entry_uuid", "left_anti"), unlinked(entry_points, "record_uuid"),
+    )
+
+
+def mentioned(records: DataFrame, functions: DataFrame, files: DataFrame, folders: DataFrame) -> DataFrame:
+    """(uuid): internal records of the given functions (function_name), files (path, whole or the end of one after a slash) and folders (directory, at any depth, in any case).
+
+    Ends of a path and runs of its folders are join keys, so nothing is compared pairwise.
+    """
+    rows = internal(records).select("uuid", "function_name", "file_path")
+    parts = F.split("file_path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
+    depth = F.size(parts) - 1
+    run_from = lambda a: F.transform(F.sequence(F.lit(1), depth - a + 1), lambda n: F.lower(F.array_join(F.slice(parts, a, n), "/")))
+    runs = F.when(depth > 0, F.flatten(F.transform(F.sequence(F.lit(1), depth), run_from))).otherwise(F.array().cast("array<string>"))
+    by_end = rows.select("uuid", F.explode(ends).alias("path")).join(files.select("path"), "path", "left_semi").select("uuid")
+    wanted = folders.select(F.lower(F.rtrim(F.col("directory"), F.lit("/"))).alias("directory"))
+    by_folder = rows.select("uuid", F.explode(runs).alias("directory")).join(wanted, "directory", "left_semi").select("uuid")
+    return rows.join(functions.select("function_name"), "function_name", "left_semi").select("uuid").unionByName(by_end).unionByName(by_folder).distinct()
+
+
+def relevant_records(records: DataFrame, ins: DataFrame, functions: DataFrame, files: DataFrame, folders: DataFrame) -> DataFrame:
+    """The ``mentioned`` records and all that those of their names need."""
+    found = mentioned(records, functions, files, folders)
+    names = records.join(found, "uuid", "left_semi").select("function_name").distinct()
+    start = records.join(names, "function_name", "left_semi").select(F.col("uuid").alias("id"))
+    return records.join(reachable(_as_edges(ins), start).select(F.col("id").alias("uuid")), "uuid", "left_semi")
+
+
+def external_records(ins: DataFrame, records: DataFrame) -> DataFrame:
+    """(uuid, function_name, file_path, src_hash, source_crate, boundary_contract): one new record of each external call that names a function (source_file null: ``external``)."""
+    path = F.coalesce(F.nullif("source_file", F.lit("")), F.lit("external"))
+    calls = ins.filter("source = 'external' and source_function <> ''").select(F.col("source_function").alias("function_name"), path.alias("file_path"), (path == F.col("source_file")).alias("has_file")).distinct()
+    crate = F.when(F.col("has_file"), F.substring_index("file_path", ".", 1)).otherwise(F.substring_index("function_name", ".", 1))
+    made = calls.select(
+        record_uuid(F.col("file_path"), F.lit(None).cast("string"), F.col("function_name")).alias("uuid"), "function_name", "file_path", F.lit("external").alias("src_hash"),
+        crate.alias("source_crate"), F.concat(F.lit("External call to "), "function_name").alias("boundary_contract"),
+    )
+    return made.join(records.select("uuid"), "uuid", "left_anti").dropDuplicates(["uuid"])
+
+
 def cards(records: DataFrame, ins: DataFrame, outs: DataFrame) -> DataFrame:
     """(uuid, card): one text per record with its inputs, what it does, and its outputs."""
     r = nested(records, ins, outs)

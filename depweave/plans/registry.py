@@ -394,6 +394,18 @@ def _directories(records):
     return text.directories(records)
 
 
+@query("text_mentions", "records", sql=with_("records") + " SELECT uuid, function_name AS functions, file_path AS files, 'src/db/,lib/core' AS directories FROM records")
+def _mentions(records):
+    said = F.concat(F.lit("Call "), "function_name", F.lit("() of "), "file_path", F.lit(", in 'src/db/' or lib/core"))
+    return records.select("uuid", text.mentions(said).alias("m")).select("uuid", *[F.array_join(F.col("m")[c], ",").alias(c) for c in ("functions", "files", "directories")])
+
+
+@query("text_json", "nodes", sql=with_("nodes") + """ SELECT id, '{"id": "' || id || '", "n": {"k": "}"}}' AS object FROM nodes""")
+def _json(nodes):
+    prose = F.concat(F.lit("Sure: {no json} then {\"id\": \""), "id", F.lit("\", \"n\": {\"k\": \"}\"}} and {\"x\": 2}"))
+    return nodes.select("id", text.first_object(prose).alias("object"))
+
+
 @query("trace_diff", "traces", sql=with_("traces") + """ SELECT trace_id, state_num, label, var, before, value FROM (SELECT *, lag(value) OVER (PARTITION BY trace_id, var ORDER BY state_num) AS before FROM traces) WHERE before IS NULL OR before <> value""")
 def _diff(traces):
     return text.trace_diff(traces).withColumn("state_num", F.col("state_num").cast("bigint"))
@@ -421,6 +433,146 @@ def _disposition(records):
     return status.ingest_disposition(skeletons, records)
 
 
+@query("ingest_counts", "records", sql=f"SELECT count(*) FILTER (disposition = 'created') AS created, count(*) FILTER (disposition = 'updated') AS updated, count(*) FILTER (disposition = 'skipped') AS skipped, count(*) FILTER (disposition = 'failed') AS failed, count(*) FILTER (disposition = 'adopted') AS adopted FROM ({SQL['ingest_disposition']})")
+def _ingest_counts(records):
+    return status.ingest_counts(_disposition(records))
+
+
+@query("store_exploded", "records", "ins", sql=with_("records", "ins") + " SELECT record_uuid, ordinal, name, type_str FROM ins WHERE record_uuid IN (SELECT uuid FROM records)")
+def _exploded(records, ins):
+    """Nested records back to numbered children."""
+    nested = store.nested(records.select("uuid"), ins.select("record_uuid", "ordinal", "name", "type_str"), ins.select("record_uuid", "ordinal"))
+    return store.exploded(nested.withColumn("ins", F.transform("ins", lambda x: F.struct(x["name"].alias("name"), x["type_str"].alias("type_str")))), "ins")
+
+
+_DONORS = "donors AS (SELECT min(uuid) AS uuid FROM records GROUP BY function_name)"
+
+
+@query("store_adopt_donors", "records", "ins", "outs", "test_refs", sql=with_("records", "ins", "outs", "test_refs") + f""", {_DONORS}
+    SELECT 'record' AS what, uuid AS a, NULL AS b FROM records WHERE uuid NOT IN (SELECT uuid FROM donors)
+    UNION ALL SELECT 'in', record_uuid, CASE WHEN source_uuid IN (SELECT uuid FROM donors) THEN NULL ELSE source_uuid END FROM ins WHERE record_uuid NOT IN (SELECT uuid FROM donors)
+    UNION ALL SELECT 'out', record_uuid, name FROM outs WHERE record_uuid NOT IN (SELECT uuid FROM donors)
+    UNION ALL SELECT 'test', target_uuid, NULL FROM test_refs WHERE target_uuid NOT IN (SELECT uuid FROM donors)
+    UNION ALL SELECT 'map', record_uuid, name FROM outs WHERE record_uuid NOT IN (SELECT uuid FROM donors)
+    UNION ALL SELECT 'entry', name, CASE WHEN record_uuid IN (SELECT uuid FROM donors) THEN NULL ELSE record_uuid END FROM outs""")
+def _adopt(records, ins, outs, test_refs):
+    """The first record of each name is adopted away; outputs stand for maps and entry points, too."""
+    donors = records.groupBy("function_name").agg(F.min("uuid").alias("uuid"))
+    tables = store.adopt_donors(donors, records, ins, outs, test_refs, outs.withColumnRenamed("record_uuid", "entry_uuid"), outs)
+    none, found = F.lit(None).cast("string"), None
+    for df, what, a, b in zip(tables, ("record", "in", "out", "test", "map", "entry"), ("uuid", "record_uuid", "record_uuid", "target_uuid", "entry_uuid", "name"), (None, "source_uuid", "name", None, "name", "record_uuid")):
+        rows = df.select(F.lit(what).alias("what"), F.col(a).alias("a"), (F.col(b) if b else none).alias("b"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query("store_relevant", "records", "ins", sql=with_("records", "ins", recursive=True) + """,
+    hit AS (SELECT uuid, function_name FROM records r WHERE NOT is_external AND (function_name = 'ECONOMY' OR file_path ILIKE 'db/%' OR file_path ILIKE '%/db/%'
+        OR EXISTS (SELECT 1 FROM (SELECT min(file_path) AS p FROM records GROUP BY class_name) m WHERE r.file_path = substr(m.p, instr(m.p, '/') + 1) OR ends_with(r.file_path, '/' || substr(m.p, instr(m.p, '/') + 1))))),
+    f(uuid) AS (SELECT uuid FROM records WHERE function_name IN (SELECT function_name FROM hit) UNION SELECT i.source_uuid FROM f JOIN ins i ON i.record_uuid = f.uuid WHERE i.source_uuid IS NOT NULL)
+    SELECT uuid, function_name, file_path FROM records WHERE uuid IN (SELECT uuid FROM f)""")
+def _relevant_records(records, ins):
+    """Mentions of a function, of a folder, and of the ends of each class's first path."""
+    files = records.groupBy("class_name").agg(F.min("file_path").alias("p")).select(F.expr("substr(p, instr(p, '/') + 1)").alias("path"))
+    functions, folders = seeds(records, "ECONOMY").withColumnRenamed("id", "function_name"), seeds(records, "db/").withColumnRenamed("id", "directory")
+    return store.relevant_records(records, ins, functions, files, folders).select("uuid", "function_name", "file_path")
+
+
+_UUID5 = """substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || CASE WHEN substr(d, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(d, 17, 1) IN ('1', '5', '9', 'd') THEN '9'
+        WHEN substr(d, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(d, 18, 3) || '-' || substr(d, 21, 12)"""
+
+
+@query("store_external_records", "records", "ins", sql=with_("records", "ins") + f""", calls AS (SELECT DISTINCT source_function AS f, CASE WHEN ordinal % 2 = 0 THEN type_str || '.py' END AS file FROM ins WHERE source = 'parameter' AND source_function IS NOT NULL),
+    h AS (SELECT *, sha1(unhex('f47ac10b58cc4372a5670e02b2c3d479') || encode(coalesce(file, 'external') || '::::' || f)) AS d FROM calls)
+    SELECT {_UUID5} AS uuid, f AS function_name, coalesce(file, 'external') AS file_path, split_part(coalesce(file, f), '.', 1) AS source_crate, 'External call to ' || f AS boundary_contract FROM h""")
+def _external(records, ins):
+    """Inputs given as parameters stand for external ones; every other one names its file."""
+    calls = ins.filter("source = 'parameter'").withColumns({"source": F.lit("external"), "source_file": F.when(F.col("ordinal") % 2 == 0, F.concat("type_str", F.lit(".py")))})
+    return store.external_records(calls, records).drop("src_hash")
+
+
+_BUNDLE = """shown AS (SELECT id, CASE kind WHEN 'module' THEN 'spec' ELSE kind END AS kind, name, CASE WHEN kind = 'module' THEN 'templates/' || id WHEN name LIKE '%widget%' THEN id || '.tla' ELSE id || '.json' END AS path, 'schema-' || name AS schema FROM nodes)"""
+
+
+@query("graph_context", "nodes", "edges", "records", sql=with_("nodes", "edges", "records", recursive=True) + f""", {_UP}, {_BUNDLE}, below AS (SELECT * FROM shown WHERE id IN (SELECT id FROM up) AND id <> 'nat-3')
+    SELECT 'dependency' AS facet, id, name AS value FROM below UNION ALL SELECT 'template', id, path FROM below WHERE kind = 'spec' UNION ALL SELECT 'schema', id, schema FROM below WHERE kind = 'resource'
+    UNION ALL SELECT 'existing_spec', id, path FROM below WHERE kind = 'resource' AND path LIKE '%.tla' UNION ALL SELECT 'card', uuid, function_name FROM records WHERE uuid IN (SELECT id FROM below)""")
+def _context(nodes, edges, records):
+    """What a nation needs when every edge is read the other way; modules stand for specs."""
+    kind = F.col("kind")
+    path = F.when(kind == "module", F.concat(F.lit("templates/"), "id")).when(F.col("name").contains("widget"), F.concat("id", F.lit(".tla"))).otherwise(F.concat("id", F.lit(".json")))
+    shown = nodes.select("id", F.when(kind == "module", "spec").otherwise(kind).alias("kind"), "name", path.alias("path"), F.concat(F.lit("schema-"), "name").alias("schema"))
+    back = edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "edge_type")
+    return graph.context(shown, back, records, seeds(edges, "nat-3"))
+
+
+_SHAPED = "regexp_replace(md5({0}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+@query("graph_bridge_nodes", "nodes", "records", sql=with_("nodes", "records") + f""", crawled AS (SELECT *, {_SHAPED.format('uuid')} AS u FROM records),
+    had AS (SELECT CASE WHEN id LIKE 'part-%' OR id LIKE 'supp-%' THEN {_SHAPED.format('id')} ELSE id END AS id, CASE WHEN id LIKE 'part-%' OR id LIKE 'supp-%' THEN 'resource' ELSE kind END AS kind, name, id LIKE 'supp-%' AS lost FROM nodes)
+    SELECT u AS id, 'resource' AS kind, CASE WHEN coalesce(class_name, '') <> '' THEN class_name || '.' ELSE '' END || function_name || ' @ ' || file_path AS name FROM crawled WHERE NOT is_external
+    UNION ALL SELECT id, kind, name FROM had WHERE NOT lost AND id NOT IN (SELECT u FROM crawled WHERE NOT is_external)""")
+def _bridge(nodes, records):
+    """Parts and suppliers stand for nodes of an earlier crawl; the suppliers' records are gone."""
+    shaped = lambda c: F.regexp_replace(F.md5(c), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    crawled = F.col("id").like("part-%") | F.col("id").like("supp-%")
+    had = nodes.select(F.when(crawled, shaped("id")).otherwise(F.col("id")).alias("id"), F.when(crawled, "resource").otherwise(F.col("kind")).alias("kind"), "name")
+    return graph.bridge_nodes(had, records.withColumn("uuid", shaped("uuid")))
+
+
+@query("graph_module_nodes", "nodes", sql=with_("nodes") + " SELECT id, name FROM nodes WHERE contains(lower(name), 'widget') OR contains(id, 'supp-1')")
+def _module(nodes):
+    return graph.module_nodes(nodes.withColumn("path", F.col("id")), "Widget", "supp-1").select("id", "name")
+
+
+@query("graph_change", "nodes", "edges", sql=with_("nodes", "edges") + """, n AS (SELECT count(*) AS n, count(*) FILTER (kind = 'module') AS d FROM nodes), e AS (SELECT count(*) AS n, -count(*) AS d FROM edges)
+    SELECT 'nodes' AS what, n, CASE WHEN d > 0 THEN '+' ELSE '' END || d AS change FROM n UNION ALL SELECT 'edges', n, CASE WHEN d > 0 THEN '+' ELSE '' END || d FROM e""")
+def _change(nodes, edges):
+    """Before: no modules, and every edge twice."""
+    return graph.change((nodes.filter("kind <> 'module'"), edges.unionByName(edges)), (nodes, edges))
+
+
+@query("seam_lines", "records", "ins", "outs", sql=with_("records", "ins", "outs") + f""", {_SEAMS}
+    SELECT 'mismatch' AS section, '  ' || c.function_name || '() -> ' || k.function_name || '().' || j.name || chr(10) || '    provides: ' || coalesce(j.provided, '') || ', expects: ' || j.expected AS text
+    FROM judged j JOIN records c ON c.uuid = j.b JOIN records k ON k.uuid = j.a WHERE severity IS NOT NULL
+    UNION ALL SELECT 'unresolved', '  ' || r.function_name || '().' || i.name || ': ' || i.type_str FROM ins i JOIN records r ON r.uuid = i.record_uuid WHERE {_OPEN}""")
+def _seam_lines(records, ins, outs):
+    return contracts.seam_lines(contracts.seam_mismatches(records, ins, outs), store.unresolved(records, ins)).select("section", "text")
+
+
+@query("violation_lines", "records", "ins", "outs", sql=with_("records", "ins", "outs") + f""", {_REQUIRED}
+    SELECT '  ' || caller_function || '() -> ' || callee_function || '(): missing ' || required || ' (rule: ' || resource_type || ')' AS text,
+        CAST(to_json({{'rule_resource_type': resource_type, 'callee_uuid': b, 'callee_function': callee_function, 'missing_contract': required, 'caller_uuid': a, 'caller_function': caller_function}}) AS varchar) AS json FROM met WHERE NOT has""")
+def _violation_lines(records, ins, outs):
+    return contracts.violation_lines(contracts.contract_violations(records, ins, outs, _rules(records)))
+
+
+@query("crawl_summary", "traces", sql=with_("traces") + """, d AS (SELECT CASE label WHEN 'click' THEN 'extracted' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'ax' END AS outcome, state_num AS seconds FROM traces WHERE var = 'kind'),
+    s AS (SELECT count(*) FILTER (outcome = 'extracted') AS extracted, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'ax') AS ax, CAST(0 AS bigint) AS retries, CAST(sum(seconds) AS bigint) AS t FROM d)
+    SELECT extracted, failed, skipped, ax, retries, CASE WHEN t < 60 THEN t || 's' WHEN t < 3600 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE (t // 3600) || 'h ' || (t % 3600 // 60) || 'm' END AS elapsed, CASE WHEN extracted > 0 THEN t / extracted END AS average FROM s""")
+def _crawl_summary(traces):
+    label = F.col("label")
+    outcome = F.when(label == "click", "extracted").when(label == "error", "failed").when(label == "view", "skipped").otherwise("ax")
+    return status.crawl_summary(traces.filter("var = 'kind'").select(outcome.alias("outcome"), F.col("state_num").cast("bigint").alias("seconds")))
+
+
+@query("text_module_name", "nodes", sql=with_("nodes") + """, w AS (SELECT id, string_split(trim(regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g'), '_'), '_') AS w FROM nodes),
+    j AS (SELECT id, array_to_string(list_transform(w, lambda x: upper(x[1:1]) || x[2:]), '') AS m FROM w) SELECT id, CASE WHEN m <> '' THEN m ELSE replace(id, '-', '_') END AS module FROM j""")
+def _module_name(nodes):
+    return nodes.select("id", exprs.module_name(F.col("name"), F.col("id")).alias("module"))
+
+
+@query("trace_flat", "traces", sql=with_("traces") + """, s AS (SELECT trace_id, state_num, string_agg(var || '=' || value, ',' ORDER BY var) AS v FROM traces GROUP BY trace_id, state_num), bad AS (SELECT DISTINCT trace_id FROM traces WHERE label = 'error')
+    SELECT trace_id, CASE WHEN trace_id IN (SELECT trace_id FROM bad) THEN string_agg(v, ';' ORDER BY state_num) END AS states FROM s GROUP BY trace_id""")
+def _flat(traces):
+    """Traces with an error violate an invariant; the others give none."""
+    states = traces.groupBy("trace_id", "state_num").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("var", "value")))).alias("vars"), F.max(F.col("label") == "error").alias("bad"))
+    whole = states.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("state_num", F.map_entries("vars").alias("vars")))).alias("s"), F.when(F.max("bad"), "NoError").alias("invariant"))
+    one = lambda v: F.array_join(F.transform(v, lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return whole.select("trace_id", F.array_join(F.transform(exprs.flat_trace(F.col("s"), F.col("invariant")), one), ";").alias("states"))
+
+
 def queries() -> dict:
     return QUERIES
 
