@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from depweave.llm import ann, bpe, html_extract, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
+from depweave.llm import ann, bpe, html_extract, langid, line_dedup, ngram_join, packing, quality, sharding, spelling, suffix_dedup
 from depweave.session import table
 
 
@@ -59,11 +59,16 @@ def op10_ordered_rules(spark, sf_dir):
     return quality.apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ordered=True)
 
 
+def op11_frequency_trie_variants(spark, sf_dir):
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_string_kernel_languages, op2_small_world_search, op3_wrapper_extraction,
         op4_similar_line_removal, op5_sparse_product_jaccard, op6_bounded_ring_shards, op7_sum_of_squares_packing,
         op8_merged_transform_dedup, op9_tree_bpe, op10_risk_controlled_rules, op10_ordered_rules,
+        op11_frequency_trie_variants,
     )}
 
 
