@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from depweave.llm import ann, bpe, html_extract, langid, line_dedup, ngram_join, packing, quality, sharding, spelling, suffix_dedup
+from depweave.llm import ann, bpe, html_extract, langid, line_dedup, ngram_join, packing, quality, sharding, spelling, stream_packing, suffix_dedup, token_align
 from depweave.session import table
 
 
@@ -63,12 +63,20 @@ def op11_frequency_trie_variants(spark, sf_dir):
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_bounded_space_packing(spark, sf_dir):
+    return stream_packing.pack_stream(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op13_span_alignment(spark, sf_dir):
+    return token_align.align_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_string_kernel_languages, op2_small_world_search, op3_wrapper_extraction,
         op4_similar_line_removal, op5_sparse_product_jaccard, op6_bounded_ring_shards, op7_sum_of_squares_packing,
         op8_merged_transform_dedup, op9_tree_bpe, op10_risk_controlled_rules, op10_ordered_rules,
-        op11_frequency_trie_variants,
+        op11_frequency_trie_variants, op12_bounded_space_packing, op13_span_alignment,
     )}
 
 
