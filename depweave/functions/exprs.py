@@ -65,11 +65,13 @@ def verdict(text: Column) -> Column:
 
 
 def elapsed(seconds: Column) -> Column:
-    """12s, 3m 4s, 1h 2m."""
-    s = F.floor(seconds).cast("bigint")
+    """5.2s below a minute, 1m04.5s below an hour, 1h02m above."""
+    whole = F.floor(seconds).cast("bigint")
+    minutes = F.floor(whole / 60)
     return (
-        F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60))
-        .otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+        F.when(seconds < 60, F.format_string("%.1fs", seconds.cast("double")))
+        .when(minutes < 60, F.format_string("%dm%04.1fs", minutes, (seconds - minutes * 60).cast("double")))
+        .otherwise(F.format_string("%dh%02dm", F.floor(minutes / 60), minutes % 60))
     )
 
 

@@ -16,7 +16,7 @@ def seam_edges(records: DataFrame, ins: DataFrame, outs: DataFrame) -> DataFrame
     """One row per dependency edge and linked input: severity null where nothing is wrong.
 
     An input is linked if it is an internal call whose source is the edge's dependency; it is compared
-    with the dependency's first ok output alone.  An edge counts once per dispatch.
+    with the dependency's first ok output alone.  An edge counts once per dispatch and its candidates.
     """
     known = records.select("uuid", "function_name")
     edges = (
@@ -44,7 +44,7 @@ def seam_mismatches(records: DataFrame, ins: DataFrame, outs: DataFrame) -> Data
 
 def seam_report(records: DataFrame, ins: DataFrame, outs: DataFrame) -> DataFrame:
     """One row: mismatches (per input), unresolved, satisfied (per edge) and their total."""
-    per_edge = seam_edges(records, ins, outs).groupBy("dependent_uuid", "dependency_uuid", "dispatch").agg(F.count("severity").alias("bad"))
+    per_edge = seam_edges(records, ins, outs).groupBy("dependent_uuid", "dependency_uuid", "dispatch", "dispatch_candidates").agg(F.count("severity").alias("bad"))
     edges = per_edge.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("mismatches"), F.count_if(F.col("bad") == 0).alias("satisfied"))
     open_ = unresolved(records, ins).agg(F.count(F.lit(1)).alias("unresolved"))
     return edges.crossJoin(open_).select("mismatches", "unresolved", "satisfied", (F.col("mismatches") + F.col("unresolved") + F.col("satisfied")).alias("total_edges"))
@@ -99,7 +99,7 @@ def contract_violations(records: DataFrame, ins: DataFrame, outs: DataFrame, rul
 
 def contract_summary(records: DataFrame, ins: DataFrame, outs: DataFrame, rules: DataFrame) -> DataFrame:
     """One row: violations, satisfied edges (some rule matched, nothing missing), total_checked."""
-    per_edge = _rule_edges(records, ins, outs, rules).groupBy("dependent_uuid", "dependency_uuid", "dispatch").agg(F.count_if(F.col("has").isNull()).alias("bad"))
+    per_edge = _rule_edges(records, ins, outs, rules).groupBy("dependent_uuid", "dependency_uuid", "dispatch", "dispatch_candidates").agg(F.count_if(F.col("has").isNull()).alias("bad"))
     sums = per_edge.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("violations"), F.count_if(F.col("bad") == 0).alias("satisfied"))
     return sums.select("violations", "satisfied", (F.col("violations") + F.col("satisfied")).alias("total_checked"))
 

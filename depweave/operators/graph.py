@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.operators.components import connected_components, numbered
+from depweave.operators.strong import accepted_in_order, strong_sets
 from depweave.session import cut
 
 
@@ -127,14 +128,10 @@ def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
     known = new.join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(ids.select(F.col("id").alias("to_id")), "to_id", "left_semi")
     lost = new.join(known.select("seq"), "seq", "left_anti").select("from_id", "to_id", "edge_type", "seq", F.lit("missing").alias("outcome"))
     every = cut(have.unionByName(known.select(have.columns)))
-    reach = cut(closure(every.filter("from_id <> to_id")))
-    sets = (
-        reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-        .groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("part"))
-    )
+    sets = strong_sets(every)
     placed = (
-        every.join(sets.select(F.col("src").alias("from_id"), F.col("part").alias("from_part")), "from_id", "left")
-        .join(sets.select(F.col("src").alias("to_id"), F.col("part").alias("to_part")), "to_id", "left")
+        every.join(sets.select(F.col("node").alias("from_id"), F.col("part").alias("from_part")), "from_id", "left")
+        .join(sets.select(F.col("node").alias("to_id"), F.col("part").alias("to_part")), "to_id", "left")
     )
     same = placed.filter("from_part = to_part")
     first = Window.partitionBy("from_id", "to_id", "edge_type").orderBy("seq")
@@ -143,7 +140,7 @@ def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
     )
     schema = "from_id string, to_id string, edge_type string, seq bigint, outcome string"
     firsts = same.groupBy("from_part", "from_id", "to_id", "edge_type").agg(F.min("seq").alias("seq"))
-    judged = firsts.groupBy("from_part").applyInPandas(_greedy, schema).select(
+    judged = firsts.groupBy("from_part").applyInPandas(accepted_in_order, schema).select(
         F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("edge_type").alias("kind"), "outcome"
     )
     equal = (F.col("from_id") == F.col("a")) & (F.col("to_id") == F.col("b")) & F.col("edge_type").eqNullSafe(F.col("kind"))
@@ -154,29 +151,6 @@ def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
     return free.unionByName(inside).filter("seq >= 0").unionByName(lost)
 
 
-def _greedy(pdf):
-    """Edges of one strongly connected set in order: a self-loop or an edge that closes a cycle is refused."""
-    out: dict[str, set[str]] = {}
-    seen, outcomes = set(), []
-    pdf = pdf.sort_values("seq", kind="stable")
-    for a, b, kind in zip(pdf["from_id"], pdf["to_id"], pdf["edge_type"]):
-        ahead, met = [b], {b}
-        while ahead:
-            for n in out.get(ahead.pop(), ()):
-                if n not in met:
-                    met.add(n)
-                    ahead.append(n)
-        if a in met:
-            outcomes.append("cycle")
-        elif (a, b, kind) in seen:
-            outcomes.append("duplicate")
-        else:
-            seen.add((a, b, kind))
-            out.setdefault(a, set()).add(b)
-            outcomes.append("accepted")
-    return pdf.assign(outcome=outcomes)[["from_id", "to_id", "edge_type", "seq", "outcome"]]
-
-
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """``nodes`` with ``new`` rows in place of those of the same id."""
     return nodes.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
@@ -241,25 +215,48 @@ def context(nodes: DataFrame, edges: DataFrame, records: DataFrame, root: DataFr
     )
 
 
-def bridge_nodes(nodes: DataFrame, records: DataFrame) -> DataFrame:
-    """``nodes`` with a resource node for each internal record, without the resource nodes of UUID shape that no record (external ones count) has any more."""
+def _crawled(nodes: DataFrame, records: DataFrame) -> DataFrame:
+    """``nodes`` with a resource node for each internal record, its claim as the description."""
     made = records.filter(~F.col("is_external")).select(
         F.col("uuid").alias("id"), F.lit("resource").alias("kind"),
         F.concat(F.when(F.coalesce("class_name", F.lit("")) != "", F.concat("class_name", F.lit("."))).otherwise(""), "function_name", F.lit(" @ "), "file_path").alias("name"),
+        F.col("operational_claim").alias("description"),
     )
-    every = upsert_nodes(nodes, made)
+    return upsert_nodes(nodes, made)
+
+
+def bridge_nodes(nodes: DataFrame, records: DataFrame) -> DataFrame:
+    """``nodes`` (id, kind, name, description) with a resource node for each internal record, without the resource nodes of UUID shape that no record (external ones count) has any more."""
+    every = _crawled(nodes, records)
     return every.join(orphans(every, records), "id", "left_anti").select(every.columns)
 
 
 def bridge_calls(nodes: DataFrame, edges: DataFrame, deps: DataFrame) -> DataFrame:
-    """(from_id, to_id, edge_type, seq, outcome) of the records' dependencies as ``calls`` edges, tried in the order of their ids; ends that are no nodes make none."""
-    wanted = deps.select(F.col("dependent_uuid").alias("from_id"), F.col("dependency_uuid").alias("to_id")).distinct()
-    order = F.concat("from_id", F.lit("\n"), "to_id")
-    placed = numbered(wanted.select(order.alias("pair")), "pair")
-    new = placed.select(F.split_part("pair", F.lit("\n"), F.lit(1)).alias("from_id"), F.split_part("pair", F.lit("\n"), F.lit(2)).alias("to_id"), F.lit("calls").alias("edge_type"), F.col("number").cast("bigint").alias("seq"))
+    """(from_id, to_id, edge_type, seq, outcome) of the records' dependencies as ``calls`` edges, tried in the order of their ids and dispatches; ends that are no nodes make none."""
+    wanted = deps.select(F.array("dependent_uuid", "dependency_uuid", "dispatch").alias("row"))
+    new = numbered(wanted, "row").select(F.col("row")[0].alias("from_id"), F.col("row")[1].alias("to_id"), F.lit("calls").alias("edge_type"), F.col("number").cast("bigint").alias("seq"))
     return add_edges(nodes, edges, new).filter("outcome <> 'missing'")
 
 
+def bridge(nodes: DataFrame, edges: DataFrame, records: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counters) after the records have been brought into the graph.
+
+    Nodes are added first, then the ``calls`` edges between any two nodes, then orphans go with
+    their edges.  The counters are one row: nodes_added, edges_added (silent duplicates count, as
+    they are no errors) and orphans_removed.
+    """
+    every = cut(_crawled(nodes, records))
+    tried = cut(bridge_calls(every, edges, deps))
+    lost = cut(orphans(every, records))
+    joined = edges.unionByName(tried.filter("outcome = 'accepted'").select(edges.columns))
+    left, kept, _ = remove_nodes(every, joined, every.select(F.col("id").alias("node_id")).limit(0), lost)
+    counters = (
+        records.agg(F.count_if(~F.col("is_external")).alias("nodes_added"))
+        .crossJoin(tried.agg(F.count_if(F.col("outcome").isin("accepted", "duplicate")).alias("edges_added"))).crossJoin(lost.agg(F.count(F.lit(1)).alias("orphans_removed")))
+    )
+    return left, kept, counters
+
+
 def module_nodes(nodes: DataFrame, name: str, source_path: str | None = None) -> DataFrame:
     """The nodes (id, name, path) whose name holds a module's (in any case) or whose path holds its source's."""
     here = F.lower("name").contains(name.lower())

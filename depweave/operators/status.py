@@ -29,40 +29,57 @@ def roll_up(status: DataFrame) -> DataFrame:
     )
 
 
-def live_progress(progress: DataFrame, results: DataFrame, now) -> DataFrame:
-    """Per running item the elapsed time since its last update; finished if a result exists, dead ones are stale."""
+def parse_progress(files: DataFrame) -> DataFrame:
+    """(gwt_id, attempt, max_attempts, phase, detail, pid, updated_at) of progress files (name, text); what is no JSON object is passed over, what is missing has a default."""
+    v = files.select("name", F.try_parse_json("text").alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    get = lambda key, kind, default: F.coalesce(F.try_variant_get("v", f"$.{key}", kind), default if hasattr(default, "alias") else F.lit(default)).alias(key)
+    return v.select(
+        get("gwt_id", "string", F.regexp_replace("name", "_progress", "")), get("attempt", "bigint", 0), get("max_attempts", "bigint", 0), get("phase", "string", "unknown"),
+        get("detail", "string", ""), get("pid", "bigint", 0), get("updated_at", "double", 0.0),
+    )
+
+
+def live_progress(progress: DataFrame, results: DataFrame, alive: DataFrame, now) -> DataFrame:
+    """(gwt_id, attempt, phase, elapsed_seconds, state) of parsed progress: done if a result exists, running if its process (pid) is ``alive``, else stale.
+
+    Seconds since the last update are cut to whole ones, 0 where it never came.
+    """
     done = results.select("gwt_id").distinct().withColumn("done", F.lit(True))
-    age = now - F.col("updated_at")
-    return progress.join(done, "gwt_id", "left").select(
-        "gwt_id", "attempt", "phase", age.alias("age"), elapsed(age).alias("elapsed"),
-        F.when(F.col("done"), "done").when(F.col("alive"), "running").otherwise("stale").alias("state"),
+    there = alive.select("pid").distinct().withColumn("there", F.lit(True))
+    age = F.when(F.col("updated_at") != 0, (now - F.col("updated_at")).cast("bigint")).otherwise(0)
+    return progress.join(done, "gwt_id", "left").join(there, "pid", "left").select(
+        "gwt_id", F.concat(F.col("attempt").cast("string"), F.lit("/"), F.col("max_attempts").cast("string")).alias("attempt"), "phase", age.alias("elapsed_seconds"),
+        F.when(F.col("done"), "done").when(F.col("there"), "running").otherwise("stale").alias("state"),
     )
 
 
+def progress_counts(live: DataFrame) -> DataFrame:
+    """One row: running, done and stale entries."""
+    return live.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("running", "done", "stale")])
+
+
 def verdicts(reviews: DataFrame) -> DataFrame:
-    """One row per group: the gravest verdict of its texts (fail, warning, unknown, pass) and whether it blocks."""
-    rank = F.when(F.col("v") == "fail", 3).when(F.col("v") == "warning", 2).when(F.col("v") == "unknown", 1).otherwise(0)
-    graded = reviews.withColumn("v", verdict(F.col("text")))
-    return graded.groupBy("group").agg(F.max_by("v", rank).alias("verdict"), F.count(F.lit(1)).alias("reviews")).withColumn("exit_code", F.when(F.col("verdict") == "fail", 1).otherwise(0))
+    """One row per group: fail if a text says so, else warning, else pass (texts that say nothing change nothing), and whether it blocks."""
+    graded = reviews.select("group", verdict(F.col("text")).alias("v"))
+    fails, warns = F.max(F.col("v") == "fail"), F.max(F.col("v") == "warning")
+    overall = F.when(fails, "fail").when(warns, "warning").otherwise("pass")
+    return graded.groupBy("group").agg(overall.alias("verdict"), F.count(F.lit(1)).alias("reviews")).withColumn("exit_code", F.when(F.col("verdict") == "fail", 1).otherwise(0))
 
 
 def ingest_disposition(skeletons: DataFrame, records: DataFrame, *, incremental: bool = True) -> DataFrame:
-    """(uuid, disposition): skipped (same hash), adopted (a donor of equal content elsewhere), updated or created.
+    """(uuid, disposition, donor): skipped (same hash), updated (the record exists), adopted (a described record of equal content elsewhere) or created.
 
-    A donor serves one skeleton: the smallest uuid.  Without ``incremental`` nothing is skipped.
+    The donor is what an updated or adopted record takes its description from, null without one.
+    Every skeleton is judged by the records as they were; the second of two with one donor takes
+    what the first one took over.  Without ``incremental`` nothing is skipped.
     """
-    from pyspark.sql import Window
-
     from depweave.operators.store import content_donor
 
-    have = records.select("uuid", F.col("src_hash").alias("old_hash"))
+    have = records.select("uuid", F.col("src_hash").alias("old_hash"), F.lit(True).alias("had"))
     seen = content_donor(records, skeletons).join(have, "uuid", "left")
-    turn = F.row_number().over(Window.partitionBy("donor").orderBy("uuid"))
-    adopts = F.col("donor").isNotNull() & (F.col("donor") != F.col("uuid")) & (F.col("turn") == 1)
     same = F.lit(incremental) & F.coalesce(F.col("old_hash") == F.col("src_hash"), F.lit(False))
-    return seen.withColumn("turn", turn).select(
-        "uuid", F.when(same, "skipped").when(adopts, "adopted").when(F.col("old_hash").isNotNull(), "updated").otherwise("created").alias("disposition")
-    )
+    donor = F.when(~same & (F.col("donor") != F.col("uuid")), F.col("donor"))
+    return seen.select("uuid", F.when(same, "skipped").when(F.col("had"), "updated").when(donor.isNotNull(), "adopted").otherwise("created").alias("disposition"), donor.alias("donor"))
 
 
 def ingest_counts(disposition: DataFrame) -> DataFrame:

@@ -18,8 +18,11 @@ PENDING = ("SKELETON_ONLY", "EXTRACTION_FAILED")
 
 
 def deps(ins: DataFrame) -> DataFrame:
-    """Distinct (dependent_uuid, dependency_uuid, dispatch): once per dispatch, where a source is known."""
-    return ins.filter("source_uuid is not null").select(F.col("record_uuid").alias("dependent_uuid"), F.col("source_uuid").alias("dependency_uuid"), "dispatch").distinct()
+    """Distinct (dependent_uuid, dependency_uuid, dispatch, dispatch_candidates), where a source is known; inputs without a candidates column have none."""
+    candidates = F.col("dispatch_candidates") if "dispatch_candidates" in ins.columns else F.lit(None).cast("string")
+    return ins.filter("source_uuid is not null").select(
+        F.col("record_uuid").alias("dependent_uuid"), F.col("source_uuid").alias("dependency_uuid"), "dispatch", candidates.alias("dispatch_candidates")
+    ).distinct()
 
 
 def internal(records: DataFrame) -> DataFrame:
@@ -95,18 +98,17 @@ def stale_report(records: DataFrame, ins: DataFrame, current: DataFrame) -> Data
 
 
 def resolve_names(records: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` (function_name, file_path and more) with ``found_uuid``: the record of that name in that file, else in any; the smallest uuid of several, null for none."""
-    here = records.groupBy("function_name", "file_path").agg(F.min("uuid").alias("_here"))
-    any_file = records.groupBy("function_name").agg(F.min("uuid").alias("_any"))
+    """``asked`` (function_name, file_path and more) with ``found_uuid``: the internal record of that name in that file, else in any; the smallest uuid of several, null for none."""
+    here = internal(records).groupBy("function_name", "file_path").agg(F.min("uuid").alias("_here"))
+    any_file = internal(records).groupBy("function_name").agg(F.min("uuid").alias("_any"))
     return asked.join(here, ["function_name", "file_path"], "left").join(any_file, "function_name", "left").withColumn("found_uuid", F.coalesce("_here", "_any")).drop("_here", "_any")
 
 
-def next_calls(records: DataFrame, ins: DataFrame) -> DataFrame:
-    """(record_uuid, next_uuid): the records that each one's internal calls lead to by name, itself left out."""
-    calls = ins.filter("source = 'internal_call' and source_function is not null").select("record_uuid", F.col("source_function").alias("function_name"))
-    files = records.select(F.col("uuid").alias("record_uuid"), "file_path")
-    found = resolve_names(records, calls.distinct().join(files, "record_uuid"))
-    return found.filter("found_uuid is not null and found_uuid <> record_uuid").select("record_uuid", F.col("found_uuid").alias("next_uuid")).distinct()
+def next_calls(records: DataFrame, ins: DataFrame, visited: DataFrame) -> DataFrame:
+    """(record_uuid, next_uuid): the internal records that each one's internal calls lead to by name and the input's own file hint (source_file), those ``visited`` (uuid) left out."""
+    calls = ins.filter("source = 'internal_call'").select("record_uuid", F.col("source_function").alias("function_name"), F.col("source_file").alias("file_path")).distinct()
+    found = resolve_names(records, calls).filter("found_uuid is not null").select("record_uuid", F.col("found_uuid").alias("next_uuid")).distinct()
+    return found.join(visited.select(F.col("uuid").alias("next_uuid")), "next_uuid", "left_anti").select("record_uuid", "next_uuid")
 
 
 def all_uuids(records: DataFrame) -> DataFrame:
@@ -114,8 +116,8 @@ def all_uuids(records: DataFrame) -> DataFrame:
 
 
 def by_file(records: DataFrame, paths: DataFrame) -> DataFrame:
-    """Records of the given files (file_path)."""
-    return records.join(paths, "file_path", "left_semi")
+    """Internal records of the given files (file_path)."""
+    return internal(records).join(paths, "file_path", "left_semi")
 
 
 def validate_depends_on(records: DataFrame, depends: DataFrame) -> DataFrame:
@@ -245,10 +247,11 @@ def external_records(ins: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def cards(records: DataFrame, ins: DataFrame, outs: DataFrame) -> DataFrame:
-    """(uuid, card): one text per record with its inputs, what it does, and its outputs."""
+    """(uuid, card): one text per record with its inputs, what it does in which steps (do_steps), its outputs and how it fails (failure_modes)."""
     r = nested(records, ins, outs)
     line = lambda label, rows: F.when(F.size(rows) > 0, F.concat(F.lit(label), F.array_join(rows, "\n")))
     given = F.transform("ins", lambda i: F.concat(F.lit("- "), i["name"], F.lit(": "), i["type_str"], F.lit(" ("), i["source"], F.when(i["dispatch"] != "direct", F.concat(F.lit(" ["), i["dispatch"], F.lit("]"))).otherwise(""), F.lit(")")))
+    steps = F.transform("do_steps", lambda x, k: F.concat(F.lit("  "), (k + 1).cast("string"), F.lit(". "), x))
     made = F.transform("outs", lambda o: F.concat(F.lit("- "), o["name"], F.lit(": "), o["type_str"], F.lit(" -- "), o["description"]))
     header = F.concat(
         F.lit("### "), "function_name", F.when(F.coalesce("class_name", F.lit("")) != "", F.concat(F.lit(" ("), F.col("class_name"), F.lit(")"))).otherwise(""),
@@ -257,7 +260,8 @@ def cards(records: DataFrame, ins: DataFrame, outs: DataFrame) -> DataFrame:
     text = F.concat(
         F.concat_ws(
             "\n", header, F.concat(F.lit("\n**Claim:** "), F.col("operational_claim"), F.lit("\n")), line("**IN:**\n", given),
-            F.concat(F.lit("\n**DO:** "), F.col("do_description")), line("\n**OUT:**\n", made),
+            F.concat(F.lit("\n**DO:** "), F.col("do_description")), line("", steps), line("\n**OUT:**\n", made),
+            F.when(F.size("failure_modes") > 0, F.concat(F.lit("\n**FAILURE MODES:** "), F.array_join("failure_modes", "; "))),
         ),
         F.lit("\n"),
     )

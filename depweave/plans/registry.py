@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.functions import exprs, text
-from depweave.operators import contracts, graph, status, store
+from depweave.operators import contracts, graph, status, store, strong
 from depweave.plans.relations import relation, with_
 
 #: The rules of the contract checks (resource type, required outputs, position): fixed values.
@@ -135,7 +135,7 @@ def _add(nodes, edges):
     return graph.add_edges(nodes, edges.filter("edge_type = 'contains'"), new)
 
 
-@query("store_deps", "ins", sql=with_("ins") + " SELECT DISTINCT record_uuid AS dependent_uuid, source_uuid AS dependency_uuid, dispatch FROM ins WHERE source_uuid IS NOT NULL")
+@query("store_deps", "ins", sql=with_("ins") + " SELECT DISTINCT record_uuid AS dependent_uuid, source_uuid AS dependency_uuid, dispatch, dispatch_candidates FROM ins WHERE source_uuid IS NOT NULL")
 def _deps(ins):
     return store.deps(ins)
 
@@ -192,20 +192,20 @@ def _stale_report(records, ins, current):
     return store.stale_report(records, ins, current)
 
 
-_RESOLVED = """calls AS (SELECT i.record_uuid, i.ordinal, i.source_function, r.file_path FROM ins i JOIN records r ON r.uuid = i.record_uuid WHERE i.source = 'internal_call' AND i.source_function IS NOT NULL),
-    resolved AS (SELECT record_uuid, ordinal, coalesce((SELECT min(uuid) FROM records r WHERE r.function_name = c.source_function AND r.file_path = c.file_path), (SELECT min(uuid) FROM records r WHERE r.function_name = c.source_function)) AS found_uuid FROM calls c)"""
+_RESOLVED = """calls AS (SELECT record_uuid, ordinal, source_function, source_file FROM called WHERE source = 'internal_call'), own AS (SELECT * FROM records WHERE NOT is_external),
+    resolved AS (SELECT record_uuid, ordinal, coalesce((SELECT min(uuid) FROM own r WHERE r.function_name = c.source_function AND r.file_path = c.source_file), (SELECT min(uuid) FROM own r WHERE r.function_name = c.source_function)) AS found_uuid FROM calls c)"""
 
 
-@query("store_resolve_names", "records", "ins", sql=with_("records", "ins") + f", {_RESOLVED} SELECT record_uuid, ordinal, found_uuid FROM resolved")
-def _resolve(records, ins):
-    files = records.select(F.col("uuid").alias("record_uuid"), "file_path")
-    calls = ins.filter("source = 'internal_call' and source_function is not null").select("record_uuid", "ordinal", F.col("source_function").alias("function_name"))
-    return store.resolve_names(records, calls.join(files, "record_uuid")).select("record_uuid", "ordinal", "found_uuid")
+@query("store_resolve_names", "records", "called", sql=with_("records", "called") + f", {_RESOLVED} SELECT record_uuid, ordinal, found_uuid FROM resolved")
+def _resolve(records, called):
+    calls = called.filter("source = 'internal_call'").select("record_uuid", "ordinal", F.col("source_function").alias("function_name"), F.col("source_file").alias("file_path"))
+    return store.resolve_names(records, calls).select("record_uuid", "ordinal", "found_uuid")
 
 
-@query("store_next_calls", "records", "ins", sql=with_("records", "ins") + f", {_RESOLVED} SELECT DISTINCT record_uuid, found_uuid AS next_uuid FROM resolved WHERE found_uuid <> record_uuid")
-def _next_calls(records, ins):
-    return store.next_calls(records, ins)
+@query("store_next_calls", "records", "called", sql=with_("records", "called") + f", {_RESOLVED} SELECT DISTINCT record_uuid, found_uuid AS next_uuid FROM resolved WHERE found_uuid NOT IN (SELECT uuid FROM records WHERE do_description = 'SKELETON_ONLY')")
+def _next_calls(records, called):
+    """Skeletons stand for the visited records."""
+    return store.next_calls(records, called, records.filter("do_description = 'SKELETON_ONLY'"))
 
 
 @query("store_all_uuids", "records", sql=with_("records") + " SELECT DISTINCT uuid FROM records")
@@ -213,7 +213,7 @@ def _uuids(records):
     return store.all_uuids(records)
 
 
-@query("store_by_file", "records", sql=with_("records") + " SELECT uuid, function_name, file_path FROM records WHERE file_path IN (SELECT min(file_path) FROM records GROUP BY function_name)")
+@query("store_by_file", "records", sql=with_("records") + " SELECT uuid, function_name, file_path FROM records WHERE NOT is_external AND file_path IN (SELECT min(file_path) FROM records GROUP BY function_name)")
 def _by_file(records):
     firsts = records.groupBy("function_name").agg(F.min("file_path").alias("file_path")).select("file_path")
     return store.by_file(records, firsts).select("uuid", "function_name", "file_path")
@@ -268,11 +268,12 @@ def _warnings(records, ins):
 
 @query("store_card", "records", "ins", "outs", sql=with_("records", "ins", "outs") + """,
     a AS (SELECT record_uuid, string_agg('- ' || name || ': ' || type_str || ' (' || source || CASE WHEN dispatch <> 'direct' THEN ' [' || dispatch || ']' ELSE '' END || ')', chr(10) ORDER BY ordinal) AS t FROM ins GROUP BY record_uuid),
-    b AS (SELECT record_uuid, string_agg('- ' || name || ': ' || type_str || ' -- ' || description, chr(10) ORDER BY ordinal) AS t FROM outs GROUP BY record_uuid)
-    SELECT uuid, '### ' || function_name || CASE WHEN coalesce(class_name, '') <> '' THEN ' (' || class_name || ')' ELSE '' END || ' @ ' || file_path || ':' || line_number || chr(10)
-        || chr(10) || '**Claim:** ' || operational_claim || chr(10) || chr(10) || coalesce('**IN:**' || chr(10) || a.t || chr(10), '') || chr(10) || '**DO:** ' || do_description
-        || coalesce(chr(10) || chr(10) || '**OUT:**' || chr(10) || b.t, '') || chr(10) AS card
-    FROM records r LEFT JOIN a ON a.record_uuid = r.uuid LEFT JOIN b ON b.record_uuid = r.uuid""")
+    b AS (SELECT record_uuid, string_agg('- ' || name || ': ' || type_str || ' -- ' || description, chr(10) ORDER BY ordinal) AS t FROM outs GROUP BY record_uuid),
+    st AS (SELECT uuid, string_agg('  ' || k || '. ' || do_steps[k], chr(10) ORDER BY k) AS t FROM (SELECT uuid, do_steps, unnest(range(1, len(do_steps) + 1)) AS k FROM records) GROUP BY uuid)
+    SELECT r.uuid, '### ' || function_name || CASE WHEN coalesce(class_name, '') <> '' THEN ' (' || class_name || ')' ELSE '' END || ' @ ' || file_path || ':' || line_number || chr(10)
+        || chr(10) || '**Claim:** ' || operational_claim || chr(10) || chr(10) || coalesce('**IN:**' || chr(10) || a.t || chr(10), '') || chr(10) || '**DO:** ' || do_description || coalesce(chr(10) || st.t, '')
+        || coalesce(chr(10) || chr(10) || '**OUT:**' || chr(10) || b.t, '') || coalesce(chr(10) || chr(10) || '**FAILURE MODES:** ' || array_to_string(failure_modes, '; '), '') || chr(10) AS card
+    FROM records r LEFT JOIN st ON st.uuid = r.uuid LEFT JOIN a ON a.record_uuid = r.uuid LEFT JOIN b ON b.record_uuid = r.uuid""")
 def _cards(records, ins, outs):
     return store.cards(records, ins, outs)
 
@@ -286,9 +287,9 @@ def _donors(records):
 
 # The provided and expected types of the relations, normalized, compared as the type rules say.
 _NORMAL = "CASE WHEN regexp_matches(lower(trim({0})), '^optional\\[.+\\]') THEN regexp_extract(lower(trim({0})), '^optional\\[(.+)\\]', 1) || ' | none' ELSE lower(trim({0})) END"
-_SEAMS = f"""edge AS (SELECT DISTINCT record_uuid AS a, source_uuid AS b, dispatch AS d FROM ins WHERE source_uuid IS NOT NULL AND source_uuid IN (SELECT uuid FROM records) AND record_uuid IN (SELECT uuid FROM records)),
+_SEAMS = f"""edge AS (SELECT DISTINCT record_uuid AS a, source_uuid AS b, dispatch AS d, dispatch_candidates AS dc FROM ins WHERE source_uuid IS NOT NULL AND source_uuid IN (SELECT uuid FROM records) AND record_uuid IN (SELECT uuid FROM records)),
     ok AS (SELECT record_uuid, arg_min(type_str, ordinal) AS t FROM outs WHERE name = 'ok' GROUP BY record_uuid),
-    seam AS (SELECT e.a, e.b, e.d, i.name, i.dispatch, i.type_str AS expected, ok.t AS provided, {_NORMAL.format('ok.t')} AS p, {_NORMAL.format('i.type_str')} AS x
+    seam AS (SELECT e.a, e.b, e.d, e.dc, i.name, i.dispatch, i.type_str AS expected, ok.t AS provided, {_NORMAL.format('ok.t')} AS p, {_NORMAL.format('i.type_str')} AS x
         FROM edge e LEFT JOIN ins i ON i.record_uuid = e.a AND i.source_uuid = e.b AND i.source = 'internal_call' LEFT JOIN ok ON ok.record_uuid = e.b),
     judged AS (SELECT *, CASE WHEN name IS NULL THEN NULL WHEN provided IS NULL THEN 'no_ok_output'
         WHEN provided = expected OR p = x OR p = 'any' OR x = 'any' OR (contains(x, '|') AND list_contains(list_transform(string_split(x, '|'), lambda s: trim(s)), p)) THEN NULL ELSE 'type_mismatch' END AS severity FROM seam)"""
@@ -302,7 +303,7 @@ def _mismatches(records, ins, outs):
 
 
 @query("seam_report", "records", "ins", "outs", sql=with_("records", "ins", "outs") + f""", {_SEAMS},
-    per AS (SELECT a, b, d, count(severity) AS bad FROM judged GROUP BY a, b, d), o AS (SELECT count(*) AS unresolved FROM ins i JOIN records r ON r.uuid = i.record_uuid WHERE {_OPEN}),
+    per AS (SELECT a, b, d, dc, count(severity) AS bad FROM judged GROUP BY a, b, d, dc), o AS (SELECT count(*) AS unresolved FROM ins i JOIN records r ON r.uuid = i.record_uuid WHERE {_OPEN}),
     s AS (SELECT CAST(coalesce(sum(bad), 0) AS bigint) AS mismatches, count(*) FILTER (bad = 0) AS satisfied FROM per)
     SELECT mismatches, unresolved, satisfied, mismatches + unresolved + satisfied AS total_edges FROM s, o""")
 def _report(records, ins, outs):
@@ -317,7 +318,7 @@ def _rules(df: DataFrame) -> DataFrame:
 
 _REQUIRED = """need(rule_no, resource_type, required) AS (VALUES (0, 'database', 'audit_event'), (1, 'external_api', 'span_id'), (1, 'external_api', 'trace_context'),
         (2, 'external_api', 'span_id'), (2, 'external_api', 'trace_context'), (3, 'message_queue', 'trace_context')),
-    edge AS (SELECT DISTINCT record_uuid AS a, source_uuid AS b, dispatch AS d FROM ins WHERE source_uuid IS NOT NULL),
+    edge AS (SELECT DISTINCT record_uuid AS a, source_uuid AS b, dispatch AS d, dispatch_candidates AS dc FROM ins WHERE source_uuid IS NOT NULL),
     met AS (SELECT e.*, r.function_name AS callee_function, q.function_name AS caller_function, n.resource_type, n.required,
             EXISTS (SELECT 1 FROM outs o WHERE o.record_uuid = e.b AND (o.type_str = n.required OR o.description = n.required)) AS has
         FROM edge e JOIN records r ON r.uuid = e.b JOIN records q ON q.uuid = e.a
@@ -330,7 +331,7 @@ def _violations(records, ins, outs):
     return contracts.contract_violations(records, ins, outs, _rules(records))
 
 
-@query("contract_summary", "records", "ins", "outs", sql=with_("records", "ins", "outs") + f""", {_REQUIRED}, per AS (SELECT a, b, d, count(*) FILTER (NOT has) AS bad FROM met GROUP BY a, b, d),
+@query("contract_summary", "records", "ins", "outs", sql=with_("records", "ins", "outs") + f""", {_REQUIRED}, per AS (SELECT a, b, d, dc, count(*) FILTER (NOT has) AS bad FROM met GROUP BY a, b, d, dc),
     s AS (SELECT CAST(coalesce(sum(bad), 0) AS bigint) AS violations, count(*) FILTER (bad = 0) AS satisfied FROM per) SELECT violations, satisfied, violations + satisfied AS total_checked FROM s""")
 def _summary(records, ins, outs):
     return contracts.contract_summary(records, ins, outs, _rules(records))
@@ -354,23 +355,25 @@ def _rollup(items, results, attempts, bridged):
     return status.roll_up(status.item_status(items, results, attempts, bridged))
 
 
-@query("verdict_rollup", "traces", sql=with_("traces") + """, v AS (SELECT trace_id AS g, CASE WHEN contains(upper(t), 'FAIL') OR contains(upper(t), 'CRITICAL') THEN 3 WHEN contains(upper(t), 'WARNING') THEN 2 WHEN contains(upper(t), 'PASS') THEN 0 ELSE 1 END AS rank
-    FROM (SELECT trace_id, CASE label WHEN 'error' THEN '1 failure' WHEN 'view' THEN 'Warning: slow' WHEN 'click' THEN 'all passed' ELSE label END AS t FROM traces WHERE var = 'kind' AND state_num % 3 = 0))
-    SELECT g AS "group", CASE max(rank) WHEN 3 THEN 'fail' WHEN 2 THEN 'warning' WHEN 1 THEN 'unknown' ELSE 'pass' END AS verdict, count(*) AS reviews, CASE WHEN max(rank) = 3 THEN 1 ELSE 0 END AS exit_code FROM v GROUP BY g""")
-def _verdicts(traces):
-    return _all_verdicts(traces.filter("state_num % 3 = 0"))
+_VERDICTS = with_("traces") + """, said AS (SELECT trace_id, CASE label WHEN 'error' THEN CASE WHEN state_num % 3 = 0 THEN '1 failure' ELSE 'see above' END WHEN 'view' THEN CASE WHEN state_num % 7 = 0 THEN 'Warning: slow' ELSE 'nothing' END WHEN 'click' THEN 'all passed' ELSE label END AS t FROM traces WHERE var = 'kind'),
+    v AS (SELECT trace_id AS g, contains(upper(t), 'FAIL') OR contains(upper(t), 'CRITICAL') AS f, contains(upper(t), 'WARNING') AS w FROM said)
+    SELECT g AS "group", CASE WHEN bool_or(f) THEN 'fail' WHEN bool_or(w) THEN 'warning' ELSE 'pass' END AS verdict, count(*) AS reviews, CASE WHEN bool_or(f) THEN 1 ELSE 0 END AS exit_code FROM v GROUP BY g"""
 
 
-@query("verdict_rollup_all", "traces", sql=with_("traces") + """, said AS (SELECT trace_id, CASE label WHEN 'error' THEN '1 failure' WHEN 'view' THEN 'Warning: slow' WHEN 'click' THEN 'all passed' ELSE label END AS t FROM traces WHERE var = 'kind'),
-    v AS (SELECT trace_id AS g, CASE WHEN contains(upper(t), 'FAIL') OR contains(upper(t), 'CRITICAL') THEN 3 WHEN contains(upper(t), 'WARNING') THEN 2 WHEN contains(upper(t), 'PASS') THEN 0 ELSE 1 END AS rank FROM said)
-    SELECT g AS "group", CASE max(rank) WHEN 3 THEN 'fail' WHEN 2 THEN 'warning' WHEN 1 THEN 'unknown' ELSE 'pass' END AS verdict, count(*) AS reviews, CASE WHEN max(rank) = 3 THEN 1 ELSE 0 END AS exit_code FROM v GROUP BY g""")
-def _all_verdicts(traces):
+@query("verdict_rollup", "traces", sql=_VERDICTS)
+def _verdicts(traces):
     """Verdicts over the states of every number."""
-    label = F.col("label")
-    said = F.when(label == "error", "1 failure").when(label == "view", "Warning: slow").when(label == "click", "all passed").otherwise(label)
+    label, n = F.col("label"), F.col("state_num")
+    said = (
+        F.when(label == "error", F.when(n % 3 == 0, "1 failure").otherwise("see above")).when(label == "view", F.when(n % 7 == 0, "Warning: slow").otherwise("nothing"))
+        .when(label == "click", "all passed").otherwise(label)
+    )
     return status.verdicts(traces.filter("var = 'kind'").select(F.col("trace_id").alias("group"), said.alias("text")))
 
 
+query("verdict_rollup_all", "traces", sql=_VERDICTS)(_verdicts)
+
+
 @query("ids_next", "items", sql=with_("items") + " SELECT 'gwt' AS prefix, 'gwt-' || lpad(CAST(max(CAST(split_part(gwt_id, '-', 2) AS bigint)) + 1 AS varchar), 4, '0') AS next_id FROM items UNION ALL SELECT 'req', 'req-0001'")
 def _next(items):
     return graph.next_ids(items.withColumnRenamed("gwt_id", "id"))
@@ -422,9 +425,9 @@ _SKELETONS = """skeletons AS (SELECT CASE WHEN line_number % 3 = 0 THEN uuid ||
 
 @query("ingest_disposition", "records", sql=with_("records") + f""", {_SKELETONS}, d AS (SELECT function_name, coalesce(class_name, '') AS class_name, src_hash, min(uuid) AS donor FROM records
     WHERE NOT is_external AND do_description NOT IN ('SKELETON_ONLY', 'EXTRACTION_FAILED') GROUP BY ALL),
-    j AS (SELECT s.uuid, s.src_hash, r.src_hash AS old, d.donor, row_number() OVER (PARTITION BY d.donor ORDER BY s.uuid) AS turn FROM skeletons s LEFT JOIN records r ON r.uuid = s.uuid
+    j AS (SELECT s.uuid, s.src_hash, r.uuid AS had, r.src_hash AS old, CASE WHEN d.donor <> s.uuid THEN d.donor END AS donor FROM skeletons s LEFT JOIN records r ON r.uuid = s.uuid
         LEFT JOIN d ON d.function_name = s.function_name AND d.class_name = coalesce(s.class_name, '') AND d.src_hash = s.src_hash)
-    SELECT uuid, CASE WHEN old = src_hash THEN 'skipped' WHEN donor IS NOT NULL AND donor <> uuid AND turn = 1 THEN 'adopted' WHEN old IS NOT NULL THEN 'updated' ELSE 'created' END AS disposition FROM j""")
+    SELECT uuid, CASE WHEN old = src_hash THEN 'skipped' WHEN had IS NOT NULL THEN 'updated' WHEN donor IS NOT NULL THEN 'adopted' ELSE 'created' END AS disposition, CASE WHEN old = src_hash THEN NULL ELSE donor END AS donor FROM j""")
 def _disposition(records):
     skeletons = records.select(
         F.when(F.col("line_number") % 3 == 0, F.concat("uuid", F.lit("-new"))).otherwise(F.col("uuid")).alias("uuid"), "function_name", "class_name",
@@ -511,14 +514,46 @@ _SHAPED = "regexp_replace(md5({0}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$
 
 @query("graph_bridge_nodes", "nodes", "records", sql=with_("nodes", "records") + f""", crawled AS (SELECT *, {_SHAPED.format('uuid')} AS u FROM records),
     had AS (SELECT CASE WHEN id LIKE 'part-%' OR id LIKE 'supp-%' THEN {_SHAPED.format('id')} ELSE id END AS id, CASE WHEN id LIKE 'part-%' OR id LIKE 'supp-%' THEN 'resource' ELSE kind END AS kind, name, id LIKE 'supp-%' AS lost FROM nodes)
-    SELECT u AS id, 'resource' AS kind, CASE WHEN coalesce(class_name, '') <> '' THEN class_name || '.' ELSE '' END || function_name || ' @ ' || file_path AS name FROM crawled WHERE NOT is_external
-    UNION ALL SELECT id, kind, name FROM had WHERE NOT lost AND id NOT IN (SELECT u FROM crawled WHERE NOT is_external)""")
+    SELECT u AS id, 'resource' AS kind, CASE WHEN coalesce(class_name, '') <> '' THEN class_name || '.' ELSE '' END || function_name || ' @ ' || file_path AS name, operational_claim AS description FROM crawled WHERE NOT is_external
+    UNION ALL SELECT id, kind, name, 'was ' || name FROM had WHERE NOT lost AND id NOT IN (SELECT u FROM crawled WHERE NOT is_external)""")
 def _bridge(nodes, records):
     """Parts and suppliers stand for nodes of an earlier crawl; the suppliers' records are gone."""
-    shaped = lambda c: F.regexp_replace(F.md5(c), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return graph.bridge_nodes(_earlier(nodes), records.withColumn("uuid", _shaped("uuid")))
+
+
+def _shaped(c):
+    return F.regexp_replace(F.md5(c), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def _earlier(nodes: DataFrame) -> DataFrame:
     crawled = F.col("id").like("part-%") | F.col("id").like("supp-%")
-    had = nodes.select(F.when(crawled, shaped("id")).otherwise(F.col("id")).alias("id"), F.when(crawled, "resource").otherwise(F.col("kind")).alias("kind"), "name")
-    return graph.bridge_nodes(had, records.withColumn("uuid", shaped("uuid")))
+    return nodes.select(F.when(crawled, _shaped("id")).otherwise(F.col("id")).alias("id"), F.when(crawled, "resource").otherwise(F.col("kind")).alias("kind"), "name", F.concat(F.lit("was "), "name").alias("description"))
+
+
+def _bridged(nodes, edges, records, ins):
+    """The whole bridge over crawled ids; the graph's own edges but for those of lines stand for edges of an earlier crawl."""
+    shape = lambda c: F.when(F.col(c).like("part-%") | F.col(c).like("supp-%"), _shaped(c)).otherwise(F.col(c)).alias(c)
+    had = edges.filter("edge_type <> 'depends_on'").select(shape("from_id"), shape("to_id"), "edge_type")
+    return graph.bridge(_earlier(nodes), had, records.withColumn("uuid", _shaped("uuid")), store.deps(ins).withColumns({"dependent_uuid": _shaped("dependent_uuid"), "dependency_uuid": _shaped("dependency_uuid")}))
+
+
+@query("graph_bridge_edges", "nodes", "edges", "records", "ins")
+def _bridge_edges(nodes, edges, records, ins):
+    """The edges after the bridge; no SQL, as which edge of a cycle goes depends on their order."""
+    return _bridged(nodes, edges, records, ins)[1]
+
+
+@query("graph_bridge_counters", "nodes", "edges", "records", "ins")
+def _bridge_counters(nodes, edges, records, ins):
+    return _bridged(nodes, edges, records, ins)[2]
+
+
+@query("graph_strong_sets", "ins", sql=with_("ins", recursive=True) + """, dep AS (SELECT DISTINCT record_uuid AS a, source_uuid AS b FROM ins WHERE source_uuid IS NOT NULL),
+    closed(a, b) AS (SELECT a, b FROM dep UNION SELECT c.a, d.b FROM closed c JOIN dep d ON c.b = d.a)
+    SELECT x.a AS node, min(x.b) AS part FROM closed x JOIN closed y ON x.a = y.b AND x.b = y.a WHERE x.a IN (SELECT p.a FROM closed p JOIN closed q ON p.a = q.b AND p.b = q.a WHERE p.a <> p.b) GROUP BY x.a""")
+def _strong(ins):
+    """Records that need one another."""
+    return strong.strong_sets(store.deps(ins), "dependent_uuid", "dependency_uuid")
 
 
 @query("graph_module_nodes", "nodes", sql=with_("nodes") + " SELECT id, name FROM nodes WHERE contains(lower(name), 'widget') OR contains(id, 'supp-1')")
@@ -548,13 +583,13 @@ def _violation_lines(records, ins, outs):
     return contracts.violation_lines(contracts.contract_violations(records, ins, outs, _rules(records)))
 
 
-@query("crawl_summary", "traces", sql=with_("traces") + """, d AS (SELECT CASE label WHEN 'click' THEN 'extracted' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'ax' END AS outcome, state_num AS seconds FROM traces WHERE var = 'kind'),
-    s AS (SELECT count(*) FILTER (outcome = 'extracted') AS extracted, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'ax') AS ax, CAST(0 AS bigint) AS retries, CAST(sum(seconds) AS bigint) AS t FROM d)
-    SELECT extracted, failed, skipped, ax, retries, CASE WHEN t < 60 THEN t || 's' WHEN t < 3600 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE (t // 3600) || 'h ' || (t % 3600 // 60) || 'm' END AS elapsed, CASE WHEN extracted > 0 THEN t / extracted END AS average FROM s""")
+@query("crawl_summary", "traces", sql=with_("traces") + """, d AS (SELECT CASE label WHEN 'click' THEN 'extracted' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'ax' END AS outcome, state_num + 0.25 AS seconds FROM traces WHERE var = 'kind'),
+    s AS (SELECT count(*) FILTER (outcome = 'extracted') AS extracted, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'ax') AS ax, CAST(0 AS bigint) AS retries, CAST(sum(seconds) AS double) AS t FROM d)
+    SELECT extracted, failed, skipped, ax, retries, CASE WHEN t < 60 THEN printf('%.1fs', t) WHEN t < 3600 THEN printf('%dm%04.1fs', CAST(floor(t / 60) AS bigint), t - 60 * floor(t / 60)) ELSE printf('%dh%02dm', CAST(floor(t / 3600) AS bigint), CAST(floor(t / 60) AS bigint) % 60) END AS elapsed, CASE WHEN extracted > 0 THEN t / extracted END AS average FROM s""")
 def _crawl_summary(traces):
     label = F.col("label")
     outcome = F.when(label == "click", "extracted").when(label == "error", "failed").when(label == "view", "skipped").otherwise("ax")
-    return status.crawl_summary(traces.filter("var = 'kind'").select(outcome.alias("outcome"), F.col("state_num").cast("bigint").alias("seconds")))
+    return status.crawl_summary(traces.filter("var = 'kind'").select(outcome.alias("outcome"), (F.col("state_num") + 0.25).cast("double").alias("seconds")))
 
 
 @query("text_module_name", "nodes", sql=with_("nodes") + """, w AS (SELECT id, string_split(trim(regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g'), '_'), '_') AS w FROM nodes),
@@ -579,3 +614,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return SQL
+
+
+from depweave.plans import extraction, runs  # noqa: E402, F401  (they register their queries here)

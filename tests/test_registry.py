@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -17,7 +18,7 @@ def duck(small):
 
 def rows(df):
     columns = sorted(df.columns)
-    return columns, sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in df[columns].itertuples(index=False))
+    return columns, sorted(tuple("" if pd.isna(v) else str(v) for v in r) for r in df[columns].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -47,13 +48,3 @@ def test_components_of_all_edges(spark, small):
     least = sorted({find(n) for n in nodes})
     got = {r.node_id: r.component_id for r in registry.QUERIES["graph_components_all"](spark, small).collect()}
     assert got == {n: f"component-{least.index(find(n))}" for n in nodes}
-
-
-def test_verdicts_of_all_states(spark, small):
-    from depweave.plans.relations import relation
-
-    reviews = relation(spark, small, "traces").filter("var = 'kind'").count()
-    got = registry.QUERIES["verdict_rollup_all"](spark, small).toPandas()
-    part = registry.QUERIES["verdict_rollup"](spark, small).toPandas()
-    assert got["reviews"].sum() == reviews > part["reviews"].sum()
-    assert set(part.loc[part["verdict"] == "fail", "group"]) <= set(got.loc[got["verdict"] == "fail", "group"])
