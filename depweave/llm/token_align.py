@@ -10,7 +10,8 @@ text's bytes.  Byte offsets where tokens of both sides end bound the groups.
 A text is cut into chunks at single spaces between other characters.  There both
 tokenizers always cut (checked on loading: no piece holds a space mark after another
 character), so a text's groups are those of its chunks, and equal chunks share one
-alignment in a bounded memo.
+alignment in a bounded memo.  Chunks that a block adds to the memo are encoded many together,
+as they would stand in a text.
 
 Counts of linked id pairs are summed over the corpus by shuffle.  Texts stay in blocks of
 a partition: a block keeps each text's chunk numbers and each chunk's pairs, asks for the
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,16 +37,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depweave.llm.bpe import Known, byte_alphabet, chunks
+from depweave.llm.bpe import byte_alphabet, chunks
 from depweave.session import written
 
 #: Chunks kept by a worker's memo, and characters of texts in a block (a longer text is a block by itself).
-MEMO, BLOCK = 60_000, 1_500_000
+MEMO, BLOCK = 200_000, 1_500_000
+#: New chunks that are encoded as one text.
+TOGETHER = 64
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
 
-#: Of a chunk: tokens of either side, groups, their text and the linked id pairs, one number each (None: bytes differ).
-Aligned = tuple[int, int, int, str, np.ndarray] | None
+#: Of a chunk: tokens of either side, groups, their text and the linked id pairs, 64 bits each (None: bytes differ).
+Aligned = tuple[int, int, int, str, bytes] | None
 _workers: dict[tuple[str, str], "Aligner"] = {}
 
 
@@ -84,6 +88,18 @@ def refined(a: list[bytes], b: list[bytes], raw: bytes) -> list[tuple[int, int,
     return out
 
 
+def refined_ends(spans: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens: where spans (begin, end) follow one another, the span's end; in between, what the decoded bytes' ``size`` says."""
+    by_bytes = np.cumsum(size)
+    clean = np.append((spans[1:, 0] == spans[:-1, 1]) & (spans[:-1, 1] > spans[:-1, 0]), True)
+    coarse = np.where(clean, spans[:, 1], 0)
+    # a cut that the bytes do not bear out is none
+    coarse = np.where(coarse == by_bytes, coarse, 0)
+    before = np.append(0, np.maximum.accumulate(coarse)[:-1])
+    start = np.append(0, by_bytes)[np.searchsorted(by_bytes, before, "right")] if len(size) else before
+    return np.where(coarse > 0, coarse, before + by_bytes - start)
+
+
 class Aligner:
     """Both tokenizers, their byte tables and ``known``: chunk -> its alignment."""
 
@@ -103,7 +119,9 @@ class Aligner:
         if any(SPACE in p.lstrip(SPACE) for p in pieces) or not self.b.encode("a") or self.b.id_to_piece(self.b.encode("a")[0])[0] != SPACE:
             raise ValueError("pieces must hold their space marks in front, and a text must begin with one")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[str, Aligned] = Known(self.aligned)
+        self.digits = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.known: dict[str, Aligned] = {}
 
     @classmethod
     def of(cls, a_path: str, b_path: str) -> "Aligner":
@@ -113,8 +131,17 @@ class Aligner:
         return _workers[a_path, b_path]
 
     def trim(self) -> None:
+        """Forget the chunks seen least recently, down to half of a full memo."""
         if len(self.known) > MEMO:
-            self.known.clear()
+            for chunk in list(islice(self.known, len(self.known) - MEMO // 2)):
+                del self.known[chunk]
+
+    def entries(self, wanted: list[str]) -> list[Aligned]:
+        """The alignments of distinct chunks, which count as seen now."""
+        self.learn([c for c in wanted if c not in self.known])
+        found = list(map(self.known.pop, wanted))
+        self.known.update(zip(wanted, found))
+        return found
 
     def aligned(self, chunk: str) -> Aligned:
         """The alignment of a chunk, which begins with a space; the second tokenizer adds that space itself."""
@@ -138,7 +165,54 @@ class Aligner:
             i, j, start = next_i, next_j, end
         if start != len(raw) or i != len(a_ids) or j != len(b_ids):
             return None
-        return len(a_ids), len(b_ids), len(groups), ";".join(groups), np.array(pairs, np.int64)
+        return len(a_ids), len(b_ids), len(groups), ";".join(groups), np.array(pairs, np.int64).tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Align ``new`` chunks: those that can follow one another in a text many at once, others by themselves."""
+        plain = [c for c in new if not c[-1].isspace() and not c[1].isspace()]
+        together = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        texts = ["".join(g) for g in together]
+        for chunk in new:
+            if chunk[-1].isspace() or chunk[1].isspace():
+                self.known[chunk] = self.aligned(chunk)
+        one, two = self.a.encode_batch(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1, return_type="proto")
+        for group, text, a, b in zip(together, texts, one, two):
+            if not self._learned(group, text, a, b.pieces):
+                for chunk in group:
+                    self.known[chunk] = self.aligned(chunk)
+
+    def _learned(self, group: list[str], text: str, one, two) -> bool:
+        """Whether the chunks of a text could be aligned together; they are known then."""
+        raw = text.encode()
+        a_ids, b_ids = one.ids, [p.id for p in two]
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
+            return False
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_spans, b_spans = np.array(one.offsets, np.int64), np.array([(p.begin, p.end) for p in two], np.int64) + 1
+        if not text.isascii():
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            a_spans = np.append(0, np.cumsum(1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)))[a_spans]
+        a_end, b_end = refined_ends(a_spans, self.a_size[a]), refined_ends(b_spans, self.b_size[b])
+        sizes = np.array([len(c) if c.isascii() else len(c.encode()) for c in group])
+        bounds = np.cumsum(sizes)
+        common = np.intersect1d(a_end, b_end, assume_unique=True)
+        if not np.isin(bounds, common, assume_unique=True).all():
+            return False
+        first, last = np.searchsorted(b_end, a_end - self.a_size[a], "right"), np.searchsorted(b_end, a_end)
+        n = last - first + 1  # tokens of b that each token of a overlaps
+        linked = np.append(0, np.cumsum(n))
+        other = np.repeat(first - linked[:-1], n) + np.arange(linked[-1])
+        pairs = (np.repeat(a, n) << 32 | b[other]).tobytes()
+        a_text, b_text = list(map(self.digits.__getitem__, a_ids)), list(map(self.digits.__getitem__, b_ids))
+        a_cut, b_cut = (np.append(0, np.searchsorted(e, common, "right")).tolist() for e in (a_end, b_end))
+        groups = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])]
+        at = [np.append(0, np.searchsorted(e, bounds, "right")) for e in (a_end, b_end, common)]
+        links = (8 * linked[at[0]]).tolist()
+        at_a, at_b, at_g = (x.tolist() for x in at)
+        for k, chunk in enumerate(group):
+            g = at_g[k : k + 2]
+            self.known[chunk] = at_a[k + 1] - at_a[k], at_b[k + 1] - at_b[k], g[1] - g[0], ";".join(groups[g[0] : g[1]]), pairs[links[k] : links[k + 1]]
+        return True
 
 
 def chunks_of(text: str) -> list[str]:
@@ -154,37 +228,37 @@ class Block:
 
     def __init__(self, aligner: Aligner, name: int):
         self.name, self.chars, self.aligner = name, 0, aligner
-        self.code: dict[str, int] = Known(self._coded)
-        self.entries: list[Aligned] = []
-        self.texts: list[tuple] = []
-
-    def _coded(self, chunk: str) -> int:
-        self.entries.append(self.aligner.known[chunk])
-        return len(self.entries) - 1
+        self.texts: list[tuple[int | None, list[str]]] = []
 
     def add(self, doc: int | None, text: str | None) -> None:
         self.chars += len(text or "")
-        codes = list(map(self.code.__getitem__, chunks_of(text))) if text else []
-        found = [self.entries[c] for c in codes]
-        if not found or None in found:
-            self.texts.append((doc, 0, 0, 0, 0, "", None))
-            return
-        digest = hashlib.sha256(";".join([e[3] for e in found]).encode()).hexdigest()
-        self.texts.append((doc, sum(e[0] for e in found), sum(e[1] for e in found), sum(e[2] for e in found), sum(len(e[4]) for e in found), digest, np.array(codes, np.int32)))
+        self.texts.append((doc, chunks_of(text) if text else []))
 
     def batch(self) -> pa.RecordBatch:
         """One row per text, then one row of the block's pairs: the distinct ones, how often each is linked, and which ones each chunk has."""
-        links = [e[4] if e else np.zeros(0, np.int64) for e in self.entries]
-        times = np.zeros(len(links), np.int64)
-        for t in self.texts:
-            if t[6] is not None:
-                times += np.bincount(t[6], minlength=len(links))
-        sizes = np.array([len(x) for x in links], np.int64)
-        pairs, place = np.unique(np.concatenate([np.zeros(0, np.int64), *links]), return_inverse=True)
+        code: dict[str, int] = {}
+        coded = [(doc, np.array([code.setdefault(c, len(code)) for c in parts], np.int32)) for doc, parts in self.texts]
+        entries = self.aligner.entries(list(code))
+        whole = np.array([e is not None for e in entries], bool)
+        none = (0, 0, 0, "", b"")
+        entries = [e or none for e in entries]
+        texts = [e[3] for e in entries]
+        size = np.array([(*e[:3], len(e[4]) // 8) for e in entries], np.int64).reshape(len(entries), 4)
+        times = np.zeros(len(entries), np.int64)
+        rows: list[tuple] = []
+        for doc, codes in coded:
+            if not len(codes) or not whole[codes].all():
+                rows.append((doc, 0, 0, 0, 0, "", None))
+                continue
+            times += np.bincount(codes, minlength=len(entries))
+            digest = hashlib.sha256(";".join(map(texts.__getitem__, codes.tolist())).encode()).hexdigest()
+            rows.append((doc, *size[codes].sum(0).tolist(), digest, codes.astype("<i4").tobytes()))
+        sizes = size[:, 3]
+        pairs, place = np.unique(np.frombuffer(b"".join([e[4] for e in entries]), np.int64), return_inverse=True)
         linked = np.bincount(place, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
-        columns: list[list] = [[self.name] * (len(self.texts) + 1)] + [[t[k] for t in self.texts] + [None] for k in range(6)]
-        columns += [[None if t[6] is None else t[6].tobytes() for t in self.texts] + [place.astype("<i4").tobytes()]]
-        columns += [[None] * len(self.texts) + [x] for x in (sizes.astype("<i4").tobytes(), pairs, linked)]
+        columns: list[list] = [[self.name] * (len(rows) + 1)] + [[r[k] for r in rows] + [None] for k in range(6)]
+        columns += [[r[6] for r in rows] + [place.astype("<i4").tobytes()]]
+        columns += [[None] * len(rows) + [x] for x in (sizes.astype("<i4").tobytes(), pairs, linked)]
         types = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_NAMES)
 
