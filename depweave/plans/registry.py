@@ -397,15 +397,27 @@ def _directories(records):
     return text.directories(records)
 
 
-@query("text_mentions", "records", sql=with_("records") + " SELECT uuid, function_name AS functions, file_path AS files, 'src/db/,lib/core' AS directories FROM records")
+@query("text_mentions", "records", sql=with_("records") + """ SELECT uuid, CASE line_number % 4 WHEN 1 THEN '' WHEN 3 THEN NULL ELSE function_name END AS functions, CASE line_number % 4 WHEN 1 THEN '' WHEN 3 THEN NULL ELSE file_path END AS files,
+    CASE line_number % 4 WHEN 0 THEN 'src/db/,lib/core' WHEN 1 THEN regexp_replace(file_path, '[.]py$', '') WHEN 2 THEN file_path || '.bak' END AS directories FROM records""")
 def _mentions(records):
-    said = F.concat(F.lit("Call "), "function_name", F.lit("() of "), "file_path", F.lit(", in 'src/db/' or lib/core"))
+    """Prose with marks and quotes, with paths that go on, and without any."""
+    how, f, p = F.col("line_number") % 4, F.col("function_name"), F.col("file_path")
+    said = (
+        F.when(how == 0, F.concat(F.lit("Call "), f, F.lit("() of "), p, F.lit(", in 'src/db/' or lib/core"))).when(how == 1, F.concat(F.lit("Nothing: "), f, F.lit(" () and "), p, F.lit("!")))
+        .when(how == 2, F.concat(F.lit('"'), p, F.lit('" and '), p, F.lit(".bak; "), f, F.lit("()()")))
+    )
     return records.select("uuid", text.mentions(said).alias("m")).select("uuid", *[F.array_join(F.col("m")[c], ",").alias(c) for c in ("functions", "files", "directories")])
 
 
-@query("text_json", "nodes", sql=with_("nodes") + """ SELECT id, '{"id": "' || id || '", "n": {"k": "}"}}' AS object FROM nodes""")
+@query("text_json", "nodes", sql=with_("nodes") + """ SELECT id, CASE kind WHEN 'resource' THEN '{"id": "' || id || '", "n": {"k": "}"}}' WHEN 'behavior' THEN '{"a": [1, {"b": "' || id || '"}]}' WHEN 'test' THEN '{}' END AS object FROM nodes""")
 def _json(nodes):
-    prose = F.concat(F.lit("Sure: {no json} then {\"id\": \""), "id", F.lit("\", \"n\": {\"k\": \"}\"}} and {\"x\": 2}"))
+    """Objects after broken ones, with lists, empty, unclosed, and none."""
+    kind = F.col("kind")
+    prose = (
+        F.when(kind == "resource", F.concat(F.lit("Sure: {no json} then {\"id\": \""), "id", F.lit("\", \"n\": {\"k\": \"}\"}} and {\"x\": 2}")))
+        .when(kind == "behavior", F.concat(F.lit("{'a': 1} {\"a\": [1, {\"b\": \""), "id", F.lit("\"}]} tail"))).when(kind == "test", F.concat(F.lit("so {} "), "id"))
+        .when(kind == "requirement", F.concat(F.lit("only {"), "id", F.lit("} here"))).otherwise(F.when(F.col("id").startswith("supp"), F.lit('{"open": {"x": 1}')))
+    )
     return nodes.select("id", text.first_object(prose).alias("object"))
 
 

@@ -34,7 +34,7 @@ def test_slug(spark, given, want):
 
 def test_verdicts_and_times(spark):
     row = spark.range(1).select(exprs.verdict(F.lit("0 failures")), exprs.verdict(F.lit("Warning, passed")), exprs.verdict(F.lit("pass")), exprs.verdict(F.lit("?")), exprs.elapsed(F.lit(3725.0)), exprs.elapsed(F.lit(64))).first()
-    assert list(row) == ["fail", "warning", "pass", "unknown", "1h 2m", "1m 4s"]
+    assert list(row) == ["fail", "warning", "pass", "unknown", "1h02m", "1m04.0s"]
 
 
 def test_mentions(spark):
@@ -46,6 +46,15 @@ def test_mentions(spark):
     assert m["files"] == ["./models/user.rb", "lib/a.java"] and m["directories"] == ["src/handlers", "notes/b.json", "pkg/x.tla"]
 
 
+@pytest.mark.parametrize("said, files, folders", [
+    ("a.py.bak src/a.py.bak", ["a.py", "src/a.py"], ["src/a.py.bak"]), (".py src/.py ..py x/..py", ["..py", "x/..py"], []), ("/x /x/ x/ / //", [], ["/x/", "x/"]), ("../up/a.go: (lib/b.rs) lib/b.rs)", ["../up/a.go", "lib/b.rs"], []),
+    ("a//b.py lib/core! lib/core.", [], ["lib/core."]), ("é/ü.py", ["é/ü.py"], []), ("", [], []), ("./m.tsx;`q/r.d/`", ["./m.tsx"], ["q/r.d/"]), ("a/b.py/c", [], ["a/b.py/c"]), ("b.py! c/d.js!", [], ["c/d"]),
+])
+def test_paths(spark, said, files, folders):
+    m = spark.range(1).select(text.mentions(F.lit(said)).alias("m")).first()["m"]
+    assert (m["files"], m["directories"]) == (files, folders)
+
+
 def test_directories(spark):
     files = spark.createDataFrame([("a/b/c.py",), ("a/d.py",), ("e.py",), ("a/d.py",)], "file_path string")
     found = text.directories(files)
