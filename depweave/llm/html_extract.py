@@ -13,13 +13,20 @@ pages agree on keeps up to ``LEAST`` different contents of the pages that hold i
 copy counts once wherever it is met: the content is what can be read of the article (or
 main) element that holds the place, else of the page, after scripts, comments and
 unwanted parts are gone.  A text is fixed where ``LEAST`` contents agree.  The wrapper is
-then joined to every page of the host and matched: texts at fixed places are the site's own and go, with the parts that are never
-article by their tag or their class and id names.  What is left of the article (or main)
-element, or of the body without link lists if there is none, is the page's text.
+then joined to every page of the host and matched: texts at fixed places are the site's own.
+
+An article (or main) element is the page's text as it stands, but for parts that are never
+article by their tag or by a plain name (``_STRICT``), parts of a doubtful name (``_BAD``)
+that the wrapper knows as the site's or that are links, and fixed texts at its end.  On a page without one the wrapper
+says where the article lies: it is the deepest element that holds ``MOST`` of the text in
+slots.  There all blocks from the first to the last one of the page's own stay, headings that
+pages share and paragraphs of links among them; elsewhere fixed texts, link lists and parts of
+a doubtful name go.
 
 Edge cases: null or empty html gives an empty text; a host with fewer than ``LEAST``
 different contents has no fixed texts; a null url is a host of its own; pages that do not
-match their wrapper lose only what matches; malformed pages are read as far as they go;
+match their wrapper lose only what matches; malformed pages are read as far as they go,
+elements more than ``DEPTH`` deep count as children of the last one above;
 repeated rows and extra columns make no difference.
 """
 
@@ -46,8 +53,11 @@ LEAST = 6
 HELD = 512
 GROUPS = 16
 SENT = 8 << 20
-#: Python frames for deeply nested pages.
+#: Python frames for deeply nested pages, and how deep elements are nested at most.
 FRAMES = 50_000
+DEPTH = 500
+#: Share of a page's slot text that the element with the article holds.
+MOST = 0.8
 
 # Fixed values of HTML and of common site markup.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,22 +74,24 @@ _BAD = re.compile(
     r"cookies?|consent|notices?|notifications?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|search)(?:$|[\s_-])",
     re.I,
 )
+_STRICT = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisements?|advertising|sponsored|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|comments?|comment-list|replies|respond|disqus|disqus_thread|cookies?|newsletter|related)(?:$|\s)", re.I)
 _CLOSES = {"p": _BLOCKS - {"body", "html", "head", "title", "option"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
 class Node:
-    """An element: its key (tag and class names), children in order (nodes or texts)."""
+    """An element: its key (tag and class names), whether its names are doubtful or plainly no article's, children in order (nodes or texts)."""
 
-    __slots__ = ("bad", "children", "key", "tag")
+    __slots__ = ("bad", "children", "key", "plain", "tag")
 
-    def __init__(self, tag: str, key: str = "", bad: bool = False):
-        self.tag, self.key, self.bad, self.children = tag, key or tag, bad, []
+    def __init__(self, tag: str, key: str = "", bad: bool = False, plain: bool = False):
+        self.tag, self.key, self.bad, self.plain, self.children = tag, key or tag, bad, plain, []
 
 
 def parse(page: str) -> Node:
     """The page as a tree; unknown ends are ignored, open elements end with the page."""
     root = Node("#root")
     stack = [root]
+    deeper: dict[str, int] = {}  # open elements below the deepest level, whose ends close nothing above
     page = _RAW.sub(lambda m: "" if m.group(0)[:2] == "<!" else " ", page)
     at = 0
     for m in _TAG.finditer(page):
@@ -88,6 +100,9 @@ def parse(page: str) -> Node:
         at = m.end()
         tag = m.group(2).lower()
         if m.group(1):
+            if deeper.get(tag):
+                deeper[tag] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -104,10 +119,13 @@ def parse(page: str) -> Node:
                 if stack[k].tag in _BLOCKS and stack[k].tag != "p":
                     break
         names = " ".join(next(filter(None, x), "") for x in _NAMES.findall(m.group(3))) if m.group(3) else ""
-        node = Node(tag, f"{tag}.{names}" if names else tag, bool(names and _BAD.search(names)))
+        node = Node(tag, f"{tag}.{names}" if names else tag, bool(names and _BAD.search(names)), bool(names and _STRICT.search(names)))
         stack[-1].children.append(node)
         if tag not in _VOID and not m.group(3).endswith("/"):
-            stack.append(node)
+            if len(stack) < DEPTH:
+                stack.append(node)
+            else:
+                deeper[tag] = deeper.get(tag, 0) + 1
     if at < len(page):
         rest = page[at:]
         stack[-1].children.append(rest[: rest.index("<")] if "<" in rest else rest)
@@ -267,29 +285,54 @@ def _fixed(node: Node, wrapper: list | None) -> Iterator[tuple[object, bool, lis
             yield c, False, places[k] if k is not None else None
 
 
-def _blocks(node: Node, wrapper: list | None, inside: bool, out: list[list[tuple[str, bool, bool]]], link: bool) -> None:
-    """Append (text, in a link, fixed) to the last block of ``out``; block elements and bad parts cut blocks."""
+def _own(node: Node, wrapper: list | None) -> bool:
+    """Whether an element's texts are all fixed, or all in links: a bar of the site's, not a part of an article."""
+    ahead, linked, fixed_all = [(node, wrapper, node.tag == "a")], True, True
+    while ahead:
+        n, w, link = ahead.pop()
+        for c, fixed, match in _fixed(n, w):
+            if not isinstance(c, str):
+                ahead.append((c, match, link or c.tag == "a"))
+            elif c.strip():
+                linked, fixed_all = linked and link, fixed_all and fixed
+    return linked or fixed_all
+
+
+def _left_out(c: Node, match: list | None, inside: bool) -> bool:
+    """Whether an element is no part of an article: by its tag or names, in an article a doubtful name alone is not enough."""
+    if c.tag in _NEVER or (c.tag in _OUTSIDE and not inside):
+        return True
+    return (c.plain or _own(c, match)) if c.bad and inside else c.bad
+
+
+#: A text of a block: the text, whether it is in a link, whether it is fixed.
+Part = tuple[str, bool, bool]
+
+
+def _blocks(node: Node, wrapper: list | None, inside: bool, out: list[tuple[bool, list[Part]]], link: bool, home: Node | None) -> None:
+    """Append texts to the last block of ``out`` (whether it is at home, its texts); block elements and parts left out cut blocks.  ``home`` is the element with the article, ``node`` itself once we are in it."""
     for c, fixed, match in _fixed(node, wrapper):
         if isinstance(c, str):
-            out[-1].append((c, link, fixed))
+            out[-1][1].append((c, link, fixed))
             continue
-        if c.tag in _NEVER or c.bad or (c.tag in _OUTSIDE and not inside):
-            out.append([])
+        here = home is node
+        if _left_out(c, match, inside):
+            out.append((here, []))
             continue
         if c.tag == "br":
-            out[-1].append((" ", link, False))
+            out[-1][1].append((" ", link, False))
             continue
         cut = c.tag in _BLOCKS
         if cut:
-            out.append([])
-        _blocks(c, match, inside or c.tag in ("article", "main"), out, link or c.tag == "a")
+            out.append((here or home is c, []))
+        _blocks(c, match, inside or c.tag in ("article", "main"), out, link or c.tag == "a", c if here else home)
         if cut:
-            out.append([])
+            out.append((here, []))
 
 
 def _mains(node: Node, wrapper: list | None, tag: str, found: list) -> None:
     for c, _, match in _fixed(node, wrapper):
-        if isinstance(c, str) or c.tag in _NEVER or c.bad:
+        if isinstance(c, str) or c.tag in _NEVER or c.plain or (c.bad and c.tag != tag):
             continue
         if c.tag == tag:
             found.append((c, match))
@@ -297,6 +340,31 @@ def _mains(node: Node, wrapper: list | None, tag: str, found: list) -> None:
             _mains(c, match, tag, found)
 
 
+def _slot_text(node: Node, wrapper: list | None, sizes: dict[int, int], link: bool = False) -> int:
+    """Characters below an element that are in slots and in no link; those of all elements go to ``sizes``."""
+    size = 0
+    for c, fixed, match in _fixed(node, wrapper):
+        if isinstance(c, str):
+            size += 0 if fixed or link else len(c.strip())
+        elif not _left_out(c, match, False):
+            size += _slot_text(c, match, sizes, link or c.tag == "a")
+    sizes[id(node)] = size
+    return size
+
+
+def home_of(root: Node, wrapper: list | None) -> Node:
+    """The deepest block element that holds most of the page's slot text."""
+    sizes: dict[int, int] = {}
+    least, at = MOST * _slot_text(root, wrapper, sizes), root
+    while least:
+        inner = [c for c in at.children if not isinstance(c, str) and c.tag in _BLOCKS and sizes.get(id(c), 0) >= least]
+        # a paragraph is no place of an article, its parent is
+        if not inner or inner[0].tag in ("p", "pre", "li", "td", "blockquote", "h1"):
+            break
+        at = inner[0]
+    return at
+
+
 def extract(page: str | None, wrapper: list | None) -> str:
     """The main text of one page: blocks in page order, joined by line ends."""
     if not page:
@@ -307,20 +375,23 @@ def extract(page: str | None, wrapper: list | None) -> str:
         _mains(root, wrapper, tag, found)
         if found:
             break
-    lines: list[list[tuple[str, bool, bool]]] = []
+    home = None if found else home_of(root, wrapper)
+    lines: list[tuple[bool, list[Part]]] = []
     for node, match in found or [(root, wrapper)]:
-        lines.append([])
-        _blocks(node, match, bool(found), lines, False)
-    texts = []
-    for line in lines:
-        text = squeeze("".join(t for t, _, _ in line))
-        # a block is the site's own only if all of it is fixed
-        if not text or all(fixed or not t.strip() for t, _, fixed in line):
-            continue
-        if not found and sum(len(t) for t, a, _ in line if a) * 2 > len(text):
-            continue  # a list of links outside any article
-        texts.append(text)
-    return "\n".join(texts)
+        lines.append((home is node, []))
+        _blocks(node, match, bool(found), lines, False, home)
+    blocks = [(at_home, squeeze("".join(t for t, _, _ in line)), line) for at_home, line in lines]
+    blocks = [x for x in blocks if x[1]]
+    # a block is the site's own only if all of it is fixed
+    own = [not all(f or not t.strip() for t, _, f in line) for _, _, line in blocks]
+    if found:  # what the site puts behind an article's last own block is no part of it
+        end = max((k + 1 for k, mine in enumerate(own) if mine), default=len(blocks))
+        return "\n".join(text for _, text, _ in blocks[:end])
+    # outside any article a list of links is none of the page's
+    own = [mine and sum(len(t) for t, a, _ in line if a) * 2 <= len(text) for mine, (_, text, line) in zip(own, blocks)]
+    at = [k for k, x in enumerate(blocks) if x[0] and own[k]]
+    first, last = (at[0], at[-1]) if at else (0, -1)
+    return "\n".join(text for k, (at_home, text, _) in enumerate(blocks) if own[k] or (at_home and first <= k <= last))
 
 
 def _packed(wrapper: list) -> bytes:

@@ -99,3 +99,38 @@ def test_graph_recall():
         best = set(np.argsort(-(unit @ unit[q]))[:5].tolist())
         hits += len(best & set(g.search(vectors[q], 5)))
     assert hits >= 0.9 * 5 * 30
+
+
+INSIDE = (
+    '<article><h1>T</h1><h2>Summary</h2><section id="social-history"><p>one</p></section><div class="search party"><p>two {k}</p></div><p class="share">three</p>'
+    '<div class="comments"><p>reader</p></div><div class="share"><a href=x>Tweet</a></div><p><a href=y>all link</a></p><nav>n</nav></article>'
+)
+
+
+def test_nothing_inside_an_article_is_dropped(spark):
+    """Headings that pages share, doubtful names with text of their own and paragraphs of links stay; comments and bars of links go."""
+    rows = [(k, f"http://h/{k}", "<body><header>Site</header>" + INSIDE.replace("{k}", f"{k} " * (k + 1)) + "</body>") for k in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {k: "\n".join(["T", "Summary", "one", "two " + " ".join([str(k)] * (k + 1)), "three", "all link"]) for k in range(8)}
+
+
+def test_wrappers_locate_the_article(spark):
+    """On pages without an article element or telling names the slots say where it is, so that leaving wrappers out changes the text."""
+    page = (
+        "<body><div class=a1><p>Our site says welcome to all</p></div><div class=a2><div class=a3><p>All about birds, daily</p></div><div class=a4><h1>Title {k}</h1><p>{w} and more {w}.</p><h2>Summary</h2><p><a href=z>a link alone</a></p><p>{w} ends {w}.</p></div></div>"
+        "<div class=a5><p>Imprint and all the rest</p></div></body>"
+    )
+    words = ["swift", "heron", "stork", "eagle", "robin", "finch", "raven", "crane"]
+    rows = [(k, f"http://h/{k}", page.format(k=k, w=w * (k + 1))) for k, w in enumerate(words)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for k, (_, _, html) in enumerate(rows):
+        w = words[k] * (k + 1)
+        assert got[k] == f"Title {k}\n{w} and more {w}.\nSummary\na link alone\n{w} ends {w}."
+        assert html_extract.extract(html, None) != got[k] and "welcome" in html_extract.extract(html, None)
+
+
+def test_deep_pages(spark):
+    deep = "<p>top</p>" + "<div>" * 60_000 + "deep text" + "</div>" * 60_000 + "<p>end</p>"
+    rows = [(1, "http://h/1", deep), (2, "http://h/2", "<div>" * 6000 + "open"), (3, "http://h/3", "<b>" * 6000 + "bold")]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {1: "top\ndeep text\nend", 2: "open", 3: "bold"}
