@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -41,9 +41,9 @@ from depweave.llm.bpe import byte_alphabet, chunks
 from depweave.session import written
 
 #: Chunks kept by a worker's memo, and characters of texts in a block (a longer text is a block by itself).
-MEMO, BLOCK = 200_000, 1_500_000
+MEMO, BLOCK = 450_000, 1_500_000
 #: New chunks that are encoded as one text.
-TOGETHER = 64
+TOGETHER = 256
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
 
@@ -119,7 +119,9 @@ class Aligner:
         if any(SPACE in p.lstrip(SPACE) for p in pieces) or not self.b.encode("a") or self.b.id_to_piece(self.b.encode("a")[0])[0] != SPACE:
             raise ValueError("pieces must hold their space marks in front, and a text must begin with one")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.digits = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.many = max(len(self.a_bytes), len(self.b_bytes))
+        #: Ids as digits with what follows them: another id, the other side, or the next group.
+        self.digits = [f"{i}{end}" for end in (",", "|", ";") for i in range(self.many)]
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.known: dict[str, Aligned] = {}
 
@@ -184,11 +186,12 @@ class Aligner:
     def _learned(self, group: list[str], text: str, one, two) -> bool:
         """Whether the chunks of a text could be aligned together; they are known then."""
         raw = text.encode()
-        a_ids, b_ids = one.ids, [p.id for p in two]
+        spans = np.array([x for p in two for x in (p.id, p.begin, p.end)], np.int64).reshape(-1, 3)
+        a_ids, b_ids = one.ids, spans[:, 0].tolist()
         if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
             return False
         a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
-        a_spans, b_spans = np.array(one.offsets, np.int64), np.array([(p.begin, p.end) for p in two], np.int64) + 1
+        a_spans, b_spans = np.fromiter(chain.from_iterable(one.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2), spans[:, 1:] + 1
         if not text.isascii():
             code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             a_spans = np.append(0, np.cumsum(1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)))[a_spans]
@@ -203,15 +206,19 @@ class Aligner:
         linked = np.append(0, np.cumsum(n))
         other = np.repeat(first - linked[:-1], n) + np.arange(linked[-1])
         pairs = (np.repeat(a, n) << 32 | b[other]).tobytes()
-        a_text, b_text = list(map(self.digits.__getitem__, a_ids)), list(map(self.digits.__getitem__, b_ids))
-        a_cut, b_cut = (np.append(0, np.searchsorted(e, common, "right")).tolist() for e in (a_end, b_end))
-        groups = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])]
+        # all ids in the order of their groups, those of a before those of b
+        a_cut, b_cut = (np.append(0, np.searchsorted(e, common, "right")) for e in (a_end, b_end))
+        words = np.empty(len(a) + len(b), np.int64)
+        a_place, b_place = np.arange(len(a)) + np.repeat(b_cut[:-1], np.diff(a_cut)), np.arange(len(b)) + np.repeat(a_cut[1:], np.diff(b_cut))
+        words[a_place], words[b_place] = a, b
+        words[a_place[a_cut[1:] - 1]] += self.many
+        words[b_place[b_cut[1:] - 1]] += 2 * self.many
+        written_out = list(map(self.digits.__getitem__, words.tolist()))
         at = [np.append(0, np.searchsorted(e, bounds, "right")) for e in (a_end, b_end, common)]
-        links = (8 * linked[at[0]]).tolist()
-        at_a, at_b, at_g = (x.tolist() for x in at)
-        for k, chunk in enumerate(group):
-            g = at_g[k : k + 2]
-            self.known[chunk] = at_a[k + 1] - at_a[k], at_b[k + 1] - at_b[k], g[1] - g[0], ";".join(groups[g[0] : g[1]]), pairs[links[k] : links[k + 1]]
+        ends, links = (at[0] + at[1]).tolist(), (8 * linked[at[0]]).tolist()
+        counts = zip(*[np.diff(x).tolist() for x in at])
+        for k, (chunk, n) in enumerate(zip(group, counts)):
+            self.known[chunk] = *n, "".join(written_out[ends[k] : ends[k + 1]])[:-1], pairs[links[k] : links[k + 1]]
         return True
 
 
