@@ -98,3 +98,25 @@ def module_name(name: Column, id_: Column) -> Column:
 def flat_trace(states: Column, invariant: Column) -> Column:
     """The variables of each state (structs with ``vars``); null without states or a violated invariant."""
     return F.when((F.size(states) > 0) & (invariant != ""), F.transform(states, lambda s: s["vars"]))
+
+
+#: What a model checker's output says and how such a failure is called, the first that applies.
+FAILURES = (
+    ("Parsing or semantic analysis failed", "parse_error"), ("Attempted to apply the operator", "type_error"), (r"Invariant\s+\w+\s+is\s+violated", "invariant_violation"),
+    ("Deadlock reached", "deadlock"), (r"Unknown operator:\s*", "constant_mismatch"),
+)
+
+
+def failure_class(output: Column, translated: Column) -> Column:
+    """The kind of a failure by the checker's output; what was not even ``translated`` is a syntax error."""
+    found = F.when(~translated, "syntax_error")
+    for said, kind in FAILURES:
+        found = found.when(output.rlike(said), kind)
+    return found.otherwise("unknown")
+
+
+def state_counts(output: Column) -> Column:
+    """(found, distinct) states of the first line of an output that counts both; null without one."""
+    counted = r"(\d+)\s+states\s+generated[^\n]*?(\d+)\s+distinct"
+    number = lambda k: F.regexp_extract(output, counted, k).cast("bigint")
+    return F.when(output.rlike(counted), F.struct(number(1).alias("found"), number(2).alias("distinct")))

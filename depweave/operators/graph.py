@@ -198,20 +198,22 @@ def component_of(parts: DataFrame, ids: DataFrame) -> DataFrame:
     return parts.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("component_id", "node_id")
 
 
-def context(nodes: DataFrame, edges: DataFrame, records: DataFrame, root: DataFrame) -> DataFrame:
+def context(nodes: DataFrame, edges: DataFrame, cards: DataFrame, root: DataFrame) -> DataFrame:
     """(facet, id, value) of what the ``root`` (id) depends on; nodes have a ``path`` and a ``schema`` column.
 
     Facets: dependency (every one, its name), template (a spec's path), schema (a resource's), existing_spec
-    (a resource's path that ends in .tla) and card (the record of that id, its function).
+    (a resource's path that ends in .tla), card (the card (uuid, card) of the record of that id) and edge
+    (every edge among the root and its dependencies, its type and target).
     """
     require(nodes, root)
     below = cut(nodes.join(reachable(edges, root, with_seeds=False), "id", "left_semi").select("id", "kind", "name", "path", "schema"))
     facet = lambda name, value, test=F.lit(True): below.filter(test & (value != "")).select(F.lit(name).alias("facet"), "id", value.alias("value"))
     kind, path = F.col("kind"), F.col("path")
-    known = records.join(below.select(F.col("id").alias("uuid")), "uuid", "left_semi").select(F.lit("card").alias("facet"), F.col("uuid").alias("id"), F.col("function_name").alias("value"))
+    known = cards.join(below.select(F.col("id").alias("uuid")), "uuid", "left_semi").select(F.lit("card").alias("facet"), F.col("uuid").alias("id"), F.col("card").alias("value"))
+    among = induced(edges, below.select("id").unionByName(root.select("id")).distinct()).select(F.lit("edge").alias("facet"), F.col("from_id").alias("id"), F.concat("edge_type", F.lit(" "), "to_id").alias("value"))
     return (
         below.select(F.lit("dependency").alias("facet"), "id", F.col("name").alias("value")).unionByName(facet("template", path, kind == "spec"))
-        .unionByName(facet("schema", F.col("schema"), kind == "resource")).unionByName(facet("existing_spec", path, (kind == "resource") & path.endswith(".tla"))).unionByName(known)
+        .unionByName(facet("schema", F.col("schema"), kind == "resource")).unionByName(facet("existing_spec", path, (kind == "resource") & path.endswith(".tla"))).unionByName(known).unionByName(among)
     )
 
 
@@ -271,3 +273,10 @@ def change(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFram
         one = both.agg(F.coalesce(F.sum("new"), F.lit(0)).alias("n"), F.count_if(F.col("new") == 0).alias("was")).select(F.lit(what).alias("what"), "n", (F.col("n") - F.col("was")).alias("d"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.select("what", "n", F.concat(F.when(F.col("d") > 0, "+").otherwise(""), F.col("d").cast("string")).alias("change"))
+
+
+def cross_invariants(edges: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
+    """(name) of each edge that leads from one of two node sets (id) into the other, either way; other characters than letters, digits and _ are _."""
+    ends = lambda a, b: edges.join(a.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(b.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id", "edge_type")
+    name = F.concat(F.lit("Cross_"), "from_id", F.lit("_"), "to_id", F.lit("_"), "edge_type")
+    return ends(one, other).unionByName(ends(other, one)).select(F.regexp_replace(name, "[^a-zA-Z0-9_]", "_").alias("name")).distinct()

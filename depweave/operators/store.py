@@ -169,9 +169,19 @@ def content_donor(records: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Insert-or-replace: the row of the greatest ``order`` of each key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """Insert-or-replace: the row of the greatest ``order`` of each key (map-side combined, so that a key with very many rows is no task of its own)."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns]), order).alias("_last"))
+    return last.select("_last.*")
+
+
+def entry_names(explicit: DataFrame, stored: DataFrame, records: DataFrame) -> DataFrame:
+    """(project, function_name): a project's explicit entry points, else its stored ones, else its records that are skeletons; all three have these columns."""
+    skeletons = records.filter(F.col("do_description") == PENDING[0])
+    tiers = None
+    for k, rows in enumerate((explicit, stored, skeletons)):
+        tier = rows.select("project", "function_name", F.lit(k).alias("tier"))
+        tiers = tier if tiers is None else tiers.unionByName(tier)
+    return tiers.join(tiers.groupBy("project").agg(F.min("tier").alias("tier")), ["project", "tier"], "left_semi").select("project", "function_name")
 
 
 def upsert_records(records: DataFrame, ins: DataFrame, outs: DataFrame, new: DataFrame, new_ins: DataFrame, new_outs: DataFrame, *, keep_inbound: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -57,12 +57,39 @@ def _components(nodes, edges):
     return graph.components(nodes, edges.filter("edge_type <> 'depends_on'"))
 
 
-@query("graph_components_all", "nodes", "edges")
+_LEAST = """links AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM edges UNION SELECT to_id, from_id FROM edges),
+    least(id, m) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT l.b, min(c.m) FROM least c JOIN links l ON l.a = c.id JOIN recurring.least r ON r.id = l.b WHERE c.m < r.m GROUP BY l.b)"""
+
+
+@query("graph_components_all", "nodes", "edges", sql=with_("nodes", "edges", recursive=True) + f", {_LEAST} SELECT 'component-' || (dense_rank() OVER (ORDER BY m) - 1) AS component_id, id AS node_id FROM least")
 def _all_components(nodes, edges):
-    """Components over the edges of every type; no SQL, whose walk would hold each pair of linked nodes."""
+    """Components over the edges of every type."""
     return graph.components(nodes, edges)
 
 
+@query("graph_totals", "nodes", "edges", sql=with_("nodes", "edges", recursive=True) + f", {_LEAST} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, count(DISTINCT m) AS components FROM least")
+def _totals(nodes, edges):
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = graph.components(nodes, edges).agg(F.count_distinct("component_id").alias("components"))
+    return count(nodes, "nodes").crossJoin(count(edges, "edges")).crossJoin(parts)  # one row each
+
+
+@query("graph_component_of", "nodes", "edges", sql=with_("nodes", "edges", recursive=True) + f", {_LEAST} SELECT 'component-' || (SELECT count(DISTINCT y.m) FROM least y WHERE y.m < x.m) AS component_id, id AS node_id FROM least x WHERE id IN ('supp-3', 'reg-0')")
+def _component_of(nodes, edges):
+    """The components of two known nodes; an unknown one raises."""
+    asked = seeds(nodes, "supp-3", "reg-0")
+    graph.require(nodes, asked)
+    return graph.component_of(graph.components(nodes, edges), asked)
+
+
+@query("graph_cross_invariants", "edges", sql=with_("edges") + """ SELECT DISTINCT regexp_replace('Cross_' || from_id || '_' || to_id || '_' || edge_type, '[^a-zA-Z0-9_]', '_', 'g') AS name FROM edges
+    WHERE (from_id LIKE 'supp-%' AND to_id LIKE 'nat-%') OR (from_id LIKE 'nat-%' AND to_id LIKE 'supp-%')""")
+def _cross(edges):
+    """Invariants between suppliers and nations."""
+    ids = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    return graph.cross_invariants(edges, ids.filter("id like 'supp-%'"), ids.filter("id like 'nat-%'"))
+
+
 @query("graph_relevant", "edges", sql=with_("edges", recursive=True) + f""", {_DOWN.format('supp-3')}, below AS (SELECT id FROM down WHERE id <> 'supp-3')
     SELECT 'dependency' AS facet, id AS a, NULL AS b, NULL AS edge_type FROM below
     UNION ALL SELECT 'direct', from_id, to_id, edge_type FROM edges WHERE from_id = 'supp-3'
@@ -509,16 +536,17 @@ def _external(records, ins):
 _BUNDLE = """shown AS (SELECT id, CASE kind WHEN 'module' THEN 'spec' ELSE kind END AS kind, name, CASE WHEN kind = 'module' THEN 'templates/' || id WHEN name LIKE '%widget%' THEN id || '.tla' ELSE id || '.json' END AS path, 'schema-' || name AS schema FROM nodes)"""
 
 
-@query("graph_context", "nodes", "edges", "records", sql=with_("nodes", "edges", "records", recursive=True) + f""", {_UP}, {_BUNDLE}, below AS (SELECT * FROM shown WHERE id IN (SELECT id FROM up) AND id <> 'nat-3')
+@query("graph_context", "nodes", "edges", "records", "ins", "outs", sql=with_("nodes", "edges", recursive=True) + f""", {_UP}, {_BUNDLE}, below AS (SELECT * FROM shown WHERE id IN (SELECT id FROM up) AND id <> 'nat-3')
     SELECT 'dependency' AS facet, id, name AS value FROM below UNION ALL SELECT 'template', id, path FROM below WHERE kind = 'spec' UNION ALL SELECT 'schema', id, schema FROM below WHERE kind = 'resource'
-    UNION ALL SELECT 'existing_spec', id, path FROM below WHERE kind = 'resource' AND path LIKE '%.tla' UNION ALL SELECT 'card', uuid, function_name FROM records WHERE uuid IN (SELECT id FROM below)""")
-def _context(nodes, edges, records):
+    UNION ALL SELECT 'existing_spec', id, path FROM below WHERE kind = 'resource' AND path LIKE '%.tla' UNION ALL SELECT 'card', uuid, card FROM ({SQL['store_card']}) WHERE uuid IN (SELECT id FROM below)
+    UNION ALL SELECT 'edge', to_id, edge_type || ' ' || from_id FROM edges WHERE from_id IN (SELECT id FROM up) AND to_id IN (SELECT id FROM up)""")
+def _context(nodes, edges, records, ins, outs):
     """What a nation needs when every edge is read the other way; modules stand for specs."""
     kind = F.col("kind")
     path = F.when(kind == "module", F.concat(F.lit("templates/"), "id")).when(F.col("name").contains("widget"), F.concat("id", F.lit(".tla"))).otherwise(F.concat("id", F.lit(".json")))
     shown = nodes.select("id", F.when(kind == "module", "spec").otherwise(kind).alias("kind"), "name", path.alias("path"), F.concat(F.lit("schema-"), "name").alias("schema"))
     back = edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "edge_type")
-    return graph.context(shown, back, records, seeds(edges, "nat-3"))
+    return graph.context(shown, back, store.cards(records, ins, outs), seeds(edges, "nat-3"))
 
 
 _SHAPED = "regexp_replace(md5({0}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"

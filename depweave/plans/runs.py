@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.functions import conditions, records
-from depweave.operators import crawl, register, status, traces
+from depweave.functions import conditions, exprs, records
+from depweave.operators import crawl, register, status, store, traces
 from depweave.plans.registry import QUERIES, SQL, query
 from depweave.plans.relations import relation, with_
 from depweave.session import checkpoint_root, table
@@ -53,6 +53,59 @@ def _crawl_counts(functions, invocations, entry_points, files):
     return crawl.crawl_counts(_crawl(functions, invocations, entry_points, files), functions, invocations)
 
 
+def store_entry_points(spark, sf_dir):
+    """Events as entry points that replace one another by file and function."""
+    events = table(spark, sf_dir, "events").select(
+        F.concat("event_type", F.lit(".py")).alias("file_path"), F.concat(F.lit("fn_"), F.col("user_id") % 20).alias("function_name"), "event_type", "event_id", F.concat(F.lit("/"), "user_id").alias("route"),
+        F.when(F.col("value") > 10, "GET").alias("method"),
+    )
+    return store.keep_last(events, ["file_path", "function_name"], "event_id").select("file_path", "function_name", F.col("event_type").alias("entry_type"), "route", "method")
+
+
+def store_maps(spark, sf_dir):
+    """Orders as maps that replace one another by workflow: their lines are the path, large ones are shared."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("part-"), "l_partkey").alias("u"), (F.col("l_quantity") > 40).alias("shared"))
+    paths = line.groupBy("o_orderkey").agg(F.array_sort(F.collect_list("u")).alias("path_uuids"), F.array_sort(F.collect_list(F.when(F.col("shared"), F.col("u")))).alias("shared_uuids"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("flow-"), "o_custkey").alias("workflow_name")).join(paths, "o_orderkey")
+    last = store.keep_last(orders, ["workflow_name"], "o_orderkey")
+    return last.select("workflow_name", F.col("path_uuids")[0].alias("entry_uuid"), F.array_join("path_uuids", ",").alias("path_uuids"), F.array_join("shared_uuids", ",").alias("shared_uuids"))
+
+
+def crawl_entry_names(spark, sf_dir):
+    """Nations are projects: some have explicit entry points (suppliers), some stored ones (customers), the rest their skeletons."""
+    nation, supplier, customer = (table(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
+    explicit = supplier.filter("s_nationkey < 8").select(F.col("s_nationkey").alias("project"), F.col("s_name").alias("function_name"))
+    stored = customer.filter("c_nationkey < 16").select(F.col("c_nationkey").alias("project"), F.col("c_name").alias("function_name"))
+    own = relation(spark, sf_dir, "functions").select((F.col("line_number") % 25).alias("project"), "function_name", "do_description").join(nation.select(F.col("n_nationkey").alias("project")), "project", "left_semi")
+    return store.entry_names(explicit, stored, own)
+
+
+def log_failures(spark, sf_dir):
+    """Every event's checker output: its kind and its counts."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    said = (
+        F.when(kind == "error", F.concat(F.lit("Error: Invariant  Safe is violated.\n"), n, F.lit(" states generated, "), F.col("user_id"), F.lit(" distinct states found"))).when(kind == "view", "Deadlock reached. Unknown operator: x")
+        .when(kind == "click", F.concat(F.lit("Parsing or semantic analysis failed. Deadlock reached "), n)).when(kind == "purchase", "Unknown operator:y").otherwise(F.concat(n, F.lit(" states generated\n3 distinct")))
+    )
+    read = table(spark, sf_dir, "events").select("event_id", said.alias("t"), (F.col("value") > 3).alias("ok"))
+    counts = exprs.state_counts(F.col("t"))
+    return read.select("event_id", exprs.failure_class(F.col("t"), F.col("ok")).alias("failure"), F.coalesce(counts["found"], F.lit(-1)).alias("found"), F.coalesce(counts["distinct"], F.lit(-1)).alias("different"))
+
+
+QUERIES |= {"store_entry_points": store_entry_points, "store_maps": store_maps, "crawl_entry_names": crawl_entry_names, "log_failures": log_failures}
+SQL["store_entry_points"] = """SELECT event_type || '.py' AS file_path, 'fn_' || (user_id % 20) AS function_name, arg_max(event_type, event_id) AS entry_type, '/' || arg_max(user_id, event_id) AS route,
+    arg_max(CASE WHEN value > 10 THEN 'GET' ELSE 'none' END, event_id) AS m, nullif(m, 'none') AS method FROM events GROUP BY 1, 2"""
+SQL["store_entry_points"] = f"SELECT file_path, function_name, entry_type, route, method FROM ({SQL['store_entry_points']})"
+SQL["store_maps"] = """WITH p AS (SELECT l_orderkey, string_agg('part-' || l_partkey, ',' ORDER BY 'part-' || l_partkey) AS path_uuids, coalesce(string_agg('part-' || l_partkey, ',' ORDER BY 'part-' || l_partkey) FILTER (l_quantity > 40), '') AS shared_uuids FROM lineitem GROUP BY 1),
+    o AS (SELECT 'flow-' || o_custkey AS workflow_name, p.*, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders JOIN p ON l_orderkey = o_orderkey)
+    SELECT workflow_name, split_part(path_uuids, ',', 1) AS entry_uuid, path_uuids, shared_uuids FROM o WHERE n = 1"""
+SQL["crawl_entry_names"] = with_("functions") + """, t AS (SELECT s_nationkey AS project, s_name AS function_name, 0 AS tier FROM supplier WHERE s_nationkey < 8 UNION ALL SELECT c_nationkey, c_name, 1 FROM customer WHERE c_nationkey < 16
+        UNION ALL SELECT line_number % 25, function_name, 2 FROM functions WHERE do_description = 'SKELETON_ONLY' AND line_number % 25 IN (SELECT n_nationkey FROM nation))
+    SELECT project, function_name FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.project = t.project)"""
+SQL["log_failures"] = """SELECT event_id, CASE WHEN NOT value > 3 THEN 'syntax_error' WHEN event_type = 'click' THEN 'parse_error' WHEN event_type = 'error' THEN 'invariant_violation' WHEN event_type = 'view' THEN 'deadlock' WHEN event_type = 'purchase' THEN 'constant_mismatch' ELSE 'unknown' END AS failure,
+    CASE WHEN event_type = 'error' THEN event_id ELSE -1 END AS found, CASE WHEN event_type = 'error' THEN user_id ELSE -1 END AS different FROM events"""
+
+
 def ingest_run(spark, sf_dir):
     """The run's counts, taken while the dispositions are written."""
     path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"

@@ -218,3 +218,39 @@ def test_dispositions(spark):
 def test_verdicts(spark):
     said = spark.createDataFrame([("a", "fine?"), ("b", "?"), ("b", "PASS"), ("c", "?"), ("c", "a warning"), ("d", "warning"), ("d", "critical")], "`group` string, text string")
     assert {r.group: (r.verdict, r.exit_code) for r in status.verdicts(said).collect()} == {"a": ("pass", 0), "b": ("pass", 0), "c": ("warning", 0), "d": ("fail", 1)}
+
+
+def test_entry_point_tiers(spark):
+    """Explicit names come first, then stored ones, then the project's skeletons."""
+    rows = lambda *r: spark.createDataFrame(list(r), "project int, function_name string")
+    records = spark.createDataFrame([(1, "a", "SKELETON_ONLY"), (2, "b", "SKELETON_ONLY"), (3, "c", "SKELETON_ONLY"), (3, "d", "done")], "project int, function_name string, do_description string")
+    got = store.entry_names(rows((1, "x")), rows((1, "y"), (2, "z")), records)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x"), (2, "z"), (3, "c")]
+
+
+def test_resource_types(spark):
+    """Stored records carry no contract, so its branches count only when asked for."""
+    from pyspark.sql import functions as F
+
+    from depweave.operators import contracts
+
+    rows = [("1", True, "x", None), ("2", False, "src/DB/x.py", None), ("3", False, "a_store.py", None), ("4", False, "x", "Reads a Database"), ("5", False, "x", "sends to the MQ"), ("6", False, "x", "a queue")]
+    df = spark.createDataFrame(rows, "id string, is_external boolean, file_path string, boundary_contract string")
+    met = lambda kind, **kw: {r.id for r in df.filter(contracts.matches_resource(F.lit(kind), **kw)).collect()}
+    assert met("external_api") == {"1"} and met("database") == {"2", "3"} and met("message_queue") == set() and met("other") == set()
+    assert met("database", use_contract=True) == {"2", "3", "4"} and met("message_queue", use_contract=True) == {"5", "6"}
+
+
+def test_failures_and_crossings(spark):
+    from pyspark.sql import functions as F
+
+    from depweave.functions import exprs
+
+    said = ["Deadlock reached; Unknown operator: x", "Invariant A  is violated and Deadlock reached", "12 states generated, 7 distinct states", "5 states generated\n3 distinct", ""]
+    df = spark.createDataFrame([(t,) for t in said], "t string").select(exprs.failure_class(F.col("t"), F.lit(True)).alias("k"), exprs.failure_class(F.col("t"), F.lit(False)).alias("s"), exprs.state_counts(F.col("t")).alias("n"))
+    got = df.collect()
+    assert [r.k for r in got] == ["deadlock", "invariant_violation", "unknown", "unknown", "unknown"] and {r.s for r in got} == {"syntax_error"}
+    assert [r.n and tuple(r.n) for r in got] == [None, None, (12, 7), None, None]
+    edges = spark.createDataFrame([("a-1", "b-1", "calls"), ("b-1", "a-1", "calls"), ("a-1", "a-2", "calls"), ("a-1", "b-1", "calls")], "from_id string, to_id string, edge_type string")
+    found = graph.cross_invariants(edges, names(spark, "a-1", "a-2", column="id"), names(spark, "b-1", column="id"))
+    assert sorted(r.name for r in found.collect()) == ["Cross_a_1_b_1_calls", "Cross_b_1_a_1_calls"]
