@@ -16,8 +16,8 @@ the first that is not certified.  Only the first error counts then, so the level
 even if none is rejected, are tested as one pooled stratum; which ones depends on their
 sizes alone, and the risk is bounded for the pool, not for each of them.
 
-Everything is DataFrame functions.  Null text counts as empty, a null stratum is a
-stratum of its own; repeated labels of a document count once, and as good only if all
+Everything is DataFrame functions.  Null text counts as empty, a null language as an
+empty one; very long texts are read whole; repeated labels of a document count once, and as good only if all
 say so; an empty table gives no rows, and without labels nothing is rejected beyond
 the base rules.
 """

@@ -8,9 +8,9 @@ is one run of consecutive ring ranks and the whole outcome is a table of at most
 the input) decide that table; the rows then find their run by a join.
 
 Edge cases: an empty table gives no rows; a null key takes the hash of its tie
-columns; repeated rows are separate keys that share a slot; extra columns pass
-through, and the working columns have a reserved prefix so that no input name
-clashes.
+columns; empty and very long texts are keys like others, as only their sizes and
+checksums count; repeated rows are separate keys that share a slot; extra columns
+pass through as one struct, so that no input name clashes.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from depweave.llm import shared
+
 #: Slots of the ring: the bound of every broadcast below.
 RING = 1 << 16
 
@@ -107,16 +109,18 @@ def _runs(arrivals: DataFrame, stops: DataFrame, shards: int, slack: float) -> D
 def bounded_ring(
     df: DataFrame, key: str, shards: int, *, vnodes: int = 64, slack: float = 0.0, ties: Sequence[str] = (),
 ) -> DataFrame:
-    """``df`` with ``shard`` (0..shards-1) and ``slot`` (gapless rank in the shard, from 0).
+    """``df`` with ``shard`` (0..shards-1) and ``slot`` (gapless rank in the shard, from 0); where ``df`` has columns of these names, in any case, the new ones have underscores in front.
 
     A shard takes at most floor or ceiling of ``(1 + slack) * rows / shards`` rows; with
     ``slack=0`` the counts are at most one apart.  ``ties`` order rows of one slot after
     the key's hash (rows equal in all of them are interchangeable).
     """
     spark = df.sparkSession
-    backup = F.concat_ws("/", F.lit("null"), *[F.col(t).cast("string") for t in ties])
-    whole = F.coalesce(F.col(key).cast("string"), backup)
-    rows = df.withColumn("_ring_slot", ring_slot(whole))
+    backup = F.concat_ws("/", F.lit("null"), *[F.col(f"`{t}`").cast("string") for t in ties])
+    whole = F.coalesce(F.col(f"`{key}`").cast("string"), backup)
+    columns, added = tuple(df.columns), shared.free(df.columns, "shard", "slot")
+    order_by = [F.md5(whole.cast("binary")), F.col(f"`{key}`"), *[F.col(f"`{t}`") for t in ties]]
+    rows = df.select(shared.packed(columns).alias("_ring_row"), ring_slot(whole).alias("_ring_slot"), *[c.alias(f"_ring_by{k}") for k, c in enumerate(order_by)])
     stops = _stops(spark, shards, vnodes)
     slots = _slots(spark, stops)
     counts = (
@@ -138,10 +142,10 @@ def bounded_ring(
         F.broadcast(arcs).join(runs, (F.col("low") < F.col("begins") + F.col("n")) & (F.col("high") > F.col("begins")))
         .select(
             F.col("stop").alias("_ring_stop"), F.col("low").alias("_ring_low"), F.col("high").alias("_ring_high"),
-            F.col("shard"), F.col("base").alias("_ring_base"),
+            F.col("shard").alias("_ring_shard"), F.col("base").alias("_ring_base"),
         )
     )
-    order = Window.partitionBy("_ring_slot").orderBy(F.md5(whole.cast("binary")), F.col(key), *[F.col(t) for t in ties])
+    order = Window.partitionBy("_ring_slot").orderBy(*[f"_ring_by{k}" for k in range(len(order_by))])
     placed = (
         rows.join(F.broadcast(begins), "_ring_slot")
         .withColumn("_ring_rank", F.col("_ring_begin") + F.row_number().over(order) - 1)
@@ -151,7 +155,7 @@ def bounded_ring(
         )
     )
     return placed.select(
-        *[F.col(f"`{c}`") for c in df.columns], "shard", (F.col("_ring_base") + F.col("_ring_rank") - F.col("_ring_low")).alias("slot")
+        *shared.unpacked("_ring_row", columns), F.col("_ring_shard").alias(added[0]), (F.col("_ring_base") + F.col("_ring_rank") - F.col("_ring_low")).alias(added[1])
     )
 
 

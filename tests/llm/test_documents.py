@@ -60,6 +60,28 @@ def test_ring_moves_little_and_bounds_loads(spark):
     assert sum(one[k] != two[k] for k in one) < 0.15 * 6000
 
 
+def test_ring_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, i % 3, f"s{i}", -i) for i in range(60)], "id bigint, Shard int, slot string, _ring_slot int")
+    got = sharding.bounded_ring(df, "id", 4)
+    assert got.columns == ["id", "Shard", "slot", "_ring_slot", "_shard", "_slot"]
+    rows = got.collect()
+    assert sorted((r.id, r.Shard, r[2], r[3]) for r in rows) == sorted(tuple(r) for r in df.collect())
+    plain = {r.id: (r.shard, r.slot) for r in sharding.bounded_ring(df.select("id"), "id", 4).collect()}
+    assert {r.id: (r["_shard"], r["_slot"]) for r in rows} == plain
+
+
+def test_more_languages_than_rows_of_the_sample(spark):
+    """Every labelled language is learnt, however many there are."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, j: "".join(letters[(k * 7 + j * (k % 5 + 1) + m * (k + 3)) % 26] for m in range(6))
+    rows = [(100 * k + i, " ".join(word(k, (i * 3 + j) % 40) for j in range(40)), f"l{k:02}") for k in range(70) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(df, sample=300)
+    assert len(model[0]) == 70
+    got = langid.predict(df, model, ("doc_id", "lang")).collect()
+    assert len({r.lang_pred for r in got}) > 64 and sum(r.lang == r.lang_pred for r in got) > 0.9 * len(rows)
+
+
 def test_base_rules(spark):
     df = awkward(spark)
     labels = spark.createDataFrame([(6, 1, 0), (6, 1, 0), (7, 0, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
