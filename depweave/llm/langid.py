@@ -3,9 +3,10 @@
 A text's features are the byte n-grams (n = 2, 3, 4) present in its lower-cased UTF-8
 form, white space and digits folded, hashed to ``DIMS`` places.  The kernel of two texts
 is the number of shared places over the geometric mean of their own numbers.  Training
-takes a bounded sample: at most ``PER_LANGUAGE`` labelled rows of each of at most
-``LANGUAGES`` languages, as bit vectors made by the executors, of which ``LANDMARKS``
-serve as Nystroem landmarks.  One ridge regression per language (one versus the rest) is
+takes a bounded sample: about ``PER_LANGUAGE`` labelled rows of each language, and fewer
+of each (``FEWEST`` at least) where languages are so many that these would be more than
+``SAMPLE``, as bit vectors made by the executors, of which ``LANDMARKS`` (one of each
+language at least) serve as Nystroem landmarks.  One ridge regression per language (one versus the rest) is
 fitted in the landmarks' whitened feature space.
 
 Since the kernel is a dot product of presence vectors, the fitted regressions fold into
@@ -30,7 +31,8 @@ DIMS = 1 << 15
 SIZES = (2, 3, 4)
 #: Bounds of the training sample.
 PER_LANGUAGE = 400
-LANGUAGES = 64
+SAMPLE = 64 * PER_LANGUAGE
+FEWEST = 16
 LANDMARKS = 256
 RIDGE = 1e-2
 #: Bytes hashed at once.
@@ -100,7 +102,7 @@ def fit(x: np.ndarray, y: list[str], *, landmarks: int = LANDMARKS, ridge: float
     for k in y:
         turn.append(rank[k])
         rank[k] += 1
-    marks = unit[np.lexsort((np.arange(len(y)), turn))[:landmarks]]
+    marks = unit[np.lexsort((np.arange(len(y)), turn))[: max(landmarks, len(names))]]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     use = values > values.max() * 1e-6
     white = vectors[:, use] / np.sqrt(values[use])
@@ -114,17 +116,20 @@ def fit(x: np.ndarray, y: list[str], *, landmarks: int = LANDMARKS, ridge: float
     return names, marks.T @ (white @ coefficients).astype(np.float32)
 
 
-def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray] | None:
+def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> tuple[list[str], np.ndarray] | None:
     """Fit on a bounded sample of (doc_id, text, lang) rows with a language; None if there is none.
 
+    All languages are learnt; where they are many, each has fewer rows.
+
     The sample is the same for the same rows: those of the lowest hashes, by a cutoff from the counts.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "lang", F.xxhash64("doc_id", "text").alias("at"), "text"
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return None
+    per_language = min(per_language, max(FEWEST, sample // len(counts)))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
     chosen = rows.filter(F.pmod(F.col("at"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * F.lit(float(1 << 30)))
     # equal rows count once, so that many of them cannot fill the sample; of too many the lowest hashes stay
