@@ -9,7 +9,8 @@ merged by score.  Scores are cosines in double precision of the original vectors
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no
 part, as queries or candidates; vectors of another length than the query's are no
-candidates; a repeated (id, vector) row counts once; fewer candidates than asked for are
+candidates; a repeated (id, vector) row counts once; of different vectors under one
+queried id the smallest, component by component, is the query; fewer candidates than asked for are
 all returned; ties go to the smaller id; extra columns are not read.
 """
 
@@ -35,12 +36,17 @@ SEARCH_WIDTH = 96
 BLOCK = 1024
 
 
+def levelled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors (not zero) with their largest component between 1/2 and 1: times a power of two, which changes no cosine and keeps squares in range."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(-1, keepdims=True))[1])
+
+
 class Graph:
     """Layers of neighbour tables over unit vectors; a layer is (int32 table, counts), -1 where empty."""
 
     def __init__(self, vectors: np.ndarray, layers: list[np.ndarray] | None = None, entry: int = 0):
-        norm = np.sqrt(np.einsum("ij,ij->i", vectors.astype(np.float64), vectors.astype(np.float64)))
-        self.unit = (vectors / norm[:, None]).astype(np.float32)
+        level = levelled(vectors)
+        self.unit = (level / np.sqrt(np.einsum("ij,ij->i", level, level))[:, None]).astype(np.float32)
         self.layers, self.entry = layers or [], entry
         self.seen, self.turn = np.zeros(len(vectors), np.int32), 0
 
@@ -125,7 +131,8 @@ class Graph:
 
     def search(self, q: np.ndarray, k: int, width: int = SEARCH_WIDTH) -> list[int]:
         """The ``k`` nodes nearest to ``q`` (a vector of any length), as found."""
-        q = (q / np.sqrt(q.astype(np.float64) @ q)).astype(np.float32)
+        q = levelled(q)
+        q = (q / np.sqrt(q @ q)).astype(np.float32)
         if len(self.unit) <= width:
             return np.argsort(-(self.unit @ q), kind="stable")[:k].tolist()
         start = [self.entry]
@@ -140,7 +147,7 @@ _INDEX = "shard bigint, dim int, entry int, widths array<int>, vectors binary, n
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     """applyInPandas over the nodes of one shard: its index as one row."""
     pdf = pdf.sort_values("least")
-    vectors = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
+    vectors = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
     g = Graph.build(vectors)
     return pd.DataFrame({
         "shard": pdf["shard"][:1].to_numpy(), "dim": [vectors.shape[1]], "entry": [g.entry], "widths": [[t.shape[1] for t in g.layers]],
@@ -159,17 +166,17 @@ def _search(k: int) -> Callable:
                 shard, dim = row["shard"].as_py(), row["dim"].as_py()
                 if shard != last:
                     last, ids = shard, row["ids"].as_py()
-                    original = np.frombuffer(row["vectors"].as_py(), np.float32).reshape(-1, dim)
+                    original = np.frombuffer(row["vectors"].as_py(), np.float64).reshape(-1, dim)
                     flat, layers, at = np.frombuffer(row["neighbours"].as_py(), np.int32), [], 0
                     for w in row["widths"].as_py():
                         layers.append(flat[at : at + len(original) * w].reshape(-1, w))
                         at += len(original) * w
                     g = Graph(original, layers, row["entry"].as_py())
-                    original = original.astype(np.float64)
+                    original = levelled(original)
                     norms = np.sqrt((original * original).sum(1))
                 out: list[tuple[int, int, float]] = []
                 for q in row["queries"].as_py():
-                    v = np.array(q["embedding"], np.float64)
+                    v = levelled(np.array(q["embedding"], np.float64))
                     nodes = g.search(v, k + 1)
                     scores = (original[nodes] * v).sum(1) / (norms[nodes] * np.sqrt((v * v).sum()))
                     found = sorted((-s, i) for s, n in zip(scores.tolist(), nodes) for i in ids[n] if i != q["vec_id"])
@@ -183,7 +190,7 @@ def _search(k: int) -> Callable:
 def usable(df: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter(
+    return df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0)
     )
 
@@ -204,7 +211,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, *, shard_rows: int = ROWS) -> D
     """query_id, rank, vec_id, score: the ``k`` nearest other rows of each row that ``is_query`` holds for."""
     rows = usable(df)
     index = build_index(rows, k, shard_rows)
-    queries = rows.filter(is_query).dropDuplicates(["vec_id"])
+    queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-queries.count() // BLOCK))
     packed = queries.groupBy(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(
         F.collect_list(F.struct("vec_id", "embedding")).alias("queries")

@@ -101,6 +101,16 @@ def test_graph_recall():
     assert hits >= 0.9 * 5 * 30
 
 
+def test_all_magnitudes_and_repeated_ids(spark):
+    """Components of any size keep their cosine in double precision; of two vectors under a queried id the smaller one asks."""
+    rows = [(0, [1e-60, 1e-60]), (1, [1e300, 1e300]), (2, [5e-324, 0.0]), (3, [0.0, 1e-310]), (4, [3.0, -3.0]), (50, [2.0, 1.0]), (50, [1.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, df["vec_id"] % 50 == 0, 3).collect()
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got}
+    assert found[0, 1][0] == 1 and abs(found[0, 1][1] - 1) < 1e-15 and abs(found[0, 2][1] - 3 / 10**0.5) < 1e-15 and found[0, 2][0] == 50
+    assert found[50, 1][0] == 3 and abs(found[50, 1][1] - 9 / 82**0.5) < 1e-15
+
+
 INSIDE = (
     '<article><h1>T</h1><h2>Summary</h2><section id="social-history"><p>one</p></section><div class="search party"><p>two {k}</p></div><p class="share">three</p>'
     '<div class="comments"><p>reader</p></div><div class="share"><a href=x>Tweet</a></div><p><a href=y>all link</a></p><nav>n</nav></article>'
