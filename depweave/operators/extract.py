@@ -121,14 +121,15 @@ def flattened(documents: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     A body that is no JSON has nothing at any path.  The step tables are as small as the rules, so they are broadcast.
     """
     spark = documents.sparkSession
-    at = documents.select("project", "schema", F.lit("").alias("prefix"), F.array().cast("array<string>").alias("keys"), F.try_parse_json("body").alias("value"))
+    at = cut(documents.select("project", "schema", F.lit("").alias("prefix"), F.array().cast("array<string>").alias("keys"), F.try_parse_json("body").alias("value")))
     whole = {(SCHEMAS[s], p) for s, p, *_ in rules}
     found = None
     for steps in _step_rows(spark, rules):
         inner = spark.sql("SELECT d.project, d.schema, d.prefix, d.keys, c.pos, c.key, c.value FROM {at} d, LATERAL variant_explode(d.value) c", at=at)
         stands = F.when(F.col("key").isNull(), F.array(F.lit("[]"))).otherwise(F.array("key", F.lit("*")))
         one = inner.withColumn("step", F.explode(stands)).join(F.broadcast(steps), ["schema", "prefix", "step"])
-        at = one.select("project", "schema", F.col("ahead").alias("prefix"), F.concat("keys", F.array(F.coalesce("key", F.lpad(F.col("pos").cast("string"), 9, "0")))).alias("keys"), "value")
+        # kept, as both its own ends and the next level read it
+        at = cut(one.select("project", "schema", F.col("ahead").alias("prefix"), F.concat("keys", F.array(F.coalesce("key", F.lpad(F.col("pos").cast("string"), 9, "0")))).alias("keys"), "value"))
         ended = F.array(*[F.concat(F.lit(s), F.lit(":"), F.lit(p)) for s, p in sorted(whole)])
         here = at.filter(F.array_contains(ended, F.concat("schema", F.lit(":"), "prefix"))).withColumnRenamed("prefix", "path")
         found = here if found is None else found.unionByName(here)
