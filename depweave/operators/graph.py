@@ -218,11 +218,12 @@ def context(nodes: DataFrame, edges: DataFrame, cards: DataFrame, root: DataFram
 
 
 def _crawled(nodes: DataFrame, records: DataFrame) -> DataFrame:
-    """``nodes`` with a resource node for each internal record, its claim as the description."""
+    """``nodes`` with a resource node for each internal record, its claim (if records have one) as the description."""
+    claim = F.col("operational_claim") if "operational_claim" in records.columns else F.lit(None).cast("string")
     made = records.filter(~F.col("is_external")).select(
         F.col("uuid").alias("id"), F.lit("resource").alias("kind"),
         F.concat(F.when(F.coalesce("class_name", F.lit("")) != "", F.concat("class_name", F.lit("."))).otherwise(""), "function_name", F.lit(" @ "), "file_path").alias("name"),
-        F.col("operational_claim").alias("description"),
+        claim.alias("description"),
     )
     return upsert_nodes(nodes, made)
 

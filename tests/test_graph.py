@@ -130,18 +130,18 @@ def test_repeated_edges_are_judged_once(spark, tmp_path):
             seen.add((a, b, kind))
             out.setdefault(a, set()).add(b)
     nodes = spark.createDataFrame([(i,) for i in ids], "id string")
-    rows_in, greedy = tmp_path / "rows", graph._greedy
+    rows_in, greedy = tmp_path / "rows", graph.accepted_in_order
 
     def counted(pdf):
         with open(rows_in, "a") as f:
             f.write(f"{len(pdf)}\n")
         return greedy(pdf)
 
-    graph._greedy = counted
+    graph.accepted_in_order = counted
     try:
         got = graph.add_edges(nodes, spark.createDataFrame(have, schema), spark.createDataFrame(new, schema + ", seq bigint")).collect()
     finally:
-        graph._greedy = greedy
+        graph.accepted_in_order = greedy
     assert {r.seq: r.outcome for r in got} == want and len(got) == len(new)
     distinct = {(a, b, k) for a, b, k, _ in new} | set(have)
     assert max(map(int, rows_in.read_text().split())) <= len(distinct) < len(new)
