@@ -25,3 +25,18 @@ def test_stages(spark, small):
 def test_run(spark, small):
     rows = p.run(spark, small)
     assert rows.count() > 0 and "sequence_id" in rows.columns
+
+
+def test_awkward_rows(spark, small):
+    """Nulls, empty texts, repeated rows and clashing names in each stage; every stage takes an empty table."""
+    base = " ".join(f"word{i} goes by the old river" for i in range(12))
+    rows = [(1, base, "en", "x"), (2, base + " end", "en", "x"), (2, base + " end", "en", "x"), (3, None, None, None), (4, "", "en", "x"), (None, base, "en", "x"), (5, "short one", "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, component_id string")
+    near = p.drop_near_duplicates(spark, docs, small)
+    assert near.columns == docs.columns and sorted((r.doc_id for r in near.collect()), key=str) == [1, 3, 4, 5, None]
+    cut = p.drop_repeated_strings(spark, docs, small).collect()
+    assert {r.doc_id for r in cut if r.doc_id in (3, 4, 5)} == {3, 4, 5} and next(r.text for r in cut if r.doc_id == 1) == base
+    packed = p.pack(spark, docs, small)
+    assert packed.filter("doc_id in (3, 4)").count() == 2 and packed.count() == len(rows)
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.filter("false"), small).count() == 0, name
