@@ -21,7 +21,8 @@ sets share no more than the shorter rest) and a bound from 96-bit parities of th
 (differing bits never outnumber differing tokens) before it leaves the task.  As one
 earlier match is enough, each class sends its closest candidates only, whose whole sets
 are compared; a class that had more than it sent, and was not decided by them, is
-looked at again with sixteen times as many, until none is left.  Of those sent the
+looked at again with sixteen times as many, until none is left; for that the first round
+stores the entries of the keys that held more, so that later ones read no text.  Of those sent the
 closest is compared first, and the others only where it does not match.  A key that could hold
 more than ``HOT`` lines (its tokens' counters say so) is salted: its classes are spread
 over several tasks, and in the later rounds the undecided ones visit all of them.
@@ -34,6 +35,7 @@ rows; extra columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm import shared
-from depweave.llm.ngram_join import COUNTERS, _blocks, counted_levels, mix, word_hashes
+from depweave.llm.ngram_join import COUNTERS, _blocks, mix
 from depweave.session import cut, discard, release, small_batches, written
 
 MIN_WORDS = 1
@@ -61,12 +63,47 @@ SENT = 8
 GATHER = 500_000
 #: Pairs a task may hold before it keeps each class's closest only.
 PAIRS = 1 << 20
+#: Pairs up to which a round compares all candidates at once, as each look at the texts costs more than they do.
+FEW = 1 << 17
 _WORDS = 3
-_ENTRY = np.dtype([("key", "<u4"), ("key_b", "<u2"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("bits", "<u4", (_WORDS,))])
+#: (``common``: the level of the key's rarest token)
+_ENTRY = np.dtype([("key", "<u4"), ("key_b", "<u2"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("common", "u1"), ("bits", "<u4", (_WORDS,))])
 #: Marks a size in an entry that all of its key must be compared with.
 _OPEN = np.uint32(1 << 31)
 
 
+#: The bytes of a word that are hashed at once by arrays; longer words one by one.
+_LONG = 64
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Counters of a piece of the table of counts.
+PIECE = 1 << 16
+
+
+def _words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, ASCII letters in lower case; number of its line; lines of each text): the lines of all texts in order."""
+    joined = b"\n".join(raws).lower()
+    buf = np.frombuffer(b"\n" + joined + b"\n" + bytes(8), np.uint8)
+    seen = buf[:-8]
+    space = (seen == 32) | ((seen - np.uint8(9)) < 5)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    many = np.array([raw.count(b"\n") + 1 for raw in raws], np.int64)
+    owner = np.searchsorted(np.flatnonzero(seen[1:-1] == 10) + 1, start)
+    eight = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
+    with np.errstate(over="ignore"):
+        hashes = mix((eight[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
+        at, left = 8, np.flatnonzero((size > 8) & (size <= _LONG))
+        while len(left):
+            part = eight[start[left] + at] & _MASK[np.minimum(size[left] - at, 8)]
+            hashes[left] = mix(hashes[left] * _ODD + part)
+            at += 8
+            left = left[size[left] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(seen[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, owner, many
+
+
 def _level(count: int) -> int:
     """The commonness byte of a count."""
     return int(8 * np.log2(count + 1))
@@ -91,9 +128,7 @@ class Lines:
     """The token sets of the lines of some texts that have enough words, as flat arrays."""
 
     def __init__(self, raws: list[bytes], min_words: int):
-        split = [raw.split(b"\n") for raw in raws]
-        many = np.array([len(x) for x in split], np.int64)
-        word, owner = word_hashes([line for x in split for line in x])
+        word, owner, many = _words(raws)
         order = _sorted(owner, None, word)
         word, owner = word[order], owner[order]
         new = np.ones(len(word), bool)
@@ -148,21 +183,54 @@ class Lines:
         return out
 
 
-def _lines(min_words: int) -> Callable:
-    """mapInArrow over (doc, tkey, text): one row per line that takes part; ``pos`` is its number and 32 bits of the text's hash."""
+def _lines(min_words: int, counters: int) -> Callable:
+    """mapInArrow over (doc, tkey, text): one row per line that takes part (``pos`` is its number and 32 bits of the text's hash), then how many of them hold each token, by piece of the table of counters.
+
+    One pass for both, as reading the words is most of the work.  A piece is a byte a counter, and (place, count) of those that a byte can't hold.
+    """
+    names = ["doc", "pos", "name", "piece", "counts", "larger"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(counters, np.uint32)
         for batch in batches:
             doc, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for rows, raws in _blocks(batch, 2):
                 x = Lines(raws, min_words)
-                if len(x.size):
+                if len(n := x.size):
+                    np.add.at(count, (x.token & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
                     row = np.asarray(rows)[x.text]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((x.line << 32) | (tkey[row] & 0xFFFFFFFF)), pa.array(x.name)], names=["doc", "pos", "name"])
+                    none = (pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary()))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((x.line << 32) | (tkey[row] & 0xFFFFFFFF)), pa.array(x.name), *none], names=names)
+        for k, c in enumerate(count.reshape(-1, min(counters, PIECE))):
+            if c.any():
+                large = np.flatnonzero(c > 255)
+                larger = np.concatenate([large.astype("<u4"), c[large].astype("<u4")]).tobytes()
+                none = [pa.nulls(1, pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([*none, pa.array([k], pa.int64()), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes()], pa.binary()), pa.array([larger], pa.binary())], names=names)
 
     return run
 
 
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """applyInPandas over one piece: a byte per counter, rising by 8 when the count doubles."""
+    total = np.zeros(len(pdf["counts"].iloc[0]), np.int64)
+    for counts, larger in zip(pdf["counts"], pdf["larger"]):
+        total += np.frombuffer(counts, np.uint8)
+        place, count = np.frombuffer(larger, "<u4").reshape(2, -1)
+        total[place] += count.astype(np.int64) - 255
+    level = np.minimum(255, 8 * np.log2(total + 1.0)).astype(np.uint8)
+    return pd.DataFrame({"piece": pdf["piece"][:1], "levels": [level.tobytes()]})
+
+
+def _levels(pieces: DataFrame, counters: int):
+    """Broadcast table of commonness by token (``counters`` bytes, ``COUNTERS`` at most)."""
+    piece = min(counters, PIECE)
+    table = bytearray(counters)
+    for r in pieces.groupBy("piece").applyInPandas(_summed, "piece bigint, levels binary").collect():
+        table[r["piece"] * piece : (r["piece"] + 1) * piece] = r["levels"]
+    return pieces.sparkSession.sparkContext.broadcast(bytes(table))
+
+
 def _short(key: np.ndarray) -> np.ndarray:
     """The 48 bits of a key that tell it apart within its range."""
     return key & np.uint64((1 << 48) - 1)
@@ -171,38 +239,59 @@ def _short(key: np.ndarray) -> np.ndarray:
 def _sorted_entries(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entries by key and size, each class of a key once and with its earliest place; their keys; their sizes)."""
     key, size = (x["key_b"].astype(np.uint64) << np.uint64(32)) | x["key"], (x["size"] & ~_OPEN).astype(np.int64)
-    order = np.lexsort((x["at"], x["name"], size, key))
+    packed = (key << np.uint64(16)) | np.minimum(size, 0xFFFF).astype(np.uint64)
+    order = np.argsort(packed)
+    packed = packed[order]
+    same = packed[1:] == packed[:-1]
+    # only what the packed numbers leave equal is put in order by the rest
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(x) else np.zeros(0, np.int64)
+    some = order[tied]
+    order[tied] = some[np.lexsort((x["at"][some], x["name"][some], size[some], packed[tied]))]
     key, size, name = key[order], size[order], x["name"][order]
     new = np.ones(len(x), bool)
     new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
     return x[order[new]], key[new], size[new]
 
 
+def _by_part(part: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Entries as one row per range of keys."""
+    order = np.argsort(part, kind="stable")
+    part, x = part[order], x[order]
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([x[a:b].tobytes() for a, b in zip(at, [*at[1:], len(x)])], pa.binary())], names=["part", "entries"])
+
+
+def _salts(common: np.ndarray, hot: int) -> np.ndarray:
+    """Over how many tasks a key is spread that may be too large for one."""
+    return np.maximum(1, np.ceil(2.0 ** (common / 8.0) / hot)).astype(np.int64)
+
+
+def _salted(short: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
+    """The range that a salt of a key goes to."""
+    with np.errstate(over="ignore"):
+        return (mix(short + (salt.astype(np.uint64) + np.uint64(1)) * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _place(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """A hash of a line's place."""
     return shared.scatter(shared.scatter(doc).view(np.int64) ^ pos)
 
 
-def _entries(percent: int, min_words: int, rare: int, wide: int, hot: int, levels, low: int, shift: int, bits: int, repeated, first_places, again=None) -> Callable:
+def _entries(percent: int, min_words: int, rare: int, wide: int, hot: int, levels, low: int, shift: int, bits: int, repeated, first_places) -> Callable:
     """mapInArrow over (doc, tkey, text): the entries (see ``_ENTRY``) of each range of keys, as bytes.
 
     Of the classes marked in ``repeated`` only the lines marked in ``first_places`` (the first ones, and few others) count.
-    ``again``: bitmaps of the keys and of the names that a later round looks at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, names, places = (np.frombuffer(b.value, np.uint8) for b in (levels, repeated, first_places))
-        marks = [np.frombuffer(m.value, np.uint8) for m in again] if again else None
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def sent() -> pa.RecordBatch:
             part, x = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            order = np.argsort(part, kind="stable")
-            part, x = part[order], x[order]
-            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([x[a:b].tobytes() for a, b in zip(at, [*at[1:], len(x)])], pa.binary())], names=["part", "entries"])
+            return _by_part(part, x)
 
         for batch in batches:
             doc, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -215,28 +304,20 @@ def _entries(percent: int, min_words: int, rare: int, wide: int, hot: int, level
                 count = ~shared.marked(x.name.view(np.uint64), names, bits) | shared.marked(_place(doc[owner], pos), places, bits)
                 key, row, lost, common = x.keys(level, percent, rare, wide)
                 use = count[row]
-                if marks:
-                    use &= shared.marked(shared.scatter(_short(key).view(np.int64)), marks[0], bits)
                 key, row, lost, common = key[use], row[use], lost[use], common[use]
                 if not len(key):
                     continue
                 out = np.zeros(len(key), _ENTRY)
                 out["key"], out["key_b"], out["name"] = key & np.uint64(0xFFFFFFFF), (key >> np.uint64(32)) & np.uint64(0xFFFF), x.name[row]
-                out["size"], out["lost"], out["bits"] = x.size[row], np.minimum(lost, 255), x.parities()[row]
+                out["size"], out["lost"], out["bits"], out["common"] = x.size[row], np.minimum(lost, 255), x.parities()[row], common
                 out["at"] = np.minimum((doc[owner[row]].view(np.uint64) - np.uint64(low)) >> np.uint64(shift), np.uint64(0xFFFFFFFF))
                 # a key that may be too large for a task is dealt to several, none of which sees all of it in the first round
-                salts = np.maximum(1, np.ceil(2.0 ** (common / 8.0) / hot)).astype(np.int64)
-                salt = np.where(salts > 1, out["name"] % salts, 0)
-                is_open = shared.marked(x.name.view(np.uint64), marks[1], bits)[row] if marks else salts > 1
-                out["size"][is_open] |= _OPEN
-                spread = np.flatnonzero(is_open & (salts > 1)) if marks else ()
-                if len(spread):
-                    many = salts[spread]
-                    salt = np.concatenate([salt, np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)])
-                    out, key = (np.concatenate([c, c[np.repeat(spread, many)]]) for c in (out, key))
-                with np.errstate(over="ignore"):
-                    part = np.where(salt > 0, mix(key + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), key) >> np.uint64(64 - bits)
-                held.append((part.astype(np.int64), out))
+                salts = _salts(common, hot)
+                part = (key >> np.uint64(64 - bits)).astype(np.int64)
+                spread = np.flatnonzero(salts > 1)
+                out["size"][spread] |= _OPEN
+                part[spread] = _salted(_short(key[spread]), out["name"][spread] % salts[spread], bits)
+                held.append((part, out))
                 size += len(out)
                 if size >= GATHER:
                     yield sent()
@@ -247,6 +328,31 @@ def _entries(percent: int, min_words: int, rare: int, wide: int, hot: int, level
     return run
 
 
+def _looked_at_again(hot: int, bits: int, keys, names) -> Callable:
+    """mapInArrow over stored (part, entries): those of the marked keys, by range; the marked classes are open and visit all ranges of their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_map, name_map = (np.frombuffer(b.value, np.uint8) for b in (keys, names))
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(blob.as_buffer(), _ENTRY)
+                key = (x["key_b"].astype(np.uint64) << np.uint64(32)) | x["key"]
+                use = shared.marked(shared.scatter(key.view(np.int64)), key_map, bits)
+                x, key = x[use], key[use]
+                if not len(x):
+                    continue
+                is_open = shared.marked(x["name"].view(np.uint64), name_map, bits)
+                x["size"] = np.where(is_open, x["size"] | _OPEN, x["size"] & ~_OPEN)
+                salts = _salts(x["common"], hot)
+                spread = is_open & (salts > 1)
+                many, parts = salts[spread], np.full(len(x), part, np.int64)
+                salt = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                parts = np.concatenate([parts[~spread], _salted(np.repeat(key[spread], many), salt, bits)])
+                yield _by_part(parts, np.concatenate([x[~spread], np.repeat(x[spread], many)]))
+
+    return run
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
@@ -264,7 +370,8 @@ def _fit(x: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent:
 def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
     """applyInPandas over the entries of one range of keys: name and name_b (an earlier class that may match), or with ``more`` name and a key that held more.
 
-    In the first round each class meets its ``near`` neighbours by size in each key; later the open ones meet all of the key.
+    In the first round each class meets its ``near`` neighbours by size in each key, and a last row has the entries of all keys that held more;
+    later the open ones meet all of the key.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -325,9 +432,15 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
         i, j, apart = closest()
         name, other = x["name"][i], x["name"][j]
         k = np.flatnonzero(more)
-        return pd.DataFrame({
-            "name": np.append(name, x["name"][k]), "apart": np.append(apart, np.zeros(len(k), np.int64)).astype(np.int32), "name_b": np.append(other, shared.scatter(key[k].view(np.int64)).view(np.int64)), "more": np.append(np.zeros(len(name), bool), np.ones(len(k), bool)),
+        out = pd.DataFrame({
+            "name": np.append(name, x["name"][k]), "apart": np.append(apart, np.zeros(len(k), np.int64)).astype(np.int32), "name_b": np.append(other, shared.scatter(key[k].view(np.int64)).view(np.int64)),
+            "more": np.append(np.zeros(len(name), bool), np.ones(len(k), bool)), "part": None, "entries": None,
         })
+        if len(k) and not again:
+            whole = np.zeros(len(x), bool)
+            whole[begin[k]] = True
+            out.loc[len(out)] = [0, 0, 0, None, int(pdf["part"].iloc[0]), x[whole[begin]].tobytes()]
+        return out
 
     return run
 
@@ -379,7 +492,7 @@ def _verify(percent: int) -> Callable:
     return run
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, rare: int = RARE, wide: int = WIDE, hot: int = HOT, near: int = NEAR, sent: int = SENT) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, rare: int = RARE, wide: int = WIDE, hot: int = HOT, near: int = NEAR, sent: int = SENT, few: int = FEW) -> DataFrame:
     """doc, tkey, lines (array of line numbers that go), per row of (doc, tkey, text) that has any."""
     texts = docs.select("doc", "text")
     known = F.when(F.col("doc") < NO_ID, F.col("doc"))
@@ -387,17 +500,17 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     total, low, high = total or 0, low or 0, high or 0
     bits = shared.range_bits(total // 24)
     counters = min(COUNTERS, 1 << max(16, (total // 48).bit_length()))
-    levels = counted_levels(texts, lambda raws: word_hashes(raws)[0], counters)
-    lines = written(docs.select("doc", "tkey", "text").mapInArrow(_lines(min_words), "doc bigint, pos bigint, name bigint"))
+    stored = written(docs.select("doc", "tkey", "text").mapInArrow(_lines(min_words, counters), "doc bigint, pos bigint, name bigint, piece bigint, counts binary, larger binary"))
+    levels = _levels(stored.filter("piece is not null").select("piece", "counts", "larger"), counters)
+    lines = stored.filter("piece is null").select("doc", "pos", "name")
     firsts = written(lines.groupBy("name").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
 
     repeated = shared.bitmap_of(firsts.filter("n > 1"), "name", bits)
     first_places = shared.bitmap_of(firsts.select("name", "first.doc", "first.pos").mapInArrow(_places(repeated, bits), "place bigint"), "place", bits)
     order = low % (1 << 64), max(0, (high - low).bit_length() - 32)
 
-    def candidates(again, sent: int) -> DataFrame:
-        entries = docs.select("doc", "tkey", "text").mapInArrow(_entries(percent, min_words, rare, wide, hot, levels, *order, bits, repeated, first_places, again), "part bigint, entries binary")
-        return written(entries.groupBy("part").applyInPandas(_candidates(percent, near, sent, again is not None), "name bigint, apart int, name_b bigint, more boolean"))
+    def candidates(entries: DataFrame, again: bool, sent: int) -> DataFrame:
+        return written(entries.groupBy("part").applyInPandas(_candidates(percent, near, sent, again), "name bigint, apart int, name_b bigint, more boolean, part bigint, entries binary"))
 
     def matched(pairs: DataFrame) -> DataFrame:
         """(name): the classes with a match whose first line is earlier."""
@@ -420,26 +533,34 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
 
     def decided(sent_: DataFrame) -> DataFrame:
         """(name): the classes that a candidate of the round matches, by the closest one, or else by any other."""
-        pairs = sent_.filter("not more")
+        pairs = sent_.filter("not more").select("name", "apart", "name_b")
+        if pairs.count() <= few:
+            return matched(pairs.select("name", "name_b").distinct())
         best = pairs.groupBy("name").agg(F.min(F.struct("apart", "name_b")).alias("x")).select("name", "x.name_b")
         done = matched(best)
         others = cut(pairs.select("name", "name_b").join(done, "name", "left_anti").distinct().join(best, ["name", "name_b"], "left_anti"))
         return done if others.isEmpty() else done.unionByName(matched(others)).distinct()
 
-    round_ = candidates(None, sent)
+    release(docs.sparkSession)  # the shuffles so far, before the largest one
+    entries = docs.select("doc", "tkey", "text").mapInArrow(_entries(percent, min_words, rare, wide, hot, levels, *order, bits, repeated, first_places), "part bigint, entries binary")
+    first_round = round_ = candidates(entries, False, sent)
+    del entries
     release(docs.sparkSession)
+    held = first_round.filter("more is null").select("part", "entries")
     late = decided(round_)
     while True:
         left = cut(round_.filter("more").select("name", F.col("name_b").alias("key")).join(late, "name", "left_anti").distinct())
-        discard(round_)
+        if round_ is not first_round:
+            discard(round_)
         if left.isEmpty():
             break
         sent *= 16
-        again = (shared.bitmap_of(left, "key", bits), shared.bitmap_of(left, "name", bits))
-        round_ = candidates(again, sent)
-        for mark in again:
+        marks = shared.bitmap_of(left, "key", bits), shared.bitmap_of(left, "name", bits)
+        round_ = candidates(held.mapInArrow(_looked_at_again(hot, bits, *marks), "part bigint, entries binary"), True, sent)
+        for mark in marks:
             mark.destroy()
         late = cut(late.unionByName(decided(round_)).distinct())
+    discard(first_round)
     # only the lines of classes with several lines or an earlier match are joined
     single = shared.rows_of(firsts.filter("n = 1").select("name", "first"), late)
     some = firsts.filter("n > 1").select("name", "first").unionByName(single).join(late.withColumn("late", F.lit(True)), "name", "left")
@@ -451,7 +572,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     shared.forget(members)
     for sent_out in (levels, repeated, first_places):
         sent_out.destroy()
-    discard(lines)
+    discard(stored)
     discard(firsts)
     return spans
 

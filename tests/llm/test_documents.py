@@ -429,3 +429,29 @@ def test_similar_lines_of_many_single_classes(spark):
     got = {r.doc_id: r.text for r in line_dedup.remove_similar_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all(got[i] == x for i, x in enumerate(lines)) and all(got[10_000 + i] == "" for i in range(len(near)))
     assert sum(got[20_000 + i] != "" for i in range(1200)) == 400
+
+
+def test_words_of_lines():
+    """The hashed words are those of the definition, line by line; equal words, and no others, have equal hashes."""
+    texts = ["", "\n\n", "A  b\x0b\nC\n", "a\tB\r\nb a", "12345678 123456789 1234567812345678 \u00c4rger \u00e4rger a\x00 a", "x" * 63 + " " + "x" * 64 + " " + "X" * 65 + " " + "x" * 65 + " " + "y" * 5000]
+    hashes, owner, many = line_dedup._words([t.encode() for t in texts])
+    lines = [x for t in texts for x in t.split("\n")]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = [(i, w.translate(lower)) for i, x in enumerate(lines) for w in WORD.findall(x)]
+    assert many.tolist() == [len(t.split("\n")) for t in texts] and owner.tolist() == [i for i, _ in want]
+    assert len(set(hashes.tolist())) == len({w for _, w in want}) == len(set(zip(hashes.tolist(), (w for _, w in want))))
+
+
+def test_later_rounds_read_no_text(spark):
+    """Short rounds that compare the closest candidates first, or all at once, agree; the texts are read three times and by the comparisons only."""
+    rows = [(i, "\n".join(" ".join(f"w{(i * j + k) % 40}" for k in range(10)) + f" n{i % 7} m{j}" for j in range(3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    made = []
+    inner = line_dedup._entries
+    line_dedup._entries = lambda *a: made.append(1) or inner(*a)
+    try:
+        short = {"rare": 1, "hot": 4, "near": 2, "sent": 1}
+        got = [sorted(tuple(r) for r in line_dedup.remove_similar_lines(df, **options).collect()) for options in ({}, short | {"few": 0}, short)]
+    finally:
+        line_dedup._entries = inner
+    assert got[0] == got[1] == got[2] and any(r[3] for r in got[0]) and len(made) == 3
