@@ -40,3 +40,13 @@ def test_awkward_rows(spark, small):
     assert packed.filter("doc_id in (3, 4)").count() == 2 and packed.count() == len(rows)
     for name, stage in p.STAGES:
         assert stage(spark, docs.filter("false"), small).count() == 0, name
+
+
+def test_language_stage_reads_small_batches(spark, small):
+    """Whole rows pass through Python inside the stage, in small batches; what it returns holds no Python step."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = corpus_pipeline.identify_language(spark, docs, small)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.columns == docs.columns
+    assert 0 < found.count() <= docs.count()
