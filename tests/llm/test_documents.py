@@ -443,7 +443,7 @@ def test_words_of_lines():
 
 
 def test_later_rounds_read_no_text(spark):
-    """Short rounds that compare the closest candidates first, or all at once, agree; the texts are read three times and by the comparisons only."""
+    """Short rounds that compare the closest candidates first, or all at once, agree; the entries are made from the texts once a run."""
     rows = [(i, "\n".join(" ".join(f"w{(i * j + k) % 40}" for k in range(10)) + f" n{i % 7} m{j}" for j in range(3))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     made = []
