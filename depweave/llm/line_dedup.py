@@ -65,6 +65,8 @@ GATHER = 500_000
 PAIRS = 1 << 20
 #: Pairs up to which a round compares all candidates at once, as each look at the texts costs more than they do.
 FEW = 1 << 17
+#: Bytes of the list of lines that go (some 80 a text, 8 a line) up to which it is broadcast.
+LISTED = 32 << 20
 _WORDS = 3
 #: (``common``: the level of the key's rarest token)
 _ENTRY = np.dtype([("key", "<u4"), ("key_b", "<u2"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("common", "u1"), ("bits", "<u4", (_WORDS,))])
@@ -586,23 +588,27 @@ def _without(text: Column, lines: Column) -> Column:
     )[0]
 
 
-def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("text", "n_lines", "n_removed"), **options) -> DataFrame:
+def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("text", "n_lines", "n_removed"), listed: int = LISTED, **options) -> DataFrame:
     """``keep`` columns and, as ``names``, the text of the lines that stay (joined by a line end), the lines it had and those that went.
 
-    Only texts that lose a line are joined to what they lose; the others pass without a shuffle.
+    No text is shuffled while the list of lines that go takes at most ``listed`` bytes; beyond, only texts that lose a line are.
     """
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     rows = docs.select(doc.alias("doc"), F.xxhash64("text").alias("tkey"), "text", shared.packed(keep).alias("kept"))
     with small_batches(docs.sparkSession):
         gone = repeated_lines(rows.select("doc", "tkey", "text"), **options)
-    touched, others = shared.parted(rows, gone.select("doc"))
-    spans = gone.withColumnRenamed("tkey", "short")
+    texts, many = gone.agg(F.count(F.lit(1)), F.sum(F.size("lines"))).first()
+    if 80 * texts + 8 * (many or 0) <= listed:
+        touched, others, spans = rows, None, F.broadcast(gone.withColumnRenamed("tkey", "short"))
+    else:
+        (touched, others), spans = shared.parted(rows, gone.select("doc")), gone.withColumnRenamed("tkey", "short")
     joined = touched.join(spans, (touched["doc"] == spans["doc"]) & (F.col("tkey").bitwiseAND(0xFFFFFFFF) == F.col("short")), "left").select("kept", "text", "lines")
     many = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
     left = F.when(F.col("lines").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("lines")))
     n_gone = F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.array_distinct("lines"))).cast("bigint")
     done = joined.select("kept", left.alias("text"), many.alias("n_lines"), n_gone.alias("n_removed"))
-    done = done.unionByName(others.select("kept", "text", many.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
+    if others is not None:
+        done = done.unionByName(others.select("kept", "text", many.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
     return done.select(*shared.unpacked("kept", keep), *[F.col(a).alias(b) for a, b in zip(("text", "n_lines", "n_removed"), names)])
 
 

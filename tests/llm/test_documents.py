@@ -455,3 +455,20 @@ def test_later_rounds_read_no_text(spark):
     finally:
         line_dedup._entries = inner
     assert got[0] == got[1] == got[2] and any(r[3] for r in got[0]) and len(made) == 3
+
+
+def test_lines_are_cut_without_a_shuffle_of_texts(spark):
+    """A short list of lines goes to the texts, a longer one meets those concerned; the results are equal."""
+    rows = [(i, f"line of its own number{i}a number{i}b\n" + "a line that many texts share here") for i in range(20)] + [(None, "a line that many texts share here"), (30, None), (31, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        short = line_dedup.remove_similar_lines(df)
+        plan = short._jdf.queryExecution().executedPlan().toString()
+        longer = line_dedup.remove_similar_lines(df, listed=0)
+        got = [sorted((tuple(r) for r in x.collect()), key=str) for x in (short, longer)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert got[0] == got[1] and len(got[0]) == len(rows) and sum(r[3] for r in got[0]) == 20
