@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from depweave.llm import langid, line_dedup, ngram_join, packing, shared, suffix_dedup
 from depweave.llm.queries import tokenizer_file
-from depweave.session import small_batches, table, written
+from depweave.session import table, written
 
 #: Scores of clean documents are far above; junk of no language falls below.
 MIN_SCORE = 0.15
@@ -38,10 +38,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with letters in a language that the labelled ones teach (operator 1); null and empty texts have none and go, repeated rows go or stay together."""
     marked = docs.select("doc_id", "text", "lang", F.coalesce(langid.is_held_out(), F.lit(False)).alias("held"))
     model = langid.train(marked.filter("not held"))
-    lang, score = shared.free(docs.columns, "found", "score")
-    with small_batches(spark):  # whole rows pass through Python, so they are written here and not by whoever reads them
-        found = written(langid.predict(docs, model, tuple(docs.columns), names=(lang, score)))
-    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (found,) = shared.free(docs.columns, "found")
+    scored = docs.withColumn(found, langid.predicted(model, F.col("text")))
+    return scored.filter((F.col(found)["lang"] != langid.UNKNOWN) & (F.col(found)["score"] >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

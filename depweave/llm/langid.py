@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMS = 1 << 15
@@ -144,30 +144,44 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, sample: int
     return fit(x, [r["lang"] for r in found])
 
 
+def _scored(texts: pa.Array, names: list[str], weights: np.ndarray) -> list[pa.Array]:
+    """The language and the score of each text."""
+    lang, score = [], []
+    for i in range(0, len(texts), 128):
+        some = texts.slice(i, 128).to_pylist()
+        x = _presence(some)
+        found = (x @ weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        best = found.argmax(1)
+        for t, k, v in zip(some, best.tolist(), found.max(1).tolist()):
+            known = bool(t) and any(map(str.isalpha, t))
+            lang.append(names[k] if known else UNKNOWN)
+            score.append(min(1.0, max(0.0, v)) if known else 0.0)
+    return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+
+
 def _score(names: list[str], weights: np.ndarray, added: tuple[str, str]) -> Callable:
     """mapInArrow over (the kept columns, text): adds the language and its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            lang, score = [], []
-            for i in range(0, len(texts), 128):
-                some = texts[i : i + 128]
-                x = _presence(some)
-                found = (x @ weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-                best = found.argmax(1)
-                for t, k, v in zip(some, best.tolist(), found.max(1).tolist()):
-                    known = bool(t) and any(map(str.isalpha, t))
-                    lang.append(names[k] if known else UNKNOWN)
-                    score.append(min(1.0, max(0.0, v)) if known else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                names=[*batch.schema.names[:-1], *added],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_scored(batch.column(batch.num_columns - 1), names, weights)], names=[*batch.schema.names[:-1], *added])
 
     return run
 
 
+def predicted(model: tuple[list[str], np.ndarray] | None, text: Column) -> Column:
+    """Language (``lang``) and ``score`` of a text as one struct: a column function, so that only texts pass through Python and the rest of a row does not."""
+    if model is None:
+        return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    names, weights = model
+
+    @F.arrow_udf("struct<lang string, score double>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_scored(texts, names, weights), names=["lang", "score"])
+
+    return of(text)
+
+
 def is_held_out():
     """Documents that take no part in training: CRC-32 of the id as text, remainder 1 of 3."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1

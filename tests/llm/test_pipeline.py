@@ -50,3 +50,16 @@ def test_language_stage_reads_small_batches(spark, small):
     found = corpus_pipeline.identify_language(spark, docs, small)
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.columns == docs.columns
     assert 0 < found.count() <= docs.count()
+
+
+def test_language_stage_writes_no_table(spark, small):
+    """Rows pass the language stage as they are read; a table of them would take disk until the pipeline ends."""
+    from pathlib import Path
+
+    from depweave.session import checkpoint_root
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    tables = Path(checkpoint_root(spark), "tables")
+    before = set(tables.glob("*"))
+    found = p.identify_language(spark, docs, small)
+    assert found.count() > 0 and set(tables.glob("*")) == before
