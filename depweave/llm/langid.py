@@ -34,6 +34,8 @@ PER_LANGUAGE = 400
 SAMPLE = 64 * PER_LANGUAGE
 FEWEST = 16
 LANDMARKS = 256
+#: Rows of the sample that are unpacked at once (8 MB).
+ROWS = 64
 RIDGE = 1e-2
 #: Bytes hashed at once.
 SLICE = 1 << 20
@@ -87,26 +89,31 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(x: np.ndarray, y: list[str], *, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+def _dense(bits: np.ndarray) -> np.ndarray:
+    """Presence rows of packed ones, each divided by the root of its sum."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    return x
+
+
+def fit(bits: np.ndarray, y: list[str], *, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
     """(languages, weights): Nystroem features of the presence kernel, then kernel ridge regression.
 
     ``weights`` maps a presence row, divided by the root of its sum, to one value per language.
-    ``x`` is scaled in place, so that the sample is held once.
+    ``bits`` are packed presence rows; of the sample only ``ROWS`` at a time are unpacked (32 times as large), as the driver fits it.
     """
     names = sorted(set(y))
-    unit = x
-    unit /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     # landmarks: the first rows of each language in turn
     rank = {n: 0 for n in names}
     turn = []
     for k in y:
         turn.append(rank[k])
         rank[k] += 1
-    marks = unit[np.lexsort((np.arange(len(y)), turn))[: max(landmarks, len(names))]]
+    marks = _dense(bits[np.lexsort((np.arange(len(y)), turn))[: max(landmarks, len(names))]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     use = values > values.max() * 1e-6
     white = vectors[:, use] / np.sqrt(values[use])
-    z = (unit @ marks.T).astype(np.float64) @ white
+    z = np.concatenate([(_dense(bits[i : i + ROWS]) @ marks.T).astype(np.float64) @ white for i in range(0, len(bits), ROWS)])
     target = np.array([[float(k == n) for n in names] for k in y])
     # every language weighs the same, however many rows it has
     share = np.array([1.0 / rank[k] for k in y])
@@ -138,10 +145,7 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, sample: int
     if not found:
         return None
     found.sort(key=lambda r: (r["at"], r["lang"], r["bits"]))
-    x = np.empty((len(found), DIMS), np.float32)
-    for row, r in zip(x, found):
-        row[:] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
-    return fit(x, [r["lang"] for r in found])
+    return fit(np.stack([np.frombuffer(r["bits"], np.uint8) for r in found]), [r["lang"] for r in found])
 
 
 def _scored(texts: pa.Array, names: list[str], weights: np.ndarray) -> list[pa.Array]:
