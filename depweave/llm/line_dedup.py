@@ -67,6 +67,10 @@ PAIRS = 1 << 20
 FEW = 1 << 17
 #: Bytes of the list of lines that go (some 80 a text, 8 a line) up to which it is broadcast.
 LISTED = 32 << 20
+#: Classes up to which their list is broadcast (some 80 bytes each), so that rows meet it without Python; more are told by bitmaps and then joined.
+NAMES = LISTED // 80
+#: Numbers of lines up to which each line of a text is looked up in their list.
+SHORT = 64
 _WORDS = 3
 #: (``common``: the level of the key's rarest token)
 _ENTRY = np.dtype([("key", "<u4"), ("key_b", "<u2"), ("name", "<i8"), ("at", "<u4"), ("size", "<u4"), ("lost", "u1"), ("common", "u1"), ("bits", "<u4", (_WORDS,))])
@@ -199,7 +203,8 @@ def _lines(min_words: int, counters: int) -> Callable:
             for rows, raws in _blocks(batch, 2):
                 x = Lines(raws, min_words)
                 if len(n := x.size):
-                    np.add.at(count, (x.token & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
+                    place, many = np.unique(x.token & np.uint64(counters - 1), return_counts=True)
+                    count[place.astype(np.int64)] += many.astype(np.uint32)
                     row = np.asarray(rows)[x.text]
                     none = (pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary()))
                     yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((x.line << 32) | (tkey[row] & 0xFFFFFFFF)), pa.array(x.name), *none], names=names)
@@ -479,6 +484,23 @@ def _whole_sets(min_words: int, names, bits: int, holders, holder_bits: int) ->
     return run
 
 
+def _asked_sets(min_words: int) -> Callable:
+    """mapInArrow over (names, text): the whole sets of these classes, which the text holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            found: dict[int, bytes] = {}
+            for _, raws in _blocks(batch, 1):
+                x = Lines(raws, min_words)
+                for j in np.flatnonzero(np.isin(x.name, wanted)).tolist():
+                    found[int(x.name[j])] = x.token[x.first[j] : x.first[j] + x.size[j]].tobytes()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["name", "tokens"])
+
+    return run
+
+
 def _verify(percent: int) -> Callable:
     """mapInArrow over (name, name_b, x, y): the pairs whose sets x and y reach the threshold."""
 
@@ -494,7 +516,7 @@ def _verify(percent: int) -> Callable:
     return run
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, rare: int = RARE, wide: int = WIDE, hot: int = HOT, near: int = NEAR, sent: int = SENT, few: int = FEW) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, rare: int = RARE, wide: int = WIDE, hot: int = HOT, near: int = NEAR, sent: int = SENT, few: int = FEW, listed_names: int = NAMES) -> DataFrame:
     """doc, tkey, lines (array of line numbers that go), per row of (doc, tkey, text) that has any."""
     texts = docs.select("doc", "text")
     known = F.when(F.col("doc") < NO_ID, F.col("doc"))
@@ -507,16 +529,21 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     lines = stored.filter("piece is null").select("doc", "pos", "name")
     firsts = written(lines.groupBy("name").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
 
-    repeated = shared.bitmap_of(firsts.filter("n > 1"), "name", bits)
-    first_places = shared.bitmap_of(firsts.select("name", "first.doc", "first.pos").mapInArrow(_places(repeated, bits), "place bigint"), "place", bits)
+    several = firsts.filter("n > 1").count()
+    repeated = shared.bitmap_of(firsts.filter("n > 1"), "name", bits, several)
+    first_places = shared.bitmap_of(firsts.select("name", "first.doc", "first.pos").mapInArrow(_places(repeated, bits), "place bigint"), "place", bits, several)
     order = low % (1 << 64), max(0, (high - low).bit_length() - 32)
 
     def candidates(entries: DataFrame, again: bool, sent: int) -> DataFrame:
         return written(entries.groupBy("part").applyInPandas(_candidates(percent, near, sent, again), "name bigint, apart int, name_b bigint, more boolean, part bigint, entries binary"))
 
-    def matched(pairs: DataFrame) -> DataFrame:
-        """(name): the classes with a match whose first line is earlier."""
-        names = cut(pairs.select(F.explode(F.array("name", "name_b")).alias("name")).distinct())
+    def whole_sets(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(name, first) and (name, tokens, first) of these classes."""
+        if names.count() <= listed_names:
+            needed = cut(firsts.select("name", "first").join(F.broadcast(names), "name"))
+            asked = needed.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list("name").alias("names"))
+            read = texts.join(F.broadcast(asked), "doc").select("names", "text").mapInArrow(_asked_sets(min_words), "name bigint, tokens binary")
+            return needed, written(read.dropDuplicates(["name"]).join(needed, "name"))
         known = shared.rows_of(firsts.select("name", "first"), names)
         needed = cut(names.join(known, "name"))
         shared.forget(known)
@@ -526,6 +553,11 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         sets = written(texts.mapInArrow(_whole_sets(min_words, chosen, bits, holders, 8), "name bigint, tokens binary").dropDuplicates(["name"]).join(needed, "name"))
         holders.destroy()
         chosen.destroy()
+        return needed, sets
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        """(name): the classes with a match whose first line is earlier."""
+        needed, sets = whole_sets(cut(pairs.select(F.explode(F.array("name", "name_b")).alias("name")).distinct()))
         both = pairs.join(sets.select("name", F.col("tokens").alias("x")), "name").join(sets.select(F.col("name").alias("name_b"), F.col("tokens").alias("y")), "name_b")
         true = both.select("name", "name_b", "x", "y").mapInArrow(_verify(percent), "name bigint, name_b bigint")
         late = true.join(needed.withColumnRenamed("first", "f"), "name").join(needed.select(F.col("name").alias("name_b"), F.col("first").alias("g")), "name_b")
@@ -538,7 +570,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         pairs = sent_.filter("not more").select("name", "apart", "name_b")
         if pairs.count() <= few:
             return matched(pairs.select("name", "name_b").distinct())
-        best = pairs.groupBy("name").agg(F.min(F.struct("apart", "name_b")).alias("x")).select("name", "x.name_b")
+        best = cut(pairs.groupBy("name").agg(F.min(F.struct("apart", "name_b")).alias("x")).select("name", "x.name_b"))
         done = matched(best)
         others = cut(pairs.select("name", "name_b").join(done, "name", "left_anti").distinct().join(best, ["name", "name_b"], "left_anti"))
         return done if others.isEmpty() else done.unionByName(matched(others)).distinct()
@@ -564,14 +596,25 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         late = cut(late.unionByName(decided(round_)).distinct())
     discard(first_round)
     # only the lines of classes with several lines or an earlier match are joined
-    single = shared.rows_of(firsts.filter("n = 1").select("name", "first"), late)
-    some = firsts.filter("n > 1").select("name", "first").unionByName(single).join(late.withColumn("late", F.lit(True)), "name", "left")
-    some = cut(some)
-    shared.forget(single)
-    members = shared.rows_of(lines.select("name", "doc", "pos"), some.select("name"))
-    gone = members.join(some, "name").filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
+    listed = late.withColumn("late", F.lit(True))
+    known = single = members = None
+    if late.count() <= listed_names:
+        known = firsts.join(F.broadcast(listed), "name", "left").filter(F.col("late") | (F.col("n") > 1)).select("name", "first", "late")
+    else:
+        single = shared.rows_of(firsts.filter("n = 1").select("name", "first"), late)
+        known = firsts.filter("n > 1").select("name", "first").unionByName(single).join(listed, "name", "left")
+    some = cut(known)
+    if single is not None:
+        shared.forget(single)
+    if some.count() <= listed_names:
+        held = lines.join(F.broadcast(some), "name")
+    else:
+        members = shared.rows_of(lines.select("name", "doc", "pos"), some.select("name"))
+        held = members.join(some, "name")
+    gone = held.filter(F.col("late") | (F.struct("doc", "pos") != F.col("first")))
     spans = written(gone.groupBy("doc", F.col("pos").bitwiseAND(0xFFFFFFFF).alias("tkey")).agg(F.collect_list(F.shiftright("pos", 32)).alias("lines")))
-    shared.forget(members)
+    if members is not None:
+        shared.forget(members)
     for sent_out in (levels, repeated, first_places):
         sent_out.destroy()
     discard(stored)
@@ -581,11 +624,11 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
 
 def _without(text: Column, lines: Column) -> Column:
     """The text without the lines of these numbers; DataFrame functions, as a second Python step in the stage that picks the texts would hold twice the workers."""
-    # one split a text: the inner function sees its parts as a variable
-    return F.transform(
-        F.array(F.split(text, "\n")),
-        lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size(parts).cast("bigint") - 1), lines), lambda i: parts[i]), "\n"),
-    )[0]
+    parts = F.split(text, "\n")
+    kept = F.filter(parts, lambda part, i: ~F.array_contains(lines, i.cast("bigint")))
+    # a long list would be searched for every line; one split a text: the inner function sees its parts as a variable
+    many = F.transform(F.array(parts), lambda p: F.transform(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size(p).cast("bigint") - 1), lines), lambda i: p[i]))[0]
+    return F.array_join(F.when(F.size(lines) <= SHORT, kept).otherwise(many), "\n")
 
 
 def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("text", "n_lines", "n_removed"), listed: int = LISTED, **options) -> DataFrame:
@@ -603,7 +646,8 @@ def remove_similar_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), n
     else:
         (touched, others), spans = shared.parted(rows, gone.select("doc")), gone.withColumnRenamed("tkey", "short")
     joined = touched.join(spans, (touched["doc"] == spans["doc"]) & (F.col("tkey").bitwiseAND(0xFFFFFFFF) == F.col("short")), "left").select("kept", "text", "lines")
-    many = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    many = F.when(F.col("text").isNull(), 0).otherwise(ends + 1).cast("bigint")
     left = F.when(F.col("lines").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("lines")))
     n_gone = F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.array_distinct("lines"))).cast("bigint")
     done = joined.select("kept", left.alias("text"), many.alias("n_lines"), n_gone.alias("n_removed"))

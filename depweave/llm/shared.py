@@ -145,9 +145,9 @@ def _marks(bits: int, whole: int) -> Callable:
     return run
 
 
-def bitmap_of(names: DataFrame, column: str, bits: int):
-    """Broadcast bitmap of a column of 64-bit names, by the same places as above: some 64 bits a name, up to ``BITMAP``."""
-    whole = min(BITMAP, 1 << max(bits + 10, (64 * names.count()).bit_length()))
+def bitmap_of(names: DataFrame, column: str, bits: int, many: int | None = None):
+    """Broadcast bitmap of a column of 64-bit names, by the same places as above: some 64 bits a name, up to ``BITMAP``; ``many``: about how many there are, if that is known."""
+    whole = min(BITMAP, 1 << max(bits + 10, (64 * (names.count() if many is None else many)).bit_length()))
     ranged = names.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("part"), F.col(column).alias("name"))
     return _broadcast(ranged.groupBy("part").applyInPandas(_marks(bits, whole), "part bigint, slice binary"), bits, whole)
 

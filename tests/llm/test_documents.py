@@ -489,3 +489,18 @@ def test_the_language_model_is_fitted_from_packed_rows_a_few_at_a_time(monkeypat
     monkeypatch.setattr(langid, "ROWS", len(bits))
     again, whole = langid.fit(bits, y)
     assert names == again == ["de", "en", "fr"] and np.allclose(weights, whole, rtol=1e-3, atol=1e-6)
+
+
+def test_a_short_list_of_classes_goes_to_the_texts(spark, monkeypatch):
+    """Whole sets are read by the list of their texts, and no text by bitmaps, while the list is short; a long one gives the same result, as do long lists of lines."""
+    rows = [(i, "\n".join([*(" ".join(f"w{(i * j + k) % 40}" for k in range(10)) + f" n{i % 7} m{j}" for j in range(3)), "", *(f"same words in row {k}" for k in range(70))])) for i in range(40)] + [(None, "same words in row 3"), (50, None), (51, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    marked = []
+    inner = line_dedup._whole_sets
+    monkeypatch.setattr(line_dedup, "_whole_sets", lambda *a: marked.append(1) or inner(*a))
+    got = []
+    for listed_names in (line_dedup.NAMES, 0):
+        got.append((sorted((tuple(r) for r in line_dedup.remove_similar_lines(df, listed_names=listed_names, rare=1, hot=4, near=2, sent=1, few=0).collect()), key=str), len(marked)))
+    assert got[0][1] == 0 < got[1][1] and got[0][0] == got[1][0] and len(got[0][0]) == len(rows)
+    lines = {doc: len(t.split("\n")) if t is not None else 0 for doc, t in rows}
+    assert all(r[2] == lines[r[0]] for r in got[0][0]) and sum(r[3] for r in got[0][0]) > 39 * 70
