@@ -21,9 +21,11 @@ sets share no more than the shorter rest) and a bound from 96-bit parities of th
 (differing bits never outnumber differing tokens) before it leaves the task.  As one
 earlier match is enough, each class sends its closest candidates only, whose whole sets
 are compared; a class that had more than it sent, and was not decided by them, is
-looked at again with sixteen times as many, until none is left; for that the first round
+looked at again with sixteen times as many (more, if few classes are left), until none is left;
+for that the first round
 stores the entries of the keys that held more, so that later ones read no text.  Of those sent the
-closest is compared first, and the others only where it does not match.  A key that could hold
+closest is compared first; where it does not match, the others wait and are compared with those of the next round,
+in one look at the texts.  A key that could hold
 more than ``HOT`` lines (its tokens' counters say so) is salted: its classes are spread
 over several tasks, and in the later rounds the undecided ones visit all of them.
 
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -65,6 +68,8 @@ GATHER = 500_000
 PAIRS = 1 << 20
 #: Pairs up to which a round compares all candidates at once, as each look at the texts costs more than they do.
 FEW = 1 << 17
+#: Pairs that the classes of a later round may send, where that is more than sixteen times as many as before.
+WANTED = 1 << 22
 #: Bytes of the list of lines that go (some 80 a text, 8 a line) up to which it is broadcast.
 LISTED = 32 << 20
 #: Classes up to which their list is broadcast (some 80 bytes each), so that rows meet it without Python; more are told by bitmaps and then joined.
@@ -95,7 +100,8 @@ def _words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, size = edge[0::2], edge[1::2] - edge[0::2]
     many = np.array([raw.count(b"\n") + 1 for raw in raws], np.int64)
-    owner = np.searchsorted(np.flatnonzero(seen[1:-1] == 10) + 1, start)
+    before = np.concatenate([[0], np.searchsorted(start, np.flatnonzero(seen[1:-1] == 10) + 1), [len(start)]])
+    owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
     eight = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
     with np.errstate(over="ignore"):
         hashes = mix((eight[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
@@ -192,7 +198,7 @@ class Lines:
 def _lines(min_words: int, counters: int) -> Callable:
     """mapInArrow over (doc, tkey, text): one row per line that takes part (``pos`` is its number and 32 bits of the text's hash), then how many of them hold each token, by piece of the table of counters.
 
-    One pass for both, as reading the words is most of the work.  A piece is a byte a counter, and (place, count) of those that a byte can't hold.
+    One pass for both, as reading the words is most of the work.  A piece is a byte a counter (only of those in use, after their places, where that is shorter), and (place, count) of those that a byte can't hold.
     """
     names = ["doc", "pos", "name", "piece", "counts", "larger"]
 
@@ -203,37 +209,50 @@ def _lines(min_words: int, counters: int) -> Callable:
             for rows, raws in _blocks(batch, 2):
                 x = Lines(raws, min_words)
                 if len(n := x.size):
-                    place, many = np.unique(x.token & np.uint64(counters - 1), return_counts=True)
-                    count[place.astype(np.int64)] += many.astype(np.uint32)
+                    np.add.at(count, (x.token & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
                     row = np.asarray(rows)[x.text]
                     none = (pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary()))
                     yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((x.line << 32) | (tkey[row] & 0xFFFFFFFF)), pa.array(x.name), *none], names=names)
-        for k, c in enumerate(count.reshape(-1, min(counters, PIECE))):
-            if c.any():
-                large = np.flatnonzero(c > 255)
-                larger = np.concatenate([large.astype("<u4"), c[large].astype("<u4")]).tobytes()
-                none = [pa.nulls(1, pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([*none, pa.array([k], pa.int64()), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes()], pa.binary()), pa.array([larger], pa.binary())], names=names)
+        pieces = [(k, *_piece(c)) for k, c in enumerate(count.reshape(-1, min(counters, PIECE))) if c.any()]
+        if pieces:
+            place, used, larger = zip(*pieces)
+            none = [pa.nulls(len(pieces), pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*none, pa.array(place, pa.int64()), pa.array(used, pa.binary()), pa.array(larger, pa.binary())], names=names)
 
     return run
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """applyInPandas over one piece: a byte per counter, rising by 8 when the count doubles."""
-    total = np.zeros(len(pdf["counts"].iloc[0]), np.int64)
-    for counts, larger in zip(pdf["counts"], pdf["larger"]):
-        total += np.frombuffer(counts, np.uint8)
-        place, count = np.frombuffer(larger, "<u4").reshape(2, -1)
-        total[place] += count.astype(np.int64) - 255
-    level = np.minimum(255, 8 * np.log2(total + 1.0)).astype(np.uint8)
-    return pd.DataFrame({"piece": pdf["piece"][:1], "levels": [level.tobytes()]})
+def _piece(count: np.ndarray) -> tuple[bytes, bytes]:
+    """A piece of the table of counters as bytes, and those that a byte can't hold."""
+    used, large = np.flatnonzero(count), np.flatnonzero(count > 255)
+    low = np.minimum(count, 255).astype(np.uint8)
+    return low.tobytes() if 3 * len(used) >= len(count) else used.astype("<u2").tobytes() + low[used].tobytes(), np.concatenate([large.astype("<u4"), count[large].astype("<u4")]).tobytes()
+
+
+def _summed(piece: int) -> Callable:
+    """applyInPandas over one piece (of so many counters): a byte per counter, rising by 8 when the count doubles."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(piece, np.int64)
+        for counts, larger in zip(pdf["counts"], pdf["larger"]):
+            n = len(counts) // 3
+            if len(counts) == piece:
+                total += np.frombuffer(counts, np.uint8)
+            else:
+                total[np.frombuffer(counts, "<u2", n)] += np.frombuffer(counts, np.uint8, n, 2 * n)
+            place, count = np.frombuffer(larger, "<u4").reshape(2, -1)
+            total[place] += count.astype(np.int64) - 255
+        level = np.minimum(255, 8 * np.log2(total + 1.0)).astype(np.uint8)
+        return pd.DataFrame({"piece": pdf["piece"][:1], "levels": [level.tobytes()]})
+
+    return run
 
 
 def _levels(pieces: DataFrame, counters: int):
     """Broadcast table of commonness by token (``counters`` bytes, ``COUNTERS`` at most)."""
     piece = min(counters, PIECE)
     table = bytearray(counters)
-    for r in pieces.groupBy("piece").applyInPandas(_summed, "piece bigint, levels binary").collect():
+    for r in pieces.groupBy("piece").applyInPandas(_summed(piece), "piece bigint, levels binary").collect():
         table[r["piece"] * piece : (r["piece"] + 1) * piece] = r["levels"]
     return pieces.sparkSession.sparkContext.broadcast(bytes(table))
 
@@ -243,6 +262,22 @@ def _short(key: np.ndarray) -> np.ndarray:
     return key & np.uint64((1 << 48) - 1)
 
 
+def _tied(packed: np.ndarray, size: np.ndarray, name: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The order by ``packed`` (sorted already), size, name and place: one sort by the front of the names, and again what that leaves equal."""
+    if not len(packed) or (size >= 0xFFFF).any():  # packed numbers hold smaller sizes only
+        return np.lexsort((at, name, size, packed))
+    group = np.cumsum(np.append(False, packed[1:] != packed[:-1]))
+    bits = max(1, int(group[-1]).bit_length())
+    front = (group.astype(np.uint64) << np.uint64(64 - bits)) | ((name.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(bits))
+    order = np.argsort(front)
+    front = front[order]
+    same = front[1:] == front[:-1]
+    left = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    some = order[left]
+    order[left] = some[np.lexsort((at[some], name[some], front[left]))]
+    return order
+
+
 def _sorted_entries(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entries by key and size, each class of a key once and with its earliest place; their keys; their sizes)."""
     key, size = (x["key_b"].astype(np.uint64) << np.uint64(32)) | x["key"], (x["size"] & ~_OPEN).astype(np.int64)
@@ -253,7 +288,7 @@ def _sorted_entries(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # only what the packed numbers leave equal is put in order by the rest
     tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(x) else np.zeros(0, np.int64)
     some = order[tied]
-    order[tied] = some[np.lexsort((x["at"][some], x["name"][some], size[some], packed[tied]))]
+    order[tied] = some[_tied(packed[tied], size[some], x["name"][some], x["at"][some])]
     key, size, name = key[order], size[order], x["name"][order]
     new = np.ones(len(x), bool)
     new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
@@ -262,8 +297,8 @@ def _sorted_entries(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _by_part(part: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     """Entries as one row per range of keys."""
-    order = np.argsort(part, kind="stable")
-    part, x = part[order], x[order]
+    order = np.sort((part << 32) | np.arange(len(part))) & 0xFFFFFFFF
+    part, x = part[order], x.view("<u4").reshape(len(x), _ENTRY.itemsize // 4)[order]  # (rows of plain numbers are gathered faster than structs)
     at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([x[a:b].tobytes() for a, b in zip(at, [*at[1:], len(x)])], pa.binary())], names=["part", "entries"])
 
@@ -360,18 +395,17 @@ def _looked_at_again(hot: int, bits: int, keys, names) -> Callable:
     return run
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-
-
-def _fit(x: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which pairs pass the positional and parity bounds, their distance)."""
-    n, m = size[i], size[j]
-    need = -(-percent * (n + m) // (100 + percent))
-    near = np.minimum(n - x["lost"][i], m - x["lost"][j]) >= need
-    apart = np.full(len(i), 1 << 30)
-    apart[near] = _apart(x["bits"][i[near]], x["bits"][j[near]])
-    return near & (apart <= n + m - 2 * need), apart
+def _fit(bits: tuple[np.ndarray, ...], rest: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that pass the positional and parity bounds, their distance); ``rest``: tokens that are not lost."""
+    both = size[i] + size[j]
+    need = -(-percent * both // (100 + percent))
+    near = np.flatnonzero(np.minimum(rest[i], rest[j]) >= need)
+    i, j, most = i[near], j[near], (both - 2 * need)[near]
+    apart = np.zeros(len(i), np.int64)
+    for b in bits:
+        apart += np.bitwise_count(b[i] ^ b[j])
+    ok = apart <= most
+    return i[ok], j[ok], apart[ok]
 
 
 def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
@@ -383,7 +417,11 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, key, size = _sorted_entries(np.concatenate([np.frombuffer(b, _ENTRY) for b in pdf["entries"]]))
-        at, is_open = x["at"], x["size"] >= _OPEN
+        at, is_open = np.ascontiguousarray(x["at"]), x["size"] >= _OPEN
+        rest, bits = size - x["lost"], tuple(np.ascontiguousarray(x["bits"][:, w]) for w in range(_WORDS))
+        by_name = np.argsort(x["name"])
+        number = np.empty(len(x), np.int64)  # the classes in the order of their names
+        number[by_name] = np.cumsum(np.append(False, np.diff(x["name"][by_name]) != 0))
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         many = np.diff(np.append(begin, len(x)))
         begin, end = np.repeat(begin, many), np.repeat(begin + many, many)
@@ -393,9 +431,9 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
         def closest() -> tuple[np.ndarray, ...]:
             """Of the pairs found so far the ``most`` closest of each class; ``more`` marks the keys of those left out."""
             i, j, apart = (np.concatenate(c) for c in zip(*found))
-            name, other = x["name"][i], x["name"][j]
-            order = np.lexsort((other, apart, name))
-            i, j, apart, name, other = (c[order] for c in (i, j, apart, name, other))
+            order = np.lexsort((number[j], number[i] << 8 | apart)) if len(x) >= 1 << 27 else np.argsort(number[i] << 35 | apart << 27 | number[j])
+            i, j, apart = i[order], j[order], apart[order]
+            name, other = number[i], number[j]
             new = np.ones(len(name), bool)
             new[1:] = (name[1:] != name[:-1]) | (other[1:] != other[:-1])
             i, j, apart, name = (c[new] for c in (i, j, apart, name))
@@ -419,8 +457,7 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
                 same = size[begin[i] : end[i]]
                 j = begin[i] + np.arange(np.searchsorted(same, -(-percent * size[i] // 100)), np.searchsorted(same, 100 * size[i] // percent, "right"))
                 j = j[(j != i) & (at[j] <= at[i])]
-                ok, apart = _fit(x, size, np.full(len(j), i), j, percent)
-                add((np.full(int(ok.sum()), i), j[ok], apart[ok]))
+                add(_fit(bits, rest, size, np.full(len(j), i), j, percent))
         else:
             more |= is_open
             here = np.arange(len(x))
@@ -433,21 +470,24 @@ def _candidates(percent: int, near: int, most: int, again: bool) -> Callable:
                 if step > near:
                     more[here] = more[there] = True
                     continue
-                ok, apart = _fit(x, size, here, there, percent)
-                i, j, apart = here[ok], there[ok], apart[ok]
-                add(*[(a[at[a] >= at[b]], b[at[a] >= at[b]], apart[at[a] >= at[b]]) for a, b in ((i, j), (j, i))])
+                i, j, apart = _fit(bits, rest, size, here, there, percent)
+                if len(i):
+                    later, earlier = at[i] >= at[j], at[i] <= at[j]
+                    add((i[later], j[later], apart[later]), (j[earlier], i[earlier], apart[earlier]))
         i, j, apart = closest()
         name, other = x["name"][i], x["name"][j]
         k = np.flatnonzero(more)
-        out = pd.DataFrame({
-            "name": np.append(name, x["name"][k]), "apart": np.append(apart, np.zeros(len(k), np.int64)).astype(np.int32), "name_b": np.append(other, shared.scatter(key[k].view(np.int64)).view(np.int64)),
-            "more": np.append(np.zeros(len(name), bool), np.ones(len(k), bool)), "part": None, "entries": None,
+        whole = np.zeros(len(x), bool)
+        whole[begin[k]] = not again
+        last = int(whole.any())
+        none, sizes = np.zeros(last, np.int64), (len(name), len(k), last)
+        blank = np.repeat([True, True, False], sizes)
+        held = np.full(len(blank), None, object)
+        held[len(blank) - last :] = x[whole[begin]].tobytes()
+        return pd.DataFrame({
+            "name": np.concatenate([name, x["name"][k], none]), "apart": np.concatenate([apart, np.zeros(len(k), np.int64), none]).astype(np.int32), "name_b": np.concatenate([other, shared.scatter(key[k].view(np.int64)).view(np.int64), none]),
+            "more": pd.arrays.BooleanArray(np.repeat([False, True, False], sizes), ~blank), "part": pd.arrays.IntegerArray(np.full(len(blank), int(pdf["part"].iloc[0])), blank), "entries": held,
         })
-        if len(k) and not again:
-            whole = np.zeros(len(x), bool)
-            whole[begin[k]] = True
-            out.loc[len(out)] = [0, 0, 0, None, int(pdf["part"].iloc[0]), x[whole[begin]].tobytes()]
-        return out
 
     return run
 
@@ -485,13 +525,20 @@ def _whole_sets(min_words: int, names, bits: int, holders, holder_bits: int) ->
 
 
 def _asked_sets(min_words: int) -> Callable:
-    """mapInArrow over (names, text): the whole sets of these classes, which the text holds."""
+    """mapInArrow over (asked, text): the whole sets of these classes (name, line), from those lines of the text; its other lines are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            asked, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            many, each = asked.value_lengths().to_pylist(), asked.flatten()
+            wanted, line = np.unique(each.field("name").to_numpy(zero_copy_only=False)), iter(each.field("line").to_pylist())
+            some = []
+            for i, n in enumerate(many):
+                parts = (texts[i].as_py() or b"").split(b"\n")
+                # another text under the same id may be shorter
+                some.append(b"\n".join([parts[k] for k in islice(line, n) if k < len(parts)]))
             found: dict[int, bytes] = {}
-            for _, raws in _blocks(batch, 1):
+            for _, raws in _blocks(pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["text"]), 0):
                 x = Lines(raws, min_words)
                 for j in np.flatnonzero(np.isin(x.name, wanted)).tolist():
                     found[int(x.name[j])] = x.token[x.first[j] : x.first[j] + x.size[j]].tobytes()
@@ -516,7 +563,7 @@ def _verify(percent: int) -> Callable:
     return run
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, rare: int = RARE, wide: int = WIDE, hot: int = HOT, near: int = NEAR, sent: int = SENT, few: int = FEW, listed_names: int = NAMES) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, rare: int = RARE, wide: int = WIDE, hot: int = HOT, near: int = NEAR, sent: int = SENT, few: int = FEW, wanted: int = WANTED, listed_names: int = NAMES) -> DataFrame:
     """doc, tkey, lines (array of line numbers that go), per row of (doc, tkey, text) that has any."""
     texts = docs.select("doc", "text")
     known = F.when(F.col("doc") < NO_ID, F.col("doc"))
@@ -541,8 +588,8 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         """(name, first) and (name, tokens, first) of these classes."""
         if names.count() <= listed_names:
             needed = cut(firsts.select("name", "first").join(F.broadcast(names), "name"))
-            asked = needed.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list("name").alias("names"))
-            read = texts.join(F.broadcast(asked), "doc").select("names", "text").mapInArrow(_asked_sets(min_words), "name bigint, tokens binary")
+            asked = needed.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("name", F.shiftright("first.pos", 32).alias("line"))).alias("asked"))
+            read = texts.join(F.broadcast(asked), "doc").select("asked", "text").mapInArrow(_asked_sets(min_words), "name bigint, tokens binary")
             return needed, written(read.dropDuplicates(["name"]).join(needed, "name"))
         known = shared.rows_of(firsts.select("name", "first"), names)
         needed = cut(names.join(known, "name"))
@@ -565,15 +612,20 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
         discard(sets)
         return done
 
-    def decided(sent_: DataFrame) -> DataFrame:
-        """(name): the classes that a candidate of the round matches, by the closest one, or else by any other."""
+    def decided(sent_: DataFrame, waiting: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """(name): the classes that a candidate of the round, or one that waits, matches, by all of them if they are few, or else by the closest one; the other pairs of the undecided classes, which wait for the next look at the texts."""
         pairs = sent_.filter("not more").select("name", "apart", "name_b")
+        if waiting is not None:  # a pair was found in several keys
+            pairs = cut(pairs.unionByName(waiting).distinct())
         if pairs.count() <= few:
-            return matched(pairs.select("name", "name_b").distinct())
+            return matched(pairs.select("name", "name_b").distinct()), None
         best = cut(pairs.groupBy("name").agg(F.min(F.struct("apart", "name_b")).alias("x")).select("name", "x.name_b"))
         done = matched(best)
-        others = cut(pairs.select("name", "name_b").join(done, "name", "left_anti").distinct().join(best, ["name", "name_b"], "left_anti"))
-        return done if others.isEmpty() else done.unionByName(matched(others)).distinct()
+        others = cut(without(pairs, done).distinct().join(best, ["name", "name_b"], "left_anti"))
+        return done, None if others.isEmpty() else others
+
+    def without(rows: DataFrame, names: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(names) if names.count() <= listed_names else names, "name", "left_anti")
 
     release(docs.sparkSession)  # the shuffles so far, before the largest one
     entries = docs.select("doc", "tkey", "text").mapInArrow(_entries(percent, min_words, rare, wide, hot, levels, *order, bits, repeated, first_places), "part bigint, entries binary")
@@ -581,19 +633,24 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int
     del entries
     release(docs.sparkSession)
     held = first_round.filter("more is null").select("part", "entries")
-    late = decided(round_)
+    late, waiting = decided(round_, None)
     while True:
-        left = cut(round_.filter("more").select("name", F.col("name_b").alias("key")).join(late, "name", "left_anti").distinct())
+        left = cut(without(round_.filter("more").select("name", F.col("name_b").alias("key")), late).distinct())
         if round_ is not first_round:
             discard(round_)
-        if left.isEmpty():
+        still = left.select("name").distinct().count()
+        if not still:
             break
-        sent *= 16
+        # a few classes may send so many that no further round is needed
+        sent = max(16 * sent, wanted // still)
         marks = shared.bitmap_of(left, "key", bits), shared.bitmap_of(left, "name", bits)
         round_ = candidates(held.mapInArrow(_looked_at_again(hot, bits, *marks), "part bigint, entries binary"), True, sent)
         for mark in marks:
             mark.destroy()
-        late = cut(late.unionByName(decided(round_)).distinct())
+        done, waiting = decided(round_, waiting)
+        late = cut(late.unionByName(done).distinct())
+    if waiting is not None:
+        late = cut(late.unionByName(matched(waiting.select("name", "name_b"))).distinct())
     discard(first_round)
     # only the lines of classes with several lines or an earlier match are joined
     listed = late.withColumn("late", F.lit(True))

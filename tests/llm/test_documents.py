@@ -7,6 +7,8 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -504,3 +506,59 @@ def test_a_short_list_of_classes_goes_to_the_texts(spark, monkeypatch):
     assert got[0][1] == 0 < got[1][1] and got[0][0] == got[1][0] and len(got[0][0]) == len(rows)
     lines = {doc: len(t.split("\n")) if t is not None else 0 for doc, t in rows}
     assert all(r[2] == lines[r[0]] for r in got[0][0]) and sum(r[3] for r in got[0][0]) > 39 * 70
+
+
+def test_counts_of_words_are_sent_without_the_unused(spark):
+    """A task sends the counters in use only; few or many, small or large, their levels are those of the sums."""
+    size, rng = 1 << 16, np.random.default_rng(3)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([7]), pa.array(["a b c\nc d " + "e " * 5])], names=["doc", "tkey", "text"])
+    sent = [x for b in line_dedup._lines(1, size)(iter([batch])) for x in b.to_pylist() if x["piece"] is not None]
+    assert sum(len(x["counts"]) + len(x["larger"]) for x in sent) == 3 * 5
+    tables = [np.zeros(size, np.uint32) for _ in range(4)]
+    for t, used in zip(tables, (10, 3000, size // 3 + 1, size)):
+        t[rng.choice(size, used, replace=False)] = rng.integers(1, 700, used)
+    rows = pd.DataFrame([{"piece": 0, "counts": a, "larger": b} for a, b in map(line_dedup._piece, tables)])
+    want = np.minimum(255, 8 * np.log2(sum(t.astype(np.int64) for t in tables) + 1.0)).astype(np.uint8)
+    assert line_dedup._summed(size)(rows)["levels"][0] == want.tobytes()
+
+
+def test_whole_sets_come_from_the_asked_lines_only(monkeypatch):
+    texts = ["first line here\nSecond, line\n\nthe last one", "short", None]
+    every = line_dedup.Lines([texts[0].encode()], 1)
+    asked = [[{"name": int(every.name[j]), "line": int(every.line[j])} for j in (0, 2)], [{"name": int(every.name[2]), "line": 3}], [{"name": 5, "line": 0}]]
+    batch = pa.RecordBatch.from_arrays([pa.array(asked, pa.list_(pa.struct([("name", pa.int64()), ("line", pa.int64())]))), pa.array(texts)], names=["asked", "text"])
+    seen, inner = [], line_dedup.Lines
+    monkeypatch.setattr(line_dedup, "Lines", lambda raws, n: seen.extend(raws) or inner(raws, n))
+    got = {x["name"]: x["tokens"] for b in line_dedup._asked_sets(1)(iter([batch])) for x in b.to_pylist()}
+    assert got == {int(every.name[j]): every.token[every.first[j] : every.first[j] + every.size[j]].tobytes() for j in (0, 2)}
+    assert seen == [b"first line here\nthe last one", b"", b""]
+
+
+def test_undecided_pairs_wait_for_the_next_look_at_the_texts(spark, monkeypatch):
+    """Texts are read for the closest candidates, and once more for all others together with those of the next round; results are those of many rounds."""
+    rows = [(i, "\n".join(" ".join(f"w{(i * j + k) % 40}" for k in range(10)) + f" n{i % 7} m{j}" for j in range(3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    looks, got, inner = [], [], line_dedup._asked_sets
+    monkeypatch.setattr(line_dedup, "_asked_sets", lambda *a: looks.append(1) or inner(*a))
+    short = {"rare": 1, "hot": 4, "near": 2, "sent": 1}
+    for options in (short | {"few": 150}, short | {"few": 0, "wanted": 0}, short):
+        before = len(looks)
+        got.append((sorted(tuple(r) for r in line_dedup.remove_similar_lines(df, **options).collect()), len(looks) - before))
+    assert got[0][0] == got[1][0] == got[2][0] and any(r[3] for r in got[0][0])
+    assert [x[1] for x in got] == [3, 3, 2]
+
+
+def test_entries_left_equal_by_packed_numbers():
+    """Ties of key and size are put in order by name, place and, where sizes outgrow the packed numbers, size."""
+    rng = np.random.default_rng(5)
+    for sizes in ([3, 4], [0xFFFE, 0xFFFF, 0x10000, 0x20000]):
+        x = np.zeros(4000, line_dedup._ENTRY)
+        x["key"], x["size"], x["at"] = rng.integers(0, 5, 4000), rng.choice(sizes, 4000), rng.integers(0, 9, 4000)
+        x["name"] = rng.choice(np.append(rng.integers(-(1 << 63), (1 << 63) - 1, 300), np.arange(-20, 20)), 4000)
+        got, key, size = line_dedup._sorted_entries(x)
+        want = sorted({(int(k), int(s), int(n)): 0 for k, s, n in zip(x["key"], x["size"], x["name"])})
+        first = {}
+        for k, s, n, a in zip(x["key"], x["size"], x["name"], x["at"]):
+            first[int(k), int(s), int(n)] = min(int(a), first.get((int(k), int(s), int(n)), 1 << 40))
+        found = list(zip(key.tolist(), size.tolist(), got["name"].tolist(), got["at"].tolist()))
+        assert [f[:3] for f in found] == want and all(first[f[:3]] == f[3] for f in found)
