@@ -96,6 +96,12 @@ def test_validation_reasons(spark):
     assert found == {("c", "a"): "cycle", ("a", "b"): "duplicate", ("c", "d"): "valid", ("b1", "t1"): "kind", ("a", "q"): "missing", ("a", "a"): "cycle"}
 
 
+def test_ids_of_five_digits(spark):
+    """Four digits are the least an id has; a longer number is not cut."""
+    nodes = spark.createDataFrame([("gwt-9999",), ("gwt-89999",), ("req-9999",)], "id string")
+    assert {tuple(r) for r in graph.next_ids(nodes).collect()} == {("gwt", "gwt-90000"), ("req", "req-10000")}
+
+
 def test_nodes_and_ids(spark):
     nodes = spark.createDataFrame([("gwt-0007", "behavior"), ("gwt-x", "behavior"), ("8f4a6990-ee8f-5e1a-bf24-0c12882f3127", "resource"), ("db-1", "resource")], "id string, kind string")
     assert {tuple(r) for r in graph.next_ids(nodes).collect()} == {("gwt", "gwt-0008"), ("req", "req-0001")}
