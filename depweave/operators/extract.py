@@ -86,15 +86,19 @@ def path_map(found: DataFrame) -> DataFrame:
     return found.filter(F.col("path").contains("/")).groupBy("project", prefix.alias("prefix")).agg(F.max_by("id", "place").alias("uid"))
 
 
+def _of_longest(prefixes: Column, path: Column) -> Column:
+    """The uid of the first of ``prefixes`` (prefix, uid; longest first) that begins the path."""
+    return F.get(F.filter(prefixes, lambda x: path.startswith(x["prefix"])), F.lit(0))["uid"]
+
+
 def resolve_paths(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``paths`` (project, path, distinct) with ``uid``: that of the longest prefix, in characters, that begins the path; null without one.
 
-    Every beginning of a path is a join key, so no path is compared with all prefixes.
+    A path meets the prefixes of its own project as one row, longest first, so no path becomes several rows.
     """
-    begins = F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.left(F.col("path"), n))
-    long = paths.filter("path <> ''").select("project", "path", F.explode(begins).alias("prefix"))
-    best = long.join(prefixes, ["project", "prefix"]).groupBy("project", "path").agg(F.max_by("uid", F.length("prefix")).alias("uid"))
-    return paths.join(best, ["project", "path"], "left")
+    entry = F.struct((-F.length("prefix")).alias("n"), "prefix", "uid")
+    lists = prefixes.filter("prefix <> ''").groupBy("project").agg(F.array_sort(F.collect_list(entry)).alias("_prefixes"))
+    return paths.join(lists, "project", "left").select("project", "path", _of_longest(F.col("_prefixes"), F.col("path")).alias("uid"))
 
 
 def _steps(path: str) -> list[str]:

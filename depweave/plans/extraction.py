@@ -83,7 +83,7 @@ _FACTS = """WITH line AS (SELECT o_custkey, l_returnflag, CASE l_partkey % 7 WHE
 def extract_paths(spark, sf_dir):
     """The import paths that lines name, resolved by longest prefix."""
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    paths = line.select(F.concat(F.lit("cust-"), "o_custkey").alias("project"), _paths().alias("path")).distinct()
+    paths = line.select(F.concat(F.lit("cust-"), "o_custkey").alias("project"), _paths().alias("path")).repartition("project").distinct()
     return extract.resolve_paths(paths, extract.path_map(extract.resources(registries(spark, sf_dir))))
 
 

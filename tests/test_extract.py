@@ -64,6 +64,18 @@ def test_longest_prefix(spark):
     assert got == {("p", "backend/services/S"): "long", ("p", "backend/service_x"): "short", ("p", "backend"): None, ("p", ""): None, ("p", "backend/services"): "long", ("p", "zz"): None, ("q", "backend/services"): None}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paths_stay_single_rows(spark):
+    """A path meets its project's prefixes as one row: no row per beginning."""
+    paths = spark.createDataFrame([("p", "ab/" + "x" * 500), ("r", "ab/c")], "project string, path string")
+    prefixes = spark.createDataFrame([("p", "ab/" + "x" * n, f"u{n}") for n in range(1, 400)], "project string, prefix string, uid string")
+    found = extract.resolve_paths(paths, prefixes)
+    assert "Generate" not in plan_of(found) and {(r.project, r.uid) for r in found.collect()} == {("p", "u399"), ("r", None)}
+
+
 def test_traces_begin_again_at_one(spark):
     logs = {"a": [1, 2, 3, 1, 2], "b": [1, 1, 2], "c": [1, 1, 1, 1, 1], "d": [5, 1, 1, 1, 2, 1, 1], "e": [4, 4, 1, 2], "f": [1], "g": [7, 1, 2, 1, 1, 1, 3, 1]}
     rows = [(k, -1, "noise") for k in logs] + [(k, 10 * i, f" State {n}: <Step {i}> ") for k, v in logs.items() for i, n in enumerate(v)] + [("z", 0, "/\\ x = 1")]
