@@ -9,11 +9,13 @@ that no rule asks for is unpacked.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.operators.graph import add_edges
-from depweave.session import cut
+from depweave.operators.strong import Ordered
 
 #: Schema files by their short names, import categories that count.
 SCHEMAS = {"backend": "backend_schema.json", "frontend": "frontend_schema.json", "middleware": "middleware_schema.json", "shared": "shared_objects_schema.json"}
@@ -106,74 +108,94 @@ def _steps(path: str) -> list[str]:
 
 
 def _step_rows(spark: SparkSession, rules: list[tuple]) -> list[DataFrame]:
-    """Per level, (schema, prefix, step, ahead): the steps that some rule's path takes from a prefix, each once."""
-    levels: dict[int, set[tuple[str, str, str, str]]] = {}
+    """Per level, (schema, prefix, step, ahead, ends): the steps that some rule's path takes from a prefix, once for a path that ends there and once for those that go on."""
+    levels: dict[int, set[tuple[str, str, str, str, bool]]] = {}
     for schema, path, *_ in rules:
         steps = _steps(path)
         for k, s in enumerate(steps):
-            levels.setdefault(k, set()).add((SCHEMAS[schema], ".".join(steps[:k]), s, ".".join(steps[: k + 1])))
+            levels.setdefault(k, set()).add((SCHEMAS[schema], ".".join(steps[:k]), s, ".".join(steps[: k + 1]), k + 1 == len(steps)))
     out = []
     for k in sorted(levels):
-        rows = [F.struct(*[F.lit(v).alias(c) for c, v in zip(("schema", "prefix", "step", "ahead"), row)]) for row in sorted(levels[k])]
+        rows = [F.struct(*[F.lit(v).alias(c) for c, v in zip(("schema", "prefix", "step", "ahead", "ends"), row)]) for row in sorted(levels[k])]
         out.append(spark.range(1).select(F.inline(F.array(*rows))))
     return out
 
 
 def flattened(documents: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
-    """(project, schema, path, keys, value): what stands at the rules' paths; keys are the members and items passed on the way, value is a VARIANT.
+    """(project, schema, path, keys, text, shape): what stands at the rules' paths; keys are the members and items passed on the way, text is the value as a string ('' if it has none), shape its schema.
 
-    A body that is no JSON has nothing at any path.  The step tables are as small as the rules, so they are broadcast.
+    A body that is no JSON has nothing at any path.  The step tables are as small as the rules, so they are broadcast;
+    what has come to its path's end is taken along, so a document is walked in one pass and no level is stored.
     """
     spark = documents.sparkSession
-    at = cut(documents.select("project", "schema", F.lit("").alias("prefix"), F.array().cast("array<string>").alias("keys"), F.try_parse_json("body").alias("value")))
-    whole = {(SCHEMAS[s], p) for s, p, *_ in rules}
-    found = None
+    none = F.lit(None).cast("string")
+    at = documents.select(
+        "project", "schema", F.lit("").alias("prefix"), F.array().cast("array<string>").alias("keys"), F.try_parse_json("body").alias("value"), F.lit(False).alias("done"), none.alias("text"), none.alias("shape")
+    )
     for steps in _step_rows(spark, rules):
-        inner = spark.sql("SELECT d.project, d.schema, d.prefix, d.keys, c.pos, c.key, c.value FROM {at} d, LATERAL variant_explode(d.value) c", at=at)
-        stands = F.when(F.col("key").isNull(), F.array(F.lit("[]"))).otherwise(F.array("key", F.lit("*")))
-        one = inner.withColumn("step", F.explode(stands)).join(F.broadcast(steps), ["schema", "prefix", "step"])
-        # kept, as both its own ends and the next level read it
-        at = cut(one.select("project", "schema", F.col("ahead").alias("prefix"), F.concat("keys", F.array(F.coalesce("key", F.lpad(F.col("pos").cast("string"), 9, "0")))).alias("keys"), "value"))
-        ended = F.array(*[F.concat(F.lit(s), F.lit(":"), F.lit(p)) for s, p in sorted(whole)])
-        here = at.filter(F.array_contains(ended, F.concat("schema", F.lit(":"), "prefix"))).withColumnRenamed("prefix", "path")
-        found = here if found is None else found.unionByName(here)
-    return found
+        inner = spark.sql(
+            "SELECT d.project, d.schema, d.prefix, d.keys, d.done, d.text, d.shape, c.pos, c.key, c.value FROM {at} d, LATERAL variant_explode_outer(CASE WHEN NOT d.done THEN d.value END) c", at=at
+        ).alias("i")
+        stands = F.when(F.col("i.key").isNull(), F.col("s.step") == "[]").otherwise(F.col("s.step").isin("*") | (F.col("s.step") == F.col("i.key")))
+        here = ~F.col("i.done") & F.col("i.pos").isNotNull() & stands & (F.col("i.schema") == F.col("s.schema")) & (F.col("i.prefix") == F.col("s.prefix"))
+        one = inner.join(F.broadcast(steps.alias("s")), here, "left").filter("i.done or s.step is not null")
+        key = F.coalesce("i.key", F.lpad(F.col("i.pos").cast("string"), 9, "0"))
+        at = one.select(
+            "i.project", "i.schema", F.coalesce("s.ahead", "i.prefix").alias("prefix"), F.when(F.col("i.done"), F.col("i.keys")).otherwise(F.concat("i.keys", F.array(key))).alias("keys"),
+            F.when(~F.coalesce("s.ends", F.lit(True)), F.col("i.value")).alias("value"), F.coalesce("s.ends", F.lit(True)).alias("done"),
+            F.when(F.col("s.ends"), _text(F.col("i.value"))).otherwise(F.col("i.text")).alias("text"), F.when(F.col("s.ends"), F.schema_of_variant("i.value")).otherwise(F.col("i.shape")).alias("shape"),
+        )
+    return at.filter("done").select("project", "schema", F.col("prefix").alias("path"), "keys", "text", "shape")
 
 
 def _text(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
 
 
+def _lists(found: DataFrame) -> DataFrame:
+    """(project, types, prefixes): a project's resources in one row: types (source_schema, section, uid), the last one first, and prefixes (prefix, uid), the longest first, of equal ones the last."""
+    section = F.when((F.col("source_schema") != "") & (F.col("source_key") != ""), F.substring_index("source_key", ".", 1))
+    prefix = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 2))
+    rows = found.select("project", F.struct(F.transform("place", lambda x: -x).alias("place"), "source_schema", section.alias("section"), prefix.alias("prefix"), F.col("id").alias("uid")).alias("r"))
+    every = F.array_sort("every")
+    types = F.transform(F.filter(every, lambda r: r["section"].isNotNull()), lambda r: F.struct(r["source_schema"].alias("source_schema"), r["section"].alias("section"), r["uid"].alias("uid")))
+    prefixes = F.transform(F.filter(every, lambda r: r["prefix"].isNotNull()), lambda r: F.struct((-F.length(r["prefix"])).alias("n"), r["place"].alias("place"), r["prefix"].alias("prefix"), r["uid"].alias("uid")))
+    return rows.groupBy("project").agg(F.collect_list("r").alias("every")).select("project", types.alias("types"), F.array_sort(prefixes).alias("prefixes"))
+
+
 def proposed_edges(documents: DataFrame, found: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """(project, from_id, to_id, edge_type, rule_no, keys): each edge that a rule asks for, once, at its first place (rules in order, members by name)."""
-    table = rule_rows(documents.sparkSession, rules)
-    met = flattened(documents, rules).select("project", "schema", "path", "keys", _text(F.col("value")).alias("text"), F.schema_of_variant("value").alias("shape"))
-    met = met.join(F.broadcast(table), ["schema", "path"]).filter("holds is null or contains(text, holds)")
+    table = F.broadcast(rule_rows(documents.sparkSession, rules))
+    met = flattened(documents, rules).join(table, ["schema", "path"]).filter("holds is null or contains(text, holds)")
     # a member that must be an object, as it is named and not listed
     met = met.filter(~F.col("path").endswith("relations.*") | F.col("shape").startswith("OBJECT"))
-    types = cut(type_map(found))
-    end = lambda side: types.select("project", F.col("source_schema").alias(f"{side}_schema"), F.col("section").alias(f"{side}_section"), F.col("uid").alias(f"{side}_id"))
-    met = met.withColumnRenamed("schema", "from_schema").join(end("from"), ["project", "from_schema", "from_section"])
-    typed = met.filter("to_section is not null").join(end("to"), ["project", "to_schema", "to_section"])
-    paths = met.filter("to_section is null")
-    named = resolve_paths(paths.select("project", F.col("text").alias("path")).distinct(), path_map(found)).filter("uid is not null")
-    imported = paths.join(named.select("project", F.col("path").alias("text"), F.col("uid").alias("to_id")), ["project", "text"])
-    columns = ["project", "from_id", "to_id", "edge_type", "rule_no", "keys"]
-    every = typed.select(columns).unionByName(imported.select(columns))
+    # what one rule finds in a project is one edge, but for paths, which lead to several
+    asked = F.when(F.col("to_section").isNull(), F.col("text"))
+    firsts = met.groupBy("project", "rule_no", asked.alias("asked")).agg(F.min("keys").alias("keys"))
+    of_type = lambda schema, section: F.get(F.filter("types", lambda t: (t["source_schema"] == F.col(schema)) & (t["section"] == F.col(section))), F.lit(0))["uid"]
+    to_id = F.when(F.col("to_section").isNull(), _of_longest(F.col("prefixes"), F.col("asked"))).otherwise(of_type("to_schema", "to_section"))
+    ends = firsts.join(_lists(found), "project").join(table, "rule_no").select("project", of_type("schema", "from_section").alias("from_id"), to_id.alias("to_id"), "edge_type", "rule_no", "keys")
+    every = ends.filter("from_id is not null and to_id is not null")
     return every.groupBy("project", "from_id", "to_id", "edge_type").agg(F.min(F.struct("rule_no", "keys")).alias("first")).select("project", "from_id", "to_id", "edge_type", "first.*")
 
 
+def _accepted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges, in the order of their projects, without those that close a cycle with the accepted ones before of the same project."""
+    project = graph = None
+    for pdf in batches:
+        kept = []
+        for p, a, b in zip(pdf["project"], pdf["from_id"], pdf["to_id"]):
+            if graph is None or p != project:
+                project, graph = p, Ordered()
+            kept.append(graph.add(a, b))
+        yield pdf[pd.Series(kept, index=pdf.index, dtype=bool)]
+
+
 def extract_edges(documents: DataFrame, registries: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
-    """(project, from_id, to_id, edge_type): the proposed edges that are accepted in their order; ends that are no resource, self-loops and edges that close a cycle are passed over."""
-    from depweave.operators.components import numbered
-
-    found = cut(resources(registries))
-    scoped = lambda c: F.to_json(F.array("project", c)).alias(c)
-    place = F.array(F.array("project"), F.array(F.lpad(F.col("rule_no").cast("string"), 6, "0")), F.col("keys"), F.array("from_id", "to_id", "edge_type"))
-    rows = cut(proposed_edges(documents, found, rules).withColumn("place", place))
-    seq = numbered(rows, "place").select("place", F.col("number").cast("bigint").alias("seq"))
-    new = rows.join(seq, "place").select(scoped("from_id"), scoped("to_id"), "edge_type", "seq")
-    nodes = found.select(scoped("id"))
-    tried = add_edges(nodes, new.select("from_id", "to_id", "edge_type").limit(0), new)
-    ends = lambda c: F.from_json(c, "array<string>")
-    return tried.filter("outcome = 'accepted'").select(ends("from_id")[0].alias("project"), ends("from_id")[1].alias("from_id"), ends("to_id")[1].alias("to_id"), "edge_type")
+    """(project, from_id, to_id, edge_type): the proposed edges that are accepted in their order; ends that are no resource, self-loops and edges that close a cycle are passed over.
+
+    No edge leaves its project, and a project has no more than its rules and its registry's row name, so each project is taken in order by itself.
+    """
+    rows = proposed_edges(documents, resources(registries), rules)
+    ordered = rows.repartition("project").sortWithinPartitions("project", "rule_no", "keys", "from_id", "to_id", "edge_type")
+    return ordered.select("project", "from_id", "to_id", "edge_type").mapInPandas(_accepted, "project string, from_id string, to_id string, edge_type string")

@@ -42,9 +42,9 @@ def _paths() -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project, schema, body): one backend and one frontend document per customer with orders; machinery's frontends are cut off."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(
-        F.max(F.col("l_returnflag") == "A").alias("calls"), F.array_sort(F.collect_set(_paths())).alias("paths")
-    )
+    # dealt by order once: the lines of a number, those of an order and the order itself meet there
+    dealt = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", (F.col("l_returnflag") == "A").alias("calls"), _paths().alias("path")).repartition("o_orderkey")
+    lines = dealt.groupBy("o_orderkey", "l_linenumber").agg(F.max("calls").alias("calls"), F.array_sort(F.collect_set("path")).alias("paths"))
     functions = F.concat(F.lit('"fn-'), "l_linenumber", F.lit('": '), F.when(F.col("calls"), '{"calls": ["dao"]}').otherwise('{"calls": [], "note": "calls"}'))
     imports = F.transform("paths", lambda p: F.concat(F.lit('{"path": "'), p, F.lit('"}')))
     per_order = lines.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_list(functions)), ", ").alias("functions"), F.array_join(F.flatten(F.collect_list(imports)), ", ").alias("imports"))
@@ -67,8 +67,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     comma = F.lit(", ")
     backend = F.concat(F.lit("{"), member("services"), comma, member("processors"), comma, member("endpoints"), comma, member("request_handlers"), comma, related, comma, log, F.lit("}"))
     frontend = F.concat(F.lit("{"), member("modules"), comma, member("data_loaders"), F.when(F.col("c_mktsegment") == "MACHINERY", "").otherwise("}"))
-    one = lambda schema, body: found.select("project", F.lit(extract.SCHEMAS[schema]).alias("schema"), body.alias("body"))
-    return one("backend", backend).unionByName(one("frontend", frontend))
+    one = lambda schema, body: F.struct(F.lit(extract.SCHEMAS[schema]).alias("schema"), body.alias("body"))
+    return found.select("project", F.inline(F.array(one("backend", backend), one("frontend", frontend))))
 
 
 _FACTS = """WITH line AS (SELECT o_custkey, l_returnflag, CASE l_partkey % 7 WHEN 0 THEN 'backend/services/S' || l_suppkey WHEN 1 THEN 'backend/service_' || l_suppkey WHEN 2 THEN 'backend/data_access_objects' WHEN 3 THEN 'shared/data_types/T'

@@ -68,6 +68,27 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_documents_are_walked_in_one_pass(spark, small):
+    """No level of the walk is stored, and the lines are read once for both documents of a customer."""
+    from depweave.plans import extraction
+
+    plan = plan_of(extraction.extract_edges(spark, small))
+    assert "LogicalRDD" not in plan and plan.count("l_returnflag#") > 0 and sum("Relation [" in line and "l_orderkey#" in line for line in plan.splitlines()) == 1
+
+
+def test_paths_that_go_on_and_order_by_project(spark):
+    """A rule's path may begin another's; each project keeps its own earlier edge of a cycle."""
+    rules = [("backend", "a.*", None, "has", "b"), ("backend", "a.*.to.[]", None, "leads", "c"), ("backend", "c.back", None, "leads", "a")]
+    types = [("ra", "backend", "a", "backend/a"), ("rb", "backend", "b", "backend/b"), ("rc", "backend", "c", "backend/c")]
+    bodies = {"p": {"a": {"*": {"to": [1]}, "[]": 2}, "c": {"back": 1}}, "q": {"a": {"x": {"to": []}}, "c": {"back": {}}}, "r": {"a": [{"to": [1]}], "c": {"back": None}}}
+    docs = spark.createDataFrame([(p, extract.SCHEMAS["backend"], json.dumps(b)) for p, b in bodies.items()], DOC).repartition(3)
+    found = extract.extract_edges(docs, spark.createDataFrame([(p, registry(*types)) for p in bodies], REG), rules)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.project, set()).add((r.from_id, r.to_id, r.edge_type))
+    assert got == {"p": {("ra", "rb", "has"), ("ra", "rc", "leads")}, "q": {("ra", "rb", "has"), ("rc", "ra", "leads")}, "r": {("rc", "ra", "leads")}}
+
+
 def test_paths_stay_single_rows(spark):
     """A path meets its project's prefixes as one row: no row per beginning."""
     paths = spark.createDataFrame([("p", "ab/" + "x" * 500), ("r", "ab/c")], "project string, path string")
