@@ -18,6 +18,29 @@ def test_bridge(spark):
     assert {(r.from_id, r.to_id): r.outcome for r in graph.bridge_calls(after, none, deps).collect()} == {(A, B): "accepted", (B, A): "cycle"}
 
 
+def test_bridge_judges_pairs(spark, tmp_path):
+    """The bridge numbers no dependency and judges a pair once, whatever its dispatches; its counters are those of the rows tried one by one."""
+    import random
+
+    rnd = random.Random(7)
+    u = [f"{i:08x}-0000-0000-0000-{i:012x}" for i in range(9)]
+    records = spark.createDataFrame([(x, "f", None, f"{i}.py", i == 8) for i, x in enumerate(u[:9])], RECORD)
+    nodes = spark.createDataFrame([("n", "behavior", "kept")], "id string, kind string, name string")
+    edges = spark.createDataFrame([(u[0], u[1], "calls"), (u[1], u[2], "contains"), ("n", u[3], None)], "from_id string, to_id string, edge_type string")
+    rows = [(rnd.choice(u), rnd.choice(u), rnd.choice(["direct", "override", None])) for _ in range(60)] + [(u[0], u[1], "direct"), (u[3], None, "direct"), (u[5], u[6], None), (u[5], u[6], None)]
+    deps = spark.createDataFrame(rows, "dependent_uuid string, dependency_uuid string, dispatch string")
+    every = graph.bridge_nodes(nodes, records)
+    one_by_one = [(r.from_id, r.to_id, r.outcome) for r in graph.bridge_calls(every, edges, deps).collect()]
+    numbered, graph.numbered = graph.numbered, None
+    try:
+        _, linked, counters = graph.bridge(nodes, edges, records, deps)
+        got, added = {(r.from_id, r.to_id) for r in linked.filter("edge_type = 'calls'").collect()}, counters.first().edges_added
+    finally:
+        graph.numbered = numbered
+    assert added == sum(o in ("accepted", "duplicate") for *_, o in one_by_one)
+    assert got == {(a, b) for a, b, o in one_by_one if o == "accepted"} | {(u[0], u[1])} and linked.count() == len(got) + 2
+
+
 def test_unknown_root_and_component(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     edges = spark.createDataFrame([("a", "b")], "from_id string, to_id string")
