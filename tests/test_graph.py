@@ -96,6 +96,19 @@ def test_validation_reasons(spark):
     assert found == {("c", "a"): "cycle", ("a", "b"): "duplicate", ("c", "d"): "valid", ("b1", "t1"): "kind", ("a", "q"): "missing", ("a", "a"): "cycle"}
 
 
+@pytest.mark.parametrize("limit", [0, 3, 1 << 17])
+def test_walks_of_any_size(spark, monkeypatch, limit):
+    """Short lists and long ones give the same closure; what is stored of it is compressed tables, no raw checkpoints."""
+    monkeypatch.setattr(graph, "FEW", limit)
+    pairs = ["ab", "bc", "ca", "cd", "de", "xy", "yy", "pa", "qe", "zq"]
+    found = graph.closure(edges_of(spark, pairs))
+    assert sorted((r.src, r.dst) for r in found.collect()) == sorted(reach_model([tuple(p) for p in pairs]))
+    if limit == 0:
+        assert "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+    above = graph.reachable(edges_of(spark, pairs), ids(spark, "d", "d", "z"), reverse=True)
+    assert sorted(r.id for r in above.collect()) == ["a", "b", "c", "d", "p", "z"]
+
+
 def test_ids_of_five_digits(spark):
     """Four digits are the least an id has; a longer number is not cut."""
     nodes = spark.createDataFrame([("gwt-9999",), ("gwt-89999",), ("req-9999",)], "id string")
