@@ -109,6 +109,24 @@ def test_walks_of_any_size(spark, monkeypatch, limit):
     assert sorted(r.id for r in above.collect()) == ["a", "b", "c", "d", "p", "z"]
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 17])
+def test_validation_stores_no_pairs(spark, monkeypatch, limit):
+    """Every candidate keeps its row, repeated ones too; of the pairs only the ends are checkpointed, and the step table goes."""
+    kept, tables, gone = [], [], []
+    cut, written, discard = graph.cut, graph.written, graph.discard
+    monkeypatch.setattr(graph, "FEW", limit)
+    monkeypatch.setattr(graph, "cut", lambda df: kept.append(df.columns) or cut(df))
+    monkeypatch.setattr(graph, "written", lambda df: tables.append(df.columns) or written(df))
+    monkeypatch.setattr(graph, "discard", lambda df: gone.append(df.columns) or discard(df))
+    nodes = spark.createDataFrame([(n, "module") for n in "abcdef"], "id string, kind string")
+    asked = [("c", "a", "calls"), ("c", "a", "calls"), ("a", "b", None), ("f", "a", "calls"), ("a", "q", "calls"), ("q", "q", "calls"), (None, "a", "calls"), ("e", "e", "calls"), ("b", "c", "depends_on")]
+    found = graph.validate_edges(nodes, edges_of(spark, ["ab", "bc", "cd", "fe"]), spark.createDataFrame(asked, EDGE)).collect()
+    want = ["cycle", "cycle", "valid", "valid", "missing", "missing", "missing", "cycle", "duplicate"]
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(key, found)) == sorted(key((*a, w)) for a, w in zip(asked, want))
+    assert not any("to_id" in c for c in kept) and ["node", "next"] in tables and ["node", "next"] in gone and ["from_id", "to_id", "edge_type"] in gone
+
+
 def test_ids_of_five_digits(spark):
     """Four digits are the least an id has; a longer number is not cut."""
     nodes = spark.createDataFrame([("gwt-9999",), ("gwt-89999",), ("req-9999",)], "id string")
